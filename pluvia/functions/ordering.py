@@ -364,3 +364,36 @@ def most_frequent(counts: DataFrame, groups: Sequence[str], value: str, name: st
     return counts.groupBy(*groups).agg(best.alias("_m")).select(
         *groups, (-F.col("_m.neg")).alias(name)
     )
+
+
+def running_total(df: DataFrame, s: Series, column: str, name: str) -> DataFrame:
+    """Adds the running sum of ``column`` in series order and ``_pos``.
+
+    A split series sums inside blocks and adds the totals of earlier blocks."""
+    if fits_one_task(df, s):
+        w = s.window()
+        return df.withColumns({
+            "_pos": F.row_number().over(w).cast("long") - 1,
+            name: F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        })
+    rows = with_positions(df, s).withColumn("_block", F.floor(F.col("_pos") / s.block_rows))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(s.keys)]
+    sums = rows.groupBy(*s.keys, "_block").agg(F.sum(column).alias("_w"))
+    earlier = Window.partitionBy(*s.keys).orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    shift = sums.select(
+        *named, F.col("_block").alias("_b"),
+        F.coalesce(F.sum("_w").over(earlier), F.lit(0.0)).alias("_shift"),
+    )
+    on = F.col("_block") == F.col("_b")
+    for i, k in enumerate(s.keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*s.keys, "_block").orderBy("_pos").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    return (
+        rows.withColumn(name, F.sum(column).over(inside)).join(shift, on)
+        .withColumn(name, F.col(name) + F.col("_shift"))
+        .drop("_shift", "_b", "_block", *[f"_k{i}" for i in range(len(s.keys))])
+    )
