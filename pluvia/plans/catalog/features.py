@@ -100,13 +100,13 @@ def missing_fill_forward(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT event_type, ts, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events)
+WITH e AS (SELECT event_type, ts, event_id, CASE WHEN value < 20 THEN NULL ELSE value END AS value FROM events)
 SELECT event_type, ts, event_id, LAST_VALUE(value IGNORE NULLS) OVER (
   PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM e
 """)
 def event_fill_forward(spark, sf_dir):
     """Few, very large keys: the fill runs in blocks of positions."""
-    value = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    value = F.when(F.col("value") >= 20, F.col("value"))
     rows = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", value.alias("value"))
     return clean.fill_forward(rows, series("event_type", "ts", ties="event_id", block_rows=EVENT_BLOCK), ["value"])
 

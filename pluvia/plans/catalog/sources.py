@@ -21,13 +21,13 @@ def date_range_scan(spark, sf_dir):
 
 @query("""
 SELECT o_orderkey,
-       CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS "DATE" FROM orders
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS "DATE" FROM orders
 """)
 def date_parse(spark, sf_dir):
     day = F.col("o_orderdate").cast("date")
     text = (
-        F.when(F.col("o_orderkey") % 7 == 0, "not a date")
-        .when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "yyyyMMdd"))
+        F.when(F.col("o_orderstatus") == "P", "not a date")
+        .when(F.col("o_orderstatus") == "O", F.date_format(day, "yyyyMMdd"))
         .otherwise(F.date_format(day, "yyyy-MM-dd"))
     )
     rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("DATE"))
@@ -35,13 +35,13 @@ def date_parse(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE WHEN event_type = 'click' OR event_id % 11 = 0 THEN NULL ELSE value END AS value FROM events
+SELECT event_id, CASE WHEN event_type = 'click' OR value > 100 THEN NULL ELSE value END AS value FROM events
 """)
 def sentinel_to_null(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     raw = (
         F.when(F.col("event_type") == "click", F.lit(-999.0))
-        .when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+        .when(F.col("value") > 100, F.lit(float("nan"))).otherwise(F.col("value"))
     )
     return weather.null_sentinels(events.select("event_id", raw.alias("value")))
 
@@ -79,9 +79,8 @@ def csv_lines(spark, sf_dir):
 
 
 def monthly_payloads(spark, sf_dir):
-    """JSON payloads of at most 31 days: one per site and month.
-
-    Every fifth site reports an API error, every seventh an empty payload."""
+    """JSON payloads of at most 31 days, one per site and month; beside every
+    good one arrive an error message and an empty answer."""
     rows = panel(spark, sf_dir).withColumn("month", F.date_format("day", "yyyyMM"))
 
     def series(c):
@@ -90,17 +89,22 @@ def monthly_payloads(spark, sf_dir):
 
     maps = rows.groupBy("site", "month").agg(series("rain").alias("rain"), series("temp").alias("temp"))
     parameter = F.create_map(F.lit("PRECTOTCORR"), F.col("rain"), F.lit("T2M"), F.col("temp"))
-    empty = F.map_from_entries(F.array().cast("array<struct<k:string,v:map<string,double>>>"))
-    body = F.struct(
-        F.when(F.col("site") % 5 == 0, F.array(F.lit("quota exceeded"))).otherwise(F.array().cast("array<string>")).alias("messages"),
-        F.struct(F.when(F.col("site") % 7 == 1, empty).otherwise(parameter).alias("parameter")).alias("properties"),
-    )
-    return maps.select("site", "month", F.to_json(body).alias("body"))
+    nothing = F.map_from_entries(F.array().cast("array<struct<k:string,v:map<string,double>>>"))
+    silent = F.array().cast("array<string>")
+
+    def body(messages, measures):
+        return F.to_json(F.struct(
+            messages.alias("messages"), F.struct(measures.alias("parameter")).alias("properties")
+        ))
+
+    answers = F.explode(F.array(
+        body(silent, parameter), body(F.array(F.lit("quota exceeded")), parameter), body(silent, nothing)
+    ))
+    return maps.select("site", "month", answers.alias("body"))
 
 
 @query(PANEL + """
-SELECT site, rain AS "PRECTOTCORR", temp AS "T2M", day AS "DATE", 10.78 AS "LATITUDE", 106.7 AS "LONGITUDE"
-FROM panel WHERE site % 5 <> 0 AND site % 7 <> 1
+SELECT site, rain AS "PRECTOTCORR", temp AS "T2M", day AS "DATE", 10.78 AS "LATITUDE", 106.7 AS "LONGITUDE" FROM panel
 """)
 def payload_flatten(spark, sf_dir):
     parsed = payload.parse_payloads(monthly_payloads(spark, sf_dir), "body")
@@ -109,9 +113,8 @@ def payload_flatten(spark, sf_dir):
 
 
 @query(PANEL + """
-SELECT CASE WHEN site % 5 = 0 THEN 'api_error' ELSE 'no_data' END AS problem,
-       COUNT(DISTINCT strftime(day, '%Y%m') || '-' || site) AS payloads
-FROM panel WHERE site % 5 = 0 OR site % 7 = 1 GROUP BY 1
+, m AS (SELECT DISTINCT site, strftime(day, '%Y%m') AS month FROM panel)
+SELECT problem, COUNT(*) AS payloads FROM m CROSS JOIN (VALUES ('api_error'), ('no_data')) p(problem) GROUP BY 1
 """)
 def payload_quarantine(spark, sf_dir):
     parsed = payload.parse_payloads(monthly_payloads(spark, sf_dir), "body")
