@@ -1 +1,339 @@
-"""Placeholder."""
+"""Rank and normality tests, autocorrelation, unit roots, spectra, decomposition."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pluvia.operators import autocorrelation as ac
+from pluvia.operators import decomposition as dc
+from pluvia.operators import spectrum as sp
+from pluvia.operators import stat_tests as st
+from pluvia.operators import stationarity as sy
+from pluvia.operators.clean import to_long
+from pluvia.operators.features import detrend_centred
+from pluvia.plans.catalog.registry import LONG, PANEL, RAW, TOTAL, query, rounded
+from pluvia.sources.panel import PREDICTORS, daily_total, panel, site_series, table
+
+SITE = site_series()
+
+
+def lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem")
+
+
+def lines_long(spark, sf_dir):
+    return to_long(lines(spark, sf_dir), [], RAW, "Feature", "v")
+
+
+# --- normality ----------------------------------------------------------------
+
+JB = LONG + """
+, m AS (SELECT feature, COUNT(v) AS n, AVG(v) AS mu FROM long GROUP BY feature),
+c AS (SELECT long.feature, n, AVG(POW(v - mu, 2)) AS m2, AVG(POW(v - mu, 3)) AS m3, AVG(POW(v - mu, 4)) AS m4
+      FROM long JOIN m ON long.feature = m.feature GROUP BY long.feature, n),
+g AS (SELECT feature, CAST(n AS DOUBLE) AS n, m3 / POW(m2, 1.5) AS g1, m4 / (m2 * m2) - 3 AS g2 FROM c),
+s AS (SELECT *, g1 * SQRT((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
+        SQRT(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+        (g2 + 3 - 3 * (n - 1) / (n + 1)) / SQRT(24 * n * (n - 2) * (n - 3) / (POW(n + 1, 2) * (n + 3) * (n + 5))) AS x,
+        6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * SQRT(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b FROM g),
+z AS (SELECT *, LN(y / SQRT(2 / (w2 - 1)) + SQRT(POW(y / SQRT(2 / (w2 - 1)), 2) + 1)) / SQRT(0.5 * LN(w2)) AS zs,
+        6 + 8 / b * (2 / b + SQRT(1 + 4 / (b * b))) AS a FROM s),
+k AS (SELECT *, 1 + x * SQRT(2 / (a - 4)) AS den FROM z),
+f AS (SELECT *, (1 - 2 / (9 * a) - SIGN(den) * POW((1 - 2 / a) / ABS(den), 1.0 / 3)) / SQRT(2 / (9 * a)) AS zk FROM k)
+"""
+
+
+@query(JB + """
+SELECT feature AS "Feature", CAST(n AS BIGINT) AS "Sample_Size", ROUND(n / 6 * (g1 * g1 + g2 * g2 / 4), 4) AS "JB_Stat",
+       ROUND(EXP(-n / 12 * (g1 * g1 + g2 * g2 / 4)), 8) AS "JB_P", ROUND(zs, 6) AS "Skew_Stat", ROUND(zk, 5) AS "Kurt_Stat",
+       ROUND(zs * zs + zk * zk, 4) AS "DAgostino_Stat", ROUND(EXP(-(zs * zs + zk * zk) / 2), 8) AS "DAgostino_P" FROM f
+""")
+def moment_tests(spark, sf_dir):
+    out = st.moment_tests(lines_long(spark, sf_dir)).drop("Skew_P", "Kurt_P")
+    out = rounded(rounded(out, 4, "JB_Stat", "DAgostino_Stat"), 8, "JB_P", "DAgostino_P")
+    return rounded(rounded(out, 6, "Skew_Stat"), 5, "Kurt_Stat")
+
+
+@query()
+def normality_battery(spark, sf_dir):
+    return st.normality_battery(lines(spark, sf_dir), RAW)
+
+
+@query()
+def normality_sample(spark, sf_dir):
+    """The sampled variant: 5000 seeded rows per feature."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return st.normality_battery(rows, ["o_totalprice"], sample_rows=5000, id_col="o_orderkey")
+
+
+# --- rank tests ---------------------------------------------------------------
+
+ALIGNED = PANEL + ", al AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {c} AS v, rain AS t FROM panel WHERE {c} IS NOT NULL" for c in ["n_obs", *PREDICTORS]
+).replace("SELECT 'n_obs' AS feature, n_obs AS v", "SELECT 'n_obs' AS feature, CAST(n_obs AS DOUBLE) AS v") + """),
+rk AS (SELECT feature, v, t, RANK() OVER (PARTITION BY feature ORDER BY v) + (COUNT(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r,
+  RANK() OVER (PARTITION BY feature ORDER BY t) + (COUNT(*) OVER (PARTITION BY feature, t) - 1) / 2.0 AS rt,
+  CASE WHEN t = 0 THEN 0 WHEN t <= 2.5 THEN 1 WHEN t <= 7.5 THEN 2 ELSE 3 END AS g FROM al),
+u AS (SELECT feature, COUNT(*) FILTER (t = 0) AS n1, COUNT(*) FILTER (t > 0) AS n2, SUM(r) FILTER (t = 0) AS r1, COUNT(*) AS n,
+  CORR(r, rt) AS rho FROM rk GROUP BY feature),
+tie AS (SELECT feature, SUM(CAST(c AS DOUBLE) * c * c - c) AS ties FROM (SELECT feature, v, COUNT(*) AS c FROM al GROUP BY 1, 2) GROUP BY feature),
+gs AS (SELECT feature, g, COUNT(*) AS c, SUM(r) AS s FROM rk GROUP BY 1, 2),
+h AS (SELECT gs.feature, (12.0 / (CAST(n AS DOUBLE) * (n + 1)) * SUM(s * s / c) - 3 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) * n * n - n)) AS h,
+  MIN(c) AS smallest FROM gs JOIN u ON gs.feature = u.feature JOIN tie ON tie.feature = gs.feature GROUP BY gs.feature, n, ties)
+"""
+# The panel's measures are missing exactly on dry days, so the two-sample and
+# group tests use the line count next to them.
+
+
+@query(ALIGNED + """
+SELECT u.feature AS "Feature", u.n AS "Aligned_Rows", ROUND(rho, 8) AS "Spearman_Corr",
+       CASE WHEN n1 > 5 AND n2 > 5 THEN r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 END AS "MW_Statistic"
+FROM u
+""")
+def rank_tests(spark, sf_dir):
+    out = st.non_parametric_tests(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
+    return rounded(out.select("Feature", "Aligned_Rows", "Spearman_Corr", "MW_Statistic"), 8, "Spearman_Corr")
+
+
+@query(ALIGNED + """
+SELECT feature AS "Feature", ROUND(h, 5) AS "KW_Statistic" FROM h
+""")
+def kruskal_wallis(spark, sf_dir):
+    long = st._aligned(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
+    return rounded(st.kruskal_wallis(long).select("Feature", "KW_Statistic"), 5, "KW_Statistic")
+
+
+@query()
+def non_parametric_tests(spark, sf_dir):
+    return st.non_parametric_tests(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
+
+
+# --- autocorrelation ----------------------------------------------------------
+
+ACF = PANEL + """
+, c AS (SELECT site, day, rain - AVG(rain) OVER (PARTITION BY site) AS x, COUNT(*) OVER (PARTITION BY site) AS n,
+        ROW_NUMBER() OVER (PARTITION BY site ORDER BY day) AS pos FROM panel),
+p AS (SELECT a.site, a.n, lag, SUM(a.x * b.x) AS product FROM c a CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(0, {lags})) AS lag) l
+      JOIN c b ON b.site = a.site AND b.pos = a.pos - lag GROUP BY 1, 2, 3),
+r AS (SELECT site, n, lag, product / FIRST_VALUE(product) OVER (PARTITION BY site ORDER BY lag) AS r FROM p)
+"""
+
+
+@query(ACF.format(lags=40) + """
+, b AS (SELECT *, CASE WHEN lag = 0 THEN 0.0 ELSE 1.959963984540054 * SQRT((1 + 2 * COALESCE(SUM(CASE WHEN lag > 0 THEN r * r ELSE 0 END)
+  OVER (PARTITION BY site ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END AS half FROM r)
+SELECT site, lag, n, ROUND(r, 8) AS r, ROUND(half, 8) AS half_band, lag > 0 AND ABS(r) > half AS significant FROM b
+""")
+def acf(spark, sf_dir):
+    return rounded(ac.acf(panel(spark, sf_dir), "rain", 40, by=SITE), 8, "r", "half_band")
+
+
+@query(ACF.format(lags=20) + """
+, q AS (SELECT site, lag, n, CAST(n AS DOUBLE) * (n + 2) * SUM(CASE WHEN lag > 0 THEN r * r / (n - lag) ELSE 0 END) OVER (PARTITION BY site ORDER BY lag) AS lb FROM r)
+SELECT site, lag, n, ROUND(lb, 5) AS lb_stat FROM q WHERE lag > 0
+""")
+def ljung_box(spark, sf_dir):
+    lags = ac.ljung_box_legacy_lags(2557)
+    return rounded(ac.ljung_box(panel(spark, sf_dir), "rain", lags, by=SITE).drop("lb_pvalue"), 5, "lb_stat")
+
+
+@query()
+def ljung_box_summary(spark, sf_dir):
+    return ac.ljung_box_summary(ac.ljung_box(panel(spark, sf_dir), "rain", 10, by=SITE), ["site"])
+
+
+@query()
+def pacf(spark, sf_dir):
+    return ac.pacf(panel(spark, sf_dir), "rain", 40, by=SITE)
+
+
+PERIODS = [7, 30]
+BUDGET = ac.lag_budget(PERIODS)["max_lags"]
+
+
+@query(ACF.format(lags=BUDGET) + """
+, b AS (SELECT *, CASE WHEN lag = 0 THEN 0.0 ELSE 1.959963984540054 * SQRT((1 + 2 * COALESCE(SUM(CASE WHEN lag > 0 THEN r * r ELSE 0 END)
+  OVER (PARTITION BY site ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END AS half FROM r)
+SELECT site, lag, ROUND(r, 8) AS r FROM b WHERE lag > 0 AND ABS(r) > half AND (ABS(lag - 7) <= 5 OR ABS(lag - 30) <= 5)
+""")
+def lags_near_periods(spark, sf_dir):
+    found = ac.acf(panel(spark, sf_dir), "rain", BUDGET, by=SITE)
+    return rounded(ac.lags_near_periods(found, PERIODS).select("site", "lag", "r"), 8, "r")
+
+
+@query()
+def order_suggestions(spark, sf_dir):
+    rows = panel(spark, sf_dir)
+    return ac.suggest_orders(
+        ac.acf(rows, "rain", BUDGET, by=SITE), ac.pacf(rows, "rain", BUDGET, by=SITE), PERIODS, ["site"]
+    )
+
+
+# --- unit roots ---------------------------------------------------------------
+
+KPSS = PANEL + """
+, o AS (SELECT site, rain AS y, CAST(ROW_NUMBER() OVER (PARTITION BY site ORDER BY day) - 1 AS DOUBLE) AS t FROM panel),
+f AS (SELECT site, COUNT(*) AS n, REGR_SLOPE(y, t) AS b, REGR_INTERCEPT(y, t) AS a FROM o GROUP BY site),
+e AS (SELECT o.site, t, n, y - a - b * t AS e FROM o JOIN f ON o.site = f.site),
+g AS (SELECT x.site, x.n, lag, SUM(x.e * y.e) AS p FROM e x CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(0, 400)) AS lag) l
+      JOIN e y ON y.site = x.site AND y.t = x.t - lag GROUP BY 1, 2, 3),
+w AS (SELECT site, n, SUM(CASE WHEN lag = 0 THEN p / n WHEN lag <= FLOOR(POW(n, 2.0 / 9)) THEN p / (n / 2.0) ELSE 0 END) AS s0,
+      SUM(CASE WHEN lag BETWEEN 1 AND FLOOR(POW(n, 2.0 / 9)) THEN lag * p / (n / 2.0) ELSE 0 END) AS s1 FROM g GROUP BY 1, 2),
+m AS (SELECT site, n, CAST(FLOOR(1.1447 * POW(POW(s1 / s0, 2), 1.0 / 3) * POW(n, 1.0 / 3)) AS BIGINT) AS m FROM w),
+v AS (SELECT g.site, g.n, m, SUM(CASE WHEN lag = 0 THEN p WHEN lag <= m THEN 2 * p * (1 - lag / (m + 1)) ELSE 0 END) / g.n AS s2
+      FROM g JOIN m ON g.site = m.site GROUP BY 1, 2, 3),
+h AS (SELECT site, n, SUM(e) OVER (PARTITION BY site ORDER BY t) AS s FROM e),
+eta AS (SELECT site, SUM(s * s) / (CAST(MAX(n) AS DOUBLE) * MAX(n)) AS eta FROM h GROUP BY site)
+"""
+
+
+@query(KPSS + "SELECT v.site, ROUND(eta / s2, 7) AS kpss_stat, m AS kpss_lags FROM v JOIN eta ON v.site = eta.site")
+def kpss(spark, sf_dir):
+    out = sy.kpss_test(panel(spark, sf_dir), "rain", "ct", by=SITE)
+    return rounded(out, 7, "kpss_stat").select("site", "kpss_stat", "kpss_lags")
+
+
+@query()
+def adf(spark, sf_dir):
+    return sy.adf_test(panel(spark, sf_dir), "rain", "ct", by=SITE)
+
+
+@query()
+def stationarity_verdicts(spark, sf_dir):
+    return sy.stationarity_tests(panel(spark, sf_dir), "rain", "ct", by=SITE)
+
+
+@query()
+def differenced_where_needed(spark, sf_dir):
+    rows = panel(spark, sf_dir).select("site", "day", "rain", "n_obs")
+    return sy.prepare_time_series(rows, "rain", ["n_obs"], by=SITE)
+
+
+@query()
+def residual_diagnosis(spark, sf_dir):
+    resid = dc.residual_for_stationarity(panel(spark, sf_dir), "rain", [7, 30], by=SITE)
+    return sy.decomposition_quality(sy.residual_diagnosis(resid, "resid", by=SITE))
+
+
+@query()
+def stationarity_synthesis(spark, sf_dir):
+    rows = panel(spark, sf_dir)
+    found = ac.acf(rows, "rain", BUDGET, by=SITE)
+    orders = ac.suggest_orders(found, ac.pacf(rows, "rain", BUDGET, by=SITE), PERIODS, ["site"])
+    tests = sy.stationarity_tests(rows, "rain", "ct", by=SITE)
+    return sy.synthesis(tests, found, orders, ["site"], PERIODS)
+
+
+# --- spectra ------------------------------------------------------------------
+
+SPECTRUM = TOTAL + """
+, d AS (SELECT day, rain - AVG(rain) OVER f AS x, COUNT(*) OVER f AS c FROM total WINDOW f AS (ORDER BY day ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING)),
+x AS (SELECT x, ROW_NUMBER() OVER (ORDER BY day) - 1 AS pos, COUNT(*) OVER () AS n FROM d WHERE c = 30),
+k AS (SELECT UNNEST(GENERATE_SERIES(1, (SELECT CAST(FLOOR((MAX(n) - 1) / 2) AS BIGINT) FROM x))) AS k),
+s AS (SELECT k, n, SUM(x * COS(2 * PI() * ((k * pos) % n) / n)) AS c, SUM(x * SIN(2 * PI() * ((k * pos) % n) / n)) AS s FROM x CROSS JOIN k GROUP BY 1, 2),
+spectrum AS (SELECT k, k / n AS frequency, n / k AS period, SQRT(c * c + s * s) AS magnitude FROM s)
+"""
+
+
+def total_spectrum(spark, sf_dir):
+    return sp.detrended_spectrum(daily_total(spark, sf_dir), "rain", by=SITE)
+
+
+@query(SPECTRUM + "SELECT k, ROUND(frequency, 9) AS frequency, ROUND(period, 7) AS period, ROUND(magnitude, 4) AS magnitude FROM spectrum")
+def periodogram(spark, sf_dir):
+    out = total_spectrum(spark, sf_dir).drop("site")
+    return rounded(rounded(rounded(out, 9, "frequency"), 7, "period"), 4, "magnitude")
+
+
+@query(SPECTRUM + "SELECT k, ROUND(frequency, 9) AS frequency, ROUND(period, 7) AS period, ROUND(magnitude, 4) AS magnitude FROM spectrum")
+def periodogram_by_sums(spark, sf_dir):
+    """The route of series too long for one task."""
+    flat = detrend_centred(daily_total(spark, sf_dir), "rain", 30, by=SITE)
+    out = sp.periodogram_by_sums(flat.select("site", "day", "detrended"), "detrended", by=SITE).drop("site")
+    return rounded(rounded(rounded(out, 9, "frequency"), 7, "period"), 4, "magnitude")
+
+
+@query()
+def site_periodograms(spark, sf_dir):
+    return sp.detrended_spectrum(panel(spark, sf_dir), "rain", by=SITE)
+
+
+DOMINANT = """
+, top AS (SELECT period FROM spectrum ORDER BY magnitude DESC, k DESC LIMIT 10),
+dom AS (SELECT DISTINCT CAST(ROUND_EVEN(period, 0) AS INT) AS period_days FROM top WHERE period BETWEEN 7 AND 730)
+"""
+
+
+@query(SPECTRUM + DOMINANT + "SELECT CAST(ROW_NUMBER() OVER (ORDER BY period_days DESC) AS INT) AS rank, period_days FROM dom")
+def dominant_periods(spark, sf_dir):
+    return sp.dominant_periods(total_spectrum(spark, sf_dir), keys=["site"]).drop("site")
+
+
+@query(SPECTRUM + """
+SELECT k, ROUND(frequency, 9) AS frequency, ROUND(period, 7) AS period, ROUND(magnitude, 4) AS magnitude,
+       ROUND(LOG10(magnitude * magnitude + 1e-12), 6) AS log_power FROM spectrum WHERE period <= 365
+""")
+def power_spectrum(spark, sf_dir):
+    out = sp.power_table(total_spectrum(spark, sf_dir)).drop("site", "power")
+    return rounded(rounded(rounded(rounded(out, 9, "frequency"), 7, "period"), 4, "magnitude"), 6, "log_power")
+
+
+@query(SPECTRUM + DOMINANT + """
+, n AS (SELECT period_days, LOG10(magnitude * magnitude + 1e-12) AS lp,
+  ROW_NUMBER() OVER (PARTITION BY period_days ORDER BY ABS(period - period_days), k) AS rn FROM dom CROSS JOIN spectrum WHERE period <= 365)
+SELECT period_days, ROUND(CASE WHEN period_days <= 365 THEN lp ELSE 0.0 END, 6) AS log_power FROM n WHERE rn = 1
+""")
+def dominant_period_power(spark, sf_dir):
+    spectrum = total_spectrum(spark, sf_dir)
+    dominant = sp.dominant_periods(spectrum, keys=["site"])
+    return rounded(sp.period_power(sp.power_table(spectrum), dominant, ["site"]).drop("site"), 6, "log_power")
+
+
+@query()
+def wavelet_spectrum(spark, sf_dir):
+    power = sp.wavelet_power(panel(spark, sf_dir), "rain", by=SITE)
+    return sp.global_wavelet_spectrum(power, ["site"])
+
+
+@query()
+def wavelet_dominant_periods(spark, sf_dir):
+    power = sp.wavelet_power(panel(spark, sf_dir), "rain", by=SITE)
+    return sp.dominant_wavelet_periods(sp.global_wavelet_spectrum(power, ["site"]), keys=["site"])
+
+
+@query()
+def wavelet_one_year(spark, sf_dir):
+    power = sp.wavelet_power_complex(panel(spark, sf_dir), "rain", by=SITE)
+    return sp.global_wavelet_spectrum(power, ["site"], 2.0)
+
+
+# --- decomposition ------------------------------------------------------------
+
+@query()
+def seasonal_decomposition(spark, sf_dir):
+    return dc.decompose(panel(spark, sf_dir), "rain", [7, 30, 365], by=SITE)
+
+
+@query(PANEL + "SELECT site, day, ROUND(LN(1 + rain), 6) AS recomposed FROM panel")
+def decomposition_adds_up(spark, sf_dir):
+    parts = dc.decompose(panel(spark, sf_dir), "rain", [7, 30], by=SITE)
+    whole = F.round(F.col("trend") + F.col("seasonal_1") + F.col("seasonal_2") + F.col("resid"), 6)
+    return parts.select("site", "day", whole.alias("recomposed"))
+
+
+@query(PANEL + """
+, k AS (SELECT site, day, ROUND(AVG(rain) OVER f, 6) AS trend, ROUND(rain - AVG(rain) OVER f, 6) AS resid FROM panel
+        WINDOW f AS (PARTITION BY site ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+j AS (SELECT p.site, p.day, rain, trend AS "MSTL_Trend", 0.0 AS "MSTL_Seasonal", resid AS "MSTL_Residual"
+      FROM panel p LEFT JOIN (SELECT * FROM k WHERE YEAR(day) > 1995) k ON p.site = k.site AND p.day = k.day)
+SELECT *, LAG("MSTL_Trend") OVER w AS "MSTL_Trend_lag_1", LAG("MSTL_Residual") OVER w AS "MSTL_Residual_lag_1",
+       LAG("MSTL_Seasonal") OVER w AS "MSTL_Seasonal_lag_1" FROM j WINDOW w AS (PARTITION BY site ORDER BY day)
+""")
+def component_features(spark, sf_dir):
+    """Components from a trailing mean stand in for a decomposition."""
+    rows = panel(spark, sf_dir).select("site", "day", "rain")
+    mean = F.avg("rain").over(SITE.window().rowsBetween(-6, 0))
+    parts = rows.withColumn("trend", F.round(mean, 6)).withColumn("resid", F.round(F.col("rain") - mean, 6)).select(
+        "site", "day", "trend", F.lit(0.0).alias("seasonal_1"), "resid"
+    ).filter(F.year("day") > 1995)
+    return dc.create_mstl_features(rows, parts, lag_periods=[1], by=SITE)
