@@ -18,25 +18,41 @@ from pyspark.sql import types as T
 OPEN_KEYS = 256  # matrices a task keeps before it hands them on
 
 
-def gram_by_key(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """(keys, n, gram): partial sums of outer products, several rows per key possible."""
-    keys = list(keys)
+def gram_by_key(
+    df: DataFrame, keys: Sequence[str], vector: str, head: str | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, carry, at, n, gram): partial sums of outer products.
+
+    Several rows per key are possible.  Where the ``head`` column is not NULL
+    the row is handed on as it is (``at`` = head, n = 0, gram = its vector);
+    sums have ``at`` = -1.  ``carry`` columns are constant within a key.
+    """
+    ids = [*keys, *carry]
+    rest = [head] if head else []
     schema = T.StructType(
-        [df.schema[k] for k in keys]
-        + [T.StructField("n", T.LongType()), T.StructField("gram", T.ArrayType(T.DoubleType()))]
+        [df.schema[k] for k in ids]
+        + [T.StructField("at", T.LongType()), T.StructField("n", T.LongType()),
+           T.StructField("gram", T.ArrayType(T.DoubleType()))]
     )
 
     def partial(batches):
         held: dict[tuple, list] = {}
 
         def flush():
-            rows = [(*k, n, g.ravel().tolist()) for k, (n, g) in held.items()]
+            rows = [(*k, -1, n, g.ravel().tolist()) for k, (n, g) in held.items()]
             held.clear()
-            return pd.DataFrame(rows, columns=[*keys, "n", "gram"])
+            return pd.DataFrame(rows, columns=schema.names)
 
         for pdf in batches:
-            parts = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            if head:
+                early = pdf[pdf[head].notna()]
+                if len(early):
+                    yield early.assign(at=early[head].astype("int64"), n=0, gram=early[vector])[schema.names]
+                pdf = pdf[pdf[head].isna()]
+            parts = pdf.groupby(ids, sort=False, dropna=False) if ids else [((), pdf)]
             for k, part in parts:
+                if not len(part):
+                    continue
                 k = k if isinstance(k, tuple) else (k,)
                 x = np.vstack(part[vector].to_numpy())
                 n, g = held.get(k, (0, 0.0))
@@ -46,7 +62,7 @@ def gram_by_key(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
         if held:
             yield flush()
 
-    return df.select(*keys, vector).mapInPandas(partial, schema)
+    return df.select(*ids, *rest, vector).mapInPandas(partial, schema)
 
 
 def solve_by_key(

@@ -97,7 +97,10 @@ def _probes() -> Column:
 
 
 def with_positions(df: DataFrame, s: Series) -> DataFrame:
-    """Adds ``_pos`` (0-based row number inside the key) without a task per key."""
+    """Adds ``_pos`` (0-based row number inside the key) without a task per key
+    (unless the keys are proven small enough for one)."""
+    if s.keys and s.rows_bound is not None and s.rows_bound <= s.block_rows:
+        return df.withColumn("_pos", F.row_number().over(s.window()).cast("long") - 1)
     x = as_number(df, s.order)
     head = df.select(x.alias("x")).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("x", _probes(), MAX_CUTS).alias("q")
@@ -174,6 +177,8 @@ def _cut_table(df: DataFrame, groups: Sequence[str], value: str, per_piece: int)
     Raises when there are too many groups to list; those callers know their
     groups are series with a proven bound and pass ``rows_bound`` instead.
     """
+    if longest_series(df, groups) <= per_piece:
+        return None
     x = as_number(df, value)
     heads = (
         df.select(*groups, x.alias("x")).groupBy(*groups)
@@ -264,7 +269,14 @@ def average_ranks(
     per_piece: int = TASK_ROWS,
 ) -> DataFrame:
     """(groups, value, cnt, extra..., below, total, rank): ties share their mean rank."""
-    counts = value_counts(df, groups, value, extra)
+    return ranks_from_counts(value_counts(df, groups, value, extra), groups, value, rows_bound, per_piece)
+
+
+def ranks_from_counts(
+    counts: DataFrame, groups: Sequence[str], value: str, rows_bound: int | None = None,
+    per_piece: int = TASK_ROWS,
+) -> DataFrame:
+    """Mean ranks of distinct values that stand for ``cnt`` rows each."""
     return with_cumulative(counts, groups, value, "cnt", rows_bound, per_piece).withColumn(
         "rank", F.col("below") + (F.col("cnt") + 1) / F.lit(2.0)
     )

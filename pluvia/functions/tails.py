@@ -64,7 +64,14 @@ def _ratio(num: list[float], den: list[float], x: Column) -> Column:
     return _horner(num, x) / _horner(den, x)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``: keeps the generated
+    code of nested formulas small."""
+    return F.transform(F.array(value.cast("double")), body)[0]
+
+
 def erfc(x: Column) -> Column:
+    """For a plain column; wrap longer expressions in ``let``."""
     a = F.abs(x)
     square = a * a
     near = 1 - a * _ratio(ERF_NUM, ERF_DEN, square)
@@ -82,7 +89,7 @@ def normal_cdf(z: Column) -> Column:
 
 
 def normal_two_sided(z: Column) -> Column:
-    return erfc(F.abs(z) / F.lit(math.sqrt(2)))
+    return let(F.abs(z) / F.lit(math.sqrt(2)), erfc)
 
 
 def normal_quantile(p: Column) -> Column:
@@ -95,9 +102,13 @@ def normal_quantile(p: Column) -> Column:
 
 def chi2_sf(x: Column, df: Column) -> Column:
     """Upper tail for integer df: finite series, starting from df 2 or df 1."""
+    return let(x, lambda v: _chi2_sf(v, df))
+
+
+def _chi2_sf(x: Column, df: Column) -> Column:
     half = x / 2
     odd = df % 2 == 1
-    first = F.when(odd, erfc(F.sqrt(half))).otherwise(F.exp(-half))
+    first = F.when(odd, let(F.sqrt(half), erfc)).otherwise(F.exp(-half))
     # Terms half^a e^-half / gamma(a + 1) for a = df/2 - 1 down to 1/2 or 1.
     start = F.when(odd, F.exp(-half) * F.sqrt(half) * F.lit(2 / math.sqrt(math.pi))).otherwise(
         F.exp(-half) * half

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from pluvia.functions.ordering import Series, over_frames
 from pluvia.functions.tails import chi2_sf
-from pluvia.operators.profile import with_group_facts
+from pluvia.operators.profile import with_series_facts
 
 # Normal 97.5 % point; tolerance and default periods of the lag rules.
 Z975 = 1.959963984540054
@@ -36,10 +36,10 @@ def lag_products(df: DataFrame, column: str, max_lag: int, *, by: Series) -> Dat
     One window hands every row its predecessors; the products combine map-side
     per (key, lag), so the shuffle carries max_lag + 1 numbers per key and task.
     """
-    rows = with_group_facts(
+    rows = with_series_facts(
         df.select(*by.keys, by.order, *by.ties, F.col(column).cast("double").alias("_x"))
         .filter("_x IS NOT NULL"),
-        by.keys, {"_mean": F.avg("_x"), "n": F.count("_x")},
+        by, {"_mean": F.avg("_x"), "n": F.count("_x")},
     ).withColumn("_c", F.col("_x") - F.col("_mean"))
     past = over_frames(rows, by, max_lag, 0, lambda w: {
         "_past": F.collect_list("_c").over(w.rowsBetween(-max_lag, 0))

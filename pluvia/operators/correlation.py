@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia import constants as C
-from pluvia.functions.ordering import Series, average_ranks, over_frames
+from pluvia.functions.ordering import Series, longest_series, over_frames, ranks_from_counts
 from pluvia.functions.stats import both, safe_corr
 from pluvia.operators.features import rolling_correlation, season_of
 
@@ -112,9 +112,13 @@ def spearman_matrix(
             F.count(F.lit(1)).alias("n"), safe_corr(F.col("rx"), F.col("ry")).alias("r")
         )
     counted = rows.groupBy(*groups, "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    rank_x = average_ranks(rows, groups, "x").select(*groups, "x", F.col("rank").alias("rx"))
-    rank_y = average_ranks(rows, groups, "y").select(*groups, "y", F.col("rank").alias("ry"))
-    joined = counted.join(rank_x, [*groups, "x"]).join(rank_y, [*groups, "y"])
+    bound = longest_series(counted, groups)
+
+    def ranked(c: str, name: str) -> DataFrame:
+        sums = counted.groupBy(*groups, c).agg(F.sum("w").alias("cnt"))
+        return ranks_from_counts(sums, groups, c, bound).select(*groups, c, F.col("rank").alias(name))
+
+    joined = counted.join(ranked("x", "rx"), [*groups, "x"]).join(ranked("y", "ry"), [*groups, "y"])
     return weighted_correlation(joined, groups, "rx", "ry", "w")
 
 

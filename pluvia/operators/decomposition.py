@@ -118,6 +118,33 @@ def _smooth_cycle(y: np.ndarray, q: int, degree: int, rho: np.ndarray | None) ->
     ])
 
 
+DENSE_CYCLE = 1000
+
+
+@lru_cache(maxsize=64)
+def _cycle_operator(n: int, q: int, degree: int) -> np.ndarray:
+    """(n + 2) x n matrix of ``_smooth_cycle`` without robustness weights."""
+    return np.column_stack([_smooth_cycle(unit, q, degree, None) for unit in np.eye(n)])
+
+
+def _smooth_cycles(free: np.ndarray, period: int, q: int, degree: int, rho: np.ndarray | None) -> np.ndarray:
+    """All cycle-subseries, smoothed and extended by one period at either end."""
+    n = len(free)
+    out = np.empty(n + 2 * period)
+    whole, extra = divmod(n, period)
+    if rho is None and whole + 1 <= DENSE_CYCLE:
+        for phases, k in ((range(extra), whole + 1), (range(extra, period), whole)):
+            if len(phases):
+                part = np.stack([free[p::period] for p in phases], axis=1)
+                smooth = _cycle_operator(k, q, degree) @ part
+                for i, p in enumerate(phases):
+                    out[p::period] = smooth[:, i]
+        return out
+    for p in range(period):
+        out[p::period] = _smooth_cycle(free[p::period], q, degree, None if rho is None else rho[p::period])
+    return out
+
+
 def _moving_mean(x: np.ndarray, k: int) -> np.ndarray:
     return np.convolve(x, np.full(k, 1.0 / k), mode="valid")
 
@@ -134,13 +161,7 @@ def stl(y: np.ndarray, period: int, seasonal: int, trend: int | None = None, low
     level, season, rho = np.zeros(n), np.zeros(n), None
     for round_no in range(outer + 1):
         for _ in range(inner):
-            free = y - level
-            cycle = np.empty(n + 2 * period)
-            for phase in range(period):
-                part = free[phase::period]
-                cycle[phase::period] = _smooth_cycle(
-                    part, seasonal, seasonal_deg, None if rho is None else rho[phase::period]
-                )
+            cycle = _smooth_cycles(y - level, period, seasonal, seasonal_deg, rho)
             low = loess(_moving_mean(_moving_mean(_moving_mean(cycle, period), period), 3), nl, low_pass_deg)
             season = cycle[period: period + n] - low
             level = loess(y - season, nt, trend_deg, rho)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pluvia import constants as C
 from pluvia.functions.ordering import (
     MAX_CUT_GROUPS,
+    Series,
     exact_percentiles,
     most_frequent,
     series,
@@ -54,12 +55,17 @@ def with_group_facts(df: DataFrame, groups: Sequence[str], facts: dict[str, Colu
     The aggregates of few groups come back as constants or a table of known
     size; those of many groups stay distributed and join on the group columns.
     """
-    groups = list(groups)
     found = df.groupBy(*groups).agg(*[c.alias(n) for n, c in facts.items()])
+    return attach_facts(df, found, groups)
+
+
+def attach_facts(df: DataFrame, found: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Joins a table of one row per group to every row of the groups."""
+    groups = list(groups)
     if not groups:
         row = found.first()
         return df.withColumns({
-            n: F.lit(row[n]).cast(found.schema[n].dataType) for n in facts
+            n: F.lit(row[n]).cast(found.schema[n].dataType) for n in found.columns
         })
     rows = found.limit(MAX_CUT_GROUPS + 1).collect()
     if len(rows) <= MAX_CUT_GROUPS:
@@ -67,6 +73,15 @@ def with_group_facts(df: DataFrame, groups: Sequence[str], facts: dict[str, Colu
     return df.join(found, groups)
 
 
+def with_series_facts(df: DataFrame, s: Series, facts: dict[str, Column]) -> DataFrame:
+    """Adds plain per-series aggregates to every row: a window next to the other
+    windows of a bounded series (no second scan), group facts otherwise."""
+    if s.keys and s.rows_bound is not None and s.rows_bound <= s.block_rows:
+        whole = Window.partitionBy(*s.keys)
+        return df.withColumns({n: c.over(whole) for n, c in facts.items()})
+    return with_group_facts(df, s.keys, facts)
+
+
 def calendar_profile(
     df: DataFrame,
     target: str,

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from pluvia.functions.ordering import Series, fits_one_task, running_total
 from pluvia.operators.features import detrend_centred, recent_rows
-from pluvia.operators.profile import with_group_facts
+from pluvia.operators.profile import with_series_facts
 
 SPECTRUM_FIELDS = [
     T.StructField("k", T.IntegerType()), T.StructField("frequency", T.DoubleType()),
@@ -63,7 +63,7 @@ def _fft_in_task(rows: DataFrame, by: Series) -> DataFrame:
 def periodogram_by_sums(rows: DataFrame, column: str, *, by: Series) -> DataFrame:
     """The same table from sums of x cos and x sin per (key, k)."""
     placed = running_total(rows, by, column, "_sum").drop("_sum")
-    sized = with_group_facts(placed, by.keys, {"_n": F.count(column)})
+    sized = with_series_facts(placed, by, {"_n": F.count(column)})
     last = F.floor((F.col("_n") - 1) / 2).cast("int")
     spread = sized.filter(last >= 1).withColumn("k", F.explode(F.sequence(F.lit(1), last)))
     # Reducing k * pos modulo n first keeps the angle exact for long series.
@@ -83,7 +83,7 @@ def detrended_spectrum(
 ) -> DataFrame:
     """Periodogram of the centred-detrended series with at least ``min_rows`` values."""
     present = df.select(*by.keys, by.order, *by.ties, column).filter(F.col(column).isNotNull())
-    long_enough = with_group_facts(present, by.keys, {"_n": F.count(F.lit(1))}).filter(
+    long_enough = with_series_facts(present, by, {"_n": F.count(F.lit(1))}).filter(
         F.col("_n") >= min_rows
     ).drop("_n")
     flat = detrend_centred(long_enough, column, detrend_window, by=by)

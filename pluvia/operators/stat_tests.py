@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia import constants as C
-from pluvia.functions.ordering import average_ranks, series, with_positions
+from pluvia.functions.ordering import (
+    average_ranks,
+    longest_series,
+    ranks_from_counts,
+    series,
+    with_positions,
+)
 from pluvia.functions.tails import (
     chi2_sf,
     correlation_p,
+    let,
     normal_cdf,
     normal_quantile,
     normal_two_sided,
@@ -19,7 +26,7 @@ from pluvia.functions.tails import (
 )
 from pluvia.operators.clean import to_long
 from pluvia.operators.correlation import weighted_correlation
-from pluvia.operators.profile import with_group_facts
+from pluvia.operators.profile import attach_facts, with_group_facts
 
 LEVEL = 0.05
 GROUPS = ["Feature"]
@@ -87,12 +94,8 @@ def anderson_darling(long: DataFrame, groups: Sequence[str] = GROUPS, rows_bound
     """
     groups = list(groups)
     counts = average_ranks(long, groups, "v", rows_bound=rows_bound)
-    rows = with_group_facts(counts, groups, {
-        "_m": F.sum(F.col("cnt") * F.col("v")) / F.sum("cnt"),
-    })
-    rows = with_group_facts(rows, groups, {
-        "_s": F.sqrt(F.sum(F.col("cnt") * F.pow(F.col("v") - F.col("_m"), F.lit(2))) / (F.sum("cnt") - 1)),
-    })
+    fit = long.groupBy(*groups).agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
+    rows = attach_facts(counts, fit, groups)
     z = F.try_divide(F.col("v") - F.col("_m"), F.col("_s"))
     low = F.col("cnt").cast("double") * (2.0 * F.col("below") + F.col("cnt"))
     above = F.col("total") - F.col("below") - F.col("cnt")
@@ -126,13 +129,15 @@ def _poly(coefficients: list[float], x: Column) -> Column:
     return out
 
 
-def shapiro_wilk(long: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
+def shapiro_wilk(
+    long: DataFrame, groups: Sequence[str] = GROUPS, rows_bound: int | None = None
+) -> DataFrame:
     """W and its p value (Royston's approximation, 6 rows or more)."""
     groups = list(groups)
     rows = with_group_facts(long.select(*groups, "v"), groups, {
         "_n": F.count("v").cast("double"), "_mean": F.avg("v"),
     }).filter("_n >= 6")
-    placed = with_positions(rows, series(groups, "v")).withColumn(
+    placed = with_positions(rows, series(groups, "v", rows_bound=rows_bound)).withColumn(
         "_q", normal_quantile((F.col("_pos") + 1 - 0.375) / (F.col("_n") + 0.25))
     ).withColumn("_d", F.col("v") - F.col("_mean"))
     last, first = F.col("_pos") == F.col("_n") - 1, F.col("_pos") == 0
@@ -165,7 +170,7 @@ def shapiro_wilk(long: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     small = (-F.log(F.greatest(gamma - miss, F.lit(1e-300))) - _poly(SW_MEAN_SMALL, n)) / F.exp(_poly(SW_SD_SMALL, n))
     large = (miss - _poly(SW_MEAN_LARGE, logn)) / F.exp(_poly(SW_SD_LARGE, logn))
     return weights.withColumn("W", w).withColumn("_z", F.when(n <= 11, small).otherwise(large)).select(
-        *groups, F.col("W").alias("Shapiro_Stat"), normal_cdf(-F.col("_z")).alias("Shapiro_P")
+        *groups, F.col("W").alias("Shapiro_Stat"), let(F.col("_z"), lambda v: normal_cdf(-v)).alias("Shapiro_P")
     )
 
 
@@ -179,7 +184,10 @@ def normality_battery(
     long = to_long(df, ids, columns, "Feature", "v").filter("v IS NOT NULL")
     if sample_rows:
         long = seeded_sample(long, sample_rows, id_col, seed).drop(id_col)
-    out = moment_tests(long).join(shapiro_wilk(long), GROUPS).join(anderson_darling(long), GROUPS)
+    bound = longest_series(long, GROUPS)
+    out = moment_tests(long).join(shapiro_wilk(long, GROUPS, bound), GROUPS).join(
+        anderson_darling(long, GROUPS, bound), GROUPS
+    )
     for test in ("Shapiro", "DAgostino", "JB", "Skew", "Kurt"):
         out = out.withColumn(f"{test}_Normal", yes_no(F.col(f"{test}_P") > LEVEL))
     return out.withColumn("AD_Normal", yes_no(F.col("AD_Stat") < F.col("AD_Critical_5pct")))
@@ -196,17 +204,29 @@ def rain_group(target: Column) -> Column:
     )
 
 
-def _aligned(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
+def aligned_cells(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
+    """(Feature, v, _t, w): rows where feature and target are present, equal
+    pairs combined map-side.  Every rank test below starts from this table."""
     rows = df.withColumn("_t", F.col(target).cast("double"))
-    return to_long(
+    long = to_long(
         rows.filter("_t IS NOT NULL"), ["_t"], [c for c in columns if c != target], "Feature", "v"
     ).filter("v IS NOT NULL")
+    return long.groupBy(*GROUPS, "v", "_t").agg(F.count(F.lit(1)).alias("w"))
+
+
+def group_sizes(cells: DataFrame) -> DataFrame:
+    """(Feature, n, n0..n3): aligned rows and rows per rain group; a few numbers per feature."""
+    g = rain_group(F.col("_t"))
+    return cells.groupBy(*GROUPS).agg(
+        F.sum("w").alias("n"), *[F.coalesce(F.sum(F.when(g == i, F.col("w"))), F.lit(0)).alias(f"n{i}") for i in range(4)]
+    )
 
 
-def mann_whitney(long: DataFrame, min_rows: int = 5) -> DataFrame:
+def mann_whitney(cells: DataFrame, min_rows: int = 5, rows_bound: int | None = None) -> DataFrame:
     """U of the dry days against the rainy ones, two-sided normal p with ties."""
-    rows = long.filter("_t >= 0").withColumn("_dry", (F.col("_t") == 0).cast("long"))
-    ranks = average_ranks(rows, GROUPS, "v", {"dry": F.sum("_dry")})
+    dry = F.when(F.col("_t") == 0, F.col("w")).otherwise(0)
+    counts = cells.filter("_t >= 0").groupBy(*GROUPS, "v").agg(F.sum("w").alias("cnt"), F.sum(dry).alias("dry"))
+    ranks = ranks_from_counts(counts, GROUPS, "v", rows_bound)
     t = F.col("cnt").cast("double")
     sums = ranks.groupBy(*GROUPS).agg(
         F.sum("dry").cast("double").alias("n1"), F.sum(F.col("cnt") - F.col("dry")).cast("double").alias("n2"),
@@ -230,17 +250,23 @@ def mann_whitney(long: DataFrame, min_rows: int = 5) -> DataFrame:
 
 def erfc_two_sided(z: Column) -> Column:
     """2 P(Z > z) without folding the sign (z may be slightly negative)."""
-    return 2 * normal_cdf(-z)
+    return let(z, lambda v: 2 * normal_cdf(-v))
 
 
-def kruskal_wallis(long: DataFrame, min_rows: int = 3, min_groups: int = 3) -> DataFrame:
+def kruskal_wallis(
+    cells: DataFrame, min_rows: int = 3, min_groups: int = 3, rows_bound: int | None = None,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """H over the rain groups that have more than ``min_rows`` days, tie corrected."""
-    rows = long.withColumn("_g", rain_group(F.col("_t"))).filter("_g IS NOT NULL")
-    sizes = {f"_n{g}": F.count_if(F.col("_g") == g) for g in range(4)}
-    sized = with_group_facts(rows, GROUPS, sizes)
-    own = F.element_at(F.array(*[F.col(f"_n{g}") for g in range(4)]), F.col("_g") + 1)
-    kept = sized.filter(own > min_rows)
-    ranks = average_ranks(kept, GROUPS, "v", {f"g{g}": F.count_if(F.col("_g") == g) for g in range(4)})
+    sizes = sizes if sizes is not None else group_sizes(cells)
+    grouped = cells.withColumn("_g", rain_group(F.col("_t"))).filter("_g IS NOT NULL")
+    sized = attach_facts(grouped, sizes.drop("n"), GROUPS)
+    own = F.element_at(F.array(*[F.col(f"n{g}") for g in range(4)]), F.col("_g") + 1)
+    counts = sized.filter(own > min_rows).groupBy(*GROUPS, "v").agg(
+        F.sum("w").alias("cnt"),
+        *[F.sum(F.when(F.col("_g") == g, F.col("w")).otherwise(0)).alias(f"g{g}") for g in range(4)],
+    )
+    ranks = ranks_from_counts(counts, GROUPS, "v", rows_bound)
     t = F.col("cnt").cast("double")
     sums = ranks.groupBy(*GROUPS).agg(
         F.sum(t).alias("n"), F.sum(t * t * t - t).alias("ties"),
@@ -266,11 +292,12 @@ def kruskal_wallis(long: DataFrame, min_rows: int = 3, min_groups: int = 3) -> D
     ).otherwise("N/A")).select(*GROUPS, "KW_Statistic", "KW_P_Value", "KW_Significant")
 
 
-def spearman_with_target(long: DataFrame) -> DataFrame:
-    pairs = long.groupBy(*GROUPS, "v", "_t").agg(F.count(F.lit(1)).alias("w"))
-    rv = average_ranks(long, GROUPS, "v").select(*GROUPS, "v", F.col("rank").alias("rv"))
-    rt = average_ranks(long, GROUPS, "_t").select(*GROUPS, "_t", F.col("rank").alias("rt"))
-    joined = pairs.join(rv, [*GROUPS, "v"]).join(rt, [*GROUPS, "_t"])
+def spearman_with_target(cells: DataFrame, rows_bound: int | None = None) -> DataFrame:
+    def ranked(c: str, name: str) -> DataFrame:
+        counts = cells.groupBy(*GROUPS, c).agg(F.sum("w").alias("cnt"))
+        return ranks_from_counts(counts, GROUPS, c, rows_bound).select(*GROUPS, c, F.col("rank").alias(name))
+
+    joined = cells.join(ranked("v", "rv"), [*GROUPS, "v"]).join(ranked("_t", "rt"), [*GROUPS, "_t"])
     r = weighted_correlation(joined, GROUPS, "rv", "rt", "w")
     return r.withColumn("Spearman_P_Value", correlation_p(F.col("r"), F.col("n"))).select(
         *GROUPS, F.col("n").alias("Aligned_Rows"), F.col("r").alias("Spearman_Corr"), "Spearman_P_Value",
@@ -282,8 +309,14 @@ def non_parametric_tests(
     df: DataFrame, target: str, columns: list[str], min_rows: int = 20
 ) -> DataFrame:
     """Mann-Whitney, Kruskal-Wallis and Spearman of every feature in one table."""
-    long = _aligned(df, target, columns)
+    cells = aligned_cells(df, target, columns)
+    known = group_sizes(cells).collect()  # one row per feature
+    sizes = df.sparkSession.createDataFrame(
+        [tuple(r) for r in known], "Feature string, n long, n0 long, n1 long, n2 long, n3 long"
+    )
+    bound = max((r["n"] for r in known), default=0)
     return (
-        spearman_with_target(long).filter(F.col("Aligned_Rows") >= min_rows)
-        .join(mann_whitney(long), GROUPS, "left").join(kruskal_wallis(long), GROUPS, "left")
+        spearman_with_target(cells, bound).filter(F.col("Aligned_Rows") >= min_rows)
+        .join(mann_whitney(cells, rows_bound=bound), GROUPS, "left")
+        .join(kruskal_wallis(cells, rows_bound=bound, sizes=sizes), GROUPS, "left")
     )

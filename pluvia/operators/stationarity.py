@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from pluvia.functions.gram import gram_by_key
 from pluvia.functions.ordering import Series, longest_series, over_frames, running_total
 from pluvia.functions.stats import kurt_adjusted, skew_adjusted
-from pluvia.functions.tails import normal_cdf
+from pluvia.functions.tails import let, normal_cdf
 from pluvia.operators.autocorrelation import lags_near_periods, ljung_box, ljung_box_summary
-from pluvia.operators.profile import with_group_facts
+from pluvia.operators.profile import with_series_facts
 from pluvia.operators.stat_tests import moment_tests, shapiro_wilk
 
 # MacKinnon response surfaces of the Dickey-Fuller statistic for
@@ -60,7 +60,7 @@ def mackinnon_p(stat: Column, regression: str) -> Column:
     z = F.when(stat <= m["star"], _poly_low_first(m["low"], stat)).otherwise(
         _poly_low_first(m["high"], stat)
     )
-    return F.when(stat > m["max"], 1.0).when(stat < m["min"], 0.0).otherwise(normal_cdf(z))
+    return F.when(stat > m["max"], 1.0).when(stat < m["min"], 0.0).otherwise(let(z, normal_cdf))
 
 
 def adf_max_lag(rows: int, regression: str) -> int:
@@ -89,7 +89,7 @@ def adf_test(df: DataFrame, column: str, regression: str = "ct", *, by: Series)
     x = df.select(*keys, by.order, *by.ties, F.col(column).cast("double").alias("_y")).filter("_y IS NOT NULL")
     longest = by.rows_bound if by.rows_bound is not None else longest_series(x, keys)
     top = adf_max_lag(longest, regression)
-    rows = with_group_facts(x, keys, {
+    rows = with_series_facts(x, by, {
         "_n": F.count("_y"), "_mean": F.avg("_y"), "_sd": F.stddev_pop("_y"),
     }).filter("_n >= 8 AND _sd > 0").withColumn(
         "_z", (F.col("_y") - F.col("_mean")) / F.col("_sd")
@@ -113,23 +113,15 @@ def adf_test(df: DataFrame, column: str, regression: str = "ct", *, by: Series)
         F.array(F.lit(1.0), F.col("_pos") / F.col("_n"), F.col("_before"), F.col("_d")), padded
     )
     design = flagged.withColumn("_v", vector)
-    full = gram_by_key(design.filter("_at >= _own"), keys, "_v").select(
-        *keys, "gram", F.lit(-1).cast("long").alias("at"), "n"
-    )
-    heads = design.filter("_at < _own").select(
-        *keys, F.col("_v").alias("gram"), F.col("_at").cast("long").alias("at"), F.lit(0).cast("long").alias("n")
-    )
-    sizes = design.groupBy(*keys).agg(F.max("_own").alias("_own"))
-    own = sizes.select(*keys, F.array(F.col("_own").cast("double")).alias("gram"),
-                       F.lit(-2).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
-    pieces = full.unionByName(heads).unionByName(own)
+    early = F.when(F.col("_at") < F.col("_own"), F.col("_at").cast("long"))
+    pieces = gram_by_key(design.withColumn("_head", early), keys, "_v", "_head", ["_own"])
     fields = [T.StructField("adf_stat", T.DoubleType()), T.StructField("used_lag", T.IntegerType()),
               T.StructField("n_obs", T.LongType())]
     schema = T.StructType([pieces.schema[k] for k in keys] + fields)
     fixed = [0] if regression == "c" else [0, 1]
 
-    def solve(key, pdf):
-        own_lag = int(pdf.loc[pdf["at"] == -2, "gram"].iloc[0][0])
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own_lag = int(pdf["_own"].iloc[0])
         mats = pdf[pdf["at"] == -1]
         if mats.empty:
             return pd.DataFrame(columns=schema.names)
@@ -185,13 +177,13 @@ def kpss_test(df: DataFrame, column: str, regression: str = "ct", *, by: Series)
     t, y = F.col("_pos").cast("double"), F.col("_y")
     facts = {"_n": F.count("_y"), "_my": F.avg(y)}
     if regression == "ct":
-        facts["_slope"] = F.try_divide(F.covar_pop(t, y), F.var_pop(t))
-        facts["_mt"] = F.avg(t)
-    fitted = with_group_facts(numbered, keys, facts)
-    trend = F.coalesce(F.col("_slope") * (t - F.col("_mt")), F.lit(0.0)) if regression == "ct" else F.lit(0.0)
+        facts |= {"_cov": F.covar_pop(t, y), "_var": F.var_pop(t), "_mt": F.avg(t)}
+    fitted = with_series_facts(numbered, by, facts)
+    slope = F.coalesce(F.try_divide(F.col("_cov"), F.col("_var")), F.lit(0.0))
+    trend = slope * (t - F.col("_mt")) if regression == "ct" else F.lit(0.0)
     resid = fitted.withColumn("_e", y - F.col("_my") - trend).select(*keys, "_pos", "_n", "_e")
     longest = by.rows_bound if by.rows_bound is not None else longest_series(x, keys)
-    spread = int(longest ** (2 / 9)) if longest else 1
+    spread = int(longest ** (2 / 9) + 1e-12) if longest else 1
     at = Series(by.keys, "_pos", (), by.rows_bound, by.block_rows)
     near = lag_products_raw(resid, "_e", spread, by=at)
     n = F.col("_n").cast("double")
@@ -211,7 +203,9 @@ def kpss_test(df: DataFrame, column: str, regression: str = "ct", *, by: Series)
                          Series(by.keys, "_row", (), by.rows_bound, by.block_rows), "_e", "_s")
     sums = sums.select(*keys, F.col("_row").alias("p"), "_s")
     wide = _join_keys(sums, width, keys)
-    total_sum = with_group_facts(wide, keys, {"_end": F.max_by("_s", "p")})
+    total_sum = with_series_facts(wide, Series(by.keys, "p", (), by.rows_bound, by.block_rows), {
+        "_end": F.max_by("_s", "p"),
+    })
     # Row sums that start at or before the first row: S_p for p < m; that end
     # inside: S_p - S_(p-m-1); that run past the end: S_end - S_p.
     lead = total_sum.select(*keys, (F.col("p") + F.col("m") + 1).alias("p"), F.col("_s").alias("_back"))
@@ -337,7 +331,7 @@ def residual_diagnosis(
     clean = df.select(*keys, by.order, *by.ties, F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
     if not keys:
         raise ValueError("residual diagnosis needs a series key; add a constant one for a single site")
-    sized = with_group_facts(clean, keys, {"_n": F.count("v")}).filter(F.col("_n") >= min_rows)
+    sized = with_series_facts(clean, by, {"_n": F.count("v")}).filter(F.col("_n") >= min_rows)
     v = F.col("v")
     stats = sized.groupBy(*keys).agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
@@ -346,7 +340,7 @@ def residual_diagnosis(
     )
     lb = ljung_box_summary(ljung_box(sized.drop("_n"), "v", ljung_box_lags, by=by), keys)
     jb = moment_tests(sized, keys).select(*keys, "JB_Stat", "JB_P")
-    sw = shapiro_wilk(sized.filter(F.col("_n") <= shapiro_rows).drop("_n"), keys)
+    sw = shapiro_wilk(sized.filter(F.col("_n") <= shapiro_rows).drop("_n"), keys, shapiro_rows)
     return stats.join(lb, keys).join(jb, keys).join(sw, keys, "left").withColumns({
         "jb_normal": F.col("JB_P") > 0.05, "shapiro_normal": F.col("Shapiro_P") > 0.05,
     })

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pluvia.functions.storage import materialise
 from pluvia.operators import autocorrelation as ac
 from pluvia.operators import decomposition as dc
 from pluvia.operators import spectrum as sp
@@ -99,8 +100,8 @@ def rank_tests(spark, sf_dir):
 SELECT feature AS "Feature", ROUND(h, 5) AS "KW_Statistic" FROM h
 """)
 def kruskal_wallis(spark, sf_dir):
-    long = st._aligned(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
-    return rounded(st.kruskal_wallis(long).select("Feature", "KW_Statistic"), 5, "KW_Statistic")
+    cells = st.aligned_cells(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
+    return rounded(st.kruskal_wallis(cells).select("Feature", "KW_Statistic"), 5, "KW_Statistic")
 
 
 @query()
@@ -175,13 +176,15 @@ KPSS = PANEL + """
 , o AS (SELECT site, rain AS y, CAST(ROW_NUMBER() OVER (PARTITION BY site ORDER BY day) - 1 AS DOUBLE) AS t FROM panel),
 f AS (SELECT site, COUNT(*) AS n, REGR_SLOPE(y, t) AS b, REGR_INTERCEPT(y, t) AS a FROM o GROUP BY site),
 e AS (SELECT o.site, t, n, y - a - b * t AS e FROM o JOIN f ON o.site = f.site),
-g AS (SELECT x.site, x.n, lag, SUM(x.e * y.e) AS p FROM e x CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(0, 400)) AS lag) l
+g AS (SELECT x.site, x.n, lag, SUM(x.e * y.e) AS p FROM e x CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(0, 8)) AS lag) l
       JOIN e y ON y.site = x.site AND y.t = x.t - lag GROUP BY 1, 2, 3),
 w AS (SELECT site, n, SUM(CASE WHEN lag = 0 THEN p / n WHEN lag <= FLOOR(POW(n, 2.0 / 9)) THEN p / (n / 2.0) ELSE 0 END) AS s0,
       SUM(CASE WHEN lag BETWEEN 1 AND FLOOR(POW(n, 2.0 / 9)) THEN lag * p / (n / 2.0) ELSE 0 END) AS s1 FROM g GROUP BY 1, 2),
 m AS (SELECT site, n, CAST(FLOOR(1.1447 * POW(POW(s1 / s0, 2), 1.0 / 3) * POW(n, 1.0 / 3)) AS BIGINT) AS m FROM w),
-v AS (SELECT g.site, g.n, m, SUM(CASE WHEN lag = 0 THEN p WHEN lag <= m THEN 2 * p * (1 - lag / (m + 1)) ELSE 0 END) / g.n AS s2
-      FROM g JOIN m ON g.site = m.site GROUP BY 1, 2, 3),
+ml AS (SELECT site, n, m, UNNEST(GENERATE_SERIES(0, m)) AS lag FROM m),
+g2 AS (SELECT ml.site, ml.n, m, lag, SUM(x.e * y.e) AS p FROM ml JOIN e x ON x.site = ml.site
+       JOIN e y ON y.site = x.site AND y.t = x.t - lag GROUP BY 1, 2, 3, 4),
+v AS (SELECT site, n, m, SUM(CASE WHEN lag = 0 THEN p ELSE 2 * p * (1 - lag / (m + 1)) END) / n AS s2 FROM g2 GROUP BY 1, 2, 3),
 h AS (SELECT site, n, SUM(e) OVER (PARTITION BY site ORDER BY t) AS s FROM e),
 eta AS (SELECT site, SUM(s * s) / (CAST(MAX(n) AS DOUBLE) * MAX(n)) AS eta FROM h GROUP BY site)
 """
@@ -205,19 +208,20 @@ def stationarity_verdicts(spark, sf_dir):
 
 @query()
 def differenced_where_needed(spark, sf_dir):
-    rows = panel(spark, sf_dir).select("site", "day", "rain", "n_obs")
+    rows = materialise(panel(spark, sf_dir).select("site", "day", "rain", "n_obs"))
     return sy.prepare_time_series(rows, "rain", ["n_obs"], by=SITE)
 
 
 @query()
 def residual_diagnosis(spark, sf_dir):
-    resid = dc.residual_for_stationarity(panel(spark, sf_dir), "rain", [7, 30], by=SITE)
+    resid = materialise(dc.residual_for_stationarity(panel(spark, sf_dir), "rain", [7, 30], by=SITE))
     return sy.decomposition_quality(sy.residual_diagnosis(resid, "resid", by=SITE))
 
 
 @query()
 def stationarity_synthesis(spark, sf_dir):
-    rows = panel(spark, sf_dir)
+    """Several passes over one series table: it is written once, then reread."""
+    rows = materialise(panel(spark, sf_dir).select("site", "day", "rain"))
     found = ac.acf(rows, "rain", BUDGET, by=SITE)
     orders = ac.suggest_orders(found, ac.pacf(rows, "rain", BUDGET, by=SITE), PERIODS, ["site"])
     tests = sy.stationarity_tests(rows, "rain", "ct", by=SITE)
@@ -322,9 +326,9 @@ def decomposition_adds_up(spark, sf_dir):
 
 
 @query(PANEL + """
-, k AS (SELECT site, day, ROUND(AVG(rain) OVER f, 6) AS trend, ROUND(rain - AVG(rain) OVER f, 6) AS resid FROM panel
+, k AS (SELECT site, day, ROUND(AVG(rain) OVER f, 6) AS trend, 0.0 AS seasonal, ROUND(rain - AVG(rain) OVER f, 6) AS resid FROM panel
         WINDOW f AS (PARTITION BY site ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
-j AS (SELECT p.site, p.day, rain, trend AS "MSTL_Trend", 0.0 AS "MSTL_Seasonal", resid AS "MSTL_Residual"
+j AS (SELECT p.site, p.day, rain, trend AS "MSTL_Trend", seasonal AS "MSTL_Seasonal", resid AS "MSTL_Residual"
       FROM panel p LEFT JOIN (SELECT * FROM k WHERE YEAR(day) > 1995) k ON p.site = k.site AND p.day = k.day)
 SELECT *, LAG("MSTL_Trend") OVER w AS "MSTL_Trend_lag_1", LAG("MSTL_Residual") OVER w AS "MSTL_Residual_lag_1",
        LAG("MSTL_Seasonal") OVER w AS "MSTL_Seasonal_lag_1" FROM j WINDOW w AS (PARTITION BY site ORDER BY day)
