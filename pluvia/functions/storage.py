@@ -1,30 +1,34 @@
-"""Cutting lineage for iterative jobs.
+"""Cutting lineage for jobs that read an intermediate result several times.
 
-Data that several fits read is written once to the shared folder the session
-names in ``spark.checkpoint.dir``; it survives lost executors.  Only a local
-session without that setting gets a folder of its own.
+Such a result is written once, as a columnar table, to the shared folder the
+session names in ``spark.checkpoint.dir``; it survives lost executors.  Only a
+local session without that setting gets a folder of its own.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_folder: dict[str, str] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+
+def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pluvia-checkpoint-"))
-    else:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder of the cluster")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = tempfile.mkdtemp(prefix="pluvia-")
+    return _own_folder[app]
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes the rows once and returns a scan of what was written."""
+    path = f"{shared_folder(df.sparkSession)}/pluvia-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,13 +52,13 @@ class Linear(Family):
         ratio = self._ratio(params, rows)
         return LogisticRegression(
             maxIter=int(params.get("max_iter", 1000)), regParam=ratio / (inverse * rows),
-            standardization=False, tol=1e-9,
+            standardization=False, tol=1e-7,
         )
 
     def regressor(self, params, rows, label_std):
         kind, alpha = params.get("regression_type", "ridge"), float(params.get("alpha", 1.0))
         ratio = self._ratio(params, rows)
-        common = {"standardization": False, "maxIter": 1000, "tol": 1e-9}
+        common = {"standardization": False, "maxIter": 1000, "tol": 1e-8}
         if kind == "ridge":
             return LinearRegression(
                 regParam=alpha * ratio * label_std / rows, elasticNetParam=0.0, solver="normal", **common

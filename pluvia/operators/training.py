@@ -20,7 +20,9 @@ from pluvia.operators.evaluation import (
 from pluvia.operators.rain_models import RainModel
 
 
-def _fold_scores(model: RainModel, train: DataFrame, test: DataFrame) -> dict[str, float | None]:
+def _fold_scores(
+    model: RainModel, train: DataFrame, test: DataFrame, rows_bound: int | None = None
+) -> dict[str, float | None]:
     """AUC (both classes present) and amount errors of one fold; a two-stage
     model is judged on its rainy days, a single-stage one on all days."""
     scored = model.fit(train).predict(test)
@@ -32,14 +34,16 @@ def _fold_scores(model: RainModel, train: DataFrame, test: DataFrame) -> dict[st
     truth = F.when(rain, F.col(model.target)) if model.two_stage else F.col(model.target)
     made = regression_aggregates(truth.cast("double"), F.col("amount"))
     errors = rows.agg(*[c.alias(n) for n, c in made.items()]).first().asDict()
-    auc = roc_auc(rows, "_rain", score).first()
+    auc = roc_auc(rows, "_rain", score, rows_bound=rows_bound).first()
     return {"ROC_AUC": auc["ROC_AUC"] if auc else None, **errors}
 
 
 def _folds(numbered: DataFrame, n_splits: int):
-    for fold, train_end, test_end in fold_bounds(numbered.count(), n_splits):
+    """(test rows, train, test) of every fold."""
+    for _, train_end, test_end in fold_bounds(numbered.count(), n_splits):
         pos = F.col("_pos")
-        yield fold, numbered.filter(pos < train_end), numbered.filter((pos >= train_end) & (pos < test_end))
+        test = numbered.filter((pos >= train_end) & (pos < test_end))
+        yield test_end - train_end, numbered.filter(pos < train_end), test
 
 
 def cross_validate(model: RainModel, numbered: DataFrame, n_splits: int = 5) -> DataFrame:
@@ -47,9 +51,9 @@ def cross_validate(model: RainModel, numbered: DataFrame, n_splits: int = 5) ->
 
     ``numbered`` carries ``_pos``; a fold that cannot be fitted is skipped."""
     scores: dict[str, list[float]] = {"ROC_AUC": [], "MAE": [], "RMSE": [], "R2": []}
-    for _, train, test in _folds(numbered, n_splits):
+    for size, train, test in _folds(numbered, n_splits):
         try:
-            found = _fold_scores(model, train, test)
+            found = _fold_scores(model, train, test, size)
         except Exception:
             continue
         for name, value in found.items():
@@ -114,7 +118,7 @@ def search_two_stage(
     folds = list(_folds(numbered, n_splits))
 
     def run(candidate: RainModel, metric: str) -> list[float | None]:
-        return [_fold_scores(candidate, train, test)[metric] for _, train, test in folds]
+        return [_fold_scores(candidate, train, test, size)[metric] for size, train, test in folds]
 
     def auc(params):
         return _mean(run(dataclasses.replace(model, classification_params=params), "ROC_AUC"), 0.0)
@@ -139,7 +143,7 @@ def search_single_stage(
     def score(params):
         one = dataclasses.replace(model, two_stage=False, params={**model.params, **params})
         worst = -math.inf if maximise else math.inf
-        return _mean([_fold_scores(one, a, b)[name] for _, a, b in folds], worst)
+        return _mean([_fold_scores(one, train, test, size)[name] for size, train, test in folds], worst)
 
     return _search(space, n_trials, seed, score, maximise)
 

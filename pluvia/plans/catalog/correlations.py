@@ -203,6 +203,17 @@ def vif(spark, sf_dir):
     return co.vif_table(panel(spark, sf_dir), VIF_COLUMNS, "rain", TERMS)
 
 
+@query("""
+WITH c AS (SELECT CORR(l_quantity, l_extendedprice) AS a, CORR(l_quantity, l_discount) AS b, CORR(l_extendedprice, l_discount) AS d FROM lineitem),
+v AS (SELECT 'l_quantity' AS f, 1 / (1 - (a * a + b * b - 2 * a * b * d) / (1 - d * d)) AS v FROM c UNION ALL
+      SELECT 'l_extendedprice', 1 / (1 - (a * a + d * d - 2 * a * b * d) / (1 - b * b)) FROM c UNION ALL
+      SELECT 'l_discount', 1 / (1 - (b * b + d * d - 2 * a * b * d) / (1 - a * a)) FROM c)
+SELECT f AS "Feature", ROUND(v, 9) AS "VIF_Score", 'Other' AS "Category", 'Low' AS "Risk_Level" FROM v
+""")
+def raw_vif(spark, sf_dir):
+    return rounded(co.vif_table(table(spark, sf_dir, "lineitem"), RAW[:3], "l_tax"), 9, "VIF_Score")
+
+
 CLOSEST = PANEL + f""", c AS ({corr_union('panel', [(a, b) for i, a in enumerate(PREDICTORS) for b in PREDICTORS[i + 1:]], '')}),
 s AS (SELECT feature_a AS f, ABS(r) AS a FROM c UNION ALL SELECT feature_b, ABS(r) FROM c),
 m AS (SELECT f, MAX(a) AS a FROM s GROUP BY f),
@@ -246,6 +257,23 @@ def pca_components(spark, sf_dir):
     return co.pca_against_target(panel(spark, sf_dir), PREDICTORS, "rain")
 
 
+@query("""
+WITH s AS (SELECT AVG(l_quantity) AS mq, STDDEV_SAMP(l_quantity) AS sq, AVG(l_extendedprice) AS me, STDDEV_SAMP(l_extendedprice) AS se,
+  CORR(l_quantity, l_extendedprice) AS r FROM lineitem),
+z AS (SELECT (l_quantity - mq) / sq + SIGN(r) * (l_extendedprice - me) / se AS p1,
+             (l_quantity - mq) / sq - SIGN(r) * (l_extendedprice - me) / se AS p2, l_discount AS t, r FROM lineitem CROSS JOIN s),
+c AS (SELECT MAX(r) AS r, ABS(CORR(p1, t)) AS c1, ABS(CORR(p2, t)) AS c2 FROM z)
+SELECT 'PC1' AS "PC", ROUND((1 + ABS(r)) / 2, 9) AS "Explained_Variance", ROUND((1 + ABS(r)) / 2, 9) AS "Cumulative_Variance",
+       ROUND(c1, 7) AS "Target_Correlation" FROM c
+UNION ALL SELECT 'PC2', ROUND((1 - ABS(r)) / 2, 9), 1.0, ROUND(c2, 7) FROM c
+""")
+def raw_pca(spark, sf_dir):
+    """Two columns, so the components are known; their sign is arbitrary."""
+    out = co.pca_against_target(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], "l_discount")
+    out = out.withColumn("Target_Correlation", F.round(F.abs("Target_Correlation"), 7))
+    return rounded(out, 9, "Explained_Variance", "Cumulative_Variance")
+
+
 @query()
 def feature_clusters(spark, sf_dir):
     return co.feature_clusters(panel(spark, sf_dir), [*MEASURES, "n_obs"], 2)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.ordering import Series, series
@@ -21,8 +21,21 @@ MEASURES = ["rain", "temp", "humidity", "pressure", "wind"]
 PREDICTORS = MEASURES[1:]
 
 
+# Declared schemas: opening a table then reads no file footers.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def observations(spark: SparkSession, sf_dir: str, site: str = "s_nationkey") -> DataFrame:
@@ -50,18 +63,21 @@ def observations(spark: SparkSession, sf_dir: str, site: str = "s_nationkey") ->
 def on_calendar(obs: DataFrame) -> DataFrame:
     """Every site gets every calendar day; days without lines have rain 0.
 
-    The calendar rows enter as a second branch of one aggregation keyed like
-    the observations, so filling the gaps is a union and not a join.
+    Each observed day also opens the empty days up to the next one, so the gaps
+    are filled in one pass, without a join and without reading ``obs`` twice.
+    The result stays distributed by site, which later windows by site reuse.
     """
-    days = F.explode(F.sequence(F.lit(FIRST_DAY), F.lit(LAST_DAY), F.expr("interval 1 day")))
-    blank = obs.select("site").distinct().select("site", days.alias("day"))
-    filled = obs.filter(F.col("day").between(FIRST_DAY, LAST_DAY)).unionByName(
-        blank, allowMissingColumns=True
-    )
-    return filled.groupBy("site", "day").agg(
-        F.coalesce(F.max("rain"), F.lit(0.0)).alias("rain"),
-        *[F.max(c).alias(c) for c in PREDICTORS],
-        F.coalesce(F.max("n_obs"), F.lit(0)).alias("n_obs"),
+    by_day = Window.partitionBy("site").orderBy("day")
+    first, last = F.lit(FIRST_DAY), F.lit(LAST_DAY)
+    opens = F.when(F.row_number().over(by_day) == 1, first).otherwise(F.greatest("day", first))
+    closes = F.least(F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), last), last)
+    spans = obs.withColumns({"_from": opens, "_to": closes}).filter(F.col("_from") <= F.col("_to"))
+    rows = spans.withColumn("_d", F.explode(F.sequence("_from", "_to", F.expr("interval 1 day"))))
+    seen = F.col("_d") == F.col("day")
+    return rows.select(
+        "site", F.col("_d").alias("day"), F.when(seen, F.col("rain")).otherwise(0.0).alias("rain"),
+        *[F.when(seen, F.col(c)).alias(c) for c in PREDICTORS],
+        F.when(seen, F.col("n_obs")).otherwise(F.lit(0).cast("long")).alias("n_obs"),
     )
 
 
