@@ -21,6 +21,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,6 +93,16 @@ def _piece(cuts: Column, x: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c < x))
 
 
+def _with_piece(df: DataFrame, x: Column, cuts: list[float]) -> DataFrame:
+    """Adds ``_piece``: the interval of the cut points x falls in, NULL lowest."""
+    if not cuts:
+        return df.withColumn("_piece", F.lit(0))
+    splits = [-math.inf, *cuts, math.inf]
+    low = df.withColumn("_x", F.coalesce(x, F.lit(-math.inf)))
+    placed = Bucketizer(splits=splits, inputCol="_x", outputCol="_b").transform(low)
+    return placed.withColumn("_piece", F.col("_b").cast("int")).drop("_x", "_b")
+
+
 def _probes() -> Column:
     return F.array(*[F.lit(i / MAX_CUTS) for i in range(1, MAX_CUTS)])
 
@@ -106,8 +117,7 @@ def with_positions(df: DataFrame, s: Series) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.percentile_approx("x", _probes(), MAX_CUTS).alias("q")
     ).first()
     cuts = _thin(head["q"] or [], head["n"], s.block_rows)
-    piece = _piece(F.array(*[F.lit(c) for c in cuts]), x) if cuts else F.lit(0)
-    rows = df.withColumn("_piece", piece)
+    rows = _with_piece(df, x, cuts)
     named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(s.keys)]
     sizes = rows.groupBy(*s.keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*s.keys).orderBy("_piece").rowsBetween(
@@ -236,10 +246,9 @@ def with_cumulative(
     x = as_number(df, value)
     if groups:
         rows = df.join(F.broadcast(cuts), groups)
+        rows = rows.withColumn("_piece", _piece(F.col("_cuts"), x)).drop("_cuts")
     else:
-        only = cuts.first()["_cuts"]
-        rows = df.withColumn("_cuts", F.array(*[F.lit(c) for c in only]))
-    rows = rows.withColumn("_piece", _piece(F.col("_cuts"), x)).drop("_cuts")
+        rows = _with_piece(df, x, cuts.first()["_cuts"])
     sums = rows.groupBy(*groups, "_piece").agg(F.sum(weight).alias("_w"))
     if not groups:
         sums = sums.withColumn("_all", F.lit(0))
@@ -290,11 +299,16 @@ def exact_percentiles(
     rows_bound: int | None = None,
     per_piece: int = TASK_ROWS,
 ) -> DataFrame:
-    """(groups, one column per name in ``probs``), exact linear interpolation."""
+    """(groups, one column per name in ``probs``), exact linear interpolation.
+
+    Groups whose rows are proven or counted to fit one task are aggregated
+    directly; larger ones take the bracket route."""
     groups = list(groups)
     names, ps = list(probs), list(probs.values())
     v = F.col(value).cast("double")
-    if rows_bound is not None and rows_bound <= per_piece:
+    if rows_bound is None:
+        rows_bound = longest_series(df, groups)
+    if rows_bound <= per_piece:
         q = F.percentile(v, F.array(*[F.lit(float(p)) for p in ps])).alias("_q")
         return df.groupBy(*groups).agg(q).select(
             *groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]

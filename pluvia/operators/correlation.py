@@ -89,9 +89,14 @@ def spearman_matrix(
 ) -> DataFrame:
     """Pearson correlation of average ranks, ranks taken inside each pair's complete rows.
 
-    Rows of one pair collapse to distinct (x, y) counts; the ranks of x and y
-    come from their own distinct values and join back on the value.
+    Columns without gaps are ranked once each.  Otherwise the rows of one pair
+    collapse to distinct (x, y) counts; the ranks of x and y come from their
+    own distinct values and join back on the value.
     """
+    if not keys:
+        sizes = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        if all(sizes[f"c{i}"] == sizes["n"] for i in range(len(columns))):
+            return pearson_matrix(_ranked_columns(df, columns, sizes["n"]), columns)
     cells = F.array(*[
         F.struct(
             F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
@@ -122,6 +127,17 @@ def spearman_matrix(
     return weighted_correlation(joined, groups, "rx", "ry", "w")
 
 
+def _ranked_columns(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """The columns replaced by their average ranks.  A rank table has one row
+    per distinct value, so the planner broadcasts it or splits a hot value."""
+    out = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    for c in columns:
+        counts = df.groupBy(F.col(c).cast("double").alias(c)).agg(F.count(F.lit(1)).alias("cnt"))
+        ranks = ranks_from_counts(counts, [], c, rows).select(c, F.col("rank").alias("_rank"))
+        out = out.join(ranks, c).drop(c).withColumnRenamed("_rank", c)
+    return out
+
+
 def weighted_correlation(df: DataFrame, groups: list[str], x: str, y: str, w: str) -> DataFrame:
     """Correlation of (x, y) rows that each stand for ``w`` equal rows.
 

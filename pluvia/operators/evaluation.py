@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvia import constants as C
 from pluvia.functions.ordering import Series, average_ranks, with_positions
+from pluvia.functions.storage import materialise
 from pluvia.operators.profile import join_groups
 
 
@@ -97,10 +98,13 @@ def prepare_data(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test): rows without a feature are dropped, the first share trains.
 
-    Both sides keep ``_pos`` so that folds need no second numbering."""
+    Both sides keep ``_pos`` so that folds need no second numbering.  The
+    prepared rows are written once, since every fit reads them again."""
     features = features or [c for c in df.columns if c not in (target, order, *ties)]
-    complete = df.select(*dict.fromkeys([order, *ties, target, *features])).na.drop("any", subset=features)
-    rows = numbered_rows(complete, order, ties)
+    complete = materialise(
+        df.select(*dict.fromkeys([order, *ties, target, *features])).na.drop("any", subset=features)
+    )
+    rows = materialise(numbered_rows(complete, order, ties))
     cut = int(complete.count() * (1 - test_size))
     return rows.filter(F.col("_pos") < cut), rows.filter(F.col("_pos") >= cut)
 

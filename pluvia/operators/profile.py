@@ -17,6 +17,7 @@ from pluvia.functions.ordering import (
     MAX_CUT_GROUPS,
     Series,
     exact_percentiles,
+    longest_series,
     most_frequent,
     series,
     value_counts,
@@ -154,6 +155,8 @@ def descriptive_stats(
 ) -> DataFrame:
     """One row per (keys, Feature); columns without data do not appear."""
     groups = [*keys, "Feature"]
+    if rows_bound is None:
+        rows_bound = longest_series(df, keys)
     long = to_long(df, list(keys), columns, "Feature", "v").filter("v IS NOT NULL")
     v = F.col("v")
     moments = long.groupBy(*groups).agg(

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pluvia import constants as C
 from pluvia.functions.ordering import (
     average_ranks,
-    longest_series,
     ranks_from_counts,
     series,
     with_positions,
 )
+from pluvia.functions.storage import materialise
 from pluvia.functions.tails import (
     chi2_sf,
     correlation_p,
@@ -26,7 +26,7 @@ from pluvia.functions.tails import (
 )
 from pluvia.operators.clean import to_long
 from pluvia.operators.correlation import weighted_correlation
-from pluvia.operators.profile import attach_facts, with_group_facts
+from pluvia.operators.profile import attach_facts
 
 LEVEL = 0.05
 GROUPS = ["Feature"]
@@ -63,12 +63,22 @@ def kurtosis_z(g2: Column, n: Column) -> Column:
     return (1 - 2 / (9 * a) - root) / F.sqrt(2 / (9 * a))
 
 
-def moment_tests(long: DataFrame, groups: Sequence[str] = GROUPS, min_rows: int = 8) -> DataFrame:
-    """Jarque-Bera, skewness, kurtosis and D'Agostino K2 from one aggregate."""
+def moment_facts(long: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
+    """(groups, Sample_Size, mean, std, g1, g2): what the tests need besides order."""
     v = F.col("v")
-    base = long.groupBy(*groups).agg(
-        F.count(v).alias("Sample_Size"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2")
-    ).filter(F.col("Sample_Size") >= min_rows)
+    return long.groupBy(*groups).agg(
+        F.count(v).alias("Sample_Size"), F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_sd"),
+        F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"),
+    )
+
+
+def moment_tests(
+    long: DataFrame, groups: Sequence[str] = GROUPS, min_rows: int = 8, facts: DataFrame | None = None
+) -> DataFrame:
+    """Jarque-Bera, skewness, kurtosis and D'Agostino K2 from one aggregate."""
+    base = (facts if facts is not None else moment_facts(long, groups)).drop("_mean", "_sd").filter(
+        F.col("Sample_Size") >= min_rows
+    )
     n = F.col("Sample_Size").cast("double")
     g1, g2 = F.coalesce("g1", F.lit(0.0)), F.coalesce("g2", F.lit(0.0))
     stats = base.withColumns({
@@ -87,16 +97,19 @@ def moment_tests(long: DataFrame, groups: Sequence[str] = GROUPS, min_rows: int
 
 # --- order statistics ---------------------------------------------------------
 
-def anderson_darling(long: DataFrame, groups: Sequence[str] = GROUPS, rows_bound=None) -> DataFrame:
+def anderson_darling(
+    long: DataFrame, groups: Sequence[str] = GROUPS, rows_bound: int | None = None,
+    facts: DataFrame | None = None,
+) -> DataFrame:
     """A2 against the fitted normal and its 5 % critical value.
 
     Equal values share their term, so the sum runs over distinct values only.
     """
     groups = list(groups)
     counts = average_ranks(long, groups, "v", rows_bound=rows_bound)
-    fit = long.groupBy(*groups).agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
-    rows = attach_facts(counts, fit, groups)
-    z = F.try_divide(F.col("v") - F.col("_m"), F.col("_s"))
+    facts = facts if facts is not None else moment_facts(long, groups)
+    rows = attach_facts(counts, facts.select(*groups, "_mean", "_sd"), groups)
+    z = F.try_divide(F.col("v") - F.col("_mean"), F.col("_sd"))
     low = F.col("cnt").cast("double") * (2.0 * F.col("below") + F.col("cnt"))
     above = F.col("total") - F.col("below") - F.col("cnt")
     high = F.col("cnt").cast("double") * (2.0 * above + F.col("cnt"))
@@ -130,13 +143,15 @@ def _poly(coefficients: list[float], x: Column) -> Column:
 
 
 def shapiro_wilk(
-    long: DataFrame, groups: Sequence[str] = GROUPS, rows_bound: int | None = None
+    long: DataFrame, groups: Sequence[str] = GROUPS, rows_bound: int | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """W and its p value (Royston's approximation, 6 rows or more)."""
     groups = list(groups)
-    rows = with_group_facts(long.select(*groups, "v"), groups, {
-        "_n": F.count("v").cast("double"), "_mean": F.avg("v"),
-    }).filter("_n >= 6")
+    facts = facts if facts is not None else moment_facts(long, groups)
+    rows = attach_facts(
+        long.select(*groups, "v"), facts.select(*groups, F.col("Sample_Size").cast("double").alias("_n"), "_mean"), groups
+    ).filter("_n >= 6")
     placed = with_positions(rows, series(groups, "v", rows_bound=rows_bound)).withColumn(
         "_q", normal_quantile((F.col("_pos") + 1 - 0.375) / (F.col("_n") + 0.25))
     ).withColumn("_d", F.col("v") - F.col("_mean"))
@@ -184,9 +199,12 @@ def normality_battery(
     long = to_long(df, ids, columns, "Feature", "v").filter("v IS NOT NULL")
     if sample_rows:
         long = seeded_sample(long, sample_rows, id_col, seed).drop(id_col)
-    bound = longest_series(long, GROUPS)
-    out = moment_tests(long).join(shapiro_wilk(long, GROUPS, bound), GROUPS).join(
-        anderson_darling(long, GROUPS, bound), GROUPS
+    found = moment_facts(long)
+    known = found.collect()  # one row per feature
+    facts = df.sparkSession.createDataFrame(known, found.schema)
+    bound = max((r["Sample_Size"] for r in known), default=0)
+    out = moment_tests(long, facts=facts).join(shapiro_wilk(long, GROUPS, bound, facts), GROUPS).join(
+        anderson_darling(long, GROUPS, bound, facts), GROUPS
     )
     for test in ("Shapiro", "DAgostino", "JB", "Skew", "Kurt"):
         out = out.withColumn(f"{test}_Normal", yes_no(F.col(f"{test}_P") > LEVEL))
@@ -222,6 +240,15 @@ def group_sizes(cells: DataFrame) -> DataFrame:
     )
 
 
+def known_sizes(cells: DataFrame) -> tuple[DataFrame, int]:
+    """``group_sizes`` read back (one row per feature) and the largest of them."""
+    rows = group_sizes(cells).collect()
+    table = cells.sparkSession.createDataFrame(
+        [tuple(r) for r in rows], "Feature string, n long, n0 long, n1 long, n2 long, n3 long"
+    )
+    return table, max((r["n"] for r in rows), default=0)
+
+
 def mann_whitney(cells: DataFrame, min_rows: int = 5, rows_bound: int | None = None) -> DataFrame:
     """U of the dry days against the rainy ones, two-sided normal p with ties."""
     dry = F.when(F.col("_t") == 0, F.col("w")).otherwise(0)
@@ -258,7 +285,8 @@ def kruskal_wallis(
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """H over the rain groups that have more than ``min_rows`` days, tie corrected."""
-    sizes = sizes if sizes is not None else group_sizes(cells)
+    if sizes is None:
+        sizes, rows_bound = known_sizes(cells)
     grouped = cells.withColumn("_g", rain_group(F.col("_t"))).filter("_g IS NOT NULL")
     sized = attach_facts(grouped, sizes.drop("n"), GROUPS)
     own = F.element_at(F.array(*[F.col(f"n{g}") for g in range(4)]), F.col("_g") + 1)
@@ -309,12 +337,8 @@ def non_parametric_tests(
     df: DataFrame, target: str, columns: list[str], min_rows: int = 20
 ) -> DataFrame:
     """Mann-Whitney, Kruskal-Wallis and Spearman of every feature in one table."""
-    cells = aligned_cells(df, target, columns)
-    known = group_sizes(cells).collect()  # one row per feature
-    sizes = df.sparkSession.createDataFrame(
-        [tuple(r) for r in known], "Feature string, n long, n0 long, n1 long, n2 long, n3 long"
-    )
-    bound = max((r["n"] for r in known), default=0)
+    cells = materialise(aligned_cells(df, target, columns))  # six branches read it
+    sizes, bound = known_sizes(cells)
     return (
         spearman_with_target(cells, bound).filter(F.col("Aligned_Rows") >= min_rows)
         .join(mann_whitney(cells, rows_bound=bound), GROUPS, "left")

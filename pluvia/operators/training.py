@@ -10,7 +10,6 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.functions.storage import materialise
 from pluvia.operators.evaluation import (
     fold_bounds,
     prepare_data,
@@ -173,11 +172,9 @@ def train_models(
 ) -> dict[str, dict]:
     """Prepare once, then per model: (search), fit, hold-out metrics, cross-validation.
 
-    The prepared rows are written once to the shared checkpoint folder, since
-    every fit reads them again.  An error is kept under its model's name.
+    An error is kept under its model's name.
     """
     train, test = prepare_data(df, target, features, order, ties, test_size)
-    train, test = materialise(train), materialise(test)
     out: dict[str, dict] = {}
     for name, model in models.items():
         start = time.time()

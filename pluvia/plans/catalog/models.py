@@ -11,7 +11,7 @@ from pluvia.operators import forecasting as fc
 from pluvia.operators import rain_models as rm
 from pluvia.operators import training as tr
 from pluvia.plans.catalog.registry import PANEL, query, rounded
-from pluvia.sources.panel import panel, site_series
+from pluvia.sources.panel import CALENDAR_DAYS, panel, site_series
 
 SITE = site_series()
 
@@ -54,7 +54,7 @@ auc AS (SELECT site, (s - CAST(p AS DOUBLE) * (p + 1) / 2) / (CAST(p AS DOUBLE)
 @query(SCORES + AUC_SQL + 'SELECT site, ROUND(auc, 9) AS "ROC_AUC" FROM auc')
 def roc_auc(spark, sf_dir):
     rows = scores(spark, sf_dir).withColumn("rain", fx.rain_flag(F.col("y")))
-    return rounded(ev.roc_auc(rows, "rain", "p_rain", ["site"]), 9, "ROC_AUC")
+    return rounded(ev.roc_auc(rows, "rain", "p_rain", ["site"], CALENDAR_DAYS), 9, "ROC_AUC")
 
 
 @query(SCORES + "SELECT site, day, CASE WHEN p_rain >= 0.5 THEN amount ELSE 0.0 END AS combined FROM scores")
@@ -70,7 +70,7 @@ m AS (SELECT site, {metric_sql('y', 'amount', 'rain_', 'y > 0.1')}, {metric_sql(
 SELECT m.*, ROUND(auc, 9) AS "ROC_AUC" FROM m JOIN auc ON m.site = auc.site
 """)
 def two_stage_evaluation(spark, sf_dir):
-    out = ev.evaluate_two_stage(scores(spark, sf_dir), "y", "p_rain", "amount", groups=["site"])
+    out = ev.evaluate_two_stage(scores(spark, sf_dir), "y", "p_rain", "amount", groups=["site"], rows_bound=CALENDAR_DAYS)
     errors = [f"{a}_{m}" for a in ("rain", "combined") for m in ("MAE", "RMSE")]
     return rounded(rounded(rounded(out, 7, *errors), 8, "rain_R2", "combined_R2"), 9, "ROC_AUC")
 
@@ -126,8 +126,7 @@ def training_rows(spark, sf_dir):
     rows = panel(spark, sf_dir).select("site", "day", "rain").withColumn("month", F.month("day"))
     rows = fx.create_lag_features(rows, "rain", [1, 7], by=SITE)
     rows = fx.create_rolling_features(rows, "rain", [7], ["mean"], by=SITE)
-    train, test = ev.prepare_data(rows, "rain", FEATURES, "day", ["site"])
-    return materialise(train), materialise(test)
+    return ev.prepare_data(rows, "rain", FEATURES, "day", ["site"])
 
 
 @query()
