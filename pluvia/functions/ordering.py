@@ -107,11 +107,11 @@ def _probes() -> Column:
     return F.array(*[F.lit(i / MAX_CUTS) for i in range(1, MAX_CUTS)])
 
 
-def with_positions(df: DataFrame, s: Series) -> DataFrame:
-    """Adds ``_pos`` (0-based row number inside the key) without a task per key
+def with_positions(df: DataFrame, s: Series, name: str = "_pos") -> DataFrame:
+    """Adds ``name`` (0-based row number inside the key) without a task per key
     (unless the keys are proven small enough for one)."""
     if s.keys and s.rows_bound is not None and s.rows_bound <= s.block_rows:
-        return df.withColumn("_pos", F.row_number().over(s.window()).cast("long") - 1)
+        return df.withColumn(name, F.row_number().over(s.window()).cast("long") - 1)
     x = as_number(df, s.order)
     head = df.select(x.alias("x")).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("x", _probes(), MAX_CUTS).alias("q")
@@ -132,10 +132,10 @@ def with_positions(df: DataFrame, s: Series) -> DataFrame:
     for i, k in enumerate(s.keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return (
-        rows.withColumn("_row", F.row_number().over(inside) - 1)
+        rows.withColumn("_inner", F.row_number().over(inside) - 1)
         .join(shift, on, "inner")
-        .withColumn("_pos", F.col("_row") + F.col("_shift"))
-        .drop("_row", "_shift", "_p", "_piece", *[f"_k{i}" for i in range(len(s.keys))])
+        .withColumn(name, F.col("_inner") + F.col("_shift"))
+        .drop("_inner", "_shift", "_p", "_piece", *[f"_k{i}" for i in range(len(s.keys))])
     )
 
 
@@ -151,9 +151,9 @@ def over_frames(
     if fits_one_task(df, s):
         return df.withColumns(dict(build(s.window())))
     size = max(s.block_rows, before + after + 1)
-    rows = with_positions(df, s)
-    home = F.floor(F.col("_pos") / size)
-    offset = F.col("_pos") % size
+    rows = with_positions(df, s, "_place")
+    home = F.floor(F.col("_place") / size)
+    offset = F.col("_place") % size
     blocks = F.array_compact(
         F.array(
             home,
@@ -162,11 +162,11 @@ def over_frames(
         )
     )
     spread = rows.withColumn("_block", F.explode(blocks))
-    window = Window.partitionBy(*s.keys, "_block").orderBy("_pos")
+    window = Window.partitionBy(*s.keys, "_block").orderBy("_place")
     return (
         spread.withColumns(dict(build(window)))
         .filter(F.col("_block") == home)
-        .drop("_block", "_pos")
+        .drop("_block", "_place")
     )
 
 
