@@ -73,14 +73,15 @@ def solve_by_key(
     schema = T.StructType([grams.schema[k] for k in keys] + fields)
     names = schema.names
 
-    def combine(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         stacked = np.vstack(pdf["gram"].to_numpy()).sum(axis=0)
         size = int(round(len(stacked) ** 0.5))
         rows = solve(stacked.reshape(size, size), int(pdf["n"].sum()))
         return pd.DataFrame([(*key, *r) for r in rows], columns=names)
 
     if not keys:
-        return grams.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
-            lambda key, pdf: combine((), pdf), schema
-        )
+        def combine_all(pdf: pd.DataFrame) -> pd.DataFrame:
+            return combine((), pdf)
+
+        return grams.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(combine_all, schema)
     return grams.groupBy(*keys).applyInPandas(combine, schema)

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from pluvia.functions.storage import materialise
+
 TASK_ROWS = 1_000_000          # rows one task may order
 MAX_CUTS = 1024                # cut points per group
 MAX_CUT_GROUPS = 4096          # groups whose cut points may visit the driver
@@ -182,31 +184,34 @@ def value_counts(
 
 
 def _cut_table(df: DataFrame, groups: Sequence[str], value: str, per_piece: int) -> DataFrame | None:
-    """(groups, _cuts) with a bounded number of rows, or None for no cut at all.
+    """(groups, _cuts) per group, or None when every group fits one task.
 
-    Raises when there are too many groups to list; those callers know their
-    groups are series with a proven bound and pass ``rows_bound`` instead.
+    Few groups come back and are broadcast at their known size.  Many are
+    written once, so that every branch of a plan sees the same cut points, and
+    join on the group columns.
     """
     if longest_series(df, groups) <= per_piece:
         return None
     x = as_number(df, value)
-    heads = (
-        df.select(*groups, x.alias("x")).groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", _probes(), MAX_CUTS).alias("q"))
-        .limit(MAX_CUT_GROUPS + 1).collect()
+    heads = df.select(*groups, x.alias("x")).groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("x", _probes(), MAX_CUTS).alias("q")
     )
-    if len(heads) > MAX_CUT_GROUPS:
-        raise ValueError(
-            f"more than {MAX_CUT_GROUPS} groups: give rows_bound, the proven rows of one group"
+    found = heads.limit(MAX_CUT_GROUPS + 1).collect()
+    if len(found) <= MAX_CUT_GROUPS:
+        schema = T.StructType(
+            [T.StructField(g, df.schema[g].dataType) for g in groups]
+            + [T.StructField("_cuts", T.ArrayType(T.DoubleType()))]
         )
-    table = [(*[h[g] for g in groups], _thin(h["q"] or [], h["n"], per_piece)) for h in heads]
-    if all(not row[-1] for row in table):
-        return None
-    schema = T.StructType(
-        [T.StructField(g, df.schema[g].dataType) for g in groups]
-        + [T.StructField("_cuts", T.ArrayType(T.DoubleType()))]
+        rows = [(*[h[g] for g in groups], _thin(h["q"] or [], h["n"], per_piece)) for h in found]
+        return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    pieces = F.least(F.lit(MAX_CUTS), F.ceil(F.col("n") / per_piece)).cast("int")
+    picked = F.transform(
+        F.sequence(F.lit(1), F.greatest(pieces - 1, F.lit(1))),
+        lambda i: F.element_at("q", (F.floor(i * F.size("q") / pieces) + 1).cast("int")),
     )
-    return df.sparkSession.createDataFrame(table, schema)
+    none = F.array().cast("array<double>")
+    cuts = F.when(pieces > 1, F.array_sort(F.array_distinct(picked))).otherwise(none)
+    return materialise(heads.select(*groups, cuts.alias("_cuts")))
 
 
 def with_cumulative(
@@ -245,7 +250,7 @@ def with_cumulative(
         }).drop("_all")
     x = as_number(df, value)
     if groups:
-        rows = df.join(F.broadcast(cuts), groups)
+        rows = df.join(cuts, groups)
         rows = rows.withColumn("_piece", _piece(F.col("_cuts"), x)).drop("_cuts")
     else:
         rows = _with_piece(df, x, cuts.first()["_cuts"])

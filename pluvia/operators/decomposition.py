@@ -224,7 +224,7 @@ def decompose(
         + [T.StructField(n, T.DoubleType()) for n in ("trend", *names, "resid")]
     )
 
-    def split(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         y = pdf["observed"].to_numpy(float)
         if not len(y) or min(periods) >= len(y) / 2 or not np.isfinite(y).all():

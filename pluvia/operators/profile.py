@@ -66,7 +66,7 @@ def attach_facts(df: DataFrame, found: DataFrame, groups: Sequence[str]) -> Data
     if not groups:
         row = found.first()
         return df.withColumns({
-            n: F.lit(row[n]).cast(found.schema[n].dataType) for n in found.columns
+            n: F.lit(row[n] if row else None).cast(found.schema[n].dataType) for n in found.columns
         })
     rows = found.limit(MAX_CUT_GROUPS + 1).collect()
     if len(rows) <= MAX_CUT_GROUPS:
@@ -253,11 +253,7 @@ def extreme_thresholds(
     names = {percentile_name(p): p for p in percentiles}
     clean = df.select(*keys, F.col(target).cast("double").alias("x")).filter("x IS NOT NULL")
     limits = exact_percentiles(clean, keys, "x", names, rows_bound)
-    if keys:
-        rows = clean.join(limits, list(keys))
-    else:
-        one = limits.first()
-        rows = clean.withColumns({n: F.lit(one[n] if one else None).cast("double") for n in names})
+    rows = attach_facts(clean, limits, keys)
     entries = F.array(*[
         F.struct(
             F.lit(n).alias("name"), F.lit(float(p)).alias("percentile"),
@@ -275,11 +271,7 @@ def above_percentile(
     """Rows strictly above the percentile, with ``threshold`` added."""
     clean = df.filter(F.col(target).isNotNull())
     limit = exact_percentiles(clean, keys, target, {"threshold": percentile}, rows_bound)
-    if keys:
-        rows = clean.join(limit, list(keys))
-    else:
-        one = limit.first()
-        rows = clean.withColumn("threshold", F.lit(one[0] if one else None).cast("double"))
+    rows = attach_facts(clean, limit, keys)
     return rows.filter(F.col(target) > F.col("threshold"))
 
 
@@ -434,7 +426,7 @@ def box_numbers(
     """Quartiles, whiskers at the last value within 1.5 IQR, and outlier count."""
     rows = df.select(*groups, F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
     quartiles = exact_percentiles(rows, groups, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, rows_bound)
-    joined = rows.join(quartiles, list(groups))
+    joined = attach_facts(rows, quartiles, groups)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach)
     return joined.groupBy(*groups, "q1", "median", "q3").agg(

@@ -47,7 +47,7 @@ def _fft_in_task(rows: DataFrame, by: Series) -> DataFrame:
     schema = T.StructType([keyed.schema[k] for k in keys] + SPECTRUM_FIELDS)
     order = [by.order, *by.ties]
 
-    def transform(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def transform(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)["_x"].to_numpy()
         n = len(x)
         k = np.arange(1, (n - 1) // 2 + 1)
@@ -187,7 +187,7 @@ def _cwt(df: DataFrame, column: str, rows: int, scales: list[float], transform,
     ])
     order = [by.order, *by.ties]
 
-    def expand(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def expand(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         coef = transform(pdf["_x"].to_numpy(), scales)
         out = pd.DataFrame({

@@ -151,9 +151,10 @@ def adf_test(df: DataFrame, column: str, regression: str = "ct", *, by: Series)
     if keys:
         solved = pieces.groupBy(*keys).applyInPandas(solve, schema)
     else:
-        solved = pieces.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
-            lambda key, pdf: solve((), pdf), schema
-        )
+        def solve_all(pdf: pd.DataFrame) -> pd.DataFrame:
+            return solve((), pdf)
+
+        solved = pieces.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve_all, schema)
     inv = 1 / F.col("n_obs")
     points = {
         f"crit_{name.rstrip('%')}": _poly_low_first(c, inv)

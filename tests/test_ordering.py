@@ -71,6 +71,15 @@ def test_average_ranks_split_and_plain(panel_rows):
     np.testing.assert_allclose(flat, src["x"].rank().groupby(src["x"]).first().sort_index())
 
 
+def test_average_ranks_with_more_groups_than_the_driver_lists(panel_rows, monkeypatch):
+    want = od.average_ranks(panel_rows, ["site"], "x", rows_bound=1000).toPandas().set_index(["site", "x"])["rank"]
+    monkeypatch.setattr(od, "MAX_CUT_GROUPS", 1)
+    got = od.average_ranks(panel_rows, ["site"], "x", per_piece=10).toPandas().set_index(["site", "x"])["rank"]
+    np.testing.assert_allclose(got.sort_index(), want.sort_index())
+    q = od.exact_percentiles(panel_rows, ["site"], "x", {"m": 0.5}, per_piece=5).toPandas().set_index("site")["m"]
+    np.testing.assert_allclose(q.sort_index(), panel_rows.toPandas().groupby("site")["x"].median())
+
+
 def test_bracket_percentiles_are_exact(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([np.zeros(20000), rng.gamma(2, 3, 30000), [5.0] * 7000])
