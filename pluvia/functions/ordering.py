@@ -119,6 +119,10 @@ def with_positions(df: DataFrame, s: Series, name: str = "_pos") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.percentile_approx("x", _probes(), MAX_CUTS).alias("q")
     ).first()
     cuts = _thin(head["q"] or [], head["n"], s.block_rows)
+    if not cuts:  # the whole table was counted and fits one task
+        by = [F.col(k) for k in s.keys] or [F.lit(0)]
+        order = Window.partitionBy(*by).orderBy(s.order, *s.ties)
+        return df.withColumn(name, F.row_number().over(order).cast("long") - 1)
     rows = _with_piece(df, x, cuts)
     named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(s.keys)]
     sizes = rows.groupBy(*s.keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))

@@ -20,6 +20,7 @@ from pluvia import constants as C
 from pluvia.functions.ordering import Series, longest_series, over_frames, ranks_from_counts
 from pluvia.functions.stats import both, safe_corr
 from pluvia.operators.features import rolling_correlation, season_of
+from pluvia.operators.profile import join_groups
 
 PAIRS_IN_ONE_AGGREGATE = 150
 
@@ -457,6 +458,11 @@ def network_edges(df: DataFrame, columns: list[str], threshold: float = 0.25) ->
     )
 
 
+def _held(edges: DataFrame) -> DataFrame:
+    """The edge list read back once: at most one row per pair of columns."""
+    return edges.sparkSession.createDataFrame(edges.collect(), edges.schema)
+
+
 def network_nodes(spark, columns: list[str], target: str, terms=None) -> DataFrame:
     names = spark.createDataFrame([(c,) for c in columns], "feature string")
     return names.select(
@@ -468,14 +474,14 @@ def network_nodes(spark, columns: list[str], target: str, terms=None) -> DataFra
 def network_metrics(edges: DataFrame, columns: list[str]) -> DataFrame:
     """One row: nodes, edges, density, edge weights, mean clustering coefficient."""
     n = len(columns)
+    edges = _held(edges)
     summary = edges.agg(
         F.count(F.lit(1)).alias("n_edges"), F.avg("weight").alias("mean_weight"),
         F.max("weight").alias("max_weight"),
     )
     clustering = node_metrics(edges, columns).agg(F.avg("clustering").alias("average_clustering"))
     density = (2.0 * F.col("n_edges")) / F.lit(float(max(1, n * (n - 1))))
-    a, b = summary.withColumn("_one", F.lit(1)), clustering.withColumn("_one", F.lit(1))
-    return a.join(b, "_one").select(
+    return join_groups(summary, clustering, []).select(
         F.lit(n).alias("n_nodes"), "n_edges", density.alias("density"),
         "mean_weight", "max_weight", "average_clustering",
     )
@@ -484,6 +490,7 @@ def network_metrics(edges: DataFrame, columns: list[str]) -> DataFrame:
 def node_metrics(edges: DataFrame, columns: list[str]) -> DataFrame:
     """Degree, degree centrality and clustering coefficient; isolated nodes have 0."""
     spark = edges.sparkSession
+    edges = _held(edges)
     pairs = edges.select(F.col("feature_a").alias("a"), F.col("feature_b").alias("b"))
     links = pairs.union(pairs.select("b", "a"))
     degree = links.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))

@@ -42,12 +42,12 @@ KURT_MIDDLE = "Mesokurtic (gần normal)"
 
 
 def join_groups(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Equi-join two tables with one row per group; a plain pairing of one-row
-    tables when there is a single group."""
+    """Equi-join two tables with one row per group.  Two one-row tables are put
+    side by side by a union and one aggregate."""
     if groups:
         return left.join(right, list(groups))
-    a, b = left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1))
-    return a.join(b, "_one").drop("_one")
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def with_group_facts(df: DataFrame, groups: Sequence[str], facts: dict[str, Column]) -> DataFrame:

@@ -16,7 +16,7 @@ from pluvia.functions.ordering import Series, longest_series, over_frames, runni
 from pluvia.functions.stats import kurt_adjusted, skew_adjusted
 from pluvia.functions.tails import let, normal_cdf
 from pluvia.operators.autocorrelation import lags_near_periods, ljung_box, ljung_box_summary
-from pluvia.operators.profile import with_series_facts
+from pluvia.operators.profile import join_groups, with_series_facts
 from pluvia.operators.stat_tests import moment_tests, shapiro_wilk
 
 # MacKinnon response surfaces of the Dickey-Fuller statistic for
@@ -270,10 +270,7 @@ def stationarity_tests(df: DataFrame, column: str, regression: str = "ct", *, by
     keys = list(by.keys)
     a = adf_test(df, column, regression, by=by)
     k = kpss_test(df, column, regression, by=by)
-    if keys:
-        joined = a.join(k, keys)
-    else:
-        joined = a.withColumn("_one", F.lit(1)).join(k.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    joined = join_groups(a, k, keys)
     yes_a, yes_k = F.col("adf_stationary"), F.col("kpss_stationary")
     return joined.withColumns({
         "stationarity_type": verdict(yes_a, yes_k), "conclusion": model_verdict(yes_a, yes_k),
@@ -292,10 +289,8 @@ def make_stationary(df: DataFrame, columns: list[str], *, by: Series) -> DataFra
         )
         if verdicts is None:
             verdicts = v
-        elif keys:
-            verdicts = verdicts.join(v, keys, "full_outer")
         else:
-            verdicts = verdicts.withColumn("_one", F.lit(1)).join(v.withColumn("_one", F.lit(1)), "_one").drop("_one")
+            verdicts = verdicts.join(v, keys, "full_outer") if keys else join_groups(verdicts, v, [])
     moved = over_frames(df, by, 1, 0, lambda w: {
         f"_d_{c}": F.col(c) - F.lag(c, 1).over(w) for c in columns
     })
