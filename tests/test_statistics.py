@@ -219,3 +219,15 @@ def test_order_suggestion_rules(spark):
     assert (got["p"], got["q"], got["s"]) == (1, 3, 7) and got["suggested_models"][0] == "SARIMA(1,1,3)x(1,1,1,7)"
     named = ac.suggest_orders(acf, pacf, (7, 30), ["site"]).first()
     assert named["s"] == 30 and named["suggested_models"][2] == "SARIMA(1,1,3)x(1,1,1,7)"
+
+
+def test_series_without_keys(spark):
+    data = walks()["ar"]
+    df = as_series(spark, a=data).select("day", "x")
+    by = series((), "day", block_rows=64)
+    got = sy.stationarity_tests(df, "x", "ct", by=by).first()
+    stat, lag = adf_direct(data, True)
+    assert got["used_lag"] == lag and got["adf_stat"] == pytest.approx(stat, rel=1e-6)
+    assert got["kpss_stat"] == pytest.approx(kpss_direct(data, True)[0], rel=1e-8)
+    assert ac.acf(df, "x", 10, by=by).count() == 11
+    assert sy.make_stationary(df, ["x"], by=by).count() == 300
