@@ -78,7 +78,10 @@ def as_number(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(F.col(name)).cast("double")
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+        t = F.col(name)  # wall-clock seconds, whatever the session's time zone
+        day = F.unix_date(t.cast("date")).cast("double")
+        second = F.extract(F.lit("SECOND"), t).cast("double")
+        return day * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + second
     return F.col(name).cast("double")
 
 

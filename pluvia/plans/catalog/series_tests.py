@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pluvia.functions.storage import materialise
 from pluvia.operators import autocorrelation as ac
 from pluvia.operators import decomposition as dc
+from pluvia.operators import profile as pf
 from pluvia.operators import spectrum as sp
 from pluvia.operators import stat_tests as st
 from pluvia.operators import stationarity as sy
 from pluvia.operators.clean import to_long
 from pluvia.operators.features import detrend_centred
+from pluvia.plans import reports
 from pluvia.plans.catalog.registry import LONG, PANEL, RAW, TOTAL, query, rounded
 from pluvia.sources.panel import PREDICTORS, daily_total, panel, site_series, table
 
@@ -109,6 +111,17 @@ def non_parametric_tests(spark, sf_dir):
     return st.non_parametric_tests(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
 
 
+@query()
+def distribution_insights(spark, sf_dir):
+    """Rain shares, features that look normal, significant rank tests: one row."""
+    rows = materialise(panel(spark, sf_dir).select("rain", "temp", "n_obs"))
+    columns = ["rain", "temp", "n_obs"]
+    return reports.distribution_insights(
+        pf.rain_band_counts(rows, "rain"), st.normality_battery(rows, columns),
+        st.non_parametric_tests(rows, "rain", columns),
+    )
+
+
 # --- autocorrelation ----------------------------------------------------------
 
 ACF = PANEL + """
