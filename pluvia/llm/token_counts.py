@@ -66,7 +66,8 @@ def count_tokens(
                 short = np.flatnonzero(length <= INLINE)
                 tokens[short] = frequent.find(*inline_keys(data, start[short], length[short]))
                 miss = np.flatnonzero(tokens < 0)
-                tokens[miss] = worker.count[worker.lookup(data, start[miss], length[miss])]
+                entry = worker.lookup(data, start[miss], length[miss])
+                tokens[miss] = worker.count[entry]
                 n_tokens[a:b] = np.bincount(text, weights=tokens, minlength=b - a).astype(np.int64)
                 for i, ids in zip(odd, worker.whole(strings_at(data, offsets, odd)), strict=True):
                     n_tokens[a + i] = len(ids)
