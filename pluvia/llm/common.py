@@ -13,3 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents that nothing is learned from; a null id counts as learnable."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Lets Spark hand at most ``size`` of texts to a Python worker at once (unless the session says otherwise), which
+    bounds a worker's memory whatever the length of the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB", "-1b", "-1"):
+        spark.conf.set(key, size)

@@ -13,6 +13,7 @@ special tokens) are encoded whole by the library.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -39,6 +40,9 @@ _odd = np.zeros(256, bool)
 _odd[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85]] = True
 _odd[0x85] = False
 
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] += 32
+
 _low = np.array([(1 << (8 * min(i, 8))) - 1 for i in range(INLINE + 1)], np.uint64)
 _high = np.array([(1 << (8 * max(i - 8, 0))) - 1 for i in range(INLINE + 1)], np.uint64)
 _length_byte = np.arange(INLINE + 1).astype(np.uint64) << np.uint64(56)
@@ -165,8 +169,14 @@ class GroupEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.encode = encode or self.whole
+        self.encode = encode
         self.tail = tail
+        # If the tokenizer folds case and drops white space, groups that differ only in these are one.
+        self.folds = len({tuple(self.library.encode(t, add_special_tokens=False).ids) for t in ("A b", " a  b")}) == 1
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix") or ""
+        size = self.library.get_vocab_size()
+        #: Bytes that each token stands for (its visible characters stand for one byte each).
+        self.width = np.array([len((self.library.id_to_token(i) or "").removesuffix(suffix)) for i in range(size)], np.int64)
         self.table = InlineTable(bits)
         self.count = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 16, np.int64)
@@ -177,22 +187,64 @@ class GroupEncoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, ids: list[list[int]]) -> np.ndarray:
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, at = int(n.sum()), self.known
+    def _learn(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """New entries with these numbers of ids."""
+        total, at, more = len(flat), self.known, len(n)
         if self.filled + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) + total, np.uint16)))
-        if at + len(ids) > len(self.count):
-            more = len(ids) + len(self.count)
-            self.count = np.concatenate((self.count, np.zeros(more, np.int32)))
-            self.first = np.concatenate((self.first, np.zeros(more, np.int64)))
-        if total:
-            self.flat[self.filled: self.filled + total] = np.fromiter((i for x in ids for i in x), np.uint16, total)
-        self.count[at: at + len(ids)] = n
-        self.first[at: at + len(ids)] = self.filled + np.cumsum(n) - n
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) // 2 + total, np.uint16)))
+        if at + more > len(self.count):
+            grow = more + len(self.count) // 2
+            self.count = np.concatenate((self.count, np.zeros(grow, np.int32)))
+            self.first = np.concatenate((self.first, np.zeros(grow, np.int64)))
+        self.flat[self.filled: self.filled + total] = flat
+        self.count[at: at + more] = n
+        self.first[at: at + more] = self.filled + np.cumsum(n) - n
         self.filled += total
-        self.known += len(ids)
-        return np.arange(at, at + len(ids), dtype=np.int32)
+        self.known += more
+        return np.arange(at, at + more, dtype=np.int32)
+
+    @staticmethod
+    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint16, int(n.sum())), n
+
+    def _encode(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct groups, one after the other, and their numbers.
+
+        Groups that begin with one blank (or, where blanks are dropped, with none) are encoded side by side in one
+        string; the bytes of the tokens tell which group each belongs to.  Where they do not add up, and for all
+        other groups, each is encoded by itself.
+        """
+        if self.encode:
+            return self._flat(self.encode(self._strings(data, start, length)))
+        blank = _is_blank[data[start]]
+        if self.folds:
+            side = ~blank
+        else:
+            side = (data[start] == 32) & (length > 1)
+            side[side] = ~_is_blank[data[start[side] + 1]]
+        at = np.flatnonzero(side)
+        alone = [np.flatnonzero(~side)]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for part in np.array_split(at, max(1, len(at) // 1000)) if len(at) else []:
+            joined = (" " if self.folds else "").join(self._strings(data, start[part], length[part]))
+            got = np.array(self.whole([joined])[0], np.uint16)
+            until, ends = np.cumsum(self.width[got]), np.cumsum(length[part])
+            last = np.searchsorted(until, ends)
+            if len(until) and until[-1] == ends[-1] and (until[last] == ends).all():
+                found.append((part, got, np.diff(np.concatenate(([-1], last)))))
+            else:
+                alone.append(part)
+        rest = np.concatenate(alone)
+        if len(rest):
+            found.append((rest, *self._flat(self.whole(self._strings(data, start[rest], length[rest])))))
+        where = np.concatenate([f[0] for f in found])
+        flats, n = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+        first = np.cumsum(n) - n
+        order = np.argsort(where)
+        numbers = n[order]
+        source = np.repeat(first[order] - (np.cumsum(numbers) - numbers), numbers) + np.arange(int(numbers.sum()))
+        return flats[source], numbers
 
     def lookup(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Entry number of each group; entries stay valid until the next call."""
@@ -208,7 +260,7 @@ class GroupEncoder:
             new = np.ones(len(order), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             at = short[miss[order[new]]]
-            got = self._learn(self.encode(self._strings(data, start[at], length[at])))
+            got = self._learn(*self._encode(data, start[at], length[at]))
             room = min(len(got), self.table.room())
             if room:
                 self.table.add(a[new], b[new], got)
@@ -218,16 +270,22 @@ class GroupEncoder:
         if len(long):
             spans = [bytes(data[s: s + n]) for s, n in zip(start[long], length[long], strict=True)]
             distinct = list(dict.fromkeys(spans))
-            got = dict(zip(distinct, self._learn(self.encode([x.decode("utf-8", "replace") for x in distinct])), strict=True))
+            encode = self.encode or self.whole
+            ids = self._flat(encode([x.decode("utf-8", "replace") for x in distinct]))
+            got = dict(zip(distinct, self._learn(*ids), strict=True))
             entry[long] = [got[x] for x in spans]
         return entry
 
     def entries(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry number of each group and the text it belongs to."""
         start, length, text, odd = groups(data, offsets)
-        entry = self.lookup(data, start, length)
+        if self.folds:
+            blank = (length > 1) & _is_blank[data[start]]
+            entry = self.lookup(_lower[data], start + blank, length - blank)
+        else:
+            entry = self.lookup(data, start, length)
         if len(odd):
-            got = self._learn(self.whole(strings_at(data, offsets, odd)))
+            got = self._learn(*self._flat(self.whole(strings_at(data, offsets, odd))))
             entry, text = np.concatenate((entry, got)), np.concatenate((text, odd))
             order = np.argsort(text, kind="stable")
             entry, text = entry[order], text[order]

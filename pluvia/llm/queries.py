@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import held_out, table
+from pluvia.llm.common import held_out, small_batches, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def vocabulary(name: str) -> str:
@@ -52,3 +59,22 @@ def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pluvia.llm.bpe import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pluvia.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs.filter(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                                     (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pluvia.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_langs")

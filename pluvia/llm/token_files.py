@@ -40,7 +40,7 @@ ROWS = "doc_id long, start long, n_tokens long, ids binary"
 class FrameWriter:
     """Writes frames to an open binary stream and, on closing, the directory and the seek table."""
 
-    def __init__(self, stream, level: int = 3):
+    def __init__(self, stream, level: int = 1):
         import zstandard
 
         self.stream = stream
@@ -121,7 +121,7 @@ def _open(uri: str):
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, level: int = 3,
+    docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, level: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Encodes and writes all documents in ascending id order; returns one row per file, in that order by ``part``.
