@@ -78,3 +78,12 @@ def op8_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_langs")
+
+
+@query
+def op9_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pluvia.llm.quality_rules import judge
+
+    rows = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                       "kept", "badness", "cutoff")
