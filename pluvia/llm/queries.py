@@ -87,3 +87,10 @@ def op9_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                        "kept", "badness", "cutoff")
+
+
+@query
+def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pluvia.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
