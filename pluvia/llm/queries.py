@@ -94,3 +94,10 @@ def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pluvia.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pluvia.llm.vector_graph import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
