@@ -101,3 +101,11 @@ def op5_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pluvia.llm.vector_graph import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pluvia.llm.repeats import remove_repeats
+
+    rows = remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
