@@ -2,14 +2,14 @@
 
 Two bigram models, one of toxic and one of ordinary texts, are counted over all labelled training texts.  Each
 interpolates discounted bigram counts with its class's continuation counts (in how many different contexts a word was
-seen), and these with continuation counts shared by both classes, so an expression that is rare in a class tells no
-more about it than the classes' discounts do.  A text is compared by the length-normalised difference of its two
-log-likelihoods, over the whole text and over its most toxic stretch of a few words; a logistic function fitted on
-training texts that the counts have not seen turns these into a probability.
+seen), and these with backoff counts shared by both classes (in how many classes a word was seen), so a rare expression
+says little about a class and one that is frequent in one class only says much.  A text is compared by the
+length-normalised difference of its two log-likelihoods, over the whole text and for its most toxic words; a logistic
+function fitted on training texts that the counts have not seen turns these into a probability.
 
 The vocabulary is the ``vocabulary`` most frequent words of the toxic and of all training texts, half each; other
-words share one place.  The scoring model has a fixed size: two numbers for each word and the ``bigrams`` bigrams that
-occur most often, all of them checked by size before they are broadcast.
+words share one place.  The scoring model has a fixed size: two numbers for each word, and the ``kept_bigrams`` most
+frequent bigrams; the rest of the bigram table stays in Spark.
 
 Defined cases: null and empty texts, and texts without a word, have the score of the prior; rows without a label or
 with a null text teach nothing; with training texts of one class only every score is that class's share.  Ids pass as
@@ -29,7 +29,9 @@ from pluvia.functions.storage import materialise
 from pluvia.llm.bytesops import prefix_hash, slices, span_hash, words
 
 DISCOUNT = 0.75
-STRETCH = 4
+#: Log-ratios above which words are counted.
+LEVELS = (1.0, 2.0, 3.0)
+FEATURES = 3 + len(LEVELS)
 #: Bound on the labelled texts that the logistic function is fitted on.
 CALIBRATION_ROWS = 20_000
 
@@ -46,7 +48,7 @@ def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class KeyIndex:
-    """Sorted 64-bit keys found through a first level of 16-bit prefixes; absent keys get the number of keys."""
+    """Sorted 64-bit keys found through a table of their first bits; absent keys get the number of keys."""
 
     def __init__(self, keys: np.ndarray):
         self.order = np.argsort(keys)
@@ -128,34 +130,31 @@ class ToxicityModel:
     word: np.ndarray          # log of the toxic over the ordinary continuation probability of each word
     pairs: KeyIndex           # bigrams with a ratio of their own, after a fixed mixing of their numbers
     ratio: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
     prior: float = 0.0
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text: length-normalised log-ratio of the whole text, of its most toxic stretch, and of its two most toxic ones."""
+        """Per text: the log-likelihood ratio per word, that of its most toxic word, how many words are above each of
+        ``LEVELS``, and the number of words, the last two on a log scale."""
         n = len(offsets) - 1
         key, text = word_keys(data, offsets)
-        out = np.zeros((n, 3))
+        out = np.zeros((n, FEATURES))
         if not len(key):
             return out
         place, size = self.index.find(key), len(self.word)
         pair = bigrams(place, text, size)
         at = self.pairs.find(scatter(pair))
-        llr = np.append(self.ratio, 0)[at]
+        ratio = np.append(self.ratio, 0)[at]
         plain = at == len(self.ratio)
-        llr[plain] = self.history[pair[plain] // size] + self.word[place[plain]]
-        count = np.bincount(text, minlength=n)
-        out[:, 0] = np.bincount(text, weights=llr, minlength=n) / np.maximum(count, 1)
-        # Stretches may reach over a text's end into zeros: a shorter stretch counts as a whole one.
-        total = np.zeros(len(llr))
-        for k in range(STRETCH):
-            total[: len(llr) - k] += np.where(text[k:] == text[: len(llr) - k], llr[k:], 0)
-        total /= STRETCH
+        ratio[plain] = self.history[pair[plain] // size] + self.word[place[plain]]
+        words_in = np.maximum(np.bincount(text, minlength=n), 1)
+        out[:, 0] = np.bincount(text, weights=ratio, minlength=n) / words_in
+        alone = self.word[place]
         begin = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-        owner = text[begin]
-        out[owner, 1] = np.maximum.reduceat(total, begin)
-        # The share of words in clearly toxic stretches, on a log scale.
-        out[:, 2] = np.log1p(np.bincount(text, weights=total > 0.5, minlength=n))
+        out[text[begin], 1] = np.maximum.reduceat(alone, begin)
+        for i, level in enumerate(LEVELS):
+            out[:, 2 + i] = np.log1p(np.bincount(text, weights=alone > level, minlength=n))
+        out[:, -1] = np.log(words_in)
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -205,7 +204,7 @@ def train(
         model.weights = logistic(x, y)
     else:
         p = min(max(model.prior, 1e-3), 1 - 1e-3)
-        model.weights = np.array([0, 0, 0, np.log(p / (1 - p))])
+        model.weights = np.append(np.zeros(FEATURES), np.log(p / (1 - p)))
     return model
 
 
@@ -250,11 +249,13 @@ def feature_rows(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(0)):
                 x = shared.value.features(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), batch.column(1).slice(a, b - a)],
-                                                 names=["a", "b", "c", "toxic"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(FEATURES)), batch.column(1).slice(a, b - a)],
+                                                 names=[*names, "toxic"])
 
-    found = rows.select("_text", "toxic").mapInArrow(describe, "a double, b double, c double, toxic int").toPandas()
-    return found[["a", "b", "c"]].to_numpy(float).reshape(-1, 3), found["toxic"].to_numpy(float)
+    names = [f"x{i}" for i in range(FEATURES)]
+    schema = ", ".join(f"{x} double" for x in names) + ", toxic int"
+    found = rows.select("_text", "toxic").mapInArrow(describe, schema).toPandas()
+    return found[names].to_numpy(float).reshape(-1, FEATURES), found["toxic"].to_numpy(float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
