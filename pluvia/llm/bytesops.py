@@ -7,13 +7,14 @@ size.  A single text longer than that makes a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Base of the rolling hash and its inverse modulo 2**64 (any odd number has one).
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -44,7 +45,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("up", ())) < n + 1:
-        size = max(n + 1, SLICE_BYTES + 1)
+        size = n + n // 4 + 1
         with np.errstate(over="ignore"):
             for name, b in (("up", BASE), ("down", INVERSE)):
                 steps = np.full(size, b, np.uint64)
@@ -102,3 +103,12 @@ def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[n
 
 def sums_by(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(group, weights=values, minlength=n)
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a worker outlives its task, and its allocator would keep it."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back
+    pa.default_memory_pool().release_unused()

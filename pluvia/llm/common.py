@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +24,19 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "64m", "64MB", "-1b", "-1"):
         spark.conf.set(key, size)
+
+
+def append_column(docs: DataFrame, text_col: str, kind: str, compute: Callable[[pa.Array], pa.Array]) -> tuple[DataFrame, str]:
+    """All columns of ``docs`` and one more, made batch by batch from the texts; also its name, which no column has."""
+    name = "_new"
+    while name in docs.columns:
+        name += "_"
+    at = docs.columns.index(text_col)
+
+    def extend(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, compute(batch.column(at))], names=[*batch.schema.names, name])
+
+    from pyspark.sql import types as T
+
+    return docs.mapInArrow(extend, T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])), name

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MEMORY_ITEMS = 1 << 24
+MEMORY_ITEMS = 1 << 22
 
 
 class BucketQueue:
@@ -107,7 +107,8 @@ def run_ends(text: np.ndarray) -> np.ndarray:
     n = len(text)
     change = np.append(text[1:] != text[:-1], True)
     ends = np.flatnonzero(change)
-    return np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) if n else ends
+    sizes = np.diff(np.concatenate(([-1], ends)))
+    return np.repeat(ends.astype(np.int32 if n < 1 << 31 else np.int64), sizes)
 
 
 def same_until(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: np.ndarray) -> np.ndarray:

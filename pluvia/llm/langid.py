@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.llm.bytesops import slices, sums_by
+from pluvia.llm.common import append_column
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -167,25 +168,39 @@ def infer(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, steps: in
     return main, score, chosen
 
 
+def predictions(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(main language, score, size of the language set) of each text."""
+    names, score, langs = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+    if model.languages:
+        letters = [bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()]
+        for a, b, data, offsets in slices(texts):
+            main, s, n = infer(model, data, offsets)
+            for i in range(b - a):
+                if letters[a + i]:
+                    names[a + i], score[a + i], langs[a + i] = model.languages[main[i]], s[i], n[i]
+    return names, np.clip(score, 0, 1), langs
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, n_langs): main language, its proportion (or posterior, if alone), size of the set."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches):
-        model = shared.value
-        for batch in batches:
-            names, score, langs = [UNKNOWN] * len(batch), np.zeros(len(batch)), np.zeros(len(batch), np.int32)
-            letters = [bool(t) and _LETTER.search(t) is not None for t in batch.column(1).to_pylist()]
-            for a, b, data, offsets in slices(batch.column(1)):
-                if not model.languages:
-                    break
-                main, s, n = infer(model, data, offsets)
-                for i in range(b - a):
-                    if letters[a + i]:
-                        names[a + i], score[a + i], langs[a + i] = model.languages[main[i]], s[i], n[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(np.clip(score, 0, 1)), pa.array(langs)],
-                                             names=["doc_id", "lang_pred", "score", "n_langs"])
+    def predict(texts: pa.Array) -> pa.Array:
+        names, score, langs = predictions(shared.value, texts)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(langs)], ["lang_pred", "score", "n_langs"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, n_langs int")
+    found, name = append_column(rows, "_text", "struct<lang_pred:string,score:double,n_langs:int>", predict)
+    return found.select("doc_id", f"{name}.*")
+
+
+def with_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows that have a main language with a score of at least ``least``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def certain(texts: pa.Array) -> pa.Array:
+        names, score, _ = predictions(shared.value, texts)
+        return pa.array([x != UNKNOWN and bool(s >= least) for x, s in zip(names, score, strict=True)], pa.bool_())
+
+    found, name = append_column(docs, text_col, "boolean", certain)
+    return found.filter(F.col(name)).drop(name)

@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
-from pluvia.llm.bytesops import mix, prefix_hash, slices, span_hash
+from pluvia.llm.bytesops import mix, prefix_hash, release, slices, span_hash
 from pluvia.llm.induced_sort import MEMORY_ITEMS, induced
 
 SLOTS = 1 << 20
-SLICE = 1_000_000
+SLICE = 250_000
+#: Text of one shard, and the most shards; beyond that, shards grow and their sorting moves to disk.
+SHARD_BYTES = 3_000_000
+MOST_SHARDS = 20_000
 PIECE = "anchor long, piece long, who long, key long, start int, windows int"
 
 
@@ -70,10 +73,11 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
     return text[first], hashes[place[first]], span_hash(prefix, first, after - 1 + length), first - offsets[text[first]], after - first
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, who, key, bytes): a row is named by the hashes of its id and of its text, 128 bits together."""
+def identified(docs: DataFrame, id_col: str, text_col: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, row, who, key, bytes): a row is named by the hashes of its id and of its text, 128 bits together."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit("id"), F.col(id_col)).alias("who"),
+    row = F.struct(*others) if others else F.lit(None).cast("boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.xxhash64(F.lit("id"), F.col(id_col)).alias("who"),
                        F.xxhash64(text).alias("key"), text.cast("binary").alias("bytes"))
 
 
@@ -86,6 +90,7 @@ def pieces_of(rows: DataFrame, length: int, anchor: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchors.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(who[a + text]), pa.array(key[a + text]),
                      pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], names=[x.split()[0] for x in PIECE.split(", ")])
+        release()
 
     return rows.filter(F.octet_length("bytes") >= length).select("who", "key", "bytes").mapInArrow(cut, PIECE)
 
@@ -110,7 +115,7 @@ def piece_texts(rows: DataFrame, todo: DataFrame, length: int) -> DataFrame:
 RANGE = "who long, key long, from int, to int"
 
 
-def sorted_repeats(pieces: DataFrame, length: int, memory_items: int) -> DataFrame:
+def sorted_repeats(pieces: DataFrame, length: int, memory_items: int, shards: int) -> DataFrame:
     """Ranges of repeated windows among the pieces of each shard, by external induced sorting."""
 
     def search(batches):
@@ -145,8 +150,9 @@ def sorted_repeats(pieces: DataFrame, length: int, memory_items: int) -> DataFra
         yield pa.RecordBatch.from_arrays(
             [pa.array(who[owner]), pa.array(key[owner]), pa.array((first + offset).astype(np.int32)),
              pa.array((after - 1 + length + offset).astype(np.int32))], names=["who", "key", "from", "to"])
+        release()
 
-    dealt = pieces.repartition("anchor").select("who", "key", "start", "bytes")
+    dealt = pieces.repartition(shards, "anchor").select("who", "key", "start", "bytes")
     return dealt.mapInArrow(search, RANGE)
 
 
@@ -195,31 +201,37 @@ def repeated_ranges(
     several = several.filter("_kinds > 1 AND _least = 1")
     todo = kinds.join(several, F.col("anchor") == F.col("_a")).select(
         "anchor", "one.*", (F.col("_kinds") > hot_pieces).alias("hot"))
-    texts = materialise(piece_texts(rows, materialise(todo), length))
+    todo = materialise(todo)
+    size = todo.filter("NOT hot").agg(F.sum(F.col("windows") + length).cast("long")).first()[0] or 0
+    shards = min(MOST_SHARDS, max(1, -(-size // SHARD_BYTES)))
+    texts = materialise(piece_texts(rows, todo, length))
 
     whole = kinds.filter("n > 1").select(F.col("anchor").alias("_a"), F.col("piece").alias("_p"))
     whole = shared.join(whole, (F.col("anchor") == F.col("_a")) & (F.col("piece") == F.col("_p"))).select(
         "who", "key", F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to"))
-    return whole.unionByName(sorted_repeats(texts.filter("NOT hot"), length, memory_items)).unionByName(
+    return whole.unionByName(sorted_repeats(texts.filter("NOT hot"), length, memory_items, shards)).unionByName(
         counted_repeats(texts.filter("hot"), length))
 
 
 def remove_repeats(
     docs: DataFrame, length: int = 200, anchor: int = 64, hot_pieces: int = 20_000, memory_items: int = MEMORY_ITEMS,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): the remaining bytes of every document, concatenated."""
-    rows = identified(docs, id_col, text_col)
+    """(doc_id, row, n_bytes, n_removed, n_spans, kept): the remaining bytes of every document, concatenated.
+
+    ``row``: a struct of the columns named in ``others``, passed on as they are.
+    """
+    rows = identified(docs, id_col, text_col, others)
     ranges = repeated_ranges(rows, length, anchor, hot_pieces, memory_items)
     spans = materialise(ranges.groupBy("who", "key").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
     names = spans.select(F.col("who").alias("_who"), F.col("key").alias("_key"), "spans")
     touched = in_slots(rows, spans, "left_semi").join(
         names, (F.col("who") == F.col("_who")) & (F.col("key") == F.col("_key")), "left")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind, row = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "row"))
 
     def remove(batches):
         for batch in batches:
-            texts, spans = batch.column(1).to_pylist(), batch.column(2)
+            texts, spans = batch.column(2).to_pylist(), batch.column(3)
             n_removed, n_spans, kept = [], [], []
             for text, own in zip(texts, spans, strict=True):
                 if not own.is_valid:
@@ -235,13 +247,13 @@ def remove_repeats(
                 n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                [batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_removed, pa.int64()),
+                 pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    cut = touched.select("doc_id", "bytes", "spans").mapInArrow(
-        remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = touched.select("doc_id", "row", "bytes", "spans").mapInArrow(
+        remove, f"doc_id {kind}, row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
     others = in_slots(rows, spans, "left_anti").select(
-        "doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
+        "doc_id", "row", F.octet_length("bytes").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
         F.col("bytes").alias("kept"))
     return cut.unionByName(others)

@@ -21,7 +21,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
@@ -185,3 +185,18 @@ def near_duplicates(docs: DataFrame, radius: int = 2, field: int = 3, id_col: st
     ids = placed.select(F.col("fp").alias("_fp"), "root").join(smallest, "root").select("_fp", "component_id")
     joined = found.join(ids, F.col("fp") == F.col("_fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with the smallest id of their component, with all their columns; of rows that share that id, the one
+    with the least text.  Rows without an id stay."""
+    groups = near_duplicates(docs.filter(F.col(id_col).isNotNull()), radius, id_col=id_col, text_col=text_col)
+    first = materialise(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_first")).agg(F.count(F.lit(1)).alias("_rows")))
+    kept = docs.join(first.select("_first"), F.col(id_col) == F.col("_first"), "left_semi")
+    if not first.filter("_rows > 1").isEmpty():
+        # Only rows whose id is not unique need an order among themselves.
+        twice = first.filter("_rows > 1").select("_first")
+        order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
+        several = docs.join(twice, F.col(id_col) == F.col("_first"), "left_semi").withColumn("_place", F.row_number().over(order))
+        kept = kept.join(twice, F.col(id_col) == F.col("_first"), "left_anti").unionByName(several.filter("_place = 1").drop("_place"))
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
 from pluvia.llm.bytesops import prefix_hash, slices, span_hash, words
+from pluvia.llm.common import append_column
 
 DISCOUNT = 0.75
 #: Log-ratios above which words are counted.
@@ -274,17 +275,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return np.append(slope, w[-1] - slope @ mean)
 
 
+def scores(model: ToxicityModel, texts: pa.Array) -> pa.Array:
+    out = np.zeros(len(texts))
+    for a, b, data, offsets in slices(texts):
+        out[a:b] = model.score(data, offsets)
+    return pa.array(out)
+
+
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): probability of the toxic label for every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    found, name = append_column(rows, "_text", "double", lambda texts: scores(shared.value, texts))
+    return found.select("doc_id", F.col(name).alias("score"))
 
-    def scored(batches):
-        for batch in batches:
-            out = np.zeros(len(batch))
-            for a, b, data, offsets in slices(batch.column(1)):
-                out[a:b] = shared.value.score(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scored, f"doc_id {kind}, score double")
+def without_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below ``limit``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found, name = append_column(docs, text_col, "double", lambda texts: scores(shared.value, texts))
+    return found.filter(F.col(name) < limit).drop(name)
