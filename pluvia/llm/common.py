@@ -26,11 +26,17 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+def fresh_name(columns: list[str], name: str) -> str:
+    """A name that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def append_column(docs: DataFrame, text_col: str, kind: str, compute: Callable[[pa.Array], pa.Array]) -> tuple[DataFrame, str]:
     """All columns of ``docs`` and one more, made batch by batch from the texts; also its name, which no column has."""
-    name = "_new"
-    while name in docs.columns:
-        name += "_"
+    name = fresh_name(docs.columns, "_new")
     at = docs.columns.index(text_col)
 
     def extend(batches):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
 from pluvia.llm.bytesops import slices, words
+from pluvia.llm.common import fresh_name
 from pluvia.llm.components import components
 
 SEED = 42
@@ -191,12 +192,13 @@ def one_of_each(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     """The rows with the smallest id of their component, with all their columns; of rows that share that id, the one
     with the least text.  Rows without an id stay."""
     groups = near_duplicates(docs.filter(F.col(id_col).isNotNull()), radius, id_col=id_col, text_col=text_col)
-    first = materialise(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_first")).agg(F.count(F.lit(1)).alias("_rows")))
-    kept = docs.join(first.select("_first"), F.col(id_col) == F.col("_first"), "left_semi")
-    if not first.filter("_rows > 1").isEmpty():
+    first, place = fresh_name(docs.columns, "_first"), fresh_name(docs.columns, "_place")
+    ids = materialise(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(first)).agg(F.count(F.lit(1)).alias("n")))
+    alone, several = ids.filter("n = 1").select(first), ids.filter("n > 1").select(first)
+    kept = docs.join(alone, F.col(id_col) == F.col(first), "left_semi")
+    if not several.isEmpty():
         # Only rows whose id is not unique need an order among themselves.
-        twice = first.filter("_rows > 1").select("_first")
         order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-        several = docs.join(twice, F.col(id_col) == F.col("_first"), "left_semi").withColumn("_place", F.row_number().over(order))
-        kept = kept.join(twice, F.col(id_col) == F.col("_first"), "left_anti").unionByName(several.filter("_place = 1").drop("_place"))
+        rows = docs.join(several, F.col(id_col) == F.col(first), "left_semi").withColumn(place, F.row_number().over(order))
+        kept = kept.unionByName(rows.filter(F.col(place) == 1).drop(place))
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
