@@ -34,6 +34,20 @@ def fresh_name(columns: list[str], name: str) -> str:
     return name
 
 
+SLOTS = 1 << 20
+
+
+def in_slots(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, how: str = "left_semi") -> DataFrame:
+    """Rows whose key shares a hash slot with a wanted one (or, with ``left_anti``, the others), before a join on the key.
+
+    At most ``SLOTS`` slots are broadcast, however many keys are wanted.  The test only saves work: rows that share a
+    slot by chance stay.
+    """
+    slot = fresh_name(rows.columns, "_slot")
+    slots = wanted.select(F.pmod(F.xxhash64(wanted_key), F.lit(SLOTS)).alias(slot)).distinct()
+    return rows.join(F.broadcast(slots), F.pmod(F.xxhash64(key), F.lit(SLOTS)) == slots[slot], how)
+
+
 def append_column(docs: DataFrame, text_col: str, kind: str, compute: Callable[[pa.Array], pa.Array]) -> tuple[DataFrame, str]:
     """All columns of ``docs`` and one more, made batch by batch from the texts; also its name, which no column has."""
     name = fresh_name(docs.columns, "_new")

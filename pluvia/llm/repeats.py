@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
 from pluvia.llm.bytesops import mix, prefix_hash, release, slices, span_hash
+from pluvia.llm.common import in_slots
 from pluvia.llm.induced_sort import MEMORY_ITEMS, induced
 
-SLOTS = 1 << 20
 SLICE = 250_000
 #: Text of one shard, and the most shards; beyond that, shards grow and their sorting moves to disk.
 SHARD_BYTES = 3_000_000
@@ -95,17 +95,10 @@ def pieces_of(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     return rows.filter(F.octet_length("bytes") >= length).select("who", "key", "bytes").mapInArrow(cut, PIECE)
 
 
-def in_slots(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-    """Rows whose text shares a hash slot with a wanted one (left_semi), or the others (left_anti).  At most ``SLOTS``
-    slots are broadcast, however many texts are wanted; the test only saves work."""
-    slots = wanted.select(F.pmod("key", F.lit(SLOTS)).alias("_slot")).distinct()
-    return rows.join(F.broadcast(slots), F.pmod("key", F.lit(SLOTS)) == F.col("_slot"), how)
-
-
 def piece_texts(rows: DataFrame, todo: DataFrame, length: int) -> DataFrame:
     """The bytes of the pieces in ``todo``, cut out of their documents."""
     wanted = todo.groupBy("who", "key").agg(F.collect_list(F.struct("anchor", "start", "windows", "hot")).alias("_p"))
-    texts = in_slots(rows, wanted, "left_semi").select(F.col("who").alias("_who"), F.col("key").alias("_key"), "bytes")
+    texts = in_slots(rows, F.col("key"), wanted, F.col("key")).select(F.col("who").alias("_who"), F.col("key").alias("_key"), "bytes")
     joined = wanted.join(texts, (F.col("who") == F.col("_who")) & (F.col("key") == F.col("_key")))
     joined = joined.withColumn("_p", F.transform("_p", lambda p: p.withField("bytes", F.substring(
         F.col("bytes"), p["start"] + 1, p["windows"] + (length - 1)))))
@@ -225,7 +218,7 @@ def remove_repeats(
     ranges = repeated_ranges(rows, length, anchor, hot_pieces, memory_items)
     spans = materialise(ranges.groupBy("who", "key").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
     names = spans.select(F.col("who").alias("_who"), F.col("key").alias("_key"), "spans")
-    touched = in_slots(rows, spans, "left_semi").join(
+    touched = in_slots(rows, F.col("key"), spans, F.col("key")).join(
         names, (F.col("who") == F.col("_who")) & (F.col("key") == F.col("_key")), "left")
     kind, row = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "row"))
 
@@ -253,7 +246,7 @@ def remove_repeats(
     cut = touched.select("doc_id", "row", "bytes", "spans").mapInArrow(
         remove, f"doc_id {kind}, row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
-    others = in_slots(rows, spans, "left_anti").select(
+    others = in_slots(rows, F.col("key"), spans, F.col("key"), "left_anti").select(
         "doc_id", "row", F.octet_length("bytes").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
         F.col("bytes").alias("kept"))
     return cut.unionByName(others)

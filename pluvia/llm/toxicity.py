@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
 from pluvia.llm.bytesops import prefix_hash, slices, span_hash, words
-from pluvia.llm.common import append_column
+from pluvia.llm.common import append_column, in_slots
 
 DISCOUNT = 0.75
 #: Log-ratios above which words are counted.
@@ -74,10 +74,14 @@ class KeyIndex:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of the documents with a label, one row for each pair of a document and its label."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic IN (0, 1)")
+    """(_id, _text, toxic) of the documents with a label, one row for each pair of a document and its label.
+
+    Unlabelled texts stay out of the join's shuffle; the join sorts both sides at every size, so that plans do not
+    change with the number of labels."""
+    known = labels.select(F.col(id_col).alias("_key"), F.col(label_col).cast("int").alias("toxic")).filter("toxic IN (0, 1)")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    return rows.join(known, "_id").select("_id", "_text", "toxic")
+    rows = in_slots(rows, F.col("_id"), known, F.col("_key"))
+    return rows.join(known.hint("merge"), F.col("_id") == F.col("_key")).select("_id", "_text", "toxic")
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -185,7 +189,7 @@ def train(
     at most ``CALIBRATION_ROWS`` of them."""
     spark = docs.sparkSession
     fit = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(4)) != 3
-    rows = labelled(docs, labels, id_col, text_col, label_col)
+    rows = materialise(labelled(docs, labels, id_col, text_col, label_col))
     counted = rows.filter(fit)
 
     seen = materialise(count_words(counted))
