@@ -6,13 +6,15 @@ Three building blocks:
   with a proven small length is one window group; any other series is cut into
   blocks of consecutive positions and every block also receives the few rows
   its frames reach into (the halo), so no task ever holds a whole hot series.
-* ``with_cumulative`` prefix sums over distinct ordered values: the value range
-  is cut at sketch quantiles, each piece is summed on its own and shifted by
-  the total of the pieces below it.
+* ``with_cumulative`` prefix sums over distinct ordered values: Spark's range
+  partitioning cuts the ordered rows into pieces, each piece is summed on its
+  own and shifted by the total of the pieces below it.
 * ``exact_percentiles`` exact interpolated quantiles: a sketch brackets every
-  requested rank, only the values inside the bracket are ordered.
+  requested rank, only the values inside the bracket are ordered, in pieces.
 
-What reaches the driver is a fixed-size list of cut points per group.
+The number of pieces follows the number of rows; NULL comes first and NaN last
+in every route.  Pieces are cut on the value, the tie breakers and a random
+salt, so equal values never fill a piece of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +31,6 @@ from pyspark.sql.window import WindowSpec
 from pluvia.functions.storage import materialise
 
 TASK_ROWS = 1_000_000          # rows one task may order
-MAX_CUTS = 1024                # cut points per group
-MAX_CUT_GROUPS = 4096          # groups whose cut points may visit the driver
 SKETCH_ACCURACY = 10_000
 BRACKET = 4.0 / SKETCH_ACCURACY
 
@@ -85,66 +84,53 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def _thin(points: list[float], rows: int, per_piece: int) -> list[float]:
-    """Keep only as many cut points as the row count calls for."""
-    pieces = min(MAX_CUTS, max(1, math.ceil(rows / per_piece)))
-    if pieces == 1 or not points:
-        return []
-    step = len(points) / pieces
-    return sorted({points[int(i * step)] for i in range(1, pieces)})
+def in_ordered_pieces(df: DataFrame, order: Sequence[str], rows: int, per_piece: int) -> DataFrame:
+    """``df`` written in pieces of about ``per_piece`` rows that follow each other in order; adds ``_piece``.
 
-
-def _piece(cuts: Column, x: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c < x))
-
-
-def _with_piece(df: DataFrame, x: Column, cuts: list[float]) -> DataFrame:
-    """Adds ``_piece``: the interval of the cut points x falls in, NULL lowest."""
-    if not cuts:
-        return df.withColumn("_piece", F.lit(0))
-    splits = [-math.inf, *cuts, math.inf]
-    low = df.withColumn("_x", F.coalesce(x, F.lit(-math.inf)))
-    placed = Bucketizer(splits=splits, inputCol="_x", outputCol="_b").transform(low)
-    return placed.withColumn("_piece", F.col("_b").cast("int")).drop("_x", "_b")
-
-
-def _probes() -> Column:
-    return F.array(*[F.lit(i / MAX_CUTS) for i in range(1, MAX_CUTS)])
+    Written once, because the random salt that parts equal rows, and with it the cut, must not change between uses.
+    """
+    salted = df.withColumn("_salt", F.rand(7))
+    ranged = salted.repartitionByRange(max(1, math.ceil(rows / per_piece)), *order, "_salt")
+    return materialise(ranged.withColumn("_piece", F.spark_partition_id()))
+
+
+def _on_keys(keys: Sequence[str], condition: Column) -> Column:
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return condition
+
+
+def _totals_below(rows: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
+    """(_k0.., _p, _shift, _total): for each key and piece the weight of the key's earlier pieces, and of all."""
+    sums = rows.groupBy(*keys, "_piece").agg(F.sum(weight).alias("_w"))
+    by = [F.col(k) for k in keys] or [F.lit(0)]
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_p"),
+        F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_shift"),
+        F.sum("_w").over(Window.partitionBy(*by)).alias("_total"),
+    )
 
 
 def with_positions(df: DataFrame, s: Series, name: str = "_pos") -> DataFrame:
     """Adds ``name`` (0-based row number inside the key) without a task per key
-    (unless the keys are proven small enough for one)."""
+    (unless the keys are proven small enough for one).  Rows that the order and
+    the ties leave equal are numbered in any order."""
     if s.keys and s.rows_bound is not None and s.rows_bound <= s.block_rows:
         return df.withColumn(name, F.row_number().over(s.window()).cast("long") - 1)
-    x = as_number(df, s.order)
-    head = df.select(x.alias("x")).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("x", _probes(), MAX_CUTS).alias("q")
-    ).first()
-    cuts = _thin(head["q"] or [], head["n"], s.block_rows)
-    if not cuts:  # the whole table was counted and fits one task
+    n = df.count()
+    if n <= s.block_rows:
         by = [F.col(k) for k in s.keys] or [F.lit(0)]
         order = Window.partitionBy(*by).orderBy(s.order, *s.ties)
         return df.withColumn(name, F.row_number().over(order).cast("long") - 1)
-    rows = _with_piece(df, x, cuts)
-    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(s.keys)]
-    sizes = rows.groupBy(*s.keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*s.keys).orderBy("_piece").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    shift = sizes.select(
-        *named, F.col("_piece").alias("_p"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
-    )
-    inside = Window.partitionBy(*s.keys, "_piece").orderBy(s.order, *s.ties)
-    on = F.col("_piece") == F.col("_p")
-    for i, k in enumerate(s.keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = in_ordered_pieces(df, [s.order, *s.ties], n, s.block_rows)
+    shift = _totals_below(rows, s.keys, F.lit(1))
+    inside = Window.partitionBy(*s.keys, "_piece").orderBy(s.order, *s.ties, "_salt")
     return (
         rows.withColumn("_inner", F.row_number().over(inside) - 1)
-        .join(shift, on, "inner")
+        .join(shift, _on_keys(s.keys, F.col("_piece") == F.col("_p")), "inner")
         .withColumn(name, F.col("_inner") + F.col("_shift"))
-        .drop("_inner", "_shift", "_p", "_piece", *[f"_k{i}" for i in range(len(s.keys))])
+        .drop("_inner", "_shift", "_total", "_p", "_piece", "_salt", *[f"_k{i}" for i in range(len(s.keys))])
     )
 
 
@@ -190,37 +176,6 @@ def value_counts(
     )
 
 
-def _cut_table(df: DataFrame, groups: Sequence[str], value: str, per_piece: int) -> DataFrame | None:
-    """(groups, _cuts) per group, or None when every group fits one task.
-
-    Few groups come back and are broadcast at their known size.  Many are
-    written once, so that every branch of a plan sees the same cut points, and
-    join on the group columns.
-    """
-    if longest_series(df, groups) <= per_piece:
-        return None
-    x = as_number(df, value)
-    heads = df.select(*groups, x.alias("x")).groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("x", _probes(), MAX_CUTS).alias("q")
-    )
-    found = heads.limit(MAX_CUT_GROUPS + 1).collect()
-    if len(found) <= MAX_CUT_GROUPS:
-        schema = T.StructType(
-            [T.StructField(g, df.schema[g].dataType) for g in groups]
-            + [T.StructField("_cuts", T.ArrayType(T.DoubleType()))]
-        )
-        rows = [(*[h[g] for g in groups], _thin(h["q"] or [], h["n"], per_piece)) for h in found]
-        return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-    pieces = F.least(F.lit(MAX_CUTS), F.ceil(F.col("n") / per_piece)).cast("int")
-    picked = F.transform(
-        F.sequence(F.lit(1), F.greatest(pieces - 1, F.lit(1))),
-        lambda i: F.element_at("q", (F.floor(i * F.size("q") / pieces) + 1).cast("int")),
-    )
-    none = F.array().cast("array<double>")
-    cuts = F.when(pieces > 1, F.array_sort(F.array_distinct(picked))).otherwise(none)
-    return materialise(heads.select(*groups, cuts.alias("_cuts")))
-
-
 def with_cumulative(
     df: DataFrame,
     groups: Sequence[str],
@@ -233,51 +188,23 @@ def with_cumulative(
 
     ``df`` has one row per (groups, value)."""
     groups = list(groups)
-    cuts = None
-    if rows_bound is None or rows_bound > per_piece:
-        cuts = _cut_table(df, groups, value, per_piece)
-    if cuts is None:
-        below = Window.partitionBy(*groups).orderBy(value).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        if groups:
-            everything = Window.partitionBy(*groups)
-            return df.withColumns({
-                "below": F.coalesce(F.sum(weight).over(below), F.lit(0)),
-                "total": F.sum(weight).over(everything),
-            })
-        # One group for the whole table and at most one task's worth of values.
-        one = df.withColumn("_all", F.lit(0))
-        order = Window.partitionBy("_all").orderBy(value).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return one.withColumns({
-            "below": F.coalesce(F.sum(weight).over(order), F.lit(0)),
-            "total": F.sum(weight).over(Window.partitionBy("_all")),
-        }).drop("_all")
-    x = as_number(df, value)
-    if groups:
-        rows = df.join(cuts, groups)
-        rows = rows.withColumn("_piece", _piece(F.col("_cuts"), x)).drop("_cuts")
-    else:
-        rows = _with_piece(df, x, cuts.first()["_cuts"])
-    sums = rows.groupBy(*groups, "_piece").agg(F.sum(weight).alias("_w"))
-    if not groups:
-        sums = sums.withColumn("_all", F.lit(0))
-    by = groups or ["_all"]
-    lower = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sums.withColumns({
-        "_shift": F.coalesce(F.sum("_w").over(lower), F.lit(0)),
-        "total": F.sum("_w").over(Window.partitionBy(*by)),
-    }).drop("_w", "_all")
-    inside = Window.partitionBy(*groups, "_piece").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    by = [F.col(g) for g in groups] or [F.lit(0)]
+    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    if rows_bound is None:
+        rows_bound = longest_series(df, groups)
+    if rows_bound <= per_piece:
+        return df.withColumns({
+            "below": F.coalesce(F.sum(weight).over(below), F.lit(0)),
+            "total": F.sum(weight).over(Window.partitionBy(*by)),
+        })
+    rows = in_ordered_pieces(df, [*groups, value], df.count(), per_piece)
+    shift = _totals_below(rows, groups, F.col(weight))
+    inside = Window.partitionBy(*groups, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(shift, [*groups, "_piece"])
-        .withColumn("below", F.col("_in") + F.col("_shift"))
-        .drop("_in", "_shift", "_piece")
+        .join(shift, _on_keys(groups, F.col("_piece") == F.col("_p")))
+        .withColumns({"below": F.col("_in") + F.col("_shift"), "total": F.col("_total")})
+        .drop("_in", "_shift", "_total", "_p", "_piece", "_salt", *[f"_k{i}" for i in range(len(groups))])
     )
 
 
@@ -337,12 +264,7 @@ def exact_percentiles(
             ).alias("_q"),
         )
     )
-    found = sketch.limit(MAX_CUT_GROUPS + 1).collect()
-    if not found:
-        empty = sketch.select(*groups, *[F.lit(None).cast("double").alias(n) for n in names])
-        return empty
-    if len(found) <= MAX_CUT_GROUPS:
-        sketch = F.broadcast(df.sparkSession.createDataFrame(found, sketch.schema))
+    sketch = materialise(sketch)
     brackets = F.array(*[
         F.struct(
             F.lit(i).alias("i"),
@@ -357,12 +279,14 @@ def exact_percentiles(
     if groups:
         rows = rows.join(targets, groups)
     else:
-        only = targets.first()["_b"]
+        only = targets.first()
+        if only is None:
+            return sketch.select(*[F.lit(None).cast("double").alias(n) for n in names])
         rows = rows.withColumn("_b", F.array(*[
             F.struct(
                 F.lit(b["i"]).alias("i"), F.lit(b["at"]).alias("at"),
                 F.lit(b["lo"]).alias("lo"), F.lit(b["hi"]).alias("hi"),
-            ) for b in only
+            ) for b in only["_b"]
         ]))
     hits = (
         rows.withColumn("_t", F.explode(F.filter("_b", lambda b: b["hi"] >= F.col("_v"))))
@@ -372,10 +296,8 @@ def exact_percentiles(
         )
         .groupBy(*groups, "i", "at", "x").agg(F.count(F.lit(1)).alias("c"))
     )
-    order = Window.partitionBy(*groups, "i").orderBy(F.col("x").asc_nulls_first())
-    ranked = hits.withColumn("upto", F.sum("c").over(order)).withColumn(
-        "from", F.col("upto") - F.col("c")
-    )
+    ranked = with_cumulative(materialise(hits), [*groups, "i"], "x", "c", per_piece=per_piece)
+    ranked = ranked.withColumns({"from": F.col("below"), "upto": F.col("below") + F.col("c")})
 
     def value_at(rank: Column) -> Column:
         hit = (F.col("from") <= rank) & (rank < F.col("upto"))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from pluvia import constants as C
 from pluvia.functions.ordering import (
-    MAX_CUT_GROUPS,
     Series,
     exact_percentiles,
     longest_series,
@@ -53,8 +52,8 @@ def join_groups(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> Dat
 def with_group_facts(df: DataFrame, groups: Sequence[str], facts: dict[str, Column]) -> DataFrame:
     """Adds per-group aggregates to every row.
 
-    The aggregates of few groups come back as constants or a table of known
-    size; those of many groups stay distributed and join on the group columns.
+    The aggregates of the whole table come back as constants; those of groups
+    join on the group columns, broadcast only if the planner finds them small.
     """
     found = df.groupBy(*groups).agg(*[c.alias(n) for n, c in facts.items()])
     return attach_facts(df, found, groups)
@@ -68,9 +67,6 @@ def attach_facts(df: DataFrame, found: DataFrame, groups: Sequence[str]) -> Data
         return df.withColumns({
             n: F.lit(row[n] if row else None).cast(found.schema[n].dataType) for n in found.columns
         })
-    rows = found.limit(MAX_CUT_GROUPS + 1).collect()
-    if len(rows) <= MAX_CUT_GROUPS:
-        found = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
     return df.join(found, groups)
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pluvia.functions import ordering as od
@@ -71,15 +72,33 @@ def test_average_ranks_split_and_plain(panel_rows):
     np.testing.assert_allclose(flat, src["x"].rank().groupby(src["x"]).first().sort_index())
 
 
-def test_average_ranks_with_more_groups_than_the_driver_lists(panel_rows, monkeypatch):
-    want = od.average_ranks(panel_rows, ["site"], "x", rows_bound=1000).toPandas().set_index(["site", "x"])["rank"]
-    monkeypatch.setattr(od, "MAX_CUT_GROUPS", 1)
-    got = od.average_ranks(panel_rows, ["site"], "x", per_piece=10).toPandas().set_index(["site", "x"])["rank"]
-    np.testing.assert_allclose(got.sort_index(), want.sort_index())
+def test_split_percentiles_of_groups(panel_rows):
     q = od.exact_percentiles(panel_rows, ["site"], "x", {"m": 0.5}, per_piece=5).toPandas().set_index("site")["m"]
     np.testing.assert_allclose(q.sort_index(), panel_rows.toPandas().groupby("site")["x"].median())
 
 
+@pytest.mark.parametrize("kind", ["ties", "nan", "null", "equal"])
+def test_split_routes_with_ties_nan_and_null(spark, kind):
+    """The split routes give the plain routes' rows, and no piece grows beyond twice its size, whatever the values."""
+    rng = np.random.default_rng(3)
+    values = [0.0 if rng.random() < 0.9 else float(rng.integers(1, 50)) for _ in range(4000)]
+    if kind == "equal":
+        values = [7.0] * 4000
+    if kind in ("nan", "null"):
+        values = [(float("nan") if kind == "nan" else None) if i % 3 == 0 else v for i, v in enumerate(values)]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double").repartition(4)
+    split = od.with_positions(df, od.Series((), "v", ("id",), block_rows=200))
+    plain = od.with_positions(df, od.Series((), "v", ("id",), block_rows=10_000))
+    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+    loose = od.with_positions(df, od.Series((), "v", block_rows=200))
+    assert sorted(r._pos for r in loose.collect()) == list(range(4000))
+    pieces = od.in_ordered_pieces(df, ["v"], 4000, 200).groupBy("_piece").count().collect()
+    assert max(r["count"] for r in pieces) <= 400
+    a = od.average_ranks(df, [], "v", per_piece=5).collect()
+    b = od.average_ranks(df, [], "v", rows_bound=10_000, per_piece=10_000).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
+
+
 def test_bracket_percentiles_are_exact(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([np.zeros(20000), rng.gamma(2, 3, 30000), [5.0] * 7000])
