@@ -186,7 +186,7 @@ def train(
     vocabulary: int = 1 << 15, kept_bigrams: int = 1 << 18,
 ) -> ToxicityModel:
     """Counts over three quarters of the labelled texts (by a hash of the id), fits the logistic function on the rest,
-    at most ``CALIBRATION_ROWS`` of them."""
+    about ``CALIBRATION_ROWS`` of them at most, chosen by another hash; only their features reach the driver."""
     spark = docs.sparkSession
     fit = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(4)) != 3
     rows = materialise(labelled(docs, labels, id_col, text_col, label_col))
@@ -202,8 +202,10 @@ def train(
     pairs = materialise(count_bigrams(counted, spark.sparkContext.broadcast(index)))
     model = kneser_ney(pairs, index, size, kept_bigrams)
 
-    found = rows.filter(~fit).orderBy(F.xxhash64(F.col("_id").cast("string"))).limit(CALIBRATION_ROWS)
-    x, y = feature_rows(found, model)
+    rest = rows.filter(~fit)
+    share = min(1.0, CALIBRATION_ROWS / max(rest.count(), 1))
+    taken = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000)
+    x, y = feature_rows(rest.filter(taken), model)
     model.prior = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
     if len(y) and 0 < y.sum() < len(y):
         model.weights = logistic(x, y)
@@ -259,7 +261,7 @@ def feature_rows(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.
 
     names = [f"x{i}" for i in range(FEATURES)]
     schema = ", ".join(f"{x} double" for x in names) + ", toxic int"
-    found = rows.select("_text", "toxic").mapInArrow(describe, schema).toPandas()
+    found = rows.select("_text", "toxic").mapInArrow(describe, schema).limit(CALIBRATION_ROWS).toPandas()
     return found[names].to_numpy(float).reshape(-1, FEATURES), found["toxic"].to_numpy(float)
 
 
