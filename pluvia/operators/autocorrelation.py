@@ -160,7 +160,7 @@ def suggest_orders(
 ) -> DataFrame:
     """Seasonal ARIMA orders per series from its significant lags.
 
-    p and q count up to three of the first lags; the season is the longest
+    The AR and MA orders count up to three of the first lags; the season is the longest
     given period of a week or more, else a known period within two lags.
     """
     keys = list(keys)
@@ -183,24 +183,23 @@ def suggest_orders(
     order_q = F.when(F.size("acf_lags") > 0, F.least(F.size("acf_lags"), F.lit(3))).otherwise(1)
     all_periods = F.array(*[F.lit(p) for p in seasonal]) if seasonal else F.col("_known")
     out = found.withColumns({
-        "p": order_p, "q": order_q, "seasonal_periods": all_periods,
-    }).withColumn("s", F.coalesce(F.array_max("seasonal_periods"), F.lit(0))).withColumn(
-        "seasonal_terms", (F.col("s") > 0).cast("int")
-    )
+        "ar_order": order_p, "ma_order": order_q, "seasonal_periods": all_periods,
+    }).withColumn("season_length", F.coalesce(F.array_max("seasonal_periods"), F.lit(0))).withColumn(
+        "seasonal_ar", (F.col("season_length") > 0).cast("int")
+    ).withColumn("seasonal_ma", F.col("seasonal_ar"))
 
     def model(d: int) -> Column:
-        plain = F.format_string(f"ARIMA(%d,{d},%d)", "p", "q")
+        plain = F.format_string(f"ARIMA(%d,{d},%d)", "ar_order", "ma_order")
         with_season = F.format_string(
-            f"SARIMA(%d,{d},%d)x(%d,{d},%d,%d)", "p", "q", "seasonal_terms", "seasonal_terms", "s"
+            f"SARIMA(%d,{d},%d)x(%d,{d},%d,%d)", "ar_order", "ma_order", "seasonal_ar", "seasonal_ma", "season_length"
         )
-        return F.when(F.col("s") > 0, with_season).otherwise(plain)
+        return F.when(F.col("season_length") > 0, with_season).otherwise(plain)
 
     models = [model(1), model(0)]
     if len(seasonal) > 1:
         second = sorted(seasonal, reverse=True)[1]
-        models.append(F.format_string(f"SARIMA(%d,1,%d)x(1,1,1,{second})", "p", "q"))
+        models.append(F.format_string(f"SARIMA(%d,1,%d)x(1,1,1,{second})", "ar_order", "ma_order"))
     return out.select(
-        *keys, "p", "q", F.col("seasonal_terms").alias("P"), F.col("seasonal_terms").alias("Q"), "s",
-        "seasonal_periods", F.array(*models).alias("suggested_models"),
+        *keys, "ar_order", "ma_order", "seasonal_ar", "seasonal_ma", "season_length", "seasonal_periods", F.array(*models).alias("suggested_models"),
         F.lit("theory_driven" if budget["has_periods"] else "traditional").alias("methodology"),
     )

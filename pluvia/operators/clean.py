@@ -146,12 +146,13 @@ def handle_missing_values(
     date_col: str = C.DATE_LABEL,
     keys: tuple[str, ...] | list[str] = (),
     rows_bound: int | None = None,
+    ties: tuple[str, ...] | list[str] = (),
 ) -> DataFrame:
     """drop | fill_forward | fill_mean | drop_columns; anything else changes nothing."""
     if strategy == "drop":
         return df.na.drop("any")
     if strategy == "fill_forward":
-        return fill_forward(df, series(keys, date_col, rows_bound=rows_bound))
+        return fill_forward(df, series(keys, date_col, ties=ties, rows_bound=rows_bound))
     if strategy == "fill_mean":
         return fill_mean(df)
     if strategy == "drop_columns":

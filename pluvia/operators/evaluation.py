@@ -101,11 +101,9 @@ def prepare_data(
     Both sides keep ``_pos`` so that folds need no second numbering.  The
     prepared rows are written once, since every fit reads them again."""
     features = features or [c for c in df.columns if c not in (target, order, *ties)]
-    complete = materialise(
-        df.select(*dict.fromkeys([order, *ties, target, *features])).na.drop("any", subset=features)
-    )
+    complete = df.select(*dict.fromkeys([order, *ties, target, *features])).na.drop("any", subset=features)
     rows = materialise(numbered_rows(complete, order, ties))
-    cut = int(complete.count() * (1 - test_size))
+    cut = int(rows.count() * (1 - test_size))
     return rows.filter(F.col("_pos") < cut), rows.filter(F.col("_pos") >= cut)
 
 

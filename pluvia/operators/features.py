@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvia import constants as C
-from pluvia.functions.ordering import Series, over_frames
+from pluvia.functions.ordering import Series, over_frames, with_positions
 from pluvia.functions.stats import aggregate, box_cox, safe_corr_over
 
 FRAME_STATS = ("mean", "std", "min", "max", "sum")
@@ -182,9 +182,21 @@ def build_sequences(
 
 
 def recent_rows(df: DataFrame, rows: int, *, by: Series) -> DataFrame:
-    """The last ``rows`` rows of every series (a rank filter Spark applies before the shuffle)."""
-    newest = Window.partitionBy(*by.keys).orderBy(F.col(by.order).desc(), *by.ties)
-    return df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= rows).drop("_rn")
+    """The last ``rows`` rows of every series; of equal places the last by the tie breakers.
+
+    A short series is ranked from its end; any other is numbered in pieces and cut by its number of rows."""
+    if by.keys and by.rows_bound is not None and by.rows_bound <= by.block_rows:
+        newest = Window.partitionBy(*by.keys).orderBy(*[F.col(c).desc_nulls_last() for c in (by.order, *by.ties)])
+        return df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= rows).drop("_rn")
+    placed = with_positions(df, by)
+    if not by.keys:
+        return placed.filter(F.col("_pos") >= df.count() - rows).drop("_pos")
+    sizes = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by.keys)]).agg(F.count(F.lit(1)).alias("_n"))
+    on = F.lit(True)
+    for i, k in enumerate(by.keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    kept = placed.join(sizes, on).filter(F.col("_pos") >= F.col("_n") - rows)
+    return kept.drop("_pos", "_n", *[f"_k{i}" for i in range(len(by.keys))])
 
 
 def stabilise_variance(

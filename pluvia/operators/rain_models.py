@@ -67,7 +67,7 @@ class Linear(Family):
             return LinearRegression(regParam=alpha * ratio ** 0.5, elasticNetParam=1.0, **common)
         if kind == "linear":
             return LinearRegression(regParam=0.0, **common)
-        raise ValueError("regression_type must be 'ridge', 'lasso', or 'linear'")
+        raise ValueError(f"unknown regression type {kind!r}; known are ridge, lasso and linear")
 
     @staticmethod
     def _ratio(params: dict, rows: int) -> float:

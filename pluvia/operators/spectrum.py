@@ -116,8 +116,10 @@ def power_table(spectrum: DataFrame, max_period: int = 365) -> DataFrame:
     })
 
 
-def period_power(power: DataFrame, periods: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Power at the bin nearest to each dominant period; 0 beyond the table."""
+def period_power(
+    power: DataFrame, periods: DataFrame, keys: Sequence[str] = (), max_period: int = 365
+) -> DataFrame:
+    """Power at the bin nearest to each dominant period; 0 beyond ``max_period``, the table's own bound."""
     listed = periods.groupBy(*keys).agg(F.collect_list("period_days").alias("_p"))
     if keys:
         pairs = power.join(listed, list(keys))
@@ -129,7 +131,7 @@ def period_power(power: DataFrame, periods: DataFrame, keys: Sequence[str] = ())
         F.max("period").alias("_top"),
     )
     return near.select(*keys, "period_days", F.when(
-        F.col("period_days") <= 365, F.col("log_power")
+        F.col("period_days") <= max_period, F.col("log_power")
     ).otherwise(0.0).alias("log_power"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from pluvia.functions.gram import gram_by_key
 from pluvia.functions.ordering import Series, longest_series, over_frames, running_total
+from pluvia.functions.storage import materialise
 from pluvia.functions.stats import kurt_adjusted, skew_adjusted
 from pluvia.functions.tails import let, normal_cdf
 from pluvia.operators.autocorrelation import lags_near_periods, ljung_box, ljung_box_summary
@@ -282,6 +283,7 @@ def make_stationary(df: DataFrame, columns: list[str], *, by: Series) -> DataFra
     """Differences, per series and column, what both tests call non-stationary,
     then drops rows with any missing value; other columns are carried along."""
     keys = list(by.keys)
+    df = materialise(df)  # read by both tests of every column and by the differences
     verdicts = None
     for c in columns:
         v = stationarity_tests(df.select(*keys, by.order, *by.ties, c), c, "c", by=by).select(
@@ -374,12 +376,16 @@ def synthesis(
     steady = F.col("stationarity_type") == "Stationary"
     seasonal = F.size("seasonal_periods") > 0
     near_count = F.coalesce("_near", F.lit(0)) if periods else F.lit(0)
+    listed = F.array_join(F.col("seasonal_periods").cast("array<string>"), ", ")
+    named = ", ".join(str(p) for p in periods)
     advice = F.array_compact(F.array(
-        F.when(steady, "ARMA models suitable").otherwise("ARIMA models recommended (d=1)"),
-        F.when(seasonal, "SARIMA models for theory-driven seasonal patterns" if periods
-               else "SARIMA models for detected seasonal patterns"),
-        F.when(F.col("overall_quality") == "Good", "MSTL decomposition captured most patterns")
-        .when(F.col("overall_quality").isNotNull(), "Additional AR/MA terms may be needed"),
+        F.when(steady, "arma").otherwise("arima with one difference"),
+        F.when(seasonal, "sarima for the given periods" if periods else "sarima for the periods found"),
+        F.when(seasonal & F.lit(bool(periods)), F.lit(f"given periods: {named}")),
+        F.when(seasonal, F.concat(F.lit("all seasonal periods: "), listed)),
+        F.when(F.col("overall_quality") == "Good", "decomposition explains most of the series")
+        .when(F.col("overall_quality").isNotNull(), "residuals ask for more ar or ma terms"),
+        F.when(F.lit(bool(periods)), F.concat(F.lit("significant lags near given periods: "), near_count.cast("string"))),
     ))
     return out.select(
         *keys, "stationarity_type", (~steady).alias("differencing_needed"), "significant_lags",

@@ -46,26 +46,29 @@ def _folds(numbered: DataFrame, n_splits: int):
 
 
 def cross_validate(model: RainModel, numbered: DataFrame, n_splits: int = 5) -> DataFrame:
-    """(metric, mean, std, scores) over expanding-window folds.
+    """(metric, mean, std, scores, folds, failed_folds, errors) over expanding-window folds.
 
-    ``numbered`` carries ``_pos``; a fold that cannot be fitted is skipped."""
+    ``numbered`` carries ``_pos``.  ``folds`` counts the folds that have the metric; a fold that cannot be fitted is
+    counted in ``failed_folds`` and its error is listed."""
     scores: dict[str, list[float]] = {"ROC_AUC": [], "MAE": [], "RMSE": [], "R2": []}
+    errors = []
     for size, train, test in _folds(numbered, n_splits):
         try:
             found = _fold_scores(model, train, test, size)
-        except Exception:
+        except Exception as e:
+            errors.append(f"{type(e).__name__}: {str(e)[:300]}")
             continue
         for name, value in found.items():
             if value is not None and not math.isnan(value):
                 scores[name].append(float(value))
     rows = []
     for name, values in scores.items():
-        if values:
-            mean = sum(values) / len(values)
-            std = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-            rows.append((name, mean, std, values))
+        mean = sum(values) / len(values) if values else None
+        std = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values)) if values else None
+        if values or errors:
+            rows.append((name, mean, std, values, len(values), len(errors), errors))
     return numbered.sparkSession.createDataFrame(
-        rows, "metric string, mean double, std double, scores array<double>"
+        rows, "metric string, mean double, std double, scores array<double>, folds int, failed_folds int, errors array<string>"
     )
 
 

@@ -198,9 +198,34 @@ def term_categories(spark, sf_dir):
 VIF_COLUMNS = PREDICTORS
 
 
-@query()
+def determinant(m: list[list[str]]) -> str:
+    """SQL of a determinant, expanded along the first row."""
+    if len(m) == 1:
+        return m[0][0]
+    minors = [determinant([row[:j] + row[j + 1:] for row in m[1:]]) for j in range(len(m))]
+    return "(" + " ".join(f"{'+-'[j % 2]} {m[0][j]} * {minors[j]}" for j in range(len(m))) + ")"
+
+
+def inverse_diagonal(columns: list[str]) -> str:
+    """Rows (f, v): diagonal of the inverse of the correlation matrix, from ratios of determinants over ``r``."""
+    m = [["1.0" if a == b else f"r_{min(a, b)}_{max(a, b)}" for b in columns] for a in columns]
+    whole = determinant(m)
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS f, {determinant([row[:i] + row[i + 1:] for k, row in enumerate(m) if k != i])} / {whole} AS v FROM r"
+        for i, c in enumerate(columns))
+
+
+VIF = PANEL + f""", r AS (SELECT {", ".join(f"CORR({a}, {b}) AS r_{min(a, b)}_{max(a, b)}" for i, a in enumerate(PREDICTORS) for b in PREDICTORS[i + 1:])}
+  FROM panel WHERE {" AND ".join(f"{c} IS NOT NULL" for c in PREDICTORS)}), v AS ({inverse_diagonal(PREDICTORS)})
+SELECT f AS "Feature", ROUND(v, 7) AS "VIF_Score",
+  CASE f WHEN 'temp' THEN 'Temperature' WHEN 'humidity' THEN 'Humidity' WHEN 'wind' THEN 'Wind' ELSE 'Pressure_Radiation' END AS "Category",
+  CASE WHEN v < 5 THEN 'Low' WHEN v < 10 THEN 'Moderate' ELSE 'High' END AS "Risk_Level" FROM v
+"""
+
+
+@query(VIF)
 def vif(spark, sf_dir):
-    return co.vif_table(panel(spark, sf_dir), VIF_COLUMNS, "rain", TERMS)
+    return rounded(co.vif_table(panel(spark, sf_dir), VIF_COLUMNS, "rain", TERMS), 7, "VIF_Score")
 
 
 @query("""

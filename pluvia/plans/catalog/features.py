@@ -115,7 +115,8 @@ EVENT_BLOCK = 500
 
 
 @query(PANEL + f"""
-SELECT site, day, rain, n_obs, {", ".join(f"ROUND(COALESCE({c}, (SELECT AVG({c}) FROM panel)), 5) AS {c}" for c in PREDICTORS)} FROM panel
+, means AS (SELECT {", ".join(f"AVG({c}) AS m_{c}" for c in PREDICTORS)} FROM panel)
+SELECT site, day, rain, n_obs, {", ".join(f"ROUND(COALESCE({c}, m_{c}), 5) AS {c}" for c in PREDICTORS)} FROM panel CROSS JOIN means
 """)
 def missing_fill_mean(spark, sf_dir):
     filled = clean.fill_mean(panel(spark, sf_dir), PREDICTORS)
@@ -248,7 +249,7 @@ def variance_box_cox(spark, sf_dir):
 
 
 @query("""
-WITH g AS (SELECT CAST(ROUND(-2 + i * 0.05, 10) AS DOUBLE) AS lam FROM (SELECT UNNEST(GENERATE_SERIES(0, 80)) AS i)),
+WITH g AS (SELECT CAST(ROUND(-2 + i * 0.01, 10) AS DOUBLE) AS lam FROM (SELECT UNNEST(GENERATE_SERIES(0, 400)) AS i)),
 f AS (SELECT l_shipmonth, lam, COUNT(*) AS n, SUM(LN(x)) AS sl,
              VAR_POP(CASE WHEN ABS(lam) < 1e-12 THEN LN(x) ELSE (EXP(lam * LN(x)) - 1) / CASE WHEN ABS(lam) < 1e-12 THEN 1 ELSE lam END END) AS v
       FROM (SELECT MONTH(l_shipdate) AS l_shipmonth, l_extendedprice AS x FROM lineitem), g GROUP BY 1, 2),
@@ -258,7 +259,7 @@ SELECT l_shipmonth, lam FROM r WHERE rn = 1
 """)
 def variance_auto_lambda(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.month("l_shipdate").alias("l_shipmonth"), "l_extendedprice")
-    return fx.box_cox_lambda(rows, "l_extendedprice", ["l_shipmonth"], (-2.0, 2.0, 81))
+    return fx.box_cox_lambda(rows, "l_extendedprice", ["l_shipmonth"])
 
 
 STEPS = [

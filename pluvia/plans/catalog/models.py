@@ -204,7 +204,7 @@ def forecast_rows(spark, sf_dir):
     train = rows.filter(F.col("day") <= F.lit(LAST_TRAIN).cast("date"))
     later = rows.filter(F.col("day") > F.lit(LAST_TRAIN).cast("date")).withColumn(
         "step", F.datediff("day", F.lit(LAST_TRAIN).cast("date"))
-    ).filter("step <= 30")
+    )
     return train, later
 
 

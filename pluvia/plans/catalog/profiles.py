@@ -50,11 +50,15 @@ def quality_missing_columns(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT l_orderkey, l_linenumber, COUNT(*) AS c FROM lineitem GROUP BY ALL)
+WITH r AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 40),
+k AS (SELECT COUNT(*) AS c FROM r GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+  l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)
 SELECT CAST(SUM(c - 1) AS BIGINT) AS duplicate_rows, ROUND(SUM(c - 1) * 100.0 / SUM(c), 2) AS duplicate_percentage FROM k
 """)
 def quality_duplicates(spark, sf_dir):
-    return ql.duplicate_rows(lines(spark, sf_dir).select("l_orderkey", "l_linenumber"))
+    """Full rows of the line items and a second copy of some of them."""
+    rows = lines(spark, sf_dir)
+    return ql.duplicate_rows(rows.unionAll(rows.filter("l_linenumber = 1 AND l_quantity > 40")))
 
 
 @query("""
@@ -65,7 +69,8 @@ SELECT CASE c WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE
        WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type, COUNT(*) AS n_columns FROM t GROUP BY 1
 """)
 def quality_types(spark, sf_dir):
-    return ql.type_counts(lines(spark, sf_dir))
+    """The types that the files themselves declare."""
+    return ql.type_counts(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
 @query(PANEL + """

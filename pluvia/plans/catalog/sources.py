@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pluvia.functions.storage import shared_folder
 from pluvia.plans.catalog.registry import PANEL, query
 from pluvia.sources import payload, weather
 from pluvia.sources.panel import panel, table
@@ -78,6 +81,37 @@ def csv_lines(spark, sf_dir):
     return weather.null_sentinels(weather.parse_dates(parsed.select("site", "r.*"), "DATE"))
 
 
+@query(PANEL + """
+SELECT site, rain AS "PRECTOTCORR", temp AS "T2M", day AS "DATE" FROM panel
+""")
+def csv_scan(spark, sf_dir):
+    """CSV files with a header and -999 for what is missing, written and scanned back whole."""
+    schema = T.StructType([T.StructField("site", T.IntegerType()), *CSV_SCHEMA.fields[1:], CSV_SCHEMA.fields[0]])
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    panel(spark, sf_dir).select(
+        F.date_format("day", "yyyyMMdd").alias("DATE"), F.coalesce("temp", F.lit(-999.0)).alias("T2M"),
+        F.col("rain").alias("PRECTOTCORR"), "site",
+    ).write.option("header", True).csv(folder)
+    return weather.read_weather_csv(spark, folder, rename_columns=False, schema=schema)
+
+
+@query(PANEL + "SELECT site, day, rain, temp FROM panel WHERE day BETWEEN DATE '1996-11-15' AND DATE '1999-02-03'")
+def daily_sink(spark, sf_dir):
+    """The year-partitioned table written and a date range of it read back."""
+    folder = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
+    weather.write_daily(panel(spark, sf_dir).select("site", "day", "rain", "temp"), folder, "day")
+    return weather.read_daily(spark, folder, "day", "19961115", "19990203")
+
+
+@query("""
+SELECT o_orderkey, 'not a date' AS "DATE" FROM orders WHERE o_orderstatus = 'P'
+""")
+def unreadable_dates(spark, sf_dir):
+    text = F.when(F.col("o_orderstatus") == "P", "not a date").otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("DATE"))
+    return weather.unreadable_dates(rows)
+
+
 def monthly_payloads(spark, sf_dir):
     """JSON payloads of at most 31 days, one per site and month; beside every
     good one arrive an error message and an empty answer."""

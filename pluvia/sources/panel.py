@@ -60,15 +60,19 @@ def observations(spark: SparkSession, sf_dir: str, site: str = "s_nationkey") ->
     )
 
 
-def on_calendar(obs: DataFrame) -> DataFrame:
+def on_calendar(obs: DataFrame, first_day: dt.date = FIRST_DAY, last_day: dt.date = LAST_DAY) -> DataFrame:
     """Every site gets every calendar day; days without lines have rain 0.
 
+    An observation outside the calendar fails the query, as it would be lost.
+
     Each observed day also opens the empty days up to the next one, so the gaps
     are filled in one pass, without a join and without reading ``obs`` twice.
     The result stays distributed by site, which later windows by site reuse.
     """
     by_day = Window.partitionBy("site").orderBy("day")
-    first, last = F.lit(FIRST_DAY), F.lit(LAST_DAY)
+    first, last = F.lit(first_day), F.lit(last_day)
+    outside = F.raise_error(F.concat(F.lit("observation outside the calendar: "), F.col("day").cast("string"))).cast("date")
+    obs = obs.withColumn("day", F.when(F.col("day").between(first, last), F.col("day")).otherwise(outside))
     opens = F.when(F.row_number().over(by_day) == 1, first).otherwise(F.greatest("day", first))
     closes = F.least(F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), last), last)
     spans = obs.withColumns({"_from": opens, "_to": closes}).filter(F.col("_from") <= F.col("_to"))

@@ -24,13 +24,14 @@ FILE_SCHEMA = T.StructType(
 def read_weather_csv(
     spark: SparkSession,
     path: str,
-    start_date: str = C.DEFAULT_START,
-    end_date: str = C.DEFAULT_END,
+    start_date: str | None = None,
+    end_date: str | None = None,
     rename_columns: bool = True,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Scan header CSV files, keep [start_date, end_date] (YYYYMMDD), clean, rename.
+    """Scan header CSV files, clean, rename; with bounds (YYYYMMDD) keep [start_date, end_date] only.
 
+    Rows whose date cannot be read keep a NULL date unless bounds are given; ``unreadable_dates`` lists them.
     Columns are matched to the schema by their header names, so files may
     order or omit columns freely.
     """
@@ -43,8 +44,7 @@ def read_weather_csv(
         for f in schema.fields
     ])
     dated = parse_dates(cast, "DATE")
-    kept = between_dates(dated, "DATE", start_date, end_date)
-    clean = null_sentinels(kept)
+    clean = null_sentinels(between_dates(dated, "DATE", start_date, end_date))
     return rename_to_labels(clean) if rename_columns else clean
 
 
@@ -75,9 +75,19 @@ def _as_date(text: str) -> dt.date:
     return dt.datetime.strptime(text, "%Y%m%d").date()
 
 
-def between_dates(df: DataFrame, date_col: str, start_date: str, end_date: str) -> DataFrame:
-    """Literal bounds on the bare column, so partitions and row groups are pruned."""
-    return df.filter(F.col(date_col).between(F.lit(_as_date(start_date)), F.lit(_as_date(end_date))))
+def between_dates(df: DataFrame, date_col: str, start_date: str | None, end_date: str | None) -> DataFrame:
+    """Literal bounds on the bare column, so partitions and row groups are pruned; no bound, no filter."""
+    if start_date:
+        df = df.filter(F.col(date_col) >= F.lit(_as_date(start_date)))
+    if end_date:
+        df = df.filter(F.col(date_col) <= F.lit(_as_date(end_date)))
+    return df
+
+
+def unreadable_dates(df: DataFrame, date_col: str = "DATE") -> DataFrame:
+    """Rows with a date text that ``parse_dates`` cannot read, as they are."""
+    parsed = parse_dates(df.withColumn("_raw", F.col(date_col)), date_col)
+    return parsed.filter(F.col("_raw").isNotNull() & F.col(date_col).isNull()).withColumn(date_col, F.col("_raw")).drop("_raw")
 
 
 def null_sentinels(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -93,13 +103,12 @@ def write_daily(
 ) -> None:
     """Daily table partitioned by year, so a date range reads only its years.
 
-    Rows are spread by (year, month) before writing: one file per month and
-    task, and no year is written by a single task.
+    Rows are range-partitioned by year, day and a hash of the row, so each task
+    writes few years and no day of very many sites lands in one task.
     """
-    year = F.year(date_col)
+    rows = df.withColumn("year", F.year(date_col))
     writer = (
-        df.withColumn("year", year)
-        .repartition("year", F.month(date_col))
+        rows.repartitionByRange("year", F.col(date_col), F.xxhash64(*df.columns))
         .write.mode(mode).partitionBy("year")
     )
     if fmt == "csv":

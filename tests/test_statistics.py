@@ -216,9 +216,9 @@ def test_order_suggestion_rules(spark):
     acf = spark.createDataFrame([("a", k, k in (1, 2, 8)) for k in range(1, 20)], schema)
     pacf = spark.createDataFrame([("a", k, k in (1,)) for k in range(1, 20)], schema)
     got = ac.suggest_orders(acf, pacf, (), ["site"]).first()
-    assert (got["p"], got["q"], got["s"]) == (1, 3, 7) and got["suggested_models"][0] == "SARIMA(1,1,3)x(1,1,1,7)"
+    assert (got["ar_order"], got["ma_order"], got["season_length"]) == (1, 3, 7) and got["suggested_models"][0] == "SARIMA(1,1,3)x(1,1,1,7)"
     named = ac.suggest_orders(acf, pacf, (7, 30), ["site"]).first()
-    assert named["s"] == 30 and named["suggested_models"][2] == "SARIMA(1,1,3)x(1,1,1,7)"
+    assert named["season_length"] == 30 and named["suggested_models"][2] == "SARIMA(1,1,3)x(1,1,1,7)"
 
 
 def test_series_without_keys(spark):
