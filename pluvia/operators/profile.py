@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pluvia import constants as C
 from pluvia.functions.ordering import (
+    TASK_ROWS,
     Series,
     exact_percentiles,
     longest_series,
@@ -160,13 +161,17 @@ def descriptive_stats(
         F.var_samp(v).alias("Variance"), F.min(v).alias("Min"), F.max(v).alias("Max"),
         skew_adjusted(v).alias("Skewness"), kurt_adjusted(v).alias("Kurtosis"),
     )
-    modes = most_frequent(value_counts(long, groups, "v"), groups, "v", "Mode")
-    quantiles = exact_percentiles(
-        long, groups, "v",
-        {"P5": 0.05, "Q1": 0.25, "Median": 0.5, "Q3": 0.75, "P95": 0.95}, rows_bound,
-    )
+    counts = value_counts(long, groups, "v")
+    probs = {"P5": 0.05, "Q1": 0.25, "Median": 0.5, "Q3": 0.75, "P95": 0.95}
+    if rows_bound <= TASK_ROWS:  # mode and quantiles from one table of values
+        q = F.percentile(v.cast("double"), F.array(*[F.lit(p) for p in probs.values()]), F.col("cnt"))
+        best = F.max(F.struct(F.col("cnt"), (-v).alias("neg")))
+        order = counts.groupBy(*groups).agg(q.alias("_q"), best.alias("_m")).select(
+            *groups, (-F.col("_m.neg")).alias("Mode"), *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    else:
+        order = most_frequent(counts, groups, "v", "Mode").join(exact_percentiles(long, groups, "v", probs, rows_bound), groups)
     spread = F.coalesce(F.try_divide(F.col("Std") * 100, F.col("Mean")), F.lit(float("inf")))
-    return moments.join(modes, groups).join(quantiles, groups).select(
+    return moments.join(order, groups).select(
         *groups, "Count", "Mean", "Median", "Mode", "Std", "Variance",
         spread.alias("CV_pct"), "Min", "P5", "Q1", "Q3", "P95", "Max",
         (F.col("Max") - F.col("Min")).alias("Range"), (F.col("Q3") - F.col("Q1")).alias("IQR"),

@@ -340,6 +340,12 @@ def qq_points(spark, sf_dir):
     return pf.qq_points(lines(spark, sf_dir), "l_extendedprice")
 
 
-@query()
+MEASURE_LONG = ", long AS (" + " UNION ALL ".join(f"SELECT site || '|{m}' AS feature, {m} AS v FROM panel" for m in MEASURES) + ")"
+
+
+@query(PANEL + MEASURE_LONG + DESCRIBE + f"""
+SELECT CAST(SPLIT_PART(feature, '|', 1) AS INT) AS site, SPLIT_PART(feature, '|', 2) AS "Feature", {DESCRIBE_COLUMNS}
+FROM q JOIN c USING (feature) WHERE rn = 1
+""")
 def panel_description(spark, sf_dir):
-    return pf.descriptive_stats(panel(spark, sf_dir), MEASURES, ["site"], **BOUND)
+    return round_description(pf.descriptive_stats(panel(spark, sf_dir), MEASURES, ["site"], **BOUND))
