@@ -100,15 +100,15 @@ def _on_keys(keys: Sequence[str], condition: Column) -> Column:
     return condition
 
 
-def _totals_below(rows: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
-    """(_k0.., _p, _shift, _total): for each key and piece the weight of the key's earlier pieces, and of all."""
-    sums = rows.groupBy(*keys, "_piece").agg(F.sum(weight).alias("_w"))
+def _totals_below(rows: DataFrame, keys: Sequence[str], weights: Sequence[Column]) -> DataFrame:
+    """(_k0.., _p, _shift0.., _total0..): for each key and piece the weights of the key's earlier pieces, and of all."""
+    sums = rows.groupBy(*keys, "_piece").agg(*[F.sum(w).alias(f"_w{i}") for i, w in enumerate(weights)])
     by = [F.col(k) for k in keys] or [F.lit(0)]
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_p"),
-        F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_shift"),
-        F.sum("_w").over(Window.partitionBy(*by)).alias("_total"),
+        *[F.coalesce(F.sum(f"_w{i}").over(before), F.lit(0)).alias(f"_shift{i}") for i in range(len(weights))],
+        *[F.sum(f"_w{i}").over(Window.partitionBy(*by)).alias(f"_total{i}") for i in range(len(weights))],
     )
 
 
@@ -124,13 +124,13 @@ def with_positions(df: DataFrame, s: Series, name: str = "_pos") -> DataFrame:
         order = Window.partitionBy(*by).orderBy(s.order, *s.ties)
         return df.withColumn(name, F.row_number().over(order).cast("long") - 1)
     rows = in_ordered_pieces(df, [s.order, *s.ties], n, s.block_rows)
-    shift = _totals_below(rows, s.keys, F.lit(1))
+    shift = _totals_below(rows, s.keys, [F.lit(1)])
     inside = Window.partitionBy(*s.keys, "_piece").orderBy(s.order, *s.ties, "_salt")
     return (
         rows.withColumn("_inner", F.row_number().over(inside) - 1)
         .join(shift, _on_keys(s.keys, F.col("_piece") == F.col("_p")), "inner")
-        .withColumn(name, F.col("_inner") + F.col("_shift"))
-        .drop("_inner", "_shift", "_total", "_p", "_piece", "_salt", *[f"_k{i}" for i in range(len(s.keys))])
+        .withColumn(name, F.col("_inner") + F.col("_shift0"))
+        .drop("_inner", "_shift0", "_total0", "_p", "_piece", "_salt", *[f"_k{i}" for i in range(len(s.keys))])
     )
 
 
@@ -176,15 +176,15 @@ def value_counts(
     )
 
 
-def with_cumulative(
+def cumulative_sums(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
-    weight: str,
+    weights: Sequence[str],
     rows_bound: int | None = None,
     per_piece: int = TASK_ROWS,
 ) -> DataFrame:
-    """Adds ``below`` (weight of strictly smaller values) and ``total``.
+    """Adds ``below_w`` (weight of strictly smaller values) and ``total_w`` for each weight column w.
 
     ``df`` has one row per (groups, value)."""
     groups = list(groups)
@@ -194,20 +194,38 @@ def with_cumulative(
         rows_bound = longest_series(df, groups)
     if rows_bound <= per_piece:
         return df.withColumns({
-            "below": F.coalesce(F.sum(weight).over(below), F.lit(0)),
-            "total": F.sum(weight).over(Window.partitionBy(*by)),
+            **{f"below_{w}": F.coalesce(F.sum(w).over(below), F.lit(0)) for w in weights},
+            **{f"total_{w}": F.sum(w).over(Window.partitionBy(*by)) for w in weights},
         })
     rows = in_ordered_pieces(df, [*groups, value], df.count(), per_piece)
-    shift = _totals_below(rows, groups, F.col(weight))
+    shift = _totals_below(rows, groups, [F.col(w) for w in weights])
     inside = Window.partitionBy(*groups, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    made = {f"_in{i}": F.coalesce(F.sum(w).over(inside), F.lit(0)) for i, w in enumerate(weights)}
+    extra = [f"{c}{i}" for i in range(len(weights)) for c in ("_in", "_shift", "_total")]
     return (
-        rows.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        rows.withColumns(made)
         .join(shift, _on_keys(groups, F.col("_piece") == F.col("_p")))
-        .withColumns({"below": F.col("_in") + F.col("_shift"), "total": F.col("_total")})
-        .drop("_in", "_shift", "_total", "_p", "_piece", "_salt", *[f"_k{i}" for i in range(len(groups))])
+        .withColumns({
+            **{f"below_{w}": F.col(f"_in{i}") + F.col(f"_shift{i}") for i, w in enumerate(weights)},
+            **{f"total_{w}": F.col(f"_total{i}") for i, w in enumerate(weights)},
+        })
+        .drop(*extra, "_p", "_piece", "_salt", *[f"_k{i}" for i in range(len(groups))])
     )
 
 
+def with_cumulative(
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str,
+    weight: str,
+    rows_bound: int | None = None,
+    per_piece: int = TASK_ROWS,
+) -> DataFrame:
+    """``cumulative_sums`` of one weight, as ``below`` and ``total``."""
+    sums = cumulative_sums(df, groups, value, [weight], rows_bound, per_piece)
+    return sums.withColumnsRenamed({f"below_{weight}": "below", f"total_{weight}": "total"})
+
+
 def average_ranks(
     df: DataFrame,
     groups: Sequence[str],

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pluvia import constants as C
 from pluvia.functions.ordering import (
     average_ranks,
+    cumulative_sums,
     ranks_from_counts,
     series,
     with_positions,
@@ -257,15 +258,39 @@ def known_sizes(cells: DataFrame) -> tuple[DataFrame, int]:
     return table, max((r["n"] for r in rows), default=0)
 
 
-def mann_whitney(cells: DataFrame, min_rows: int = 5, rows_bound: int | None = None) -> DataFrame:
-    """U of the dry days against the rainy ones, two-sided normal p with ties."""
-    dry = F.when(F.col("_t") == 0, F.col("w")).otherwise(0)
-    counts = cells.filter("_t >= 0").groupBy(*GROUPS, "v").agg(F.sum("w").alias("cnt"), F.sum(dry).alias("dry"))
-    ranks = ranks_from_counts(counts, GROUPS, "v", rows_bound)
-    t = F.col("cnt").cast("double")
-    sums = ranks.groupBy(*GROUPS).agg(
-        F.sum("dry").cast("double").alias("n1"), F.sum(F.col("cnt") - F.col("dry")).cast("double").alias("n2"),
-        F.sum(F.col("dry") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"),
+def ranked_values(
+    cells: DataFrame, sizes: DataFrame | None = None, rows_bound: int | None = None, min_rows: int = 3,
+) -> DataFrame:
+    """One row per (Feature, v) with the rows that each rank test counts there and their mean ranks, from one ordering.
+
+    ``cnt`` all rows, ``mw`` those of the Mann-Whitney test (of which ``dry``), ``kw`` those of the Kruskal-Wallis test,
+    by rain group ``g0`` to ``g3``; ``below_*`` the rows of the kind with smaller values."""
+    if sizes is None:
+        sizes, rows_bound = known_sizes(cells)
+    w, group = F.col("w"), rain_group(F.col("_t"))
+    own = F.element_at(F.array(*[F.col(f"n{g}") for g in range(4)]), group + 1)
+    in_kw = group.isNotNull() & (own > min_rows)
+
+    def rows(condition: Column) -> Column:
+        return F.sum(F.when(condition, w).otherwise(0))
+
+    counts = attach_facts(cells, sizes.drop("n"), GROUPS).groupBy(*GROUPS, "v").agg(
+        F.sum("w").alias("cnt"), rows(F.col("_t") >= 0).alias("mw"), rows(F.col("_t") == 0).alias("dry"),
+        rows(in_kw).alias("kw"), *[rows(in_kw & (group == g)).alias(f"g{g}") for g in range(4)],
+    )
+    return cumulative_sums(counts, GROUPS, "v", ["cnt", "mw", "kw"], rows_bound)
+
+
+def mean_rank(kind: str) -> Column:
+    return F.col(f"below_{kind}") + (F.col(kind) + 1) / F.lit(2.0)
+
+
+def mann_whitney(ranked: DataFrame, min_rows: int = 5) -> DataFrame:
+    """U of the dry days against the rainy ones, two-sided normal p with ties; from ``ranked_values``."""
+    t = F.col("mw").cast("double")
+    sums = ranked.groupBy(*GROUPS).agg(
+        F.sum("dry").cast("double").alias("n1"), F.sum(F.col("mw") - F.col("dry")).cast("double").alias("n2"),
+        F.sum(F.col("dry") * mean_rank("mw")).alias("r1"), F.sum(t * t * t - t).alias("ties"),
     )
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
@@ -288,26 +313,13 @@ def erfc_two_sided(z: Column) -> Column:
     return let(z, lambda v: 2 * normal_cdf(-v))
 
 
-def kruskal_wallis(
-    cells: DataFrame, min_rows: int = 3, min_groups: int = 3, rows_bound: int | None = None,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """H over the rain groups that have more than ``min_rows`` days, tie corrected."""
-    if sizes is None:
-        sizes, rows_bound = known_sizes(cells)
-    grouped = cells.withColumn("_g", rain_group(F.col("_t"))).filter("_g IS NOT NULL")
-    sized = attach_facts(grouped, sizes.drop("n"), GROUPS)
-    own = F.element_at(F.array(*[F.col(f"n{g}") for g in range(4)]), F.col("_g") + 1)
-    counts = sized.filter(own > min_rows).groupBy(*GROUPS, "v").agg(
-        F.sum("w").alias("cnt"),
-        *[F.sum(F.when(F.col("_g") == g, F.col("w")).otherwise(0)).alias(f"g{g}") for g in range(4)],
-    )
-    ranks = ranks_from_counts(counts, GROUPS, "v", rows_bound)
-    t = F.col("cnt").cast("double")
-    sums = ranks.groupBy(*GROUPS).agg(
+def kruskal_wallis(ranked: DataFrame, min_groups: int = 3) -> DataFrame:
+    """H over the rain groups that ``ranked_values`` counts, tie corrected."""
+    t = F.col("kw").cast("double")
+    sums = ranked.groupBy(*GROUPS).agg(
         F.sum(t).alias("n"), F.sum(t * t * t - t).alias("ties"),
         *[F.sum(f"g{g}").cast("double").alias(f"n{g}") for g in range(4)],
-        *[F.sum(F.col(f"g{g}") * F.col("rank")).alias(f"r{g}") for g in range(4)],
+        *[F.sum(F.col(f"g{g}") * mean_rank("kw")).alias(f"r{g}") for g in range(4)],
     )
     n = F.col("n")
     between = sum(
@@ -328,12 +340,10 @@ def kruskal_wallis(
     ).otherwise("N/A")).select(*GROUPS, "KW_Statistic", "KW_P_Value", "KW_Significant")
 
 
-def spearman_with_target(cells: DataFrame, rows_bound: int | None = None) -> DataFrame:
-    def ranked(c: str, name: str) -> DataFrame:
-        counts = cells.groupBy(*GROUPS, c).agg(F.sum("w").alias("cnt"))
-        return ranks_from_counts(counts, GROUPS, c, rows_bound).select(*GROUPS, c, F.col("rank").alias(name))
-
-    joined = cells.join(ranked("v", "rv"), [*GROUPS, "v"]).join(ranked("_t", "rt"), [*GROUPS, "_t"])
+def spearman_with_target(cells: DataFrame, ranked: DataFrame, rows_bound: int | None = None) -> DataFrame:
+    targets = cells.groupBy(*GROUPS, "_t").agg(F.sum("w").alias("cnt"))
+    rt = ranks_from_counts(targets, GROUPS, "_t", rows_bound).select(*GROUPS, "_t", F.col("rank").alias("rt"))
+    joined = cells.join(ranked.select(*GROUPS, "v", mean_rank("cnt").alias("rv")), [*GROUPS, "v"]).join(rt, [*GROUPS, "_t"])
     r = weighted_correlation(joined, GROUPS, "rv", "rt", "w")
     return r.withColumn("Spearman_P_Value", correlation_p(F.col("r"), F.col("n"))).select(
         *GROUPS, F.col("n").alias("Aligned_Rows"), F.col("r").alias("Spearman_Corr"), "Spearman_P_Value",
@@ -345,10 +355,11 @@ def non_parametric_tests(
     df: DataFrame, target: str, columns: list[str], min_rows: int = 20
 ) -> DataFrame:
     """Mann-Whitney, Kruskal-Wallis and Spearman of every feature in one table."""
-    cells = materialise(aligned_cells(df, target, columns))  # six branches read it
+    cells = materialise(aligned_cells(df, target, columns))
     sizes, bound = known_sizes(cells)
+    ranked = materialise(ranked_values(cells, sizes, bound))  # one ordering of the values for all three tests
     return (
-        spearman_with_target(cells, bound).filter(F.col("Aligned_Rows") >= min_rows)
-        .join(mann_whitney(cells, rows_bound=bound), GROUPS, "left")
-        .join(kruskal_wallis(cells, rows_bound=bound, sizes=sizes), GROUPS, "left")
+        spearman_with_target(cells, ranked, bound).filter(F.col("Aligned_Rows") >= min_rows)
+        .join(mann_whitney(ranked), GROUPS, "left")
+        .join(kruskal_wallis(ranked), GROUPS, "left")
     )

@@ -103,7 +103,7 @@ SELECT feature AS "Feature", ROUND(h, 5) AS "KW_Statistic" FROM h
 """)
 def kruskal_wallis(spark, sf_dir):
     cells = st.aligned_cells(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
-    return rounded(st.kruskal_wallis(cells).select("Feature", "KW_Statistic"), 5, "KW_Statistic")
+    return rounded(st.kruskal_wallis(st.ranked_values(cells)).select("Feature", "KW_Statistic"), 5, "KW_Statistic")
 
 
 @query()
