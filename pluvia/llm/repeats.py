@@ -184,14 +184,15 @@ def repeated_ranges(
 ) -> DataFrame:
     """(who, key, from, to): byte ranges that hold nothing but repeated windows; they may overlap."""
     found = pieces_of(rows, length, anchor)
-    often = found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_a")
+    # Written first, so that the join below has a plain exchange on either side and Spark can split a hot anchor.
+    often = materialise(found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_a"))
     shared = materialise(found.join(often, F.col("anchor") == F.col("_a"), "left_semi"))
 
     kinds = shared.groupBy("anchor", "piece").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("who", "key", "start", "windows")).alias("one"))
     kinds = materialise(kinds)
     several = kinds.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("_kinds"), F.min("n").alias("_least"))
-    several = several.filter("_kinds > 1 AND _least = 1")
+    several = materialise(several.filter("_kinds > 1 AND _least = 1"))
     todo = kinds.join(several, F.col("anchor") == F.col("_a")).select(
         "anchor", "one.*", (F.col("_kinds") > hot_pieces).alias("hot"))
     todo = materialise(todo)

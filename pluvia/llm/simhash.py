@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
 from pluvia.llm.bytesops import slices, words
-from pluvia.llm.common import fresh_name
+from pluvia.llm.common import fresh_name, in_slots
 from pluvia.llm.components import components
 
 SEED = 42
@@ -191,14 +191,20 @@ def near_duplicates(docs: DataFrame, radius: int = 2, field: int = 3, id_col: st
 def one_of_each(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with the smallest id of their component, with all their columns; of rows that share that id, the one
     with the least text.  Rows without an id stay."""
-    groups = near_duplicates(docs.filter(F.col(id_col).isNotNull()), radius, id_col=id_col, text_col=text_col)
+    known = docs.filter(F.col(id_col).isNotNull())
+    groups = near_duplicates(known, radius, id_col=id_col, text_col=text_col)
     first, place = fresh_name(docs.columns, "_first"), fresh_name(docs.columns, "_place")
-    ids = materialise(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(first)).agg(F.count(F.lit(1)).alias("n")))
-    alone, several = ids.filter("n = 1").select(first), ids.filter("n > 1").select(first)
-    kept = docs.join(alone, F.col(id_col) == F.col(first), "left_semi")
+    ids = groups.groupBy(F.col("doc_id").alias(first)).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("keep"))
+    ids = materialise(ids.filter("n > 1 OR NOT keep"))
+    # Only texts whose id may be among these take part in a shuffle.
+    near = in_slots(known, F.col(id_col), ids, F.col(first))
+    kept = in_slots(known, F.col(id_col), ids, F.col(first), "left_anti").unionByName(
+        near.join(ids.select(first), F.col(id_col) == F.col(first), "left_anti"))
+    several = ids.filter("keep").select(first)
     if not several.isEmpty():
         # Only rows whose id is not unique need an order among themselves.
         order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-        rows = docs.join(several, F.col(id_col) == F.col(first), "left_semi").withColumn(place, F.row_number().over(order))
+        rows = near.join(several, F.col(id_col) == F.col(first), "left_semi").withColumn(place, F.row_number().over(order))
         kept = kept.unionByName(rows.filter(F.col(place) == 1).drop(place))
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
