@@ -33,8 +33,9 @@ def lag_budget(periods: Sequence[int] = ()) -> dict:
 def lag_products(df: DataFrame, column: str, max_lag: int, *, by: Series) -> DataFrame:
     """(keys, lag, n, product): sums of centred x_t x_{t-lag} for lag 0..max_lag.
 
-    One window hands every row its predecessors; the products combine map-side
-    per (key, lag), so the shuffle carries max_lag + 1 numbers per key and task.
+    One window hands every row its predecessors; each lag is one sum of the same
+    aggregate, so no row is repeated and the shuffle carries max_lag + 1 numbers
+    per key and task.
     """
     rows = with_series_facts(
         df.select(*by.keys, by.order, *by.ties, F.col(column).cast("double").alias("_x"))
@@ -44,8 +45,12 @@ def lag_products(df: DataFrame, column: str, max_lag: int, *, by: Series) -> Dat
     past = over_frames(rows, by, max_lag, 0, lambda w: {
         "_past": F.collect_list("_c").over(w.rowsBetween(-max_lag, 0))
     })
-    lagged = past.select(*by.keys, "n", "_c", F.posexplode(F.reverse("_past")).alias("lag", "_b"))
-    return lagged.groupBy(*by.keys, "n", "lag").agg(F.sum(F.col("_c") * F.col("_b")).alias("product"))
+    back = past.select(*by.keys, "n", "_c", F.reverse("_past").alias("_b"))
+    sums = back.groupBy(*by.keys, "n").agg(F.array(*[
+        F.struct(F.lit(k).alias("lag"), F.sum(F.col("_c") * F.get("_b", F.lit(k))).alias("product"))
+        for k in range(max_lag + 1)
+    ]).alias("_s"))
+    return sums.select(*by.keys, "n", F.inline("_s")).filter("product IS NOT NULL")
 
 
 def acf(df: DataFrame, column: str, max_lag: int, *, by: Series) -> DataFrame:

@@ -129,6 +129,50 @@ def training_rows(spark, sf_dir):
     return ev.prepare_data(rows, "rain", FEATURES, "day", ["site"])
 
 
+# Plain least squares on two features, solved in SQL from the training rows' covariances.
+LEAST_SQUARES = PANEL + """
+, f AS (SELECT site, day, rain AS y, CAST(MONTH(day) AS DOUBLE) AS a, LAG(rain, 1) OVER (PARTITION BY site ORDER BY day) AS b FROM panel),
+c AS (SELECT *, ROW_NUMBER() OVER (ORDER BY day, site) - 1 AS pos, COUNT(*) OVER () AS n FROM f WHERE b IS NOT NULL),
+s AS (SELECT VAR_POP(a) AS aa, VAR_POP(b) AS bb, COVAR_POP(a, b) AS ab, COVAR_POP(a, y) AS ay, COVAR_POP(b, y) AS by_, AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my
+      FROM c WHERE pos < CAST(FLOOR(n * 0.8) AS BIGINT)),
+w AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb, aa, bb, ma, mb, my FROM s),
+p AS (SELECT site, day, y, my + wa * (a - ma) + wb * (b - mb) AS amount FROM c CROSS JOIN w WHERE pos >= CAST(FLOOR(n * 0.8) AS BIGINT))
+"""
+
+
+def least_squares(spark, sf_dir):
+    rows = panel(spark, sf_dir).select("site", "day", "rain").withColumn("month", F.month("day"))
+    rows = fx.create_lag_features(rows, "rain", [1], by=SITE)
+    features = ["month", "rain_lag_1"]
+    train, test = ev.prepare_data(rows, "rain", features, "day", ["site"])
+    model = rm.RainModel("linear", features, "rain", two_stage=False, params={"regression_type": "linear"})
+    return model.fit(train), test
+
+
+@query(LEAST_SQUARES + f"SELECT {metric_sql('y', 'amount')}, COUNT(*) AS total_rows FROM p")
+def least_squares_evaluation(spark, sf_dir):
+    fitted, test = least_squares(spark, sf_dir)
+    return rounded(rounded(fitted.evaluate(test), 7, "MAE", "RMSE"), 8, "R2")
+
+
+@query(LEAST_SQUARES + "SELECT site, day, ROUND(amount, 6) AS amount FROM p")
+def least_squares_predictions(spark, sf_dir):
+    fitted, test = least_squares(spark, sf_dir)
+    return rounded(fitted.predict(test).select("site", "day", "amount"), 6, "amount")
+
+
+@query(LEAST_SQUARES + """
+, k AS (SELECT COUNT(*) AS n FROM c WHERE pos < CAST(FLOOR(n * 0.8) AS BIGINT))
+SELECT 'single_stage' AS stage, 'month' AS feature, ROUND(wa * SQRT(aa * k.n / (k.n - 1)), 6) AS coefficient FROM w CROSS JOIN k UNION ALL
+SELECT 'single_stage', 'rain_lag_1', ROUND(wb * SQRT(bb * k.n / (k.n - 1)), 6) FROM w CROSS JOIN k UNION ALL
+SELECT 'single_stage', 'intercept', ROUND(my, 6) FROM w
+""")
+def least_squares_coefficients(spark, sf_dir):
+    """Per standard deviation of the feature, as the inputs are scaled."""
+    fitted, _ = least_squares(spark, sf_dir)
+    return rounded(fitted.coefficients(spark), 6, "coefficient")
+
+
 @query()
 def linear_two_stage(spark, sf_dir):
     train, test = training_rows(spark, sf_dir)

@@ -106,9 +106,22 @@ def kruskal_wallis(spark, sf_dir):
     return rounded(st.kruskal_wallis(st.ranked_values(cells)).select("Feature", "KW_Statistic"), 5, "KW_Statistic")
 
 
-@query()
+@query(ALIGNED + """
+, k AS (SELECT feature, COUNT(*) AS k FROM gs GROUP BY feature),
+w AS (SELECT u.feature, u.n, rho, n1, n2, ties, h, k, CASE WHEN n1 > 5 AND n2 > 5 THEN r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 END AS mw
+      FROM u JOIN tie ON tie.feature = u.feature JOIN h ON h.feature = u.feature JOIN k ON k.feature = u.feature),
+z AS (SELECT *, (GREATEST(mw, CAST(n1 AS DOUBLE) * n2 - mw) - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5)
+        / SQRT(CAST(n1 AS DOUBLE) * n2 / 12 * ((n + 1) - ties / (CAST(n AS DOUBLE) * (n - 1)))) AS z,
+        ABS(rho) * SQRT((n - 2) / (1 - rho * rho)) AS t FROM w)
+SELECT feature AS "Feature", n AS "Aligned_Rows", ROUND(rho, 8) AS "Spearman_Corr", CASE WHEN t > 1.96 THEN 'Yes' ELSE 'No' END AS "Spearman_Significant",
+       mw AS "MW_Statistic", CASE WHEN mw IS NULL THEN 'N/A' WHEN z > 1.959963985 THEN 'Yes' ELSE 'No' END AS "MW_Significant",
+       CASE WHEN k >= 3 THEN ROUND(h, 5) END AS "KW_Statistic",
+       CASE WHEN k < 3 THEN 'N/A' WHEN h > CASE k WHEN 3 THEN 5.991464547 ELSE 7.814727903 END THEN 'Yes' ELSE 'No' END AS "KW_Significant" FROM z
+""")
 def non_parametric_tests(spark, sf_dir):
-    return st.non_parametric_tests(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
+    """Statistics and verdicts of the three tests; the SQL holds them against the tests' 5 % points."""
+    out = st.non_parametric_tests(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
+    return rounded(rounded(out.drop("Spearman_P_Value", "MW_P_Value", "KW_P_Value"), 8, "Spearman_Corr"), 5, "KW_Statistic")
 
 
 @query()
@@ -151,9 +164,43 @@ def ljung_box(spark, sf_dir):
     return rounded(ac.ljung_box(panel(spark, sf_dir), "rain", lags, by=SITE).drop("lb_pvalue"), 5, "lb_stat")
 
 
-@query()
+# 95 % points of the chi-square distribution with 1 to 10 degrees of freedom.
+CHI2_95 = [3.841458821, 5.991464547, 7.814727903, 9.487729037, 11.070497694, 12.591587244, 14.067140449, 15.507313056,
+           16.918977605, 18.307038053]
+
+
+@query(ACF.format(lags=10) + f"""
+, q AS (SELECT site, lag, CAST(n AS DOUBLE) * (n + 2) * SUM(CASE WHEN lag > 0 THEN r * r / (n - lag) ELSE 0 END) OVER (PARTITION BY site ORDER BY lag) AS lb FROM r),
+h AS (SELECT site, lag, lb > ({CHI2_95}::DOUBLE[])[lag] AS hit FROM q WHERE lag > 0)
+SELECT site, COUNT(*) FILTER (hit) AS significant_lags, MIN(lag) FILTER (hit) AS first_significant_lag, NOT BOOL_OR(hit) AS autocorr_clean,
+       NOT BOOL_OR(hit) AS is_random FROM h GROUP BY site
+""")
 def ljung_box_summary(spark, sf_dir):
-    return ac.ljung_box_summary(ac.ljung_box(panel(spark, sf_dir), "rain", 10, by=SITE), ["site"])
+    return ac.ljung_box_summary(ac.ljung_box(panel(spark, sf_dir), "rain", 10, by=SITE), ["site"]).drop("min_pvalue")
+
+
+@query(ACF.format(lags=20) + """
+, q AS (SELECT site, lag, CAST(n AS DOUBLE) * (n + 2) * SUM(CASE WHEN lag > 0 THEN r * r / (n - lag) ELSE 0 END) OVER (PARTITION BY site ORDER BY lag) AS lb FROM r),
+t AS (SELECT site, lag, lb, UNNEST(GENERATE_SERIES(0, lag // 2 - 1)) AS i FROM q WHERE lag > 0 AND lag % 2 = 0)
+SELECT site, lag, ROUND(EXP(-lb / 2) * SUM(POW(lb / 2, i) / GAMMA(i + 1)), 9) AS p_value FROM t GROUP BY site, lag, lb
+""")
+def ljung_box_p_values(spark, sf_dir):
+    """P values of the even lags, where the chi-square tail is a finite sum."""
+    out = ac.ljung_box(panel(spark, sf_dir), "rain", 20, by=SITE).filter("lag % 2 = 0")
+    return out.select("site", "lag", F.round("lb_pvalue", 9).alias("p_value"))
+
+
+@query(ACF.format(lags=3) + """
+, g AS (SELECT site, n, MAX(CASE WHEN lag = 1 THEN r * n / (n - 1) END) AS a, MAX(CASE WHEN lag = 2 THEN r * n / (n - 2) END) AS b,
+        MAX(CASE WHEN lag = 3 THEN r * n / (n - 3) END) AS c FROM r GROUP BY site, n)
+SELECT site, 1 AS lag, ROUND(a, 8) AS r FROM g UNION ALL
+SELECT site, 2, ROUND((b - a * a) / (1 - a * a), 8) FROM g UNION ALL
+SELECT site, 3, ROUND((c * (1 - a * a) - 2 * a * b + a * a * a + a * b * b) / (1 - 2 * a * a - b * b + 2 * a * a * b), 8) FROM g
+""")
+def pacf_low_lags(spark, sf_dir):
+    """The first three partial autocorrelations, which have closed forms in the first three autocorrelations."""
+    out = ac.pacf(panel(spark, sf_dir), "rain", 3, by=SITE).filter("lag > 0")
+    return rounded(out.select("site", "lag", "r"), 8, "r")
 
 
 @query()
