@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvia.llm.bytesops import release
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,6 +58,7 @@ def append_column(docs: DataFrame, text_col: str, kind: str, compute: Callable[[
     def extend(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, compute(batch.column(at))], names=[*batch.schema.names, name])
+        release()
 
     from pyspark.sql import types as T
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.bytesops import slices, sums_by
+from pluvia.llm.bytesops import release, slices, sums_by
 from pluvia.llm.common import append_column
 
 BITS = 15
@@ -82,6 +82,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 [pa.array([x] * (PARTS + 1)), pa.array([-1, *range(PARTS)], pa.int32()),
                  pa.array([np.array([texts[x]], "<i8").tobytes(), *[p.astype("<i8").tobytes() for p in np.split(n, PARTS)]], pa.binary())],
                 names=["lang", "part", "counts"])
+        release()
 
     def add(key, rows):
         parts = [np.frombuffer(x, "<i8") for x in rows["counts"]]

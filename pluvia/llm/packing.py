@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.bytesops import slices
+from pluvia.llm.bytesops import release, slices
 from pluvia.llm.pretokens import encoder
 
 PIECES = "doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, n_loss long, ids binary"
@@ -170,6 +170,7 @@ def pack_documents(
         packer.finish()
         if rows:
             yield flush()
+        release()
 
     rows_in = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"),
                           *([F.col(prompt_col).alias("_prompt")] if prompt_col else []))

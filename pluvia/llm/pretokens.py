@@ -163,7 +163,7 @@ class GroupEncoder:
     each slice, so memory has a bound whatever the number of distinct groups.
     """
 
-    def __init__(self, path: str, encode=None, tail: int | None = None, bits: int = 21):
+    def __init__(self, path: str, encode=None, tail: int | None = None, bits: int = 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

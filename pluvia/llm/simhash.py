@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
-from pluvia.llm.bytesops import slices, words
+from pluvia.llm.bytesops import release, slices, words
 from pluvia.llm.common import fresh_name, in_slots
 from pluvia.llm.components import components
 
@@ -165,6 +165,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for a, b, data, offsets in slices(batch.column(1), 1_000_000):
                 out[a:b] = fingerprints(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(compute, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")

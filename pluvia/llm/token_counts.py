@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.bytesops import slices
+from pluvia.llm.bytesops import release, slices
 from pluvia.llm.pretokens import INLINE, InlineTable, encoder, groups, inline_keys, strings_at
 
 
@@ -74,6 +74,7 @@ def count_tokens(
                 n_bytes[a:b] = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens)],
                                              names=["doc_id", "n_bytes", "n_tokens"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

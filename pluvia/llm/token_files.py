@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise, shared_folder
-from pluvia.llm.bytesops import slices
+from pluvia.llm.bytesops import release, slices
 from pluvia.llm.pretokens import encoder
 
 #: Fixed values of the seekable format: skippable frame magics, seek table footer magic, "has checksums" bit.
@@ -151,6 +151,7 @@ def write_token_files(
                         writer = FrameWriter(where.open_output_stream(f"{root}/{name}", compression=None), level)
                     writer.add(ids[a + i], flat[bounds[i]: bounds[i + 1]])
                 tokens += len(flat)
+        release()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ says little about a class and one that is frequent in one class only says much.
 length-normalised difference of its two log-likelihoods, over the whole text and for its most toxic words; a logistic
 function fitted on training texts that the counts have not seen turns these into a probability.
 
-The vocabulary is the ``vocabulary`` most frequent words of the toxic and of all training texts, half each; other
+The vocabulary is about the ``vocabulary`` most frequent words of the toxic and of all training texts, half each; other
 words share one place.  The scoring model has a fixed size: two numbers for each word, and the ``kept_bigrams`` most
 frequent bigrams; the rest of the bigram table stays in Spark.
 
@@ -22,11 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
-from pluvia.llm.bytesops import prefix_hash, slices, span_hash, words
+from pluvia.llm.bytesops import prefix_hash, release, slices, span_hash, words
 from pluvia.llm.common import append_column, in_slots
 
 DISCOUNT = 0.75
@@ -97,6 +97,7 @@ def count_words(rows: DataFrame) -> DataFrame:
                     toxic = np.bincount(back, weights=label[a:b][text]).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(toxic), pa.array(np.bincount(back) - toxic)],
                                                      names=["word", "toxic", "ordinary"])
+        release()
 
     found = rows.select("_text", "toxic").mapInArrow(count, "word long, toxic long, ordinary long")
     return found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
@@ -117,6 +118,7 @@ def count_bigrams(rows: DataFrame, index) -> DataFrame:
                     toxic = np.bincount(back, weights=label[a:b][text]).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(toxic), pa.array(np.bincount(back) - toxic)],
                                                      names=["pair", "toxic", "ordinary"])
+        release()
 
     found = rows.select("_text", "toxic").mapInArrow(count, "pair long, toxic long, ordinary long")
     return found.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
@@ -194,8 +196,8 @@ def train(
 
     seen = materialise(count_words(counted))
     half = vocabulary // 2
-    chosen = {r.word for r in seen.filter("toxic > 0").orderBy(F.desc("toxic"), "word").limit(half).collect()}
-    chosen |= {r.word for r in seen.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "word").limit(half).collect()}
+    chosen = {r.word for r in most_frequent(seen.filter("toxic > 0"), F.col("toxic"), half, "word").collect()}
+    chosen |= {r.word for r in most_frequent(seen, F.col("toxic") + F.col("ordinary"), half, "word").collect()}
     index = KeyIndex(np.array(sorted(chosen), np.int64).view(np.uint64))
     size = len(chosen) + 2
 
@@ -215,6 +217,21 @@ def train(
     return model
 
 
+def most_frequent(rows: DataFrame, count: Column, keep: int, key: str) -> DataFrame:
+    """About the ``keep`` rows with the largest counts, and not more: a histogram of the counts' logarithms (a few
+    thousand steps at most) gives the step from which rows are taken, so no task sends more than what is kept.  If
+    the step at the limit does not fit whole, a hash of the key takes a share of it."""
+    step = F.floor(F.log2(count.cast("double")) * 64)
+    sizes = sorted(((r.s, r.n) for r in rows.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    room = keep
+    for s, n in sizes:
+        if n > room:
+            share = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(max(0.0, room - 4 * room ** 0.5) / n * 1_000_000)
+            return rows.filter((step > s) | ((step == s) & share))
+        room -= n
+    return rows
+
+
 def kneser_ney(pairs: DataFrame, index: KeyIndex, size: int, kept: int) -> ToxicityModel:
     """Sums by word come back as one row for each vocabulary place (fixed bound); the bigram table stays in Spark but
     for its ``kept`` most frequent rows."""
@@ -237,7 +254,7 @@ def kneser_ney(pairs: DataFrame, index: KeyIndex, size: int, kept: int) -> Toxic
         q[c] = np.maximum(types - d, 0) / total + (d * (types > 0).sum() / total if types.sum() else 1.0) * shared
         seen = after[c].to_numpy(float)
         weight[c] = np.where(seen > 0, d * after[f"{c}_types"].to_numpy(float) / np.maximum(seen, 1), 1.0)
-    best = pairs.filter("toxic + ordinary > 1").orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "pair").limit(kept).toPandas()
+    best = most_frequent(pairs.filter("toxic + ordinary > 1"), F.col("toxic") + F.col("ordinary"), kept, "pair").toPandas()
     pair = best["pair"].to_numpy(np.int64)
     h, w = pair // size, pair % size
     p = {}
