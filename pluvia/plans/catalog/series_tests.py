@@ -230,6 +230,28 @@ def order_suggestions(spark, sf_dir):
     )
 
 
+@query(ACF.format(lags=BUDGET) + """
+, b AS (SELECT *, 1.959963984540054 * SQRT((1 + 2 * COALESCE(SUM(CASE WHEN lag > 0 THEN r * r ELSE 0 END)
+  OVER (PARTITION BY site ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) AS half FROM r),
+m AS (SELECT site, COUNT(*) FILTER (lag > 0 AND ABS(r) > half AND lag <= n // 4) AS hits FROM b GROUP BY site)
+SELECT site, CAST(CASE WHEN hits > 0 THEN LEAST(hits, 3) ELSE 1 END AS INT) AS ma_order, 1 AS seasonal_ar, 1 AS seasonal_ma, 30 AS season_length FROM m
+""")
+def moving_average_orders(spark, sf_dir):
+    """The part of the order suggestions that follows from the autocorrelations and the given periods."""
+    return order_suggestions(spark, sf_dir).select("site", "ma_order", "seasonal_ar", "seasonal_ma", "season_length")
+
+
+@query(ACF.format(lags=10) + f"""
+, q AS (SELECT site, lag, CAST(n AS DOUBLE) * (n + 2) * SUM(CASE WHEN lag > 0 THEN r * r / (n - lag) ELSE 0 END) OVER (PARTITION BY site ORDER BY lag) AS lb FROM r),
+h AS (SELECT site, COUNT(*) FILTER (lb > ({CHI2_95}::DOUBLE[])[lag]) AS hits FROM q WHERE lag > 0 GROUP BY site)
+SELECT site, CASE WHEN hits = 0 THEN 'Good' WHEN hits < 10 THEN 'Moderate' ELSE 'Poor' END AS overall_quality FROM h
+""")
+def series_quality(spark, sf_dir):
+    """The quality label of a decomposition, here of the undecomposed series."""
+    summary = ac.ljung_box_summary(ac.ljung_box(panel(spark, sf_dir), "rain", 10, by=SITE), ["site"])
+    return sy.decomposition_quality(summary).select("site", "overall_quality")
+
+
 # --- unit roots ---------------------------------------------------------------
 
 KPSS = PANEL + """
