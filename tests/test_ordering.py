@@ -129,3 +129,27 @@ def test_series_facts_in_plain_plan_use_one_exchange(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(site") == 2  # the daily roll-up and one for all windows
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_recent_rows_break_ties_from_the_end(spark):
+    rows = [("a", 1, 1), ("a", 2, 1), ("a", 2, 2), ("a", 2, 3), ("b", 5, 9)]
+    df = spark.createDataFrame(rows, "k string, t int, tie int")
+    for options in ({"rows_bound": 10}, {"block_rows": 2}, {}):
+        by = od.series("k", "t", ties="tie", **options)
+        for n in (1, 2, 3):
+            got = {tuple(r) for r in fx.recent_rows(df, n, by=by).select("k", "t", "tie").collect()}
+            assert got == set(sorted(rows[:4])[-n:]) | {rows[4]}
+    whole = od.Series((), "t", ("tie",), block_rows=2)
+    assert {tuple(r) for r in fx.recent_rows(df, 2, by=whole).select("k", "t", "tie").collect()} == {("a", 2, 3), ("b", 5, 9)}
+
+
+def test_seeded_sample_equals_one_sort(spark):
+    from pyspark.sql import Window
+
+    from pluvia.operators.stat_tests import seeded_sample
+
+    long = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("Feature"), F.rand(1).alias("v"))
+    got = {r["id"] for r in seeded_sample(long, 50, "id").collect()}
+    w = Window.partitionBy("Feature").orderBy(F.xxhash64("id", F.lit(42)), "id")
+    want = {r["id"] for r in long.withColumn("n", F.row_number().over(w)).filter("n <= 50").collect()}
+    assert got == want

@@ -42,7 +42,10 @@ def test_csv_scan_sink_and_pruned_read(spark):
     assert back.count() == 1 and "PartitionFilters: [isnotnull(year" in back._jdf.queryExecution().executedPlan().toString()
     text = scratch() + "/text"
     weather.write_daily(coded.select("DATE", "T2M"), text, "DATE", fmt="csv")
-    assert weather.read_weather_csv(spark, text).count() == 3
+    assert weather.read_weather_csv(spark, text).count() == 4  # also the row whose date is unreadable
+    assert coded.filter("DATE IS NULL").count() == 1
+    raw = spark.read.option("header", True).csv(folder)
+    assert [r["DATE"] for r in weather.unreadable_dates(raw).collect()] == ["nonsense"]
 
 
 def test_payload_cases(spark):
@@ -150,14 +153,34 @@ SAMPLE = [
     "sequences", "descriptive_stats", "rain_bands", "wet_dry_months", "extremes_by_month", "histogram", "empirical_cdf",
     "quality_score", "raw_spearman_matrix", "spearman_matrix", "lagged_correlations", "network_metrics", "raw_vif",
     "rank_tests", "kruskal_wallis", "acf", "ljung_box", "kpss", "periodogram", "dominant_periods", "two_stage_evaluation",
-    "fold_assignment",
+    "fold_assignment", "csv_scan", "daily_sink", "unreadable_dates", "moving_average_orders", "least_squares_evaluation",
 ]
 
 
+def test_order_suggestions_can_be_written(spark):
+    df = QUERIES["order_suggestions"](spark, "/root/testdata/sf0.001")
+    assert len({c.lower() for c in df.columns}) == len(df.columns)
+    df.write.parquet(scratch() + "/orders")
+
+
+def test_rows_outside_the_calendar_fail(spark):
+    from pyspark.errors import PySparkException
+
+    from pluvia.sources.panel import on_calendar
+
+    obs = spark.createDataFrame(
+        [(1, dt.date(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0, 1)],
+        "site int, day date, rain double, temp double, humidity double, pressure double, wind double, n_obs long")
+    with pytest.raises(PySparkException):
+        on_calendar(obs).collect()
+    assert on_calendar(obs, dt.date(2019, 12, 31), dt.date(2020, 1, 2)).count() == 3
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_equals_its_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     cur = duck(sf_dir).execute(ORACLES[name])
     columns = [d[0] for d in cur.description]
     df = QUERIES[name](spark, sf_dir)
+    assert len({c.lower() for c in df.columns}) == len(df.columns)
     assert compare(df.columns, df.collect(), columns, cur.fetchall()) is None
