@@ -142,20 +142,27 @@ class RainModel:
     def maker(self) -> Family:
         return FAMILIES[self.family] if isinstance(self.family, str) else self.family
 
-    def fit(self, df: DataFrame) -> "FittedRainModel":
+    def labelled(self, df: DataFrame) -> DataFrame:
+        """Adds the amount ``_y`` and the rain label ``_rain``."""
         label = F.col(self.target).cast("double")
-        rows = df.withColumns({
+        return df.withColumns({
             "_y": label, "_rain": (F.col(self.target) > self.classification_threshold).cast("double"),
         })
-        if not self.two_stage:
-            return FittedRainModel(self, single=self._regression(rows, {**self.params, **self.regression_params}))
+
+    def fit_classifier(self, rows: DataFrame) -> PipelineModel:
         params = {**self.params, **self.classification_params}
         estimator = self.maker.classifier(params, rows.count())
         estimator.setLabelCol("_rain")
-        classifier = Pipeline(stages=[*self._inputs(params), estimator.setFeaturesCol("_x")]).fit(rows)
-        wet = rows.filter("_rain = 1")
-        regressor = self._regression(wet, {**self.params, **self.regression_params})
-        return FittedRainModel(self, classifier=classifier, regressor=regressor)
+        return Pipeline(stages=[*self._inputs(params), estimator.setFeaturesCol("_x")]).fit(rows)
+
+    def fit_amount(self, rows: DataFrame) -> PipelineModel | None:
+        return self._regression(rows, {**self.params, **self.regression_params})
+
+    def fit(self, df: DataFrame) -> "FittedRainModel":
+        rows = self.labelled(df)
+        if not self.two_stage:
+            return FittedRainModel(self, single=self.fit_amount(rows))
+        return FittedRainModel(self, classifier=self.fit_classifier(rows), regressor=self.fit_amount(rows.filter("_rain = 1")))
 
     def _regression(self, rows: DataFrame, params: dict) -> PipelineModel | None:
         facts = rows.agg(F.count("_y").alias("n"), F.stddev_pop("_y").alias("sd")).first()

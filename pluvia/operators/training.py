@@ -6,7 +6,9 @@ import dataclasses
 import math
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,20 +92,48 @@ def draw(space: dict[str, dict], rng: random.Random) -> dict:
     return out
 
 
+#: Trials that run at the same time; their fits share the cluster.
+PARALLEL_TRIALS = 4
+
+
 def _search(space, trials, seed, score, maximise) -> dict:
-    """Seeded random search; a failed trial counts as the worst."""
+    """Seeded random search; trials are drawn first and run a few at a time.  A failed trial counts as the worst, and
+    if all fail the last error is raised."""
     rng = random.Random(seed)
+    drawn = [draw(space, rng) for _ in range(trials)]
     worst = -math.inf if maximise else math.inf
-    best, best_score = {}, worst
-    for n in range(trials):
-        params = draw(space, rng)
+    errors = []
+
+    def run(params):
         try:
-            value = score(params)
-        except Exception:
-            value = worst
-        if n == 0 or (value > best_score if maximise else value < best_score):
-            best, best_score = params, value
-    return best
+            return score(params)
+        except Exception as e:
+            errors.append(e)
+            return worst
+
+    with ThreadPoolExecutor(PARALLEL_TRIALS) as pool:
+        values = list(pool.map(run, drawn))
+    if errors and len(errors) == trials:
+        raise errors[-1]
+    best = max(values) if maximise else min(values)
+    return drawn[values.index(best)]
+
+
+def _classifier_auc(model: RainModel, train: DataFrame, test: DataFrame, rows_bound: int) -> float | None:
+    """AUC of the rain label; the amount model plays no part in it."""
+    fitted = model.fit_classifier(model.labelled(train))
+    scored = fitted.transform(model.labelled(test)).withColumn("p_rain", vector_to_array("probability")[1])
+    auc = roc_auc(scored.withColumn("_rain", F.col("_rain").cast("int")), "_rain", "p_rain", rows_bound=rows_bound).first()
+    return auc["ROC_AUC"] if auc else None
+
+
+def _rainy_mae(model: RainModel, train: DataFrame, test: DataFrame) -> float | None:
+    """Mean absolute error of the amount on rainy rows; the classifier plays no part in it."""
+    fitted = model.fit_amount(model.labelled(train).filter("_rain = 1"))
+    wet = model.labelled(test).filter("_rain = 1")
+    if fitted is None:
+        return wet.agg(F.avg(F.abs("_y"))).first()[0]
+    return fitted.transform(wet).agg(F.avg(F.abs(F.col("_y") - F.col("prediction")))).first()[0]
 
 
 def _mean(values: list[float | None], empty: float) -> float:
@@ -115,21 +145,19 @@ def search_two_stage(
     model: RainModel, numbered: DataFrame, classification_space: dict, regression_space: dict,
     n_trials: int = 100, n_splits: int = 3, seed: int = 42,
 ) -> tuple[dict, dict]:
-    """Half the trials maximise cross-validated AUC, the other half minimise the
-    rainy-day MAE with the chosen classifier."""
+    """Half the trials maximise the classifier's cross-validated AUC, the other half
+    minimise the amount model's rainy-day MAE; neither depends on the other model."""
     folds = list(_folds(numbered, n_splits))
 
-    def run(candidate: RainModel, metric: str) -> list[float | None]:
-        return [_fold_scores(candidate, train, test, size)[metric] for size, train, test in folds]
-
     def auc(params):
-        return _mean(run(dataclasses.replace(model, classification_params=params), "ROC_AUC"), 0.0)
+        chosen = dataclasses.replace(model, classification_params=params)
+        return _mean([_classifier_auc(chosen, train, test, size) for size, train, test in folds], 0.0)
 
     best_c = _search(classification_space, max(1, n_trials // 2), seed, auc, True)
 
     def mae(params):
-        chosen = dataclasses.replace(model, classification_params=best_c, regression_params=params)
-        return _mean(run(chosen, "MAE"), math.inf)
+        chosen = dataclasses.replace(model, regression_params=params)
+        return _mean([_rainy_mae(chosen, train, test) for _, train, test in folds], math.inf)
 
     return best_c, _search(regression_space, max(1, n_trials // 2), seed, mae, False)
 
