@@ -109,3 +109,41 @@ def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def quality_sql() -> str:
+    """The quality rules in SQL: counts, certified cutoffs by language, verdicts."""
+    from pluvia.llm.quality_rules import GRID, LIMITS
+
+    blank = r"[\x09-\x0D\x20]"
+    grid = ", ".join(f"({c})" for c in GRID)
+    shares = {"symbols": "n_symbols / GREATEST(word_chars, 1)", "capitals": "n_capitals / GREATEST(word_chars, 1)",
+              "lines": "n_dup_lines / GREATEST(n_lines, 1)", "repeats": "n_repeat_words / GREATEST(n_words, 1)"}
+    badness = "GREATEST(" + ", ".join(f"{shares[k]} / CAST({v} AS DOUBLE)" for k, v in LIMITS.items()) + ")"
+    return rf"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, lang FROM documents),
+w AS (SELECT doc_id, lang, text, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(text, '{blank}+'), LAMBDA x: x <> '') AS ws,
+  LIST_FILTER(STRING_SPLIT(text, CHR(10)), LAMBDA x: REGEXP_MATCHES(x, '[^\x09-\x0D\x20]')) AS ls FROM d),
+win AS (SELECT doc_id, i, ARRAY_TO_STRING(LIST_SLICE(ws, i, i + 7), ' ') AS g
+  FROM (SELECT doc_id, ws, UNNEST(GENERATE_SERIES(1, LEN(ws) - 7)) AS i FROM w WHERE LEN(ws) >= 8)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, COUNT(DISTINCT k) AS n FROM (SELECT doc_id, UNNEST(GENERATE_SERIES(i, i + 7)) AS k FROM rep) GROUP BY doc_id),
+c AS (SELECT w.doc_id, lang, CAST(LEN(ws) AS BIGINT) AS n_words, CAST(LENGTH(ARRAY_TO_STRING(ws, '')) AS BIGINT) AS word_chars,
+  CAST(LENGTH(text) - LENGTH(REGEXP_REPLACE(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(LENGTH(text) - LENGTH(REGEXP_REPLACE(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals, LEN(ls) AS n_lines,
+  CAST(LEN(ls) - LEN(LIST_DISTINCT(ls)) AS BIGINT) AS n_dup_lines, COALESCE(cov.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+f AS (SELECT *, {badness} AS badness, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+h AS (SELECT lang, badness FROM f JOIN labels ON labels.doc_id = f.doc_id WHERE quality = 1 AND NOT base_failed),
+g AS (SELECT CAST(cutoff AS DOUBLE) AS cutoff FROM (VALUES {grid}) v(cutoff)),
+t AS (SELECT lang, cutoff, COUNT(*) AS n, COUNT(*) FILTER (badness > cutoff) AS k FROM h CROSS JOIN g GROUP BY lang, cutoff),
+p AS (SELECT lang, cutoff, n, k, (SELECT COUNT(*) FROM (SELECT DISTINCT lang FROM h)) AS strata,
+  CASE WHEN k < n * 0.01 THEN LEAST(1.0, LIST_SUM(LIST_TRANSFORM(GENERATE_SERIES(0, k), LAMBDA j: EXP(
+    LGAMMA(n + 1) - LGAMMA(j + 1) - LGAMMA(n - j + 1) + j * LN(0.01) + (n - j) * LN(0.99))))) ELSE 1.0 END AS p FROM t),
+b AS (SELECT lang, MIN(cutoff) AS cutoff FROM p WHERE p * {len(GRID)} * strata <= 0.05 GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT COALESCE(badness > cutoff, FALSE) AS kept, badness, cutoff
+FROM f LEFT JOIN b ON b.lang IS NOT DISTINCT FROM f.lang"""
+
+
+ORACLES["op9_risk_controlled_quality"] = quality_sql()

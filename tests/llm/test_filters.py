@@ -222,3 +222,21 @@ def test_slices_cover_everything():
 
 def test_data_is_there():
     assert DATA
+
+
+def test_quality_query_equals_its_sql(spark):
+    from pluvia.llm.queries import ORACLES
+    from tests.oracle_check import compare, duck
+
+    cur = duck(LARGER).execute(ORACLES["op9_risk_controlled_quality"])
+    columns = [d[0] for d in cur.description]
+    df = QUERIES["op9_risk_controlled_quality"](spark, LARGER)
+    assert compare(df.columns, df.collect(), columns, cur.fetchall()) is None
+
+
+def test_most_frequent_rows_stay_within_the_limit(spark):
+    rows = spark.range(3000).select(F.col("id").alias("w"), F.when(F.col("id") < 40, 1000 + F.col("id")).otherwise(5).alias("n"))
+    for keep in (10, 40, 500, 5000):
+        got = [r.w for r in toxicity.most_frequent(rows, F.col("n"), keep, "w").collect()]
+        assert len(got) <= keep and (keep < 40 or set(range(40)) <= set(got))
+    assert toxicity.most_frequent(rows, F.col("n"), 5000, "w").count() == 3000
