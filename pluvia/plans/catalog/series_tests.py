@@ -106,33 +106,52 @@ def kruskal_wallis(spark, sf_dir):
     return rounded(st.kruskal_wallis(st.ranked_values(cells)).select("Feature", "KW_Statistic"), 5, "KW_Statistic")
 
 
-@query(ALIGNED + """
+VERDICTS = ALIGNED + """
 , k AS (SELECT feature, COUNT(*) AS k FROM gs GROUP BY feature),
 w AS (SELECT u.feature, u.n, rho, n1, n2, ties, h, k, CASE WHEN n1 > 5 AND n2 > 5 THEN r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 END AS mw
       FROM u JOIN tie ON tie.feature = u.feature JOIN h ON h.feature = u.feature JOIN k ON k.feature = u.feature),
 z AS (SELECT *, (GREATEST(mw, CAST(n1 AS DOUBLE) * n2 - mw) - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5)
         / SQRT(CAST(n1 AS DOUBLE) * n2 / 12 * ((n + 1) - ties / (CAST(n AS DOUBLE) * (n - 1)))) AS z,
         ABS(rho) * SQRT((n - 2) / (1 - rho * rho)) AS t FROM w)
-SELECT feature AS "Feature", n AS "Aligned_Rows", ROUND(rho, 8) AS "Spearman_Corr", CASE WHEN t > 1.96 THEN 'Yes' ELSE 'No' END AS "Spearman_Significant",
+{select} feature AS "Feature", n AS "Aligned_Rows", ROUND(rho, 8) AS "Spearman_Corr", CASE WHEN t > 1.96 THEN 'Yes' ELSE 'No' END AS "Spearman_Significant",
        mw AS "MW_Statistic", CASE WHEN mw IS NULL THEN 'N/A' WHEN z > 1.959963985 THEN 'Yes' ELSE 'No' END AS "MW_Significant",
        CASE WHEN k >= 3 THEN ROUND(h, 5) END AS "KW_Statistic",
        CASE WHEN k < 3 THEN 'N/A' WHEN h > CASE k WHEN 3 THEN 5.991464547 ELSE 7.814727903 END THEN 'Yes' ELSE 'No' END AS "KW_Significant" FROM z
-""")
+"""
+
+
+@query(VERDICTS.replace("{select}", "SELECT"))
 def non_parametric_tests(spark, sf_dir):
     """Statistics and verdicts of the three tests; the SQL holds them against the tests' 5 % points."""
     out = st.non_parametric_tests(panel(spark, sf_dir), "rain", ["n_obs", *PREDICTORS])
     return rounded(rounded(out.drop("Spearman_P_Value", "MW_P_Value", "KW_P_Value"), 8, "Spearman_Corr"), 5, "KW_Statistic")
 
 
-@query()
+INSIGHTS = VERDICTS.replace("{select}", ", verdicts AS (SELECT") + """),
+lg AS (SELECT 'rain' AS feature, rain AS v FROM panel UNION ALL SELECT 'temp', temp FROM panel WHERE temp IS NOT NULL UNION ALL SELECT 'n_obs', CAST(n_obs AS DOUBLE) FROM panel),
+mu AS (SELECT feature, COUNT(v) AS n, AVG(v) AS mu FROM lg GROUP BY feature),
+mo AS (SELECT lg.feature, CAST(n AS DOUBLE) AS n, AVG(POW(v - mu, 2)) AS m2, AVG(POW(v - mu, 3)) AS m3, AVG(POW(v - mu, 4)) AS m4 FROM lg JOIN mu ON lg.feature = mu.feature GROUP BY 1, 2),
+jb AS (SELECT feature, EXP(-n / 12 * (POW(m3 / POW(m2, 1.5), 2) + POW(m4 / (m2 * m2) - 3, 2) / 4)) AS p FROM mo),
+rb AS (SELECT COUNT(*) FILTER (rain = 0) * 100.0 / COUNT(*) AS a, COUNT(*) FILTER (rain > 0.6 AND rain <= 16) * 100.0 / COUNT(*) AS b,
+       COUNT(*) FILTER (rain > 16 AND rain <= 100) * 100.0 / COUNT(*) AS c FROM panel)
+SELECT ROUND(a, 6) AS zero_rain_pct, ROUND(b, 6) AS light_moderate_pct, ROUND(c, 6) AS heavy_pct,
+       (SELECT COUNT(*) FROM jb WHERE p > 0.05) AS normal_features, (SELECT COUNT(*) FROM jb) AS tested_features,
+       (SELECT COUNT(*) FROM verdicts WHERE "MW_Significant" = 'Yes' AND "Feature" IN ('temp', 'n_obs')) AS significant_rain_difference,
+       (SELECT COUNT(*) FROM verdicts WHERE "KW_Significant" = 'Yes' AND "Feature" IN ('temp', 'n_obs')) AS significant_group_difference,
+       (SELECT COUNT(*) FROM verdicts WHERE "Spearman_Significant" = 'Yes' AND "Feature" IN ('temp', 'n_obs')) AS significant_rank_correlation FROM rb
+"""
+
+
+@query(INSIGHTS)
 def distribution_insights(spark, sf_dir):
     """Rain shares, features that look normal, significant rank tests: one row."""
     rows = materialise(panel(spark, sf_dir).select("rain", "temp", "n_obs"))
     columns = ["rain", "temp", "n_obs"]
-    return reports.distribution_insights(
+    out = reports.distribution_insights(
         pf.rain_band_counts(rows, "rain"), st.normality_battery(rows, columns),
         st.non_parametric_tests(rows, "rain", columns),
     )
+    return rounded(out, 6, "zero_rain_pct", "light_moderate_pct", "heavy_pct")
 
 
 # --- autocorrelation ----------------------------------------------------------
