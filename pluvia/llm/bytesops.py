@@ -91,12 +91,10 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each run of bytes for which the table ``in_word`` is true; no word spans two texts."""
     mask = in_word[data]
-    inner = mask.copy()
     starts = np.zeros(len(data) + 1, bool)
     starts[offsets] = True
     first = mask & (starts[:-1] | ~np.concatenate(([False], mask[:-1])))
     last = mask & (starts[1:] | ~np.concatenate((mask[1:], [False])))
-    del inner
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return begin, end, np.searchsorted(offsets, begin, side="right") - 1
 

@@ -37,8 +37,7 @@ _visible[33:127] = True
 _visible[128:] = True
 #: Control characters that some white-space classes contain.
 _odd = np.zeros(256, bool)
-_odd[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85]] = True
-_odd[0x85] = False
+_odd[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32

@@ -97,8 +97,8 @@ def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     assert toxicity.score(nothing, model).count() == 0
     kept = toxicity.without_toxic(awkward, model)
     assert kept.columns == awkward.columns and kept.count() <= awkward.count()
-    one_class = toxicity.train(awkward, labels.filter("false"))
-    assert {r.score for r in toxicity.score(awkward, one_class).collect()} <= {0.0, 1e-3, *[r.score for r in toxicity.score(awkward, one_class).collect()]}
+    untaught = toxicity.train(awkward, labels.filter("false"))
+    assert all(0 <= r.score <= 0.3 for r in toxicity.score(awkward, untaught).collect())
 
 
 def test_toxicity_query_on_held_out_rows(spark):
