@@ -1,15 +1,16 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary texts, are counted over all labelled training texts.  Each
-interpolates discounted bigram counts with its class's continuation counts (in how many different contexts a word was
+Two bigram models, one of toxic and one of ordinary texts, are counted over the labelled training texts but for those
+that the logistic function is fitted on (about ``CALIBRATION_ROWS``, or a quarter if that is less).  Each interpolates discounted bigram counts with its class's continuation counts (in how many different contexts a word was
 seen), and these with backoff counts shared by both classes (in how many classes a word was seen), so a rare expression
 says little about a class and one that is frequent in one class only says much.  A text is compared by the
 length-normalised difference of its two log-likelihoods, over the whole text and for its most toxic words; a logistic
 function fitted on training texts that the counts have not seen turns these into a probability.
 
-The vocabulary is about the ``vocabulary`` most frequent words of the toxic and of all training texts, half each; other
-words share one place.  The scoring model has a fixed size: two numbers for each word, and the ``kept_bigrams`` most
-frequent bigrams; the rest of the bigram table stays in Spark.
+All words and bigrams count, bigrams seen once as well, and are named by 64-bit hashes.  Their log-ratios are a table in
+Spark.  The scorer carries the ``vocabulary`` most frequent words (half by toxic, half by all texts), the
+``kept_bigrams`` most frequent bigrams and a bit table of fixed size that tells which others may be in the table; those
+are looked up there by a join, so the sizes of what is carried decide the speed and not the scores.
 
 Defined cases: null and empty texts, and texts without a word, have the score of the prior; rows without a label or
 with a null text teach nothing; with training texts of one class only every score is that class's share.  Ids pass as
@@ -27,14 +28,20 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
 from pluvia.llm.bytesops import prefix_hash, release, slices, span_hash, words
-from pluvia.llm.common import append_column, in_slots
+from pluvia.llm.common import fresh_name, in_slots
 
 DISCOUNT = 0.75
 #: Log-ratios above which words are counted.
 LEVELS = (1.0, 2.0, 3.0)
 FEATURES = 3 + len(LEVELS)
-#: Bound on the labelled texts that the logistic function is fitted on.
+#: About so many labelled texts at most are kept from the counts; the logistic function is fitted on them.
 CALIBRATION_ROWS = 20_000
+#: Stands before the first word of a text.
+BEGIN = np.uint64(0x5851F42D4C957F2D)
+BEGIN_KEY = int(BEGIN)
+#: Bits of the table that tells which words and bigrams need a look into Spark's table.
+FILTER_BITS = 1 << 27
+FILTER_PARTS = 256
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -84,8 +91,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return rows.join(known.hint("merge"), F.col("_id") == F.col("_key")).select("_id", "_text", "toxic")
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): word counts by class; tasks add up slice by slice, Spark the rest."""
+def count_bigrams(rows: DataFrame) -> DataFrame:
+    """(h, w, toxic, ordinary): counts by class of each word ``w`` after ``h``; a text begins after ``BEGIN``.  Tasks add
+    up slice by slice, Spark the rest."""
 
     def count(batches):
         for batch in batches:
@@ -93,90 +101,139 @@ def count_words(rows: DataFrame) -> DataFrame:
             for a, b, data, offsets in slices(batch.column(0)):
                 key, text = word_keys(data, offsets)
                 if len(key):
-                    word, back = np.unique(key, return_inverse=True)
+                    before = histories(key, text)
+                    _, first, back = np.unique(pair_keys(before, key), return_index=True, return_inverse=True)
                     toxic = np.bincount(back, weights=label[a:b][text]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(toxic), pa.array(np.bincount(back) - toxic)],
-                                                     names=["word", "toxic", "ordinary"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(before[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(toxic),
+                         pa.array(np.bincount(back) - toxic)], names=["h", "w", "toxic", "ordinary"])
         release()
 
-    found = rows.select("_text", "toxic").mapInArrow(count, "word long, toxic long, ordinary long")
-    return found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = rows.select("_text", "toxic").mapInArrow(count, "h long, w long, toxic long, ordinary long")
+    return found.groupBy("h", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def count_bigrams(rows: DataFrame, index) -> DataFrame:
-    """(pair, toxic, ordinary) of bigrams of vocabulary places; a text begins in the place after the last."""
+def histories(key: np.ndarray, text: np.ndarray) -> np.ndarray:
+    before = np.concatenate((key[:1], key[:-1]))
+    before[np.concatenate(([True], text[1:] != text[:-1]))] = BEGIN
+    return before
+
+
+def pair_keys(before: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """64-bit name of a bigram; ``pair_column`` makes the same one in Spark."""
+    return before ^ (key << np.uint64(21) | key >> np.uint64(43))
 
-    def count(batches):
-        vocabulary = index.value
-        size = len(vocabulary.keys) + 2
-        for batch in batches:
-            label = np.array(batch.column(1).to_pylist(), np.int64)
-            for a, b, data, offsets in slices(batch.column(0)):
-                key, text = word_keys(data, offsets)
-                if len(key):
-                    pair, back = np.unique(bigrams(vocabulary.find(key), text, size), return_inverse=True)
-                    toxic = np.bincount(back, weights=label[a:b][text]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(toxic), pa.array(np.bincount(back) - toxic)],
-                                                     names=["pair", "toxic", "ordinary"])
-        release()
 
-    found = rows.select("_text", "toxic").mapInArrow(count, "pair long, toxic long, ordinary long")
-    return found.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+def pair_column(before: str, key: str) -> Column:
+    turned = F.shiftleft(key, 21).bitwiseOR(F.shiftrightunsigned(key, 43))
+    return F.col(before).bitwiseXOR(turned)
 
 
-def bigrams(place: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
-    before = np.concatenate(([size - 1], place[:-1]))
-    before[np.concatenate(([True], text[1:] != text[:-1]))] = size - 1
-    return before * size + place
+def filter_slots(key: np.ndarray) -> np.ndarray:
+    return (key ^ key >> np.uint64(29)) & np.uint64(FILTER_BITS - 1)
+
+
+def filter_table(keys: DataFrame) -> np.ndarray:
+    """One bit for each slot that one of the ``key`` values has: ``FILTER_BITS`` bits for tables of any size."""
+    slot = F.col("key").bitwiseXOR(F.shiftrightunsigned("key", 29)).bitwiseAND(F.lit(FILTER_BITS - 1))
+    found = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 5).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(s & 31 AS INT))")).alias("bits"))
+    part = FILTER_BITS // 32 // FILTER_PARTS
+
+    def lay_out(key, rows):
+        out = np.zeros(part, "<u4")
+        out[rows["at"].to_numpy(np.int64) % part] = rows["bits"].to_numpy(np.int64)
+        return rows.iloc[:1, :0].assign(part=key[0], bits=out.tobytes())
+
+    out = np.zeros((FILTER_PARTS, part), np.uint32)
+    for r in found.groupBy(F.expr(f"at div {part}").cast("int").alias("part")).applyInPandas(lay_out, "part int, bits binary").collect():
+        out[r.part] = np.frombuffer(r.bits, "<u4")
+    return out.ravel()
 
 
 @dataclass
 class ToxicityModel:
-    index: KeyIndex
+    index: KeyIndex           # the carried words; the two places after them are those of unknown words and of BEGIN
     history: np.ndarray       # log of the toxic over the ordinary backoff weight after each word
     word: np.ndarray          # log of the toxic over the ordinary continuation probability of each word
-    pairs: KeyIndex           # bigrams with a ratio of their own, after a fixed mixing of their numbers
-    ratio: np.ndarray
+    pairs: KeyIndex           # the carried bigrams
+    excess: np.ndarray        # by how much their ratio is above that of their two words
+    maybe: np.ndarray         # bits of ``filter_table`` over what is not carried
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
     prior: float = 0.0
-
-    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text: the log-likelihood ratio per word, that of its most toxic word, how many words are above each of
-        ``LEVELS``, and the number of words, the last two on a log scale."""
+    rest: DataFrame | None = None  # (key, is_word, value, after): words and bigrams that are not carried
+
+    def __getstate__(self):
+        return self.__dict__ | {"rest": None}
+
+    def possible(self, key: np.ndarray) -> np.ndarray:
+        slot = filter_slots(key)
+        return (self.maybe[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+
+    def look_up(self, key: np.ndarray, text: np.ndarray):
+        """Places of the words and of those before them, whether the words may be in the table in Spark, the bigrams'
+        names and places, and whether those may be in that table."""
+        begins = np.concatenate(([True], text[1:] != text[:-1]))
+        place = self.index.find(key)
+        before = np.concatenate((place[:1], place[:-1]))
+        before[begins] = len(self.word) - 1
+        later = place == len(self.index.keys)
+        later[later] = self.possible(key[later])
+        pair = pair_keys(histories(key, text), key)
+        at = self.pairs.find(pair)
+        pair_later = at == len(self.excess)
+        pair_later[pair_later] = self.possible(pair[pair_later])
+        return place, before, later, pair, at, pair_later
+
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Per text: the sum of its log-likelihood ratios, that of its most toxic word, how many words are above each
+        of ``LEVELS``, and the number of words; words and bigrams that ``requests`` asks for are left out."""
         n = len(offsets) - 1
         key, text = word_keys(data, offsets)
         out = np.zeros((n, FEATURES))
         if not len(key):
             return out
-        place, size = self.index.find(key), len(self.word)
-        pair = bigrams(place, text, size)
-        at = self.pairs.find(scatter(pair))
-        ratio = np.append(self.ratio, 0)[at]
-        plain = at == len(self.ratio)
-        ratio[plain] = self.history[pair[plain] // size] + self.word[place[plain]]
-        words_in = np.maximum(np.bincount(text, minlength=n), 1)
-        out[:, 0] = np.bincount(text, weights=ratio, minlength=n) / words_in
-        alone = self.word[place]
+        place, before, later, _, at, _ = self.look_up(key, text)
+        alone = np.where(later, 0.0, self.word[place])
+        # The history of a word that is asked for comes with the answer; that of an unknown word is 0.
+        ratio = alone + self.history[before] + np.append(self.excess, 0)[at]
+        out[:, 0] = np.bincount(text, weights=ratio, minlength=n)
         begin = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-        out[text[begin], 1] = np.maximum.reduceat(alone, begin)
+        out[text[begin], 1] = np.maximum.reduceat(np.where(later, -np.inf, alone), begin)
         for i, level in enumerate(LEVELS):
-            out[:, 2 + i] = np.log1p(np.bincount(text, weights=alone > level, minlength=n))
-        out[:, -1] = np.log(words_in)
-        return out
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x = self.features(data, offsets)
-        empty = np.diff(offsets) == 0
-        z = design(x) @ self.weights
-        out = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        out[empty] = self.prior
+            out[:, 2 + i] = np.bincount(text, weights=alone > level, minlength=n)
+        out[:, -1] = np.bincount(text, minlength=n)
         return out
 
+    def requests(self, data: np.ndarray, offsets: np.ndarray):
+        """(text, key, is_word, n, n_before): what a text needs from the table in Spark, how often, and how often a
+        word stands before another one."""
+        key, text = word_keys(data, offsets)
+        if not len(key):
+            return None
+        _, _, later, pair, _, pair_later = self.look_up(key, text)
+        before = np.append(text[1:] == text[:-1], False) & later
+        owner, name = np.concatenate((text[later], text[pair_later])), np.concatenate((key[later], pair[pair_later]))
+        kind = np.repeat([True, False], [later.sum(), pair_later.sum()])
+        ahead = np.concatenate((before[later], np.zeros(int(pair_later.sum()), bool)))
+        order = np.lexsort((name, owner, kind))
+        owner, name, kind, ahead = owner[order], name[order], kind[order], ahead[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (name[1:] != name[:-1]) | (kind[1:] != kind[:-1])
+        start = np.flatnonzero(first)
+        if not len(start):
+            return None
+        return owner[start], name[start], kind[start], np.diff(np.append(start, len(order))), np.add.reduceat(ahead.astype(np.int64), start)
 
-def scatter(pair: np.ndarray) -> np.ndarray:
-    """Spreads consecutive numbers over 64 bits (a bijection)."""
-    with np.errstate(over="ignore"):
-        return pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Per text: the log-likelihood ratio per word, that of its most toxic word, how many words are above each of
+        ``LEVELS``, and the number of words, the last two on a log scale; from what the model carries alone."""
+        out = self.sums(data, offsets)
+        some = out[:, -1] > 0
+        out[:, 0] /= np.maximum(out[:, -1], 1)
+        out[:, 2:-1] = np.log1p(out[:, 2:-1])
+        out[some, -1] = np.log(out[some, -1])
+        return out
 
 
 def design(x: np.ndarray) -> np.ndarray:
@@ -185,24 +242,13 @@ def design(x: np.ndarray) -> np.ndarray:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    vocabulary: int = 1 << 15, kept_bigrams: int = 1 << 18,
+    vocabulary: int = 1 << 16, kept_bigrams: int = 1 << 20,
 ) -> ToxicityModel:
     """Counts over three quarters of the labelled texts (by a hash of the id), fits the logistic function on the rest,
     about ``CALIBRATION_ROWS`` of them at most, chosen by another hash; only their features reach the driver."""
-    spark = docs.sparkSession
     fit = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(4)) != 3
     rows = materialise(labelled(docs, labels, id_col, text_col, label_col))
-    counted = rows.filter(fit)
-
-    seen = materialise(count_words(counted))
-    half = vocabulary // 2
-    chosen = {r.word for r in most_frequent(seen.filter("toxic > 0"), F.col("toxic"), half, "word").collect()}
-    chosen |= {r.word for r in most_frequent(seen, F.col("toxic") + F.col("ordinary"), half, "word").collect()}
-    index = KeyIndex(np.array(sorted(chosen), np.int64).view(np.uint64))
-    size = len(chosen) + 2
-
-    pairs = materialise(count_bigrams(counted, spark.sparkContext.broadcast(index)))
-    model = kneser_ney(pairs, index, size, kept_bigrams)
+    model = kneser_ney(materialise(count_bigrams(rows.filter(fit))), vocabulary, kept_bigrams)
 
     rest = rows.filter(~fit)
     share = min(1.0, CALIBRATION_ROWS / max(rest.count(), 1))
@@ -221,64 +267,156 @@ def most_frequent(rows: DataFrame, count: Column, keep: int, key: str) -> DataFr
     """About the ``keep`` rows with the largest counts, and not more: a histogram of the counts' logarithms (a few
     thousand steps at most) gives the step from which rows are taken, so no task sends more than what is kept.  If
     the step at the limit does not fit whole, a hash of the key takes a share of it."""
+    return rows.filter(frequent(rows, count, keep, key))
+
+
+def frequent(rows: DataFrame, count: Column, keep: int, key: str) -> Column:
+    """True for the rows of ``most_frequent``."""
     step = F.floor(F.log2(count.cast("double")) * 64)
     sizes = sorted(((r.s, r.n) for r in rows.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     room = keep
     for s, n in sizes:
         if n > room:
             share = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(max(0.0, room - 4 * room ** 0.5) / n * 1_000_000)
-            return rows.filter((step > s) | ((step == s) & share))
+            return (step > s) | ((step == s) & share)
         room -= n
-    return rows
+    return F.lit(True)
 
 
-def kneser_ney(pairs: DataFrame, index: KeyIndex, size: int, kept: int) -> ToxicityModel:
-    """Sums by word come back as one row for each vocabulary place (fixed bound); the bigram table stays in Spark but
-    for its ``kept`` most frequent rows."""
+def kneser_ney(pairs: DataFrame, vocabulary: int, kept: int) -> ToxicityModel:
+    """Ratios of all words and bigrams; the most frequent ones come back, as many as ``vocabulary`` and ``kept``."""
     toxic, ordinary = F.col("toxic") > 0, F.col("ordinary") > 0
 
     def by(column, name):
-        return pairs.groupBy(column.cast("long").alias(name)).agg(
-            F.count_if(toxic).alias("t_types"), F.count_if(ordinary).alias("o_types"), F.count(F.lit(1)).alias("types"),
-            F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).toPandas().set_index(name).reindex(range(size), fill_value=0)
+        return pairs.groupBy(F.col(column).alias("key")).agg(
+            F.count_if(toxic).alias(f"{name}_tt"), F.count_if(ordinary).alias(f"{name}_ot"),
+            F.sum("toxic").alias(f"{name}_t"), F.sum("ordinary").alias(f"{name}_o"))
 
     d = DISCOUNT
-    after, into = by(F.floor(F.col("pair") / size), "h"), by(F.col("pair") % size, "w")
+    sums = materialise(by("w", "into").join(by("h", "after"), "key", "full").na.fill(0))
     # Shared backoff counts: in how many of the two classes a word follows anything.
-    classes = (into["t_types"].to_numpy() > 0).astype(float) + (into["o_types"].to_numpy() > 0) + 0.5
-    shared = classes / classes.sum()
-    q, weight = {}, {}
-    for c in "to":
-        types = into[f"{c}_types"].to_numpy(float)
-        total = max(types.sum(), 1)
-        q[c] = np.maximum(types - d, 0) / total + (d * (types > 0).sum() / total if types.sum() else 1.0) * shared
-        seen = after[c].to_numpy(float)
-        weight[c] = np.where(seen > 0, d * after[f"{c}_types"].to_numpy(float) / np.maximum(seen, 1), 1.0)
-    best = most_frequent(pairs.filter("toxic + ordinary > 1"), F.col("toxic") + F.col("ordinary"), kept, "pair").toPandas()
-    pair = best["pair"].to_numpy(np.int64)
-    h, w = pair // size, pair % size
-    p = {}
-    for c, name in (("t", "toxic"), ("o", "ordinary")):
-        seen = after[c].to_numpy(float)[h]
-        p[c] = np.maximum(best[name].to_numpy(float) - d, 0) / np.maximum(seen, 1) + weight[c][h] * q[c][w]
-    return ToxicityModel(
-        index, np.log(weight["t"]) - np.log(weight["o"]), np.log(q["t"]) - np.log(q["o"]),
-        KeyIndex(scatter(pair)), np.log(p["t"]) - np.log(p["o"]))
+    classes = F.count_if(F.expr("into_tt > 0")) + F.count_if(F.expr("into_ot > 0"))
+    n = sums.agg(F.sum("into_tt").alias("tt"), F.sum("into_ot").alias("ot"), F.count_if(F.expr("into_tt > 0")).alias("t"),
+                 F.count_if(F.expr("into_ot > 0")).alias("o"), classes.alias("classes"), F.count_if(F.expr("into_tt + into_ot > 0")).alias("words")).first()
+    # Unknown words and the place before a text have a share of the backoff like words of no class.
+    whole = (n.classes or 0) + 0.5 * (n.words + 2)
+
+    def q(types: str, total, seen) -> Column:
+        shared = (F.expr("CAST(into_tt > 0 AS INT) + CAST(into_ot > 0 AS INT)") + 0.5) / whole
+        return F.greatest(F.col(types) - d, F.lit(0.0)) / max(total or 0, 1) + (d * seen / total if total else 1.0) * shared
+
+    def weight(types: str, seen: str) -> Column:
+        return F.when(F.col(seen) > 0, d * F.col(types) / F.col(seen)).otherwise(1.0)
+
+    stats = materialise(sums.select(
+        "key", q("into_tt", n.tt, n.t).alias("q_t"), q("into_ot", n.ot, n.o).alias("q_o"),
+        weight("after_tt", "after_t").alias("w_t"), weight("after_ot", "after_o").alias("w_o"),
+        F.greatest("after_t", F.lit(1)).alias("n_t"), F.greatest("after_o", F.lit(1)).alias("n_o"),
+        F.col("into_t").alias("toxic"), (F.col("into_t") + F.col("into_o")).alias("n")))
+    known = stats.filter((F.col("n") > 0) & (F.col("key") != BEGIN_KEY))
+    chosen = most_frequent(known.filter("toxic > 0"), F.col("toxic"), vocabulary // 2, "key").union(
+        most_frequent(known, F.col("n"), vocabulary // 2, "key")).distinct()
+    chosen = chosen.union(stats.filter(F.col("key") == BEGIN_KEY)).drop("toxic", "n")
+    chosen = materialise(chosen)
+    carried = chosen.toArrow().to_pandas()
+
+    # Bigrams of carried words find these by a broadcast of fixed size; the others' words are joined.
+    def named(rows, key, columns):
+        return rows.select(F.col("key").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in columns])
+
+    after, into = ("w_t", "w_o", "n_t", "n_o"), ("q_t", "q_o")
+    both = pairs.join(F.broadcast(named(chosen, "h", after)), "h", "left").join(F.broadcast(named(chosen, "w", into)), "w", "left")
+    there = F.col("h_w_t").isNotNull() & F.col("w_q_t").isNotNull()
+    others = both.filter(~there).select(*pairs.columns).join(named(stats, "h", after), "h").join(named(stats, "w", into), "w")
+
+    def p(c: str, name: str) -> Column:
+        back = F.col(f"h_w_{c}") * F.col(f"w_q_{c}")
+        return F.log(F.greatest(F.col(name) - d, F.lit(0.0)) / F.col(f"h_n_{c}") / back + 1)
+
+    excess = (p("t", "toxic") - p("o", "ordinary")).alias("value")
+    scored = materialise(both.filter(there).unionByName(others).select(
+        pair_column("h", "w").alias("key"), excess, (F.col("toxic") + F.col("ordinary")).alias("n")))
+    best = frequent(scored, F.col("n"), kept, "key")
+    carried_pairs = scored.filter(best).select("key", "value").toArrow().to_pandas()
+
+    word, history = F.log("q_t") - F.log("q_o"), F.log("w_t") - F.log("w_o")
+    rest_words = known.join(F.broadcast(chosen.select("key")), "key", "left_anti").select(
+        "key", F.lit(True).alias("is_word"), word.alias("value"), history.alias("after"))
+    rest_pairs = scored.filter(~best).select(
+        "key", F.lit(False).alias("is_word"), "value", F.lit(0.0).alias("after"))
+    rest = rest_words.union(rest_pairs)
+
+    begin = carried["key"].to_numpy(np.int64) == BEGIN_KEY
+    first, own = carried[begin], carried[~begin].sort_values("key")
+    ratio = np.log(own["q_t"].to_numpy(float)) - np.log(own["q_o"].to_numpy(float))
+    behind = np.log(own["w_t"].to_numpy(float)) - np.log(own["w_o"].to_numpy(float))
+    unknown = np.log(d * n.t / n.tt if n.tt else 1.0) - np.log(d * n.o / n.ot if n.ot else 1.0)
+    start = float(np.log(first["w_t"].iloc[0]) - np.log(first["w_o"].iloc[0])) if len(first) else 0.0
+    model = ToxicityModel(
+        KeyIndex(own["key"].to_numpy(np.int64).view(np.uint64)), np.r_[behind, 0.0, start], np.r_[ratio, unknown, unknown],
+        KeyIndex(carried_pairs["key"].to_numpy(np.int64).view(np.uint64)), carried_pairs["value"].to_numpy(float), filter_table(rest))
+    model.rest = None if rest.isEmpty() else rest
+    return model
 
 
-def feature_rows(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def described(texts: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(t1, t2, copies, x0, ...): the features of each distinct text of ``_text``, named by two 64-bit hashes.
 
-    def describe(batches):
+    What the model does not carry is asked for by one row for each text and word or bigram; the most frequent ones are
+    carried, so no name is a large group in that join."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    names = [f"s{i}" for i in range(FEATURES)]
+
+    def sums(batches):
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column(0)):
-                x = shared.value.features(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(FEATURES)), batch.column(1).slice(a, b - a)],
-                                                 names=[*names, "toxic"])
+            for a, b, data, offsets in slices(batch.column(2)):
+                x = shared.value.sums(data, offsets)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *(pa.array(x[:, i]) for i in range(FEATURES)),
+                                                  pa.array(np.diff(offsets) == 0)], names=["t1", "t2", *names, "empty"])
+        release()
 
+    def ask(batches):
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(2)):
+                found = shared.value.requests(data, offsets)
+                if found is not None:
+                    owner, name, kind, n, ahead = found
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).slice(a, b - a).take(pa.array(owner)) for i in (0, 1)), pa.array(name.view(np.int64)), pa.array(kind),
+                         pa.array(n.astype(np.int32)), pa.array(ahead.astype(np.int32))], names=["t1", "t2", "key", "is_word", "n", "ahead"])
+        release()
+
+    rows = texts.select(*text_names(F.col("_text")), "_text")
+    plain = rows.mapInArrow(sums, "t1 long, t2 long, " + ", ".join(f"{c} double" for c in names) + ", empty boolean").groupBy("t1", "t2").agg(
+        F.count(F.lit(1)).alias("copies"), F.max("empty").alias("empty"), *[F.max(c).alias(c) for c in names])
+    if model.rest is not None:
+        asked = rows.mapInArrow(ask, "t1 long, t2 long, key long, is_word boolean, n int, ahead int")
+        there = model.rest.withColumnRenamed("key", "_key").withColumnRenamed("is_word", "_kind")
+        # Bigrams that are not in the table add nothing; words that are not are unknown.
+        found = asked.join(there, (F.col("key") == F.col("_key")) & (F.col("is_word") == F.col("_kind")), "left").filter("is_word OR _key IS NOT NULL")
+        value = F.coalesce("value", F.lit(float(model.word[-2])))
+        more = found.groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(
+            F.sum(F.col("n") * value + F.col("ahead") * F.coalesce("after", F.lit(0.0))).alias("m0"),
+            F.max(F.when(F.col("is_word"), value)).alias("m1"),
+            *[F.sum(F.when(F.col("is_word") & (value > level), F.col("n")).otherwise(0)).alias(f"m{i}") for i, level in enumerate(LEVELS, 2)])
+        plain = plain.join(more, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left")
+        for i in range(FEATURES - 1):
+            own = F.greatest(f"s{i}", "m1") if i == 1 else F.col(f"s{i}") + F.coalesce(F.col(f"m{i}") / F.col("copies"), F.lit(0.0))
+            plain = plain.withColumn(f"s{i}", own)
+    last = F.col(names[-1])
+    return plain.select(
+        "t1", "t2", "copies", "empty", (F.col("s0") / F.greatest(last, F.lit(1.0))).alias("x0"), F.col("s1").alias("x1"),
+        *[F.log1p(f"s{i}").alias(f"x{i}") for i in range(2, FEATURES - 1)], F.log(F.greatest(last, F.lit(1.0))).alias(f"x{FEATURES - 1}"))
+
+
+def text_names(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
+
+
+def feature_rows(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
     names = [f"x{i}" for i in range(FEATURES)]
-    schema = ", ".join(f"{x} double" for x in names) + ", toxic int"
-    found = rows.select("_text", "toxic").mapInArrow(describe, schema).limit(CALIBRATION_ROWS).toPandas()
+    label = rows.select(*text_names(F.col("_text")), "toxic")
+    found = label.join(described(rows, model), ["t1", "t2"]).select(*names, "toxic").toPandas()
     return found[names].to_numpy(float).reshape(-1, FEATURES), found["toxic"].to_numpy(float)
 
 
@@ -298,23 +436,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return np.append(slope, w[-1] - slope @ mean)
 
 
-def scores(model: ToxicityModel, texts: pa.Array) -> pa.Array:
-    out = np.zeros(len(texts))
-    for a, b, data, offsets in slices(texts):
-        out[a:b] = model.score(data, offsets)
-    return pa.array(out)
+def text_scores(texts: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(t1, t2, score) of each distinct text of ``_text``."""
+    z = sum((F.col(f"x{i}") * float(model.weights[i]) for i in range(FEATURES)), F.lit(float(model.weights[-1])))
+    z = F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))
+    score = F.when(F.col("empty"), F.lit(model.prior)).otherwise(1 / (1 + F.exp(-z)))
+    return described(texts, model).select("t1", "t2", score.alias("score"))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): probability of the toxic label for every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    found, name = append_column(rows, "_text", "double", lambda texts: scores(shared.value, texts))
-    return found.select("doc_id", F.col(name).alias("score"))
+    found = text_scores(docs.select(F.col(text_col).alias("_text")), model)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *text_names(F.col(text_col)))
+    return rows.join(found, ["t1", "t2"]).select("doc_id", "score")
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows whose score is below ``limit``, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    found, name = append_column(docs, text_col, "double", lambda texts: scores(shared.value, texts))
-    return found.filter(F.col(name) < limit).drop(name)
+    found = text_scores(docs.select(F.col(text_col).alias("_text")), model)
+    high = materialise(found.filter(F.col("score") >= limit).select(F.col("t1").alias("_h1"), F.col("t2").alias("_h2")))
+    first, second = (fresh_name(docs.columns, x) for x in ("_t1", "_t2"))
+    high = high.toDF(first, second)
+    t1, t2 = text_names(F.col(text_col))
+    # Only texts whose name may be among these take part in a shuffle.
+    kept = in_slots(docs, F.xxhash64(text_col), high, F.col(first), "left_anti")
+    near = in_slots(docs, F.xxhash64(text_col), high, F.col(first))
+    return kept.unionByName(near.join(high, (t1 == F.col(first)) & (t2 == F.col(second)), "left_anti"))

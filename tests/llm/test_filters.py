@@ -88,6 +88,21 @@ def test_ratios_are_kneser_ney(spark):
     assert abs(got[1] - max(math.log(q(1, w) / q(0, w)) for w in text.split())) < 1e-9
 
 
+def test_toxicity_scores_do_not_depend_on_what_the_scorer_carries(spark):
+    docs, labels, _ = labelled_corpus(spark)
+    texts = docs.union(spark.createDataFrame([(-1, "w1 vile unseen w2"), (-2, "w1 vile unseen w2"), (-3, "unseen"), (-4, ""), (-5, None)], docs.schema))
+    whole = toxicity.train(docs, labels)
+    cut = toxicity.train(docs, labels, vocabulary=20, kept_bigrams=50)
+    assert whole.rest is None and cut.rest is not None and len(cut.index.keys) <= 20
+    assert np.allclose(whole.weights, cut.weights, rtol=1e-6)
+    want = {r.doc_id: r.score for r in toxicity.score(texts, whole).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score(texts, cut).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert got[-1] == got[-2] and got[-4] == got[-5] == cut.prior
+    kept = {r.doc_id for r in toxicity.without_toxic(texts, cut).collect()}
+    assert kept == {i for i, s in got.items() if s < 0.3}
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     docs, labels, _ = labelled_corpus(spark)
     model = toxicity.train(docs, labels)
