@@ -244,16 +244,15 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     vocabulary: int = 1 << 16, kept_bigrams: int = 1 << 20,
 ) -> ToxicityModel:
-    """Counts over three quarters of the labelled texts (by a hash of the id), fits the logistic function on the rest,
-    about ``CALIBRATION_ROWS`` of them at most, chosen by another hash; only their features reach the driver."""
-    fit = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(4)) != 3
+    """Counts over the labelled texts but for about ``CALIBRATION_ROWS``, or a quarter if that is less; the logistic
+    function is fitted on these, chosen by hashes of the id, and only their features reach the driver."""
     rows = materialise(labelled(docs, labels, id_col, text_col, label_col))
-    model = kneser_ney(materialise(count_bigrams(rows.filter(fit))), vocabulary, kept_bigrams)
-
-    rest = rows.filter(~fit)
-    share = min(1.0, CALIBRATION_ROWS / max(rest.count(), 1))
+    quarter = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(4)) == 3
+    share = min(1.0, CALIBRATION_ROWS / max(rows.filter(quarter).count(), 1))
     taken = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000)
-    x, y = feature_rows(rest.filter(taken), model)
+    model = kneser_ney(materialise(count_bigrams(rows.filter(~(quarter & taken)))), vocabulary, kept_bigrams)
+
+    x, y = feature_rows(rows.filter(quarter & taken), model)
     model.prior = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
     if len(y) and 0 < y.sum() < len(y):
         model.weights = logistic(x, y)

@@ -103,6 +103,17 @@ def test_toxicity_scores_do_not_depend_on_what_the_scorer_carries(spark):
     assert kept == {i for i, s in got.items() if s < 0.3}
 
 
+def test_only_a_bounded_number_of_texts_is_kept_from_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    docs, labels, _ = labelled_corpus(spark)
+    own = docs.select("doc_id", F.concat_ws(" ", "text", F.concat(F.lit("only"), F.col("doc_id").cast("string"))).alias("text"))
+    model = toxicity.train(own, labels)
+    data = " ".join(f"only{i}" for i in range(400)).encode()
+    key, _ = toxicity.word_keys(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    missing = int((model.index.find(key) == len(model.index.keys)).sum())
+    assert 0 < missing <= 45
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     docs, labels, _ = labelled_corpus(spark)
     model = toxicity.train(docs, labels)
