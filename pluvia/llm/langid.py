@@ -2,8 +2,9 @@
 
 Each language has a smoothed distribution over hashed byte trigrams, counted over all training texts.  A text is a
 sequence of short blocks, each written in one of the languages; expectation-maximisation finds the proportions that
-make the blocks most likely.  The set of languages is chosen by penalised likelihood: another language stays only if
-it raises the log-likelihood by more than half the logarithm of the number of blocks, per added proportion.
+make the blocks most likely.  The set of languages is chosen by penalised likelihood: of the sets of the one, two, and
+so on up to all likeliest languages, the one whose log-likelihood is largest after one plus half the logarithm of the
+number of blocks has been taken off for each added proportion.
 
 Defined cases: texts that are null or without a letter get ``und`` and score 0; texts too short for a trigram get the
 most frequent learned language with its share as score; rows with a null language teach nothing; without any training
@@ -126,7 +127,7 @@ def expectation_maximisation(lik: np.ndarray, top: np.ndarray, text: np.ndarray,
             theta[:, i] = sums_by(weight[:, i], text, n) / blocks
 
 
-def infer(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, steps: int = 15, most: int = 3):
+def infer(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, steps: int = 15):
     """(number of the main language, score, number of languages) of each text."""
     n, k = len(offsets) - 1, len(model.languages)
     size = np.diff(offsets)
@@ -150,10 +151,11 @@ def infer(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, steps: in
     lik = np.exp(ll - top[:, None])
     free, _ = expectation_maximisation(lik, top, text, n, np.ones((n, k)), steps)
     order = np.argsort(-free, axis=1, kind="stable")
-    best = alone.max(1)
-    for count in range(2, min(most, k) + 1):
+    # Of all sets the one with the largest log-likelihood, less what each added proportion costs.
+    best, cost = alone.max(1), 0.5 * np.log(n_blocks + 1) + 1
+    for count in range(2, k + 1):
         # A share that cannot fill a block cannot pay for itself.
-        able = (chosen == count - 1) & (np.take_along_axis(free, order[:, count - 1: count], 1)[:, 0] * n_blocks >= 1)
+        able = np.take_along_axis(free, order[:, count - 1: count], 1)[:, 0] * n_blocks >= 1
         if not able.any():
             break
         mask = np.zeros((n, k))
@@ -163,7 +165,8 @@ def infer(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, steps: in
         renumber[own] = np.arange(len(own))
         rows = able[text]
         theta, found = expectation_maximisation(lik[rows], top[rows], renumber[text[rows]], len(own), mask[own], steps)
-        pays = found - best[own] > 0.5 * np.log(n_blocks[own] + 1) + 1
+        found -= (count - 1) * cost[own]
+        pays = found > best[own]
         at = own[pays]
         best[at], chosen[at], main[at], score[at] = found[pays], count, theta[pays].argmax(1), theta[pays].max(1)
     return main, score, chosen

@@ -164,6 +164,33 @@ def test_mixtures_and_awkward_texts(spark, awkward, nothing):
     assert {r.lang_pred for r in langid.identify(awkward, untaught).collect()} == {"und"}
 
 
+def language_model(k):
+    """``k`` languages, each sure of trigrams of its own letter."""
+    log_p = np.full((k, langid.BUCKETS + 1), np.log(1e-4), np.float32)
+    log_p[:, -1] = 0
+    for i in range(k):
+        one = np.frombuffer(chr(97 + i).encode() * 3, np.uint8)
+        log_p[i, langid.trigrams(one, np.array([0, 3]))[0]] = np.log(0.5)
+    return langid.LanguageModel([chr(97 + i) for i in range(k)], np.full(k, -np.log(k)), log_p)
+
+
+def test_a_text_may_have_all_learned_languages():
+    model = language_model(6)
+    for used in (1, 2, 4, 6):
+        text = "".join(chr(97 + i) * 320 for i in range(used)).encode()
+        main, score, chosen = langid.infer(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert chosen[0] == used and main[0] < used and (used == 1 or abs(score[0] - 1 / used) < 0.02)
+
+
+def test_a_set_may_pay_where_a_smaller_one_does_not():
+    """Each kind of block is a little likelier in its own language: two languages gain less than they cost, three more."""
+    model = language_model(3)
+    model.log_p[:, :-1] = np.where(model.log_p[:, :-1] > -1, -5, -5.24)
+    text = b"".join(c * 32 for c in (b"a", b"b", b"c") for _ in range(4))
+    main, score, chosen = langid.infer(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert chosen[0] == 3 and abs(score[0] - 1 / 3) < 0.05
+
+
 def test_trigram_counts_cover_all_texts(documents):
     model = langid.count_trigrams(documents).collect()
     docs = documents.select("text", "lang").collect()
