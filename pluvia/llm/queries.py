@@ -111,6 +111,13 @@ def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pluvia.llm.conversations import damaged, digests, repair
+
+    return digests(repair(damaged(table(spark, sf_dir, "conversations"))))
+
+
 def quality_sql() -> str:
     """The quality rules in SQL: counts, certified cutoffs by language, verdicts."""
     from pluvia.llm.quality_rules import GRID, LIMITS
