@@ -19,7 +19,6 @@ without rows have no edits; other columns play no part; an empty table gives an
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
@@ -122,14 +121,20 @@ def _less(best, cost: int, audit: str):
     return (cost, audit) if best is None or (cost, audit) < best else best
 
 
-@functools.lru_cache(maxsize=1 << 15)
-def _short(codes: bytes) -> tuple[int, str]:
-    return cheapest(codes)
+class Solver:
+    """Solves whole conversations; a task remembers short ones that it has met."""
 
+    def __init__(self, most: int = 1 << 15):
+        self.met: dict[bytes, tuple[int, str]] = {}
+        self.most = most
 
-def solve(codes: bytes) -> tuple[int, str]:
-    """Of a whole conversation in one block; short ones that were met before are remembered."""
-    return _short(codes) if len(codes) <= 64 else cheapest(codes)
+    def __call__(self, codes: bytes) -> tuple[int, str]:
+        if codes in self.met:
+            return self.met[codes]
+        found = cheapest(codes)
+        if len(codes) <= 64 and len(self.met) < self.most:
+            self.met[codes] = found
+        return found
 
 
 def solve_block(codes: bytes) -> list[tuple[int, int, int, str]]:
@@ -188,7 +193,7 @@ def _legal(a: int, b: int) -> bool:
     return (a, b) in ((0, 1), (1, 2), (2, 1))
 
 
-def _block(conv, part: int, number: int, whole: bool, codes: bytes, turns: list) -> dict:
+def _block(solve: Solver, conv, part: int, number: int, whole: bool, codes: bytes, turns: list) -> dict:
     faults = [c >> 2 for c in codes]
     known = [t for t in turns if t is not None]
     out = {
@@ -208,11 +213,11 @@ def _block(conv, part: int, number: int, whole: bool, codes: bytes, turns: list)
 def blocks(rows: Iterable[tuple], block_rows: int = BLOCK_ROWS) -> Iterator[dict]:
     """Blocks of a task's ordered rows (conv_id, turn, code, part).  The task's first and last conversation may go on in
     other tasks, so these are never taken as whole."""
-    conv, codes, turns, number, part, inner = None, bytearray(), [], 0, 0, False
+    solve, conv, codes, turns, number, part, inner = Solver(), None, bytearray(), [], 0, 0, False
     for next_conv, turn, code, at in rows:
         if codes and (next_conv != conv or len(codes) == block_rows):
             ended = next_conv != conv
-            yield _block(conv, part, number, ended and inner and not number, bytes(codes), turns)
+            yield _block(solve, conv, part, number, ended and inner and not number, bytes(codes), turns)
             number = 0 if ended else number + 1
             inner = inner or ended
             codes, turns = bytearray(), []
@@ -220,7 +225,7 @@ def blocks(rows: Iterable[tuple], block_rows: int = BLOCK_ROWS) -> Iterator[dict
         codes.append(code)
         turns.append(turn)
     if codes:
-        yield _block(conv, part, number, False, bytes(codes), turns)
+        yield _block(solve, conv, part, number, False, bytes(codes), turns)
 
 
 def chain(parts: Iterable[dict]) -> Iterator[dict]:
