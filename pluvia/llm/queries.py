@@ -111,6 +111,15 @@ def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pluvia.llm.alignment import align_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    rows, _ = align_tokenizers(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pluvia.llm.conversations import damaged, digests, repair
@@ -118,6 +127,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repair(damaged(table(spark, sf_dir, "conversations"))))
 
 
+@query
+def op13_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pluvia.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def quality_sql() -> str:
     """The quality rules in SQL: counts, certified cutoffs by language, verdicts."""
     from pluvia.llm.quality_rules import GRID, LIMITS
@@ -154,3 +170,12 @@ FROM f LEFT JOIN b ON b.lang IS NOT DISTINCT FROM f.lang"""
 
 
 ORACLES["op9_risk_controlled_quality"] = quality_sql()
+
+
+def license_sql() -> str:
+    from pluvia.llm.licenses import scan_sql
+
+    return scan_sql()
+
+
+ORACLES["op13_diagonal_license_scan"] = license_sql()
