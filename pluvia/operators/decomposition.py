@@ -1,24 +1,24 @@
 """Trend and multiple seasons by loess (STL repeated per season, MSTL).
 
-All series are decomposed at once, one task per series; a daily series is
-bounded by its calendar.  Without robustness weights a loess pass is a fixed
-linear filter, so its weights are computed once per (length, window) and every
-pass is one convolution plus the two ends.
+A series lies in blocks of consecutive values (``functions.blocks``).  The filters of the method (cycles of one period,
+their low-pass part, trend) are weighted row-frame filters (``operators.loess``) of a known reach.  Spark hands every block
+the values that the next rounds of filters reach into (as many rounds as keep that within a quarter of a block), and the
+block's rounds are dot products.  So a series may have any length; what a task holds is a block and its reach.
+Data-dependent steps (robustness weights) are aggregates by series.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pluvia.functions.ordering import Series, longest_series
+from pluvia.functions.blocks import BLOCK_VALUES, block_rows, minus, plus, series_blocks, with_reach
+from pluvia.functions.ordering import Series, exact_percentiles
+from pluvia.functions.storage import materialise
+from pluvia.operators import loess
 from pluvia.operators.features import create_lag_features, create_rolling_features, stabilise_variance
 
 
@@ -30,163 +30,58 @@ def _odd_from(x: int) -> int:
     return x if x % 2 else x + 1
 
 
-def loess_weights(xs: float, left: int, right: int, n: int, q: int, degree: int,
-                  rho: np.ndarray | None = None) -> np.ndarray | None:
-    """Weights of positions left..right for the fit at xs (positions from 1)."""
-    j = np.arange(left, right + 1, dtype=float)
-    h = max(xs - left, right - xs)
-    if q > n:
-        h += (q - n) // 2
-    r = np.abs(j - xs)
-    w = np.where(r <= 0.001 * h, 1.0, (1 - (r / h) ** 3) ** 3 if h > 0 else 1.0)
-    w[r > 0.999 * h] = 0.0
-    if h <= 0:
-        w = np.ones_like(j)
-    if rho is not None:
-        w = w * rho
-    total = w.sum()
-    if total <= 0:
-        return None
-    w = w / total
-    if h > 0 and degree > 0:
-        centre = (w * j).sum()
-        spread = (w * (j - centre) ** 2).sum()
-        if math.sqrt(spread) > 0.001 * (n - 1):
-            w = w * ((xs - centre) / spread * (j - centre) + 1)
-    return w
+def _robustness(blocks: DataFrame, keys: list[str], rest: str) -> DataFrame:
+    """Adds ``_rho``: bisquare weights of the misfit, by six times its median over the series."""
+    miss = F.zip_with(rest, F.zip_with("_season", "_level", lambda s, v: s + v), lambda y, f: F.abs(y - f))
+    missed = materialise(blocks.drop("_rho").withColumn("_miss", miss))
+    one = [] if keys else ["_all"]
+    rows = missed.withColumn("_all", F.lit(0)).select(*keys, *one, F.explode("_miss").alias("_v"))
+    caps = exact_percentiles(rows, [*keys, *one], "_v", {"_median": 0.5})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    caps = caps.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (6 * F.col("_median")).alias("_cap"))
+    joined = missed.join(caps, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
+    def weight(m):
+        cap = F.col("_cap")
+        u = m / cap
+        return F.when(cap <= 0, 1.0).when(m <= 0.001 * cap, 1.0).when(m <= 0.999 * cap, (1 - u * u) * (1 - u * u)).otherwise(0.0)
 
-def _left(i: int, n: int, q: int) -> int:
-    """First position of the q-window used at position i."""
-    return 1 if q >= n else min(max(i - (q + 1) // 2 + 1, 1), n - q + 1)
+    return joined.withColumn("_rho", F.transform("_miss", weight)).drop("_miss", "_cap")
 
 
-@lru_cache(maxsize=512)
-def _loess_filter(n: int, q: int, degree: int):
-    """(inner kernel, rows at the start, rows at the end) of an unweighted pass."""
-    width = min(q, n)
-    half = (q + 1) // 2
-    if q >= n:
-        full = np.vstack([loess_weights(i, 1, n, n, q, degree) for i in range(1, n + 1)])
-        return None, full, None
-    kernel = loess_weights(half, 1, width, n, q, degree)
-    head = np.vstack([loess_weights(i, 1, width, n, q, degree) for i in range(1, half + 1)])
-    tail = np.vstack([
-        loess_weights(i, n - width + 1, n, n, q, degree) for i in range(n - width + half + 1, n + 1)
-    ]) if width > half else np.zeros((0, width))
-    return kernel, head, tail
-
-
-def loess(y: np.ndarray, q: int, degree: int = 1, rho: np.ndarray | None = None) -> np.ndarray:
-    n = len(y)
-    if n < 2:
-        return y.astype(float).copy()
-    if rho is not None:
-        out = np.empty(n)
-        width = min(q, n)
-        for i in range(1, n + 1):
-            a = _left(i, n, q)
-            w = loess_weights(i, a, a + width - 1, n, q, degree, rho[a - 1: a - 1 + width])
-            out[i - 1] = y[i - 1] if w is None else w @ y[a - 1: a - 1 + width]
-        return out
-    kernel, head, tail = _loess_filter(n, q, degree)
-    if kernel is None:
-        return head @ y
-    middle = np.convolve(y, kernel[::-1], mode="valid")
-    half, width = (q + 1) // 2, min(q, n)
-    out = np.empty(n)
-    out[half - 1: half - 1 + len(middle)] = middle
-    out[:half] = head @ y[:width]
-    if len(tail):
-        out[n - len(tail):] = tail @ y[n - width:]
-    return out
-
-
-def _smooth_cycle(y: np.ndarray, q: int, degree: int, rho: np.ndarray | None) -> np.ndarray:
-    """Loess of one cycle-subseries, extended by one value at either end."""
-    n = len(y)
-    width = min(q, n)
-
-    def end(xs: int, a: int) -> float:
-        w = loess_weights(xs, a, a + width - 1, n, q, degree, None if rho is None else rho[a - 1: a - 1 + width])
-        return float(w @ y[a - 1: a - 1 + width]) if w is not None else float("nan")
-
-    inner = loess(y, q, degree, rho)
-    first, last = end(0, 1), end(n + 1, max(1, n - width + 1))
-    return np.concatenate([
-        [inner[0] if math.isnan(first) else first], inner, [inner[-1] if math.isnan(last) else last]
-    ])
-
-
-DENSE_CYCLE = 1000
-
-
-@lru_cache(maxsize=64)
-def _cycle_operator(n: int, q: int, degree: int) -> np.ndarray:
-    """(n + 2) x n matrix of ``_smooth_cycle`` without robustness weights."""
-    return np.column_stack([_smooth_cycle(unit, q, degree, None) for unit in np.eye(n)])
-
-
-def _smooth_cycles(free: np.ndarray, period: int, q: int, degree: int, rho: np.ndarray | None) -> np.ndarray:
-    """All cycle-subseries, smoothed and extended by one period at either end."""
-    n = len(free)
-    out = np.empty(n + 2 * period)
-    whole, extra = divmod(n, period)
-    if rho is None and whole + 1 <= DENSE_CYCLE:
-        for phases, k in ((range(extra), whole + 1), (range(extra, period), whole)):
-            if len(phases):
-                part = np.stack([free[p::period] for p in phases], axis=1)
-                smooth = _cycle_operator(k, q, degree) @ part
-                for i, p in enumerate(phases):
-                    out[p::period] = smooth[:, i]
-        return out
-    for p in range(period):
-        out[p::period] = _smooth_cycle(free[p::period], q, degree, None if rho is None else rho[p::period])
-    return out
-
-
-def _moving_mean(x: np.ndarray, k: int) -> np.ndarray:
-    return np.convolve(x, np.full(k, 1.0 / k), mode="valid")
-
-
-def stl(y: np.ndarray, period: int, seasonal: int, trend: int | None = None, low_pass: int | None = None,
-        seasonal_deg: int = 1, trend_deg: int = 1, low_pass_deg: int = 1, robust: bool = False,
-        inner_iter: int | None = None, outer_iter: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(seasonal, trend) of one period."""
-    n = len(y)
+def stl_blocks(
+    blocks: DataFrame, keys: Sequence[str], values: str, period: int, seasonal: int, trend: int | None = None,
+    low_pass: int | None = None, seasonal_deg: int = 1, trend_deg: int = 1, low_pass_deg: int = 1, robust: bool = False,
+    inner_iter: int | None = None, outer_iter: int | None = None, size: int = BLOCK_VALUES,
+) -> DataFrame:
+    """Adds ``_season`` and ``_level`` of one period to blocks of series (of more than two periods; zeros for others)."""
+    keys = list(keys)
     nt = trend or _odd_from(math.ceil(1.5 * period / (1 - 1.5 / seasonal)))
     nl = low_pass or _odd_from(period + 1)
     inner = inner_iter if inner_iter is not None else (2 if robust else 5)
     outer = outer_iter if outer_iter is not None else (15 if robust else 0)
-    level, season, rho = np.zeros(n), np.zeros(n), None
+    windows, degrees = (seasonal, nl, nt), (seasonal_deg, low_pass_deg, trend_deg)
+    state = [c for c in blocks.columns if c not in keys]
+    place = [F.col(c) for c in ("_lo", "_from", "_to", "_n")]
+    out = blocks.withColumn("_level", F.transform(values, lambda _: F.lit(0.0)))
+    reach = loess.step_reach(period, windows)
+    # Rounds between two exchanges: so many that a block's reach stays within a quarter of it.
+    together = max(1, min(inner, size // (4 * reach)))
     for round_no in range(outer + 1):
-        for _ in range(inner):
-            cycle = _smooth_cycles(y - level, period, seasonal, seasonal_deg, rho)
-            low = loess(_moving_mean(_moving_mean(_moving_mean(cycle, period), period), 3), nl, low_pass_deg)
-            season = cycle[period: period + n] - low
-            level = loess(y - season, nt, trend_deg, rho)
+        for done in range(0, inner, together):
+            rounds = min(together, inner - done)
+            weighted = "_rho" in out.columns
+            near = {"y": F.col(values), "v": F.col("_level")} | ({"w": F.col("_rho")} if weighted else {})
+            met = with_reach(out, keys, near, rounds * reach, size)
+            found = loess.seasonal_rounds(F.col("_near_y"), F.col("_near_v"), F.col("_near_w") if weighted else None, *place,
+                                          rounds, period, windows, degrees)
+            kept = [*keys, *state, *(["_rho"] if weighted else [])]
+            out = met.select(*kept, found.alias("_found")).select(*kept, F.col("_found.season").alias("_season"), F.col("_found.level").alias("_level"))
         if round_no < outer:
-            miss = np.abs(y - season - level)
-            cap = 6 * np.median(miss)
-            rho = np.where(miss <= 0.001 * cap, 1.0, np.where(miss <= 0.999 * cap, (1 - (miss / cap) ** 2) ** 2, 0.0)) \
-                if cap > 0 else np.ones(n)
-    return season, level
-
-
-def mstl(y: np.ndarray, periods: Sequence[int], windows: Sequence[int] | None = None, iterate: int = 2,
-         **stl_options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trend, one seasonal row per period, residual); periods of half the series or more are dropped."""
-    if windows is None:
-        periods, windows = sorted(periods), default_windows(len(periods))
-    chosen = sorted((p, w) for p, w in zip(periods, windows) if p < len(y) / 2)
-    seasonal = np.zeros((len(chosen), len(y)))
-    rest, level = y.astype(float).copy(), np.zeros(len(y))
-    for _ in range(1 if len(chosen) == 1 else iterate):
-        for i, (p, w) in enumerate(chosen):
-            rest = rest + seasonal[i]
-            seasonal[i], level = stl(rest, p, w, **stl_options)
-            rest = rest - seasonal[i]
-    return level, seasonal, rest - level
+            out = _robustness(out, keys, values)
+    return out.drop("_rho")
 
 
 def decompose(
@@ -198,47 +93,58 @@ def decompose(
     iterate: int = 2,
     *,
     by: Series,
+    size: int = BLOCK_VALUES,
     **stl_options,
 ) -> DataFrame:
-    """(keys, order, observed, trend, seasonal_1.., resid) of every series.
+    """(keys, order, observed, trend, seasonal_1.., resid) of every series, of any length.
 
-    Values are log1p-transformed first (``lmbda=None``) or Box-Cox transformed;
-    components are on the transformed scale.  Series too short for the
-    shortest period (fewer than two cycles and a day) are left out.
+    Values are log1p-transformed first (``lmbda=None``) or Box-Cox transformed; components are on the transformed scale.
+    Series too short for the shortest period (fewer than two cycles and a day) or with a value that is not finite are left
+    out; periods of half a series or more are dropped, and its components then NULL from the last on.
     """
-    keys = list(by.keys) or ["_all"]
-    present = df.select(*by.keys, by.order, *by.ties, F.col(column).cast("double").alias("_x")).filter("_x IS NOT NULL")
-    shaped = stabilise_variance(present, "_x", lmbda, list(by.keys)).withColumnRenamed("transformed", "observed")
-    if not by.keys:
-        shaped = shaped.withColumn("_all", F.lit(0))
-    bound = by.rows_bound if by.rows_bound is not None else longest_series(shaped, keys)
-    if bound > by.block_rows:
-        raise ValueError(
-            f"a series of {bound} rows is longer than block_rows={by.block_rows}: roll it up to days first"
-        )
-    count = len(periods)
-    names = [f"seasonal_{i + 1}" for i in range(count)]
-    order = [by.order, *by.ties]
-    schema = T.StructType(
-        [shaped.schema[k] for k in keys] + [shaped.schema[by.order], T.StructField("observed", T.DoubleType())]
-        + [T.StructField(n, T.DoubleType()) for n in ("trend", *names, "resid")]
-    )
-
-    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        y = pdf["observed"].to_numpy(float)
-        if not len(y) or min(periods) >= len(y) / 2 or not np.isfinite(y).all():
-            return pd.DataFrame(columns=schema.names)
-        level, seasonal, rest = mstl(y, periods, windows, iterate, **stl_options)
-        out = pd.DataFrame({by.order: pdf[by.order].to_numpy(), "observed": y, "trend": level, "resid": rest})
-        for i, n in enumerate(names):
-            out[n] = seasonal[i] if i < len(seasonal) else np.nan
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[schema.names]
-
-    out = shaped.select(*keys, *order, "observed").groupBy(*keys).applyInPandas(split, schema)
-    return out if by.keys else out.drop("_all")
+    keys = list(by.keys)
+    present = df.select(*keys, by.order, *by.ties, F.col(column).cast("double").alias("_x")).filter("_x IS NOT NULL")
+    shaped = stabilise_variance(present, "_x", lmbda, keys).withColumnRenamed("transformed", "observed")
+    blocks = materialise(series_blocks(shaped, ["observed"], by=by, size=size))
+
+    def finite(x):
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    bad = blocks.filter(F.exists("observed", lambda x: ~finite(x))).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    if windows is None:
+        periods, windows = sorted(periods), default_windows(len(periods))
+    chosen = sorted(zip(periods, windows, strict=False))
+    state = blocks.join(bad, same, "left_anti").filter(F.col("_n") > 2 * chosen[0][0])
+    nothing = F.transform("observed", lambda _: F.lit(0.0))
+    names = [f"seasonal_{i + 1}" for i in range(len(chosen))]
+    state = state.withColumns({"trend": nothing, "_rest": F.col("observed")} | {c: nothing for c in names})
+    for round_no in range(1 if len(chosen) == 1 else iterate):
+        for name, (period, window) in zip(names, chosen, strict=True):
+            # A series with one usable period is done after one round.
+            used = (F.col("_n") > 2 * period) & (F.lit(round_no == 0) | (F.col("_n") > 2 * chosen[min(1, len(chosen) - 1)][0]))
+            state = state.withColumn("_sum", plus("_rest", name))
+            state = stl_blocks(state, keys, "_sum", period, window, size=size, **stl_options)
+            state = state.withColumns({
+                "trend": F.when(used, F.col("_level")).otherwise(F.col("trend")),
+                name: F.when(used, F.col("_season")).otherwise(F.col(name))})
+            state = state.withColumn("_rest", F.when(used, minus("_sum", name)).otherwise(F.col("_rest")))
+            state = materialise(state.drop("_sum", "_season", "_level"))
+    dropped = {name: F.when(F.col("_n") > 2 * period, F.col(name)).otherwise(F.transform("observed", lambda _: F.lit(None).cast("double")))
+               for name, (period, _) in zip(names, chosen, strict=True)}
+    state = state.withColumns(dropped | {"resid": minus("_rest", "trend")})
+    return block_rows(state, keys, [by.order, "observed", "trend", *names, "resid"])
+
+
+def loess_smooth(df: DataFrame, column: str, window: int, degree: int = 1, *, by: Series, size: int = BLOCK_VALUES) -> DataFrame:
+    """(keys, order, column, smooth): one loess pass over every series."""
+    keys = list(by.keys)
+    present = df.select(*keys, by.order, *by.ties, F.col(column).cast("double").alias(column)).filter(F.col(column).isNotNull())
+    met = with_reach(series_blocks(present, [column], by=by, size=size), keys, {"y": F.col(column)}, window, size)
+    smooth = loess.smooth(F.col("_near_y"), F.col("_lo"), F.col("_from"), F.col("_to"), F.col("_n"), window, degree)
+    return block_rows(met.withColumn("smooth", smooth), keys, [by.order, column, "smooth"])
 
 
 def residual_for_stationarity(

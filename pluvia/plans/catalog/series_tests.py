@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pluvia.functions.storage import materialise
 from pluvia.operators import autocorrelation as ac
 from pluvia.operators import decomposition as dc
+from pluvia.operators import loess
 from pluvia.operators import profile as pf
 from pluvia.operators import spectrum as sp
 from pluvia.operators import stat_tests as st
@@ -15,7 +16,7 @@ from pluvia.operators.clean import to_long
 from pluvia.operators.features import detrend_centred
 from pluvia.plans import reports
 from pluvia.plans.catalog.registry import LONG, PANEL, RAW, TOTAL, query, rounded
-from pluvia.sources.panel import PREDICTORS, daily_total, panel, site_series, table
+from pluvia.sources.panel import CALENDAR_DAYS, PREDICTORS, daily_total, panel, site_series, table
 
 SITE = site_series()
 
@@ -414,6 +415,72 @@ def wavelet_one_year(spark, sf_dir):
 
 # --- decomposition ------------------------------------------------------------
 
+def loess_weights_sql(name: str, q: int, n: int, degree: int = 1) -> str:
+    """The literal weights of one loess pass over series of n > q values: (kind, at, j, w) for the kernel (j from the
+    position), the first positions (j from 0) and the last ones (at and j from the end); one step outside included."""
+    half = (q + 1) // 2
+    _, kernel = loess.frame_weights(n // 2, n, q, degree)
+    rows = [("k", 0, i - half + 1, w) for i, w in enumerate(kernel)]
+    for at in [-1, *range(half - 1)]:
+        rows += [("h", at, j, w) for j, w in enumerate(loess.frame_weights(at, n, q, degree, first=0)[1])]
+    for back in range(0, q - half + 1):
+        rows += [("t", back, q - j, w) for j, w in enumerate(loess.frame_weights(n - back, n, q, degree, first=n - q)[1])]
+    values = ", ".join(f"('{k}', {a}, {j}, {float(w)!r}::DOUBLE)" for k, a, j, w in rows if w)
+    return f"{name}_w AS (SELECT * FROM (VALUES {values}) v(kind, at_, j, w))"
+
+
+def loess_sql(name: str, source: str, keys: str, q: int, n: int, extend: bool = False) -> str:
+    """CTEs of a loess pass over ``source`` (keys, pos, n, x): ``name`` has (keys, pos, n, x)."""
+    half = (q + 1) // 2
+    targets = f"SELECT {keys}, pos, n FROM {source}"
+    if extend:
+        targets += f" UNION ALL SELECT DISTINCT {keys}, -1, n FROM {source} UNION ALL SELECT DISTINCT {keys}, n, n FROM {source}"
+    return f"""{loess_weights_sql(name, q, n)},
+{name}_t AS ({targets}),
+{name}_f AS (SELECT {keys}, pos, n, pos + j AS src, w FROM {name}_t JOIN {name}_w ON kind = 'k' AND pos >= {half - 1} AND pos < n - {q - half}
+  UNION ALL SELECT {keys}, pos, n, j, w FROM {name}_t JOIN {name}_w ON kind = 'h' AND pos = at_
+  UNION ALL SELECT {keys}, pos, n, n - j, w FROM {name}_t JOIN {name}_w ON kind = 't' AND n - pos = at_),
+{name} AS (SELECT {keys}, f.pos, f.n, SUM(w * s.x) AS x FROM {name}_f f JOIN (SELECT {keys}, pos AS src, x FROM {source}) s
+  USING ({keys}, src) GROUP BY {keys}, f.pos, f.n)"""
+
+
+PLACED = PANEL + """
+, o AS (SELECT site, day, LN(1 + rain) AS x, ROW_NUMBER() OVER (PARTITION BY site ORDER BY day) - 1 AS pos, COUNT(*) OVER (PARTITION BY site) AS n FROM panel)
+"""
+
+
+@query(PLACED + ", " + loess_sql("smooth", "o", "site", 31, CALENDAR_DAYS)
+       + " SELECT site, day, ROUND(smooth.x, 8) AS smooth FROM o JOIN smooth USING (site, pos)")
+def loess_trend(spark, sf_dir):
+    """One loess pass of 31 days over every site's log rain."""
+    rows = panel(spark, sf_dir).select("site", "day", F.log1p("rain").alias("x"))
+    return rounded(dc.loess_smooth(rows, "x", 31, by=SITE), 8, "smooth").select("site", "day", "smooth")
+
+
+# One round of a weekly season (window 11, low-pass 9, trend 13), every filter written out.
+STL_ROUND = PLACED + """
+, c AS (SELECT site, pos % 7 AS phase, pos // 7 AS pos, COUNT(*) OVER (PARTITION BY site, pos % 7) AS n, x FROM o), """ + loess_sql(
+    "cycle", "c", "site, phase", 11, CALENDAR_DAYS // 7, extend=True) + """,
+e AS (SELECT site, pos * 7 + phase AS pos, x FROM cycle),
+m1 AS (SELECT site, pos, AVG(x) OVER w AS x, COUNT(*) OVER w AS k FROM e WINDOW w AS (PARTITION BY site ORDER BY pos ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)),
+m2 AS (SELECT site, pos, AVG(x) OVER w AS x, COUNT(*) OVER w AS k FROM m1 WHERE k = 7 WINDOW w AS (PARTITION BY site ORDER BY pos ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)),
+m3 AS (SELECT site, pos, AVG(x) OVER w AS x, COUNT(*) OVER w AS k FROM m2 WHERE k = 7 WINDOW w AS (PARTITION BY site ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+l0 AS (SELECT m3.site, m3.pos + 7 AS pos, o.n, m3.x FROM m3 JOIN o ON o.site = m3.site AND o.pos = m3.pos + 7 WHERE k = 3), """ + loess_sql(
+    "low", "l0", "site", 9, CALENDAR_DAYS) + """,
+s AS (SELECT o.site, o.day, o.pos, o.n, e.x - low.x AS season, o.x - (e.x - low.x) AS x FROM o JOIN e USING (site, pos) JOIN low USING (site, pos)), """ + loess_sql(
+    "level", "s", "site", 13, CALENDAR_DAYS) + """
+SELECT site, day, ROUND(s.x + season, 8) AS observed, ROUND(level.x, 8) AS trend, ROUND(season, 8) AS seasonal_1, ROUND(s.x - level.x, 8) AS resid
+FROM s JOIN level USING (site, pos)
+"""
+
+
+@query(STL_ROUND)
+def seasonal_round(spark, sf_dir):
+    """A decomposition of one round: weekly season, trend and the rest."""
+    parts = dc.decompose(panel(spark, sf_dir), "rain", [7], inner_iter=1, by=SITE)
+    return rounded(parts, 8, "observed", "trend", "seasonal_1", "resid")
+
+
 @query()
 def seasonal_decomposition(spark, sf_dir):
     return dc.decompose(panel(spark, sf_dir), "rain", [7, 30, 365], by=SITE)

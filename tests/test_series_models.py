@@ -13,9 +13,11 @@ from pluvia.functions.ordering import series
 from pluvia.operators import decomposition as dc
 from pluvia.operators import evaluation as ev
 from pluvia.operators import forecasting as fc
+from pluvia.operators import loess
 from pluvia.operators import rain_models as rm
 from pluvia.operators import spectrum as sp
 from pluvia.operators import training as tr
+from tests import local_mstl as lm
 
 BY = series("site", "day", rows_bound=5000)
 
@@ -75,7 +77,7 @@ def loess_direct(y, q):
     for i in range(n):
         order = sorted(range(n), key=lambda j: abs(j - i))
         near = sorted(order[: min(q, n)])
-        a = dc._left(i + 1, n, q) - 1
+        a = lm._left(i + 1, n, q) - 1
         near = list(range(a, a + min(q, n)))
         h = max(i - near[0], near[-1] - i) + (max(q - n, 0) // 2)
         w = np.array([max(0.0, 1 - (abs(j - i) / h) ** 3) ** 3 for j in near])
@@ -88,16 +90,16 @@ def loess_direct(y, q):
 @pytest.mark.parametrize("n,q", [(40, 7), (40, 11), (9, 15), (30, 29)])
 def test_loess_is_local_regression(n, q):
     y = np.random.default_rng(n + q).normal(size=n)
-    np.testing.assert_allclose(dc.loess(y, q), loess_direct(y, q), atol=2e-3)
-    np.testing.assert_allclose(dc.loess(y, q, rho=np.ones(n)), dc.loess(y, q), atol=1e-12)
+    np.testing.assert_allclose(lm.loess(y, q), loess_direct(y, q), atol=2e-3)
+    np.testing.assert_allclose(lm.loess(y, q, rho=np.ones(n)), lm.loess(y, q), atol=1e-12)
 
 
 def test_dense_cycles_equal_single_cycles():
     y = np.random.default_rng(8).normal(size=100)
-    fast = dc._smooth_cycles(y, 7, 11, 1, None)
+    fast = lm._smooth_cycles(y, 7, 11, 1, None)
     slow = np.empty_like(fast)
     for p in range(7):
-        slow[p::7] = dc._smooth_cycle(y[p::7], 11, 1, None)
+        slow[p::7] = lm._smooth_cycle(y[p::7], 11, 1, None)
     np.testing.assert_allclose(fast, slow, atol=1e-12)
 
 
@@ -112,6 +114,48 @@ def test_decomposition_recovers_trend_and_season(spark):
     np.testing.assert_allclose(got["trend"], level * 0.2, atol=0.01)
 
 
+@pytest.mark.parametrize("size,options", [(37, {}), (1000, {}), (2500, {"robust": True, "inner_iter": 2, "outer_iter": 2})])
+def test_blocks_equal_the_decomposition_in_memory(spark, size, options):
+    """Blocks much shorter than the reach of the filters, series of different lengths."""
+    rng = np.random.default_rng(5)
+    x = {"a": rng.gamma(2, 2, 301), "b": rng.gamma(2, 2, 64), "c": rng.gamma(2, 2, 40)}
+    df = one_series(spark, x["a"]).union(one_series(spark, x["b"], "b")).union(one_series(spark, x["c"], "c")).union(one_series(spark, x["c"][:12], "d"))
+    by = series("site", "day")
+    got = dc.decompose(df, "x", [7, 30], by=by, size=size, **options).toPandas().sort_values(["site", "day"])
+    assert sorted(got["site"].unique()) == ["a", "b", "c"]
+    for site, rows in got.groupby("site"):
+        level, seasonal, rest = lm.mstl(np.log1p(x[site]), [7, 30], **options)
+        np.testing.assert_allclose(rows["trend"], level, atol=1e-9)
+        np.testing.assert_allclose(rows["resid"], rest, atol=1e-9)
+        for i in range(2):
+            if i < len(seasonal):
+                np.testing.assert_allclose(rows[f"seasonal_{i + 1}"], seasonal[i], atol=1e-9)
+            else:
+                assert rows[f"seasonal_{i + 1}"].isna().all()
+
+
+def test_one_loess_pass_over_blocks(spark):
+    x = np.random.default_rng(6).normal(size=200)
+    rows = one_series(spark, x)
+    for size, q in ((25, 31), (1000, 31), (25, 301)):
+        got = dc.loess_smooth(rows, "x", q, by=series("site", "day"), size=size).toPandas().sort_values("day")
+        np.testing.assert_allclose(got["smooth"], lm.loess(x, q), atol=1e-10)
+
+
+def test_rounds_without_an_exchange():
+    """Several rounds from a wider reach equal as many single rounds of the whole series."""
+    x = np.random.default_rng(7).normal(size=900)
+    windows, n = (11, 9, 13), 900
+    whole = loess.seasonal_steps(x, np.zeros(n), None, 0, 0, n, n, 3, 7, windows, (1, 1, 1))
+    reach = 3 * loess.step_reach(7, windows)
+    a, b = 400, 430
+    lo, hi = a - reach, b + reach
+    part = loess.seasonal_steps(x[lo:hi], np.zeros(hi - lo), None, lo, a, b, n, 3, 7, windows, (1, 1, 1))
+    assert hi < n and lo > 0
+    for p, w in zip(part, whole, strict=True):
+        np.testing.assert_allclose(p, w[a:b], atol=1e-12)
+
+
 def test_decomposition_leaves_out_what_is_too_short(spark):
     assert dc.decompose(one_series(spark, np.ones(10)), "x", [7], by=BY).count() == 0
 
