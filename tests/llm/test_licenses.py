@@ -19,7 +19,9 @@ def words(text):
 def brute(text):
     """n_words, n_base, first_word, last_word, base_labels, labels, score: every place against every template."""
     ws = words(text)
-    places, base = [], set()
+    places, base, places_of = [], set(), {}
+    for i in range(len(ws) - 2):
+        places_of.setdefault(tuple(ws[i: i + 3]), []).append(i)
     for label, phrase in BASE.items():
         p = phrase.split()
         at = [i for i in range(len(ws)) if ws[i: i + len(p)] == p]
@@ -29,10 +31,9 @@ def brute(text):
     for label, notice in lc.NOTICES:
         t = words(notice)
         lines = {}
-        for i in range(len(ws) - 2):
-            for j in range(len(t) - 2):
-                if ws[i: i + 3] == t[j: j + 3]:
-                    lines.setdefault(i - j, set()).add(j)
+        for j in range(len(t) - 2):
+            for i in places_of.get(tuple(t[j: j + 3]), ()):
+                lines.setdefault(i - j, set()).add(j)
         before, span = None, set()
         for d in [*sorted(lines), None]:
             if d is None or before is not None and d - before > lc.SHIFT:
