@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pluvia.functions.blocks import PLACE, series_blocks, with_reach
 from pluvia.functions.ordering import Series, fits_one_task, running_total
 from pluvia.operators.features import detrend_centred, recent_rows
 from pluvia.operators.profile import with_series_facts
@@ -148,76 +149,115 @@ def morlet_integral(level: int = 12) -> tuple[np.ndarray, float]:
     return np.cumsum(np.exp(-t * t / 2) * np.cos(5 * t)) * step, step
 
 
-def morlet_coefficients(x: np.ndarray, scales: list[float]) -> np.ndarray:
-    """scale x time coefficients: data convolved with the resampled integral, differenced."""
+def morlet_taps(s: float) -> tuple[np.ndarray, int]:
+    """(taps, place): a coefficient is the sum of x[m] taps[t + place - m].
+
+    The resampled integral is convolved with the data and differenced, which is one convolution with its differences."""
     integral, step = morlet_integral()
-    out = np.empty((len(scales), len(x)))
-    for i, s in enumerate(scales):
-        at = (np.arange(s * 16 + 1) / (s * step)).astype(int)
-        kernel = integral[at[at < len(integral)]][::-1]
-        size = len(x) + len(kernel) - 1
-        n_fft = 1 << (size - 1).bit_length()
-        full = np.fft.irfft(np.fft.rfft(x, n_fft) * np.fft.rfft(kernel, n_fft), n_fft)[:size]
-        coef = -np.sqrt(s) * np.diff(full)
-        extra = (len(coef) - len(x)) / 2
-        out[i] = coef[int(np.floor(extra)): len(coef) - int(np.ceil(extra))] if extra > 0 else coef
+    at = (np.arange(s * 16 + 1) / (s * step)).astype(int)
+    kernel = integral[at[at < len(integral)]][::-1]
+    taps = -np.sqrt(s) * np.diff(np.concatenate(([0.0], kernel, [0.0])))
+    return taps, max(len(kernel) - 2, 0) // 2 + 1
+
+
+def complex_morlet_taps(s: float, n: int) -> tuple[np.ndarray, int]:
+    """Taps of the complex Morlet (w = 5) for a series of ``n`` values, which bounds its width."""
+    width = min(10 * s, n)
+    t = (np.arange(0, width) - (width - 1.0) / 2) / s
+    taps = np.conj((np.sqrt(1 / s) * np.exp(5j * t) * np.exp(-0.5 * t * t) * np.pi ** -0.25)[::-1])
+    return taps, (len(taps) - 1) // 2
+
+
+def convolved(x: np.ndarray, taps: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Values ``first`` to ``first + count`` of the full convolution, by a transform of the block; zeros beyond it."""
+    size = len(x) + len(taps) - 1
+    n_fft = 1 << max(size - 1, 1).bit_length()
+    if np.iscomplexobj(taps):
+        full = np.fft.ifft(np.fft.fft(x, n_fft) * np.fft.fft(taps, n_fft))[:size]
+    else:
+        full = np.fft.irfft(np.fft.rfft(x, n_fft) * np.fft.rfft(taps, n_fft), n_fft)[:size]
+    out = np.zeros(count, full.dtype)
+    a, b = max(first, 0), min(first + count, size)
+    out[a - first: max(b, a) - first] = full[a: max(b, a)]
     return out
 
 
-def complex_morlet_coefficients(x: np.ndarray, scales: list[float]) -> np.ndarray:
-    """scale x time coefficients of the complex Morlet (w = 5), centred convolution."""
-    out = np.empty((len(scales), len(x)), dtype=complex)
-    for i, s in enumerate(scales):
-        width = min(10 * s, len(x))
-        t = (np.arange(0, width) - (width - 1.0) / 2) / s
-        kernel = np.conj((np.sqrt(1 / s) * np.exp(5j * t) * np.exp(-0.5 * t * t) * np.pi ** -0.25)[::-1])
-        full = np.convolve(x, kernel)
-        start = (len(full) - len(x)) // 2
-        out[i] = full[start: start + len(x)]
-    return out
+#: Values of a block in a wavelet transform; each scale's coefficients of a block are held at once.
+WAVELET_BLOCK = 1 << 15
+
+
+def _taps(scale: float, n: int, complex_: bool) -> tuple[np.ndarray, int]:
+    return complex_morlet_taps(scale, n) if complex_ else morlet_taps(scale)
 
 
-def _cwt(df: DataFrame, column: str, rows: int, scales: list[float], transform, by: Series) -> DataFrame:
-    """Coefficients of the last ``rows`` values of every series; that many rows
-    is all a task ever receives per key."""
+def _wavelet_blocks(df: DataFrame, column: str, rows: int | None, scales: list[float], by: Series, size: int) -> DataFrame:
+    """Blocks of the last ``rows`` values of every series (None: all) with what the widest kernel reaches into."""
     present = df.select(*by.keys, by.order, *by.ties, F.col(column).cast("double").alias("_x")).filter("_x IS NOT NULL")
-    keyed, keys, single = _keyed(present, by)
-    recent = recent_rows(keyed, rows, by=Series(tuple(keys), by.order, by.ties))
-    schema = T.StructType([keyed.schema[k] for k in keys] + [
-        T.StructField("scale", T.DoubleType()), keyed.schema[by.order],
+    recent = present if rows is None else recent_rows(present, rows, by=by)
+    reach = int(16 * max(scales)) + 4
+    return with_reach(series_blocks(recent, ["_x"], by=by, size=size), list(by.keys), {"x": F.col("_x")}, reach, size)
+
+
+def _coefficients(x, lo: int, start: int, stop: int, n: int, scale: float, complex_: bool) -> np.ndarray:
+    taps, place = _taps(scale, n, complex_)
+    return convolved(np.asarray(x, float), taps, start + place - lo, stop - start)
+
+
+def _cwt(df: DataFrame, column: str, rows: int | None, scales: list[float], complex_: bool, by: Series, size: int) -> DataFrame:
+    """(keys, scale, order, coef, power): overlapping blocks are convolved with the kernel of each scale."""
+    blocks = _wavelet_blocks(df, column, rows, scales, by, size)
+    keys = list(by.keys)
+    schema = T.StructType([df.schema[k] for k in keys] + [
+        T.StructField("scale", T.DoubleType()), df.schema[by.order],
         T.StructField("coef", T.DoubleType()), T.StructField("power", T.DoubleType()),
     ])
-    order = [by.order, *by.ties]
 
-    def expand(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        coef = transform(pdf["_x"].to_numpy(), scales)
-        out = pd.DataFrame({
-            "scale": np.repeat(scales, len(pdf)), by.order: np.tile(pdf[by.order].to_numpy(), len(scales)),
-            "coef": coef.real.ravel(), "power": (np.abs(coef) ** 2).ravel(),
-        })
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[schema.names]
+    def expand(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                for s in scales:
+                    c = _coefficients(r["_near_x"], r["_lo"], r["_from"], r["_to"], r["_n"], s, complex_)
+                    out = pd.DataFrame({"scale": s, by.order: r[by.order], "coef": c.real, "power": np.abs(c) ** 2})
+                    yield out.assign(**{k: r[k] for k in keys})[schema.names]
 
-    out = recent.groupBy(*keys).applyInPandas(expand, schema)
-    return out.drop("_all") if single else out
+    return blocks.select(*keys, *PLACE, "_lo", by.order, "_near_x").mapInPandas(expand, schema)
 
 
 def wavelet_power(
-    df: DataFrame, column: str, years: int = 3, period_range: tuple[int, int] = (3, 365),
-    scales: list[float] | None = None, *, by: Series,
+    df: DataFrame, column: str, years: int | None = 3, period_range: tuple[int, int] = (3, 365),
+    scales: list[float] | None = None, *, by: Series, size: int = WAVELET_BLOCK,
 ) -> DataFrame:
-    """(keys, scale, order, coef, power) of the real Morlet over the last years."""
-    return _cwt(df, column, 365 * years, scales or wavelet_scales(period_range), morlet_coefficients, by)
+    """(keys, scale, order, coef, power) of the real Morlet over the last years (None: the whole series)."""
+    return _cwt(df, column, years and 365 * years, scales or wavelet_scales(period_range), False, by, size)
 
 
 def wavelet_power_complex(
-    df: DataFrame, column: str, rows: int = 365, scales: list[float] | None = None, *, by: Series
+    df: DataFrame, column: str, rows: int | None = 365, scales: list[float] | None = None, *, by: Series, size: int = WAVELET_BLOCK,
 ) -> DataFrame:
-    """The one-year variant: complex Morlet on 20 log-spaced scales, period = 2 scale."""
+    """The one-year variant (None: the whole series): complex Morlet on 20 log-spaced scales, period = 2 scale."""
     chosen = scales or [float(s) for s in np.logspace(1, 2, 20)]
-    return _cwt(df, column, rows, chosen, complex_morlet_coefficients, by)
+    return _cwt(df, column, rows, chosen, True, by, size)
+
+
+def wavelet_power_by_scale(
+    df: DataFrame, column: str, rows: int | None = 365 * 3, scales: list[float] | None = None, complex_: bool = False,
+    period_factor: float = 1.0, *, by: Series, size: int = WAVELET_BLOCK,
+) -> DataFrame:
+    """``global_wavelet_spectrum`` without the table of coefficients: each task adds up the power of its blocks."""
+    chosen = scales or wavelet_scales()
+    keys = list(by.keys)
+    blocks = _wavelet_blocks(df, column, rows, chosen, by, size)
+
+    @F.pandas_udf("array<double>")
+    def summed(x: pd.Series, lo: pd.Series, start: pd.Series, stop: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([[float((np.abs(_coefficients(*r, s, complex_)) ** 2).sum()) for s in chosen]
+                          for r in zip(x, lo, start, stop, n, strict=True)], dtype=object)
+
+    sums = blocks.select(*keys, (F.col("_to") - F.col("_from")).alias("_count"), F.posexplode(
+        summed("_near_x", "_lo", "_from", "_to", "_n")).alias("_i", "_sum"))
+    return sums.groupBy(*keys, "_i").agg((F.sum("_sum") / F.sum("_count")).alias("global_power")).select(
+        *keys, F.get(F.array(*map(F.lit, chosen)), F.col("_i")).alias("scale"), "global_power").withColumn(
+        "period", F.col("scale") * period_factor)
 
 
 def global_wavelet_spectrum(power: DataFrame, keys: Sequence[str] = (), period_factor: float = 1.0) -> DataFrame:

@@ -115,8 +115,7 @@ EVENT_BLOCK = 500
 
 
 @query(PANEL + f"""
-, means AS (SELECT {", ".join(f"AVG({c}) AS m_{c}" for c in PREDICTORS)} FROM panel)
-SELECT site, day, rain, n_obs, {", ".join(f"ROUND(COALESCE({c}, m_{c}), 5) AS {c}" for c in PREDICTORS)} FROM panel CROSS JOIN means
+SELECT site, day, rain, n_obs, {", ".join(f"ROUND(COALESCE({c}, AVG({c}) OVER ()), 5) AS {c}" for c in PREDICTORS)} FROM panel
 """)
 def missing_fill_mean(spark, sf_dir):
     filled = clean.fill_mean(panel(spark, sf_dir), PREDICTORS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
@@ -397,20 +398,53 @@ def dominant_period_power(spark, sf_dir):
 
 @query()
 def wavelet_spectrum(spark, sf_dir):
-    power = sp.wavelet_power(panel(spark, sf_dir), "rain", by=SITE)
-    return sp.global_wavelet_spectrum(power, ["site"])
+    """The last three years, as the definition has it."""
+    return sp.wavelet_power_by_scale(panel(spark, sf_dir), "rain", by=SITE)
+
+
+@query()
+def wavelet_whole_series(spark, sf_dir):
+    return sp.wavelet_power_by_scale(panel(spark, sf_dir), "rain", rows=None, by=SITE)
+
+
+SMALL_SCALES = [2.0, 3.0, 5.0]
+
+
+def taps_sql(scales) -> str:
+    found = [(s, *sp.morlet_taps(s)) for s in scales]
+    return ", ".join(f"({s}, {place - j}, {float(w)!r}::DOUBLE)" for s, taps, place in found for j, w in enumerate(taps))
+
+
+CONVOLVED = PANEL + f"""
+, o AS MATERIALIZED (SELECT site, day, rain AS x, ROW_NUMBER() OVER (PARTITION BY site ORDER BY day) AS pos FROM panel),
+k AS (SELECT * FROM (VALUES {taps_sql(SMALL_SCALES)}) v(scale, away, w)),
+f AS (SELECT o.site, pos - away AS pos, scale, SUM(w * x) AS coef FROM o CROSS JOIN k GROUP BY 1, 2, 3),
+c AS (SELECT o.site, o.day, scale, coef FROM f JOIN o ON o.site = f.site AND o.pos = f.pos)
+"""
+
+
+@query(CONVOLVED + "SELECT site, CAST(scale AS DOUBLE) AS scale, day, ROUND(coef, 6) AS coef, ROUND(coef * coef, 5) AS power FROM c")
+def wavelet_small_scales(spark, sf_dir):
+    """Coefficients of the smallest kernels over whole series, which SQL can convolve."""
+    out = sp.wavelet_power(panel(spark, sf_dir), "rain", years=None, scales=SMALL_SCALES, by=SITE)
+    return rounded(rounded(out, 6, "coef"), 5, "power")
+
+
+@query(CONVOLVED + "SELECT site, CAST(scale AS DOUBLE) AS scale, CAST(scale AS DOUBLE) AS period, ROUND(AVG(coef * coef), 6) AS global_power FROM c GROUP BY 1, 2")
+def wavelet_small_scale_power(spark, sf_dir):
+    out = sp.wavelet_power_by_scale(panel(spark, sf_dir), "rain", rows=None, scales=SMALL_SCALES, by=SITE)
+    return rounded(out, 6, "global_power")
 
 
 @query()
 def wavelet_dominant_periods(spark, sf_dir):
-    power = sp.wavelet_power(panel(spark, sf_dir), "rain", by=SITE)
-    return sp.dominant_wavelet_periods(sp.global_wavelet_spectrum(power, ["site"]), keys=["site"])
+    return sp.dominant_wavelet_periods(wavelet_spectrum(spark, sf_dir), keys=["site"])
 
 
 @query()
 def wavelet_one_year(spark, sf_dir):
-    power = sp.wavelet_power_complex(panel(spark, sf_dir), "rain", by=SITE)
-    return sp.global_wavelet_spectrum(power, ["site"], 2.0)
+    scales = [float(s) for s in np.logspace(1, 2, 20)]
+    return sp.wavelet_power_by_scale(panel(spark, sf_dir), "rain", 365, scales, True, 2.0, by=SITE)
 
 
 # --- decomposition ------------------------------------------------------------

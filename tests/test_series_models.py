@@ -50,17 +50,40 @@ def test_short_series_has_no_spectrum(spark):
     assert sp.detrended_spectrum(one_series(spark, np.arange(100)), "x", by=BY).count() == 0
 
 
-def test_wavelet_equals_direct_sums():
-    x = np.random.default_rng(4).normal(size=60)
+def morlet_direct(x, s):
+    """Coefficients from the definition: convolve with the resampled integral, difference, cut to the middle."""
     integral, step = sp.morlet_integral()
-    got = sp.morlet_coefficients(x, [1.0, 3.0])
-    for row, s in zip(got, (1.0, 3.0)):
-        at = np.floor(np.arange(s * 16 + 1) / (s * step)).astype(int)
-        kernel = integral[at[at < len(integral)]][::-1]
-        full = [sum(x[m] * kernel[i - m] for m in range(len(x)) if 0 <= i - m < len(kernel)) for i in range(len(x) + len(kernel) - 1)]
-        coef = -math.sqrt(s) * np.diff(full)
-        cut = (len(coef) - len(x)) / 2
-        np.testing.assert_allclose(row, coef[math.floor(cut): len(coef) - math.ceil(cut)], atol=1e-9)
+    at = np.floor(np.arange(s * 16 + 1) / (s * step)).astype(int)
+    kernel = integral[at[at < len(integral)]][::-1]
+    coef = -math.sqrt(s) * np.diff(np.convolve(x, kernel))
+    cut = (len(coef) - len(x)) / 2
+    return coef[math.floor(cut): len(coef) - math.ceil(cut)]
+
+
+def complex_morlet_direct(x, s):
+    width = min(10 * s, len(x))
+    t = (np.arange(0, width) - (width - 1.0) / 2) / s
+    kernel = np.conj((np.sqrt(1 / s) * np.exp(5j * t) * np.exp(-0.5 * t * t) * np.pi ** -0.25)[::-1])
+    full = np.convolve(x, kernel)
+    start = (len(full) - len(x)) // 2
+    return full[start: start + len(x)]
+
+
+@pytest.mark.parametrize("size,rows", [(17, None), (1 << 15, None), (17, 40)])
+def test_wavelets_over_blocks_equal_direct_sums(spark, size, rows):
+    rng = np.random.default_rng(4)
+    x = {"a": rng.normal(size=60), "b": rng.normal(size=7)}
+    df = one_series(spark, x["a"]).union(one_series(spark, x["b"], "b"))
+    by, scales = series("site", "day"), [1.0, 3.0, 5.5]
+    kept = {k: v[-rows:] if rows else v for k, v in x.items()}
+    for complex_, direct in ((False, morlet_direct), (True, complex_morlet_direct)):
+        got = sp._cwt(df, "x", rows, scales, complex_, by, size).toPandas().sort_values(["site", "scale", "day"])
+        sums = sp.wavelet_power_by_scale(df, "x", rows, scales, complex_, by=by, size=size).toPandas().set_index(["site", "scale"])
+        for (site, s), part in got.groupby(["site", "scale"]):
+            want = direct(kept[site], s)
+            np.testing.assert_allclose(part["coef"], want.real, atol=1e-9)
+            np.testing.assert_allclose(part["power"], np.abs(want) ** 2, atol=1e-9)
+            assert sums.loc[(site, s), "global_power"] == pytest.approx((np.abs(want) ** 2).mean())
 
 
 def test_wavelet_peaks_at_the_scale_of_a_sine(spark):
