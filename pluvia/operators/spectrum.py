@@ -1,13 +1,13 @@
 """Periodogram and wavelet spectra per series.
 
-A series of at most ``Series.block_rows`` rows (a daily calendar holds far
-fewer) is transformed inside one task with numpy's FFT.  A longer one is
-summed frequency by frequency in a map-side combined aggregate instead.
+Transforms run in groups of about the square root of a series (``operators.fourier``), wavelets in overlapping blocks
+(``functions.blocks``), so a series of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -16,53 +16,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvia.functions.blocks import PLACE, series_blocks, with_reach
-from pluvia.functions.ordering import Series, fits_one_task, running_total
+from pluvia.functions.ordering import Series, longest_series, running_total, with_positions
 from pluvia.operators.features import detrend_centred, recent_rows
+from pluvia.operators.fourier import GROUP_VALUES, transform_series
 from pluvia.operators.profile import with_series_facts
 
-SPECTRUM_FIELDS = [
-    T.StructField("k", T.IntegerType()), T.StructField("frequency", T.DoubleType()),
-    T.StructField("period", T.DoubleType()), T.StructField("magnitude", T.DoubleType()),
-]
-
-
-def _keyed(df: DataFrame, s: Series) -> tuple[DataFrame, list[str], bool]:
-    """A single series gets a constant key so that it can be grouped."""
-    if s.keys:
-        return df, list(s.keys), False
-    return df.withColumn("_all", F.lit(0)), ["_all"], True
-
-
-def periodogram(df: DataFrame, column: str, *, by: Series) -> DataFrame:
-    """(keys, k, frequency, period, magnitude) of the positive frequencies."""
-    rows = df.select(*by.keys, by.order, *by.ties, F.col(column).cast("double").alias("_x")).filter("_x IS NOT NULL")
-    if not by.keys and by.rows_bound is None:
-        small = rows.count() <= by.block_rows
-    else:
-        small = (by.rows_bound or 0) <= by.block_rows if by.rows_bound is not None else fits_one_task(rows, by)
-    return _fft_in_task(rows, by) if small else periodogram_by_sums(rows, "_x", by=by)
-
-
-def _fft_in_task(rows: DataFrame, by: Series) -> DataFrame:
-    keyed, keys, single = _keyed(rows, by)
-    schema = T.StructType([keyed.schema[k] for k in keys] + SPECTRUM_FIELDS)
-    order = [by.order, *by.ties]
-
-    def transform(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)["_x"].to_numpy()
-        n = len(x)
-        k = np.arange(1, (n - 1) // 2 + 1)
-        out = pd.DataFrame({"k": k, "frequency": k / n, "period": n / k, "magnitude": np.abs(np.fft.rfft(x))[k]})
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[schema.names]
-
-    out = keyed.groupBy(*keys).applyInPandas(transform, schema)
-    return out.drop("_all") if single else out
+def periodogram(df: DataFrame, column: str, *, by: Series, group_values: int = GROUP_VALUES) -> DataFrame:
+    """(keys, k, frequency, period, magnitude) of the positive frequencies, by grouped transforms at every length."""
+    rows = df.select(*by.keys, by.order, *by.ties, F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    if not by.keys:
+        by = replace(by, rows_bound=by.rows_bound or longest_series(rows, []))
+    elif by.rows_bound is None:
+        by = replace(by, rows_bound=longest_series(rows, by.keys))
+    placed = with_positions(rows, by, "m")
+    sized = with_series_facts(placed, by, {"_n": F.count("x")}).select(*by.keys, "_n", "m", "x")
+    found = transform_series(sized, by.keys, by.rows_bound, group_values)
+    n, k = F.col("_n").cast("double"), F.col("k")
+    half = found.filter((k >= 1) & (k <= F.floor((F.col("_n") - 1) / 2)))
+    return half.select(*by.keys, k.cast("int").alias("k"), (k / n).alias("frequency"), (n / k).alias("period"),
+                       F.hypot("re", "im").alias("magnitude"))
 
 
 def periodogram_by_sums(rows: DataFrame, column: str, *, by: Series) -> DataFrame:
-    """The same table from sums of x cos and x sin per (key, k)."""
+    """The same table from sums of x cos and x sin per (key, k): quadratic, to hold the transforms against."""
     placed = running_total(rows, by, column, "_sum").drop("_sum")
     sized = with_series_facts(placed, by, {"_n": F.count(column)})
     last = F.floor((F.col("_n") - 1) / 2).cast("int")

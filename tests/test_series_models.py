@@ -29,12 +29,30 @@ def one_series(spark, x, site="a"):
     )
 
 
-def test_both_periodogram_routes_equal_numpy(spark):
+@pytest.mark.parametrize("group_values", [1 << 17, 20])
+def test_transforms_equal_numpy(spark, group_values):
+    """A prime, a square, twice a prime, tiny lengths; with little groups the primes take the chirp form."""
+    rng = np.random.default_rng(2)
+    x = {f"s{n}": rng.normal(size=n) for n in (151, 144, 94, 60, 3, 2, 1)}
+    df = one_series(spark, x["s151"], "s151")
+    for name, values in list(x.items())[1:]:
+        df = df.union(one_series(spark, values, name))
+    got = sp.periodogram(df, "x", by=series("site", "day"), group_values=group_values).toPandas()
+    for name, values in x.items():
+        n, rows = len(values), got[got["site"] == name].sort_values("k")
+        k = np.arange(1, (n - 1) // 2 + 1)
+        np.testing.assert_array_equal(rows["k"], k)
+        np.testing.assert_allclose(rows["magnitude"], np.abs(np.fft.fft(values))[k], atol=1e-9)
+        np.testing.assert_allclose(rows["period"], n / k)
+
+
+def test_transform_of_one_series_equals_sums(spark):
     x = np.random.default_rng(2).normal(size=151)
     df = one_series(spark, x)
     want = np.abs(np.fft.fft(x))[1:76]
     split = series("site", "day", block_rows=20)
-    for got in (sp.periodogram(df, "x", by=BY), sp.periodogram_by_sums(df, "x", by=split)):
+    alone = sp.periodogram(df.drop("site"), "x", by=series((), "day"))
+    for got in (sp.periodogram(df, "x", by=BY), alone, sp.periodogram_by_sums(df, "x", by=split)):
         rows = got.toPandas().sort_values("k")
         np.testing.assert_allclose(rows["magnitude"], want, atol=1e-9)
         np.testing.assert_allclose(rows["period"], 151 / np.arange(1, 76))
