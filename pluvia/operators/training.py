@@ -18,6 +18,7 @@ from pluvia.operators.evaluation import (
     regression_aggregates,
     roc_auc,
 )
+from pluvia.operators.linear_search import classification_trials, regression_trials
 from pluvia.operators.rain_models import RainModel
 
 
@@ -96,11 +97,28 @@ def draw(space: dict[str, dict], rng: random.Random) -> dict:
 PARALLEL_TRIALS = 4
 
 
+def _best(drawn: list[dict], values: list[float], maximise: bool) -> dict:
+    best = max(values) if maximise else min(values)
+    return drawn[values.index(best)]
+
+
+def _draws(space: dict, trials: int, seed: int) -> list[dict]:
+    rng = random.Random(seed)
+    return [draw(space, rng) for _ in range(trials)]
+
+
+#: Parameters that ``linear_search`` knows; trials of others, and of other families, are fitted one by one.
+SUMMED = {"alpha", "regression_type", "normalize_features"}
+
+
+def _from_sums(model: RainModel, space: dict, fixed: dict, known: set[str]) -> bool:
+    return model.family == "linear" and set(space) <= known and set(fixed) <= known | {"C", "max_iter"}
+
+
 def _search(space, trials, seed, score, maximise) -> dict:
     """Seeded random search; trials are drawn first and run a few at a time.  A failed trial counts as the worst, and
     if all fail the last error is raised."""
-    rng = random.Random(seed)
-    drawn = [draw(space, rng) for _ in range(trials)]
+    drawn = _draws(space, trials, seed)
     worst = -math.inf if maximise else math.inf
     errors = []
 
@@ -115,8 +133,7 @@ def _search(space, trials, seed, score, maximise) -> dict:
         values = list(pool.map(run, drawn))
     if errors and len(errors) == trials:
         raise errors[-1]
-    best = max(values) if maximise else min(values)
-    return drawn[values.index(best)]
+    return _best(drawn, values, maximise)
 
 
 def _classifier_auc(model: RainModel, train: DataFrame, test: DataFrame, rows_bound: int) -> float | None:
@@ -146,20 +163,31 @@ def search_two_stage(
     n_trials: int = 100, n_splits: int = 3, seed: int = 42,
 ) -> tuple[dict, dict]:
     """Half the trials maximise the classifier's cross-validated AUC, the other half
-    minimise the amount model's rainy-day MAE; neither depends on the other model."""
+    minimise the amount model's rainy-day MAE; neither depends on the other model.
+    Linear models of all trials are fitted and scored together (``linear_search``)."""
+    trials, limit = max(1, n_trials // 2), model.classification_threshold
     folds = list(_folds(numbered, n_splits))
 
     def auc(params):
         chosen = dataclasses.replace(model, classification_params=params)
         return _mean([_classifier_auc(chosen, train, test, size) for size, train, test in folds], 0.0)
 
-    best_c = _search(classification_space, max(1, n_trials // 2), seed, auc, True)
+    if _from_sums(model, classification_space, model.params, {"C"}):
+        drawn = _draws(classification_space, trials, seed)
+        found = classification_trials(numbered, model.features, model.target, limit, [{**model.params, **p} for p in drawn], n_splits)
+        best_c = _best(drawn, [_mean(v, 0.0) for v in found], True)
+    else:
+        best_c = _search(classification_space, trials, seed, auc, True)
 
     def mae(params):
         chosen = dataclasses.replace(model, regression_params=params)
         return _mean([_rainy_mae(chosen, train, test) for _, train, test in folds], math.inf)
 
-    return best_c, _search(regression_space, max(1, n_trials // 2), seed, mae, False)
+    if _from_sums(model, regression_space, model.params, SUMMED):
+        drawn = _draws(regression_space, trials, seed)
+        found = regression_trials(numbered, model.features, model.target, [{**model.params, **p} for p in drawn], n_splits, limit)
+        return best_c, _best(drawn, [_mean(v["MAE"], math.inf) for v in found], False)
+    return best_c, _search(regression_space, trials, seed, mae, False)
 
 
 def search_single_stage(
@@ -168,11 +196,15 @@ def search_single_stage(
 ) -> dict:
     """Minimises mae or rmse, or maximises r2, over the folds."""
     name, maximise = {"mae": "MAE", "rmse": "RMSE", "r2": "R2"}[metric], metric == "r2"
+    worst = -math.inf if maximise else math.inf
+    if _from_sums(model, space, model.params, SUMMED):
+        drawn = _draws(space, n_trials, seed)
+        found = regression_trials(numbered, model.features, model.target, [{**model.params, **p} for p in drawn], n_splits)
+        return _best(drawn, [_mean(v[name], worst) for v in found], maximise)
     folds = list(_folds(numbered, n_splits))
 
     def score(params):
         one = dataclasses.replace(model, two_stage=False, params={**model.params, **params})
-        worst = -math.inf if maximise else math.inf
         return _mean([_fold_scores(one, train, test, size)[name] for size, train, test in folds], worst)
 
     return _search(space, n_trials, seed, score, maximise)

@@ -8,6 +8,7 @@ from pluvia.functions.storage import materialise
 from pluvia.operators import evaluation as ev
 from pluvia.operators import features as fx
 from pluvia.operators import forecasting as fc
+from pluvia.operators import linear_search as ls
 from pluvia.operators import rain_models as rm
 from pluvia.operators import training as tr
 from pluvia.plans.catalog.registry import PANEL, query, rounded
@@ -218,7 +219,7 @@ def cross_validation(spark, sf_dir):
 
 @query()
 def model_search(spark, sf_dir):
-    """A short seeded search, refit and hold-out evaluation of two models."""
+    """A seeded search of 100 trials, refit and hold-out evaluation of two models."""
     rows = panel(spark, sf_dir).select("site", "day", "rain").withColumn("month", F.month("day"))
     rows = fx.create_lag_features(rows, "rain", [1, 7], by=SITE)
     features = FEATURES[:3]
@@ -232,12 +233,49 @@ def model_search(spark, sf_dir):
                 "classification": {"C": {"type": "loguniform", "low": 0.1, "high": 10.0}},
                 "regression": {"alpha": {"type": "float", "low": 0.1, "high": 5.0}},
             },
-            "single": {"single_stage": {"regression_type": {"type": "categorical", "choices": ["ridge", "lasso"]}}},
-        }, n_trials=2, cv_splits=3,
+            "single": {"single_stage": {
+                "regression_type": {"type": "categorical", "choices": ["ridge", "lasso"]},
+                "alpha": {"type": "loguniform", "low": 0.01, "high": 100.0},
+            }},
+        }, n_trials=100, cv_splits=3,
     )
     return tr.results_table(spark, results)
 
 
+#: Penalties of the ridge search: from 0.01 to a million in equal ratios.
+ALPHAS = [10 ** (-2 + 8 * i / 99) for i in range(100)]
+
+# Two features, three folds: the normal equations of every fold and penalty on features of unit variance.
+RIDGE_SEARCH = PANEL + f"""
+, f AS (SELECT site, day, rain AS y, CAST(MONTH(day) AS DOUBLE) AS a, LAG(rain, 1) OVER (PARTITION BY site ORDER BY day) AS b FROM panel),
+c AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (ORDER BY day, site) - 1 AS pos, COUNT(*) OVER () AS n FROM f WHERE b IS NOT NULL),
+t AS MATERIALIZED (SELECT *, CAST(FLOOR(n * 0.8) AS BIGINT) AS cut FROM c WHERE pos < CAST(FLOOR(n * 0.8) AS BIGINT)),
+o AS (SELECT CAST(i AS INT) AS fold, cut - (3 - i) * (cut // 4) AS train_end, cut - (2 - i) * (cut // 4) AS test_end
+      FROM (SELECT cut FROM t LIMIT 1) CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(0, 2)) AS i)),
+s AS (SELECT fold, train_end, test_end, COUNT(*) AS k, STDDEV_POP(a) AS sa, STDDEV_POP(b) AS sb, AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my,
+        COVAR_POP(a, b) / (STDDEV_POP(a) * STDDEV_POP(b)) * COUNT(*) AS ab, COVAR_POP(a, y) / STDDEV_POP(a) * COUNT(*) AS ay,
+        COVAR_POP(b, y) / STDDEV_POP(b) * COUNT(*) AS by_ FROM t JOIN o ON pos < train_end GROUP BY 1, 2, 3),
+l AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a!r}::DOUBLE)" for i, a in enumerate(ALPHAS))}) v(trial, alpha)),
+w AS (SELECT s.*, trial, alpha, (ay * (k + alpha) - by_ * ab) / ((k + alpha) * (k + alpha) - ab * ab) AS wa,
+        (by_ * (k + alpha) - ay * ab) / ((k + alpha) * (k + alpha) - ab * ab) AS wb FROM s CROSS JOIN l),
+e AS (SELECT fold, trial, alpha, AVG(ABS(r)) AS mae, SQRT(AVG(r * r)) AS rmse, 1 - SUM(r * r) / (VAR_POP(y) * COUNT(*)) AS r2
+      FROM (SELECT fold, trial, alpha, t.y, t.y - my - wa * (a - ma) / sa - wb * (b - mb) / sb AS r FROM w JOIN t ON pos >= train_end AND pos < test_end)
+      GROUP BY 1, 2, 3)
+SELECT CAST(trial AS INT) AS trial, 'ridge' AS regression_type, ROUND(alpha, 8) AS alpha, ROUND(AVG(mae), 6) AS "MAE", ROUND(AVG(rmse), 6) AS "RMSE", ROUND(AVG(r2), 8) AS "R2"
+FROM e GROUP BY trial, alpha
+"""
+
+
+@query(RIDGE_SEARCH)
+def ridge_search(spark, sf_dir):
+    """A hundred ridge penalties over three expanding folds of the training rows, from one table of cross products."""
+    rows = panel(spark, sf_dir).select("site", "day", "rain").withColumn("month", F.month("day"))
+    rows = fx.create_lag_features(rows, "rain", [1], by=SITE)
+    train, _ = ev.prepare_data(rows, "rain", ["month", "rain_lag_1"], "day", ["site"])
+    out = ls.search_table(train, ["month", "rain_lag_1"], "rain", [{"alpha": a} for a in ALPHAS], 3)
+    return rounded(rounded(out, 6, "MAE", "RMSE"), 8, "alpha", "R2")
+
+
 # --- forecasting --------------------------------------------------------------
 
 LAST_TRAIN = "2001-09-30"
