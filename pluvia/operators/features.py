@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pluvia import constants as C
 from pluvia.functions.ordering import Series, over_frames, with_positions
+from pluvia.functions.storage import materialise
 from pluvia.functions.stats import aggregate, box_cox, safe_corr_over
 
 FRAME_STATS = ("mean", "std", "min", "max", "sum")
@@ -231,29 +232,51 @@ def stabilise_variance(
 
 
 def box_cox_lambda(
-    df: DataFrame, column: str, keys=(), grid: tuple[float, float, int] = (-2.0, 2.0, 401)
+    df: DataFrame, column: str, keys=(), grid: tuple[float, float, int] = (-2.0, 2.0, 401), per_pass: int = 16,
 ) -> DataFrame:
     """(keys, lam) maximising the profile log-likelihood over a grid of lambdas.
 
-    One partial aggregate per (key, grid point); rows never leave their task.
+    The likelihood is concave in lambda: the variance is a sum of squares of integrals of exp(lambda t), each of which is
+    log-convex.  So each pass evaluates ``per_pass`` grid points between the current bounds of every key, in one partial
+    aggregate, and the bounds close in on the neighbours of the best one, until all points between them are evaluated.
     """
+    keys = list(keys)
     lo, hi, points = grid
     x = F.col(column)
     positive = F.when(x == 0, F.lit(1e-8)).when(x > 0, x)
     step = (hi - lo) / (points - 1)
-    rows = (
-        df.select(*keys, F.log(positive).alias("_l")).filter(F.col("_l").isNotNull())
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("lam", F.round(F.lit(lo) + F.col("_i") * step, 10))
-    )
-    y = F.when(F.abs("lam") < 1e-12, F.col("_l")).otherwise(
-        (F.exp(F.col("lam") * F.col("_l")) - 1) / F.when(F.abs("lam") < 1e-12, 1.0).otherwise(F.col("lam"))
-    )
-    fit = rows.groupBy(*keys, "lam").agg(
-        F.sum("_l").alias("sl"), F.var_pop(y).alias("v"), F.count(F.lit(1)).alias("n")
-    )
-    ll = (F.col("lam") - 1) * F.col("sl") - F.col("n") / 2 * F.log("v")
-    scored = fit.withColumn("ll", F.when(F.col("v") > 0, ll))
-    return scored.filter(F.col("ll").isNotNull()).groupBy(*keys).agg(
-        F.max_by("lam", F.struct("ll", -F.abs("lam"))).alias("lam")
-    )
+    rows = materialise(df.select(*keys, F.log(positive).alias("_l")).filter(F.col("_l").isNotNull()))
+    bounds, width = None, points - 1
+    while True:
+        last = width + 1 <= per_pass
+        bounded = _with_bounds(rows, keys, bounds, points)
+        spots = [F.col("_lo") + F.floor(F.lit(j) * (F.col("_hi") - F.col("_lo")) / (per_pass - 1)) for j in range(per_pass)]
+        lams = [F.round(F.lit(lo) + i * step, 10) for i in spots]
+        shaped = [F.when(F.abs(lam) < 1e-12, F.col("_l")).otherwise(
+            (F.exp(lam * F.col("_l")) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam)) for lam in lams]
+        fit = bounded.groupBy(*keys, "_lo", "_hi").agg(
+            F.sum("_l").alias("sl"), F.count(F.lit(1)).alias("n"), *[F.var_pop(y).alias(f"v{j}") for j, y in enumerate(shaped)])
+        tried = F.array(*[
+            F.when(F.col(f"v{j}") > 0, F.struct(((lam - 1) * F.col("sl") - F.col("n") / 2 * F.log(f"v{j}")).alias("ll"),
+                                                (-F.abs(lam)).alias("near"), lam.alias("lam"), i.alias("i")))
+            for j, (lam, i) in enumerate(zip(lams, spots, strict=True))])
+        best = fit.select(*keys, "_lo", "_hi", F.array(*spots).alias("_spots"), F.array_max(F.array_compact(tried)).alias("_b")).filter("_b IS NOT NULL")
+        if last:
+            return best.select(*keys, F.col("_b.lam").alias("lam"))
+        below = F.array_max(F.filter("_spots", lambda i: i < F.col("_b.i")))
+        above = F.array_min(F.filter("_spots", lambda i: i > F.col("_b.i")))
+        bounds = materialise(best.select(*keys, F.coalesce(below, F.col("_lo")).alias("_lo"), F.coalesce(above, F.col("_hi")).alias("_hi")))
+        width = 2 * -(-width // (per_pass - 1))
+
+
+def _with_bounds(rows: DataFrame, keys: list[str], bounds: DataFrame | None, points: int) -> DataFrame:
+    if bounds is None:
+        return rows.withColumns({"_lo": F.lit(0).cast("long"), "_hi": F.lit(points - 1).cast("long")})
+    if not keys:
+        one = bounds.first()
+        return rows.withColumns({"_lo": F.lit(one["_lo"] if one else 0).cast("long"), "_hi": F.lit(one["_hi"] if one else 0).cast("long")})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    named = bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi")
+    return rows.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
