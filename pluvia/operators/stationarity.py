@@ -7,10 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pluvia.functions.blocks import BLOCK_VALUES, PLACE, series_blocks, with_reach
 from pluvia.functions.gram import gram_by_key
 from pluvia.functions.ordering import Series, longest_series, over_frames, running_total
 from pluvia.functions.storage import materialise
@@ -166,82 +167,99 @@ def adf_test(df: DataFrame, column: str, regression: str = "ct", *, by: Series)
     })
 
 
-def kpss_test(df: DataFrame, column: str, regression: str = "ct", *, by: Series) -> DataFrame:
+def kpss_test(df: DataFrame, column: str, regression: str = "ct", *, by: Series, size: int = BLOCK_VALUES) -> DataFrame:
     """(keys, kpss_stat, kpss_pvalue, kpss_lags, kpss_stationary).
 
-    Automatic bandwidth after Hobijn et al.  The Bartlett-weighted long-run
-    variance of bandwidth m equals the sum of squared (m+1)-row sums over
-    (m + 1), so one self-join of the running sums serves every bandwidth.
+    Automatic bandwidth after Hobijn et al.  The series lies in blocks: lag sums are products of a block with itself and
+    the values before it, summed with their Bartlett weights inside the block; running sums are block sums and, of each
+    block, three numbers.
     """
     keys = list(by.keys)
     x = df.select(*keys, by.order, *by.ties, F.col(column).cast("double").alias("_y")).filter("_y IS NOT NULL")
-    numbered = running_total(x, by, "_y", "_sum").drop("_sum")
-    t, y = F.col("_pos").cast("double"), F.col("_y")
-    facts = {"_n": F.count("_y"), "_my": F.avg(y)}
-    if regression == "ct":
-        facts |= {"_cov": F.covar_pop(t, y), "_var": F.var_pop(t), "_mt": F.avg(t)}
-    fitted = with_series_facts(numbered, by, facts)
-    slope = F.coalesce(F.try_divide(F.col("_cov"), F.col("_var")), F.lit(0.0))
-    trend = slope * (t - F.col("_mt")) if regression == "ct" else F.lit(0.0)
-    resid = fitted.withColumn("_e", y - F.col("_my") - trend).select(*keys, "_pos", "_n", "_e")
+    blocks = materialise(series_blocks(x, ["_y"], by=by, size=size).select(*keys, *PLACE, "_y"))
+    n, middle = F.col("_n").cast("double"), (F.col("_n") - 1) / F.lit(2.0)
+
+    @F.pandas_udf("total double, tilt double")
+    def moments(y: pd.Series, start: pd.Series, n: pd.Series) -> pd.DataFrame:
+        rows = [(v.sum(), (np.arange(a, a + len(v)) - (k - 1) / 2) @ v) for v, a, k in zip(y, start, n, strict=True)]
+        return pd.DataFrame(rows, columns=["total", "tilt"])
+
+    line = blocks.select(*keys, "_n", moments("_y", "_from", "_n").alias("_m")).groupBy(*keys, "_n").agg(
+        F.sum("_m.total").alias("_total"), F.sum("_m.tilt").alias("_tilt"))
+    slope = F.try_divide(12 * F.col("_tilt"), n * (n * n - 1)) if regression == "ct" else F.lit(0.0)
+    line = line.select(*keys, (F.col("_total") / n).alias("_mean"), F.coalesce(slope, F.lit(0.0)).alias("_slope"))
+    resid = _join_keys(blocks, line, keys).withColumn("_e", F.transform("_y", lambda y, i: y - F.col("_mean") - F.col("_slope") * (
+        F.col("_from") + i - middle))).select(*keys, *PLACE, "_e")
+    resid = materialise(resid)
+
     longest = by.rows_bound if by.rows_bound is not None else longest_series(x, keys)
     spread = int(longest ** (2 / 9) + 1e-12) if longest else 1
-    at = Series(by.keys, "_pos", (), by.rows_bound, by.block_rows)
-    near = lag_products_raw(resid, "_e", spread, by=at)
-    n = F.col("_n").cast("double")
-    mine = F.floor(F.pow(n, F.lit(2 / 9)) + 1e-12)
-    half = F.col("product") / (n / 2)
-    inside = (F.col("lag") >= 1) & (F.col("lag") <= mine)
-    width = near.groupBy(*keys, "_n").agg(
-        (F.sum(F.when(F.col("lag") == 0, F.col("product") / n).otherwise(0.0))
-         + F.sum(F.when(inside, half).otherwise(0.0))).alias("s0"),
-        F.sum(F.when(inside, F.col("lag") * half).otherwise(0.0)).alias("s1"),
-    )
+    near = with_reach(resid, keys, {"e": F.col("_e")}, spread + 1, size)
+    sums = near.select(*keys, "_n", _weighted_lag_sums()("_near_e", "_lo", "_from", "_to", F.floor(
+        F.pow(n, F.lit(2 / 9)) + 1e-12).cast("long")).alias("_l")).groupBy(*keys, "_n").agg(
+        (F.sum("_l.plain") / n).alias("s0"), (F.sum("_l.by_lag") / n).alias("s1"))
     ratio = F.try_divide(F.col("s1"), F.col("s0"))
     gamma = 1.1447 * F.pow(ratio * ratio, F.lit(1 / 3))
     lags = F.least(F.floor(F.coalesce(gamma, F.lit(0.0)) * F.pow(n, F.lit(1 / 3))), F.col("_n") - 1)
-    width = width.select(*keys, F.col("_n").alias("n"), lags.cast("long").alias("m"))
-    sums = running_total(resid.withColumn("_row", F.col("_pos")).drop("_pos"),
-                         Series(by.keys, "_row", (), by.rows_bound, by.block_rows), "_e", "_s")
-    sums = sums.select(*keys, F.col("_row").alias("p"), "_s")
-    wide = _join_keys(sums, width, keys)
-    total_sum = with_series_facts(wide, Series(by.keys, "p", (), by.rows_bound, by.block_rows), {
-        "_end": F.max_by("_s", "p"),
-    })
-    # Row sums that start at or before the first row: S_p for p < m; that end
-    # inside: S_p - S_(p-m-1); that run past the end: S_end - S_p.
-    lead = total_sum.select(*keys, (F.col("p") + F.col("m") + 1).alias("p"), F.col("_s").alias("_back"))
-    joined = total_sum.join(lead, [*keys, "p"], "left")
-    square = lambda c: c * c
-    window_part = square(F.col("_s") - F.coalesce("_back", F.lit(0.0)))
-    past_end = F.when(
-        (F.col("p") >= F.col("n") - 1 - F.col("m")) & (F.col("p") < F.col("n") - 1), square(F.col("_end") - F.col("_s"))
-    ).otherwise(0.0)
-    out = joined.groupBy(*keys, "n", "m").agg(
-        (F.sum(square(F.col("_s")))).alias("eta"), F.sum(window_part + past_end).alias("lrv"),
-    )
-    nn = F.col("n").cast("double")
-    stat = F.try_divide(F.col("eta") / (nn * nn), F.col("lrv") / (F.col("m") + 1) / nn)
+    width = materialise(sums.select(*keys, lags.cast("long").alias("m")))
+
+    reach = width.agg(F.max("m")).first()[0] or 0  # one number: the widest bandwidth
+    wide = with_reach(_join_keys(resid, width, keys), keys, {"e": F.col("_e")}, int(reach) + 1, size)
+    parts = wide.select(*keys, "_n", "m", "_block", _weighted_lag_sums()("_near_e", "_lo", "_from", "_to", "m").alias("_l"),
+                        _running_parts()("_e").alias("_r"))
+    earlier = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_r.total").over(earlier), F.lit(0.0)))
+    squares = F.col("_r.squares") + 2 * F.col("_before") * F.col("_r.sums") + F.col("_r.count") * F.col("_before") * F.col("_before")
+    out = parts.groupBy(*keys, "_n", "m").agg(F.sum(squares).alias("eta"), F.sum("_l.bartlett").alias("lrv"))
+    stat = F.try_divide(F.col("eta") / (n * n), F.col("lrv") / n)
     return out.withColumn("kpss_stat", stat).select(
         *keys, "kpss_stat", kpss_p(F.col("kpss_stat"), regression).alias("kpss_pvalue"),
         F.col("m").alias("kpss_lags"),
     ).withColumn("kpss_stationary", F.col("kpss_pvalue") > 0.05)
 
 
-def _join_keys(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return rows.join(facts, keys)
-    one = facts.first()
-    return rows.withColumns({c: F.lit(one[c]) for c in facts.columns})
+def _weighted_lag_sums():
+    """Of a block: the sums of products with the values up to ``most`` rows before, lag 0 once and the others twice: plain,
+    times the lag, and with Bartlett weights."""
+    @F.pandas_udf("plain double, by_lag double, bartlett double")
+    def compute(near: pd.Series, lo: pd.Series, start: pd.Series, stop: pd.Series, most: pd.Series) -> pd.DataFrame:
+        rows = []
+        for e, first, a, b, m in zip(near, lo, start, stop, most, strict=True):
+            own = e[a - first: b - first]
+            products = [own @ own]
+            for k in range(1, m + 1):
+                back = max(first - (a - k), 0)  # a product needs a value k rows before
+                products.append(2 * own[back:] @ e[a - k + back - first: max(b - k, a - k + back) - first] if back < len(own) else 0.0)
+            products, lag = np.array(products), np.arange(m + 1)
+            rows.append((products.sum(), (products * lag).sum(), (products * (1 - lag / (m + 1))).sum()))
+        return pd.DataFrame(rows, columns=["plain", "by_lag", "bartlett"])
 
+    return compute
 
-def lag_products_raw(df: DataFrame, column: str, max_lag: int, *, by: Series) -> DataFrame:
-    """Like ``lag_products`` for values that are centred already."""
-    past = over_frames(df, by, max_lag, 0, lambda w: {
-        "_past": F.collect_list(column).over(w.rowsBetween(-max_lag, 0))
-    })
-    lagged = past.select(*by.keys, "_n", F.col(column).alias("_a"), F.posexplode(F.reverse("_past")).alias("lag", "_b"))
-    return lagged.groupBy(*by.keys, "_n", "lag").agg(F.sum(F.col("_a") * F.col("_b")).alias("product"))
+
+def _running_parts():
+    """Of a block, for its running sums s: their number, their sum, the sum of their squares, and the last one."""
+    @F.pandas_udf("count long, sums double, squares double, total double")
+    def compute(e: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in e:
+            s = np.cumsum(v)
+            rows.append((len(s), s.sum(), s @ s, s[-1] if len(s) else 0.0))
+        return pd.DataFrame(rows, columns=["count", "sums", "squares", "total"])
+
+    return compute
+
+
+def _join_keys(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    if not keys:
+        one = facts.first()
+        kinds = {f.name: f.dataType for f in facts.schema}
+        return rows.withColumns({c: F.lit(one[c] if one else None).cast(kinds[c]) for c in facts.columns})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    named = facts.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    return rows.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def kpss_p(stat: Column, regression: str) -> Column:

@@ -293,10 +293,17 @@ eta AS (SELECT site, SUM(s * s) / (CAST(MAX(n) AS DOUBLE) * MAX(n)) AS eta FROM
 """
 
 
-@query(KPSS + "SELECT v.site, ROUND(eta / s2, 7) AS kpss_stat, m AS kpss_lags FROM v JOIN eta ON v.site = eta.site")
+KPSS_ROWS = KPSS + """
+, st AS (SELECT v.site, eta / s2 AS stat, m FROM v JOIN eta ON v.site = eta.site),
+kp AS (SELECT site, stat, m, CASE WHEN stat <= 0.119 THEN 0.1 WHEN stat <= 0.146 THEN 0.1 + (stat - 0.119) / 0.027 * -0.05
+  WHEN stat <= 0.176 THEN 0.05 + (stat - 0.146) / 0.03 * -0.025 WHEN stat <= 0.216 THEN 0.025 + (stat - 0.176) / 0.04 * -0.015 ELSE 0.01 END AS p FROM st)
+"""
+
+
+@query(KPSS_ROWS + "SELECT site, ROUND(stat, 7) AS kpss_stat, ROUND(p, 6) AS kpss_pvalue, m AS kpss_lags, p > 0.05 AS kpss_stationary FROM kp")
 def kpss(spark, sf_dir):
     out = sy.kpss_test(panel(spark, sf_dir), "rain", "ct", by=SITE)
-    return rounded(out, 7, "kpss_stat").select("site", "kpss_stat", "kpss_lags")
+    return rounded(rounded(out, 7, "kpss_stat"), 6, "kpss_pvalue").select("site", "kpss_stat", "kpss_pvalue", "kpss_lags", "kpss_stationary")
 
 
 @query()
