@@ -9,6 +9,7 @@ from pluvia.plans.catalog import (  # noqa: F401  (imports fill the registry)
     features,
     models,
     profiles,
+    runners,
     series_tests,
     sources,
 )

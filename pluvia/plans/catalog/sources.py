@@ -103,6 +103,22 @@ def daily_sink(spark, sf_dir):
     return weather.read_daily(spark, folder, "day", "19961115", "19990203")
 
 
+@query(PANEL + """
+SELECT site, day, CASE WHEN day BETWEEN DATE '1997-03-10' AND DATE '1998-02-01' THEN rain * 2 ELSE rain END AS rain FROM panel
+WHERE day BETWEEN DATE '1996-01-05' AND DATE '1998-02-01' AND NOT day BETWEEN DATE '1996-05-01' AND DATE '1996-05-31'
+""")
+def overlapping_ranges(spark, sf_dir):
+    """A date range saved, a later one with corrected values over its end, a month without rows, and one range once more."""
+    folder = f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
+    rows = panel(spark, sf_dir).select("site", "day", "rain")
+    doubled = rows.withColumn("rain", F.col("rain") * 2)
+    weather.write_date_range(rows, folder, "day", "19960105", "19970620")
+    weather.write_date_range(doubled, folder, "day", "19970310", "19980201")
+    weather.write_date_range(rows.limit(0), folder, "day", "19960501", "19960531")
+    weather.write_date_range(doubled, folder, "day", "19970310", "19980201")
+    return weather.read_daily(spark, folder, "day", "19950101", "20011231")
+
+
 @query("""
 SELECT o_orderkey, 'not a date' AS "DATE" FROM orders WHERE o_orderstatus = 'P'
 """)

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pluvia import constants as C
 from pluvia.functions.ordering import Series
@@ -26,6 +27,34 @@ from pluvia.operators import stationarity as sy
 DEFAULT_PERIODS = [7, 30, 365]
 
 
+#: Columns that name a row of a report's table, beside its keys and its texts and dates.
+ROW_NAMES = {"Month", "Year", "DayOfYear", "rank", "lag", "k", "period_days", "scale", "bin", "component", "return_rank"}
+
+
+def long_report(tables: dict[str, DataFrame], keys: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """(table, key, metric, value, label): all tables of a run below each other.
+
+    ``key`` joins what names a row: the keys, its dates and texts, and the columns of ``ROW_NAMES``.  The other columns are
+    metrics: numbers and flags as values, anything else as a JSON label; a row without any other column has the metric
+    ``row``, so that none is lost."""
+    out = None
+    for name, df in tables.items():
+        ids = [f.name for f in df.schema if f.name in keys or f.name in ROW_NAMES or isinstance(f.dataType, (T.StringType, T.DateType))]
+        cells = []
+        for f in df.schema:
+            if f.name in ids:
+                continue
+            number = isinstance(f.dataType, (T.NumericType, T.BooleanType))
+            value = F.round(F.col(f"`{f.name}`").cast("double"), digits) if number else F.lit(None).cast("double")
+            label = F.lit(None).cast("string") if number else F.to_json(F.struct(F.col(f"`{f.name}`")))
+            cells.append(F.struct(F.lit(f.name).alias("metric"), value.alias("value"), label.alias("label")))
+        cells = cells or [F.struct(F.lit("row").alias("metric"), F.lit(1.0).alias("value"), F.lit(None).cast("string").alias("label"))]
+        key = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in ids])
+        rows = df.select(F.lit(name).alias("table"), key.alias("key"), F.inline(F.array(*cells)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def analyze_distributions(df: DataFrame, target: str = C.TARGET_LABEL, columns: list[str] | None = None) -> dict[str, DataFrame]:
     columns = columns or clean.distribution_columns(df)
     tests = st.normality_battery(df, columns)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvia import constants as C
+from pluvia.functions.storage import materialise
 from pluvia.functions.stats import clean_number
 
 FILE_SCHEMA = T.StructType(
@@ -117,11 +118,47 @@ def write_daily(
         writer.format(fmt).save(path)
 
 
+def _month_number() -> Column:
+    return F.col("year") * 12 + F.col("month")
+
+
+def write_date_range(df: DataFrame, path: str, date_col: str, start_date: str, end_date: str) -> int:
+    """Puts the rows of a date range into the daily table at ``path``, in place of what the table had in that range; returns
+    their number.
+
+    The table is partitioned by year and month.  Only months that the range touches are written again (dynamic partition
+    overwrite), with their rows outside of the range kept, so a repeated range changes nothing and a late one costs its
+    own months.  Touched months without any row left are removed.  Each call adds a line to ``_ranges`` below the path.
+    """
+    spark = df.sparkSession
+    a, b = _as_date(start_date), _as_date(end_date)
+    touched = _month_number().between(a.year * 12 + a.month, b.year * 12 + b.month)
+    month_of = {"year": F.year(date_col), "month": F.month(date_col)}
+    rows = materialise(between_dates(df, date_col, start_date, end_date).withColumns(month_of))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    count, before = rows.count(), []
+    if files.exists(folder):
+        old = spark.read.parquet(path).filter(touched)
+        before = [(r["year"], r["month"]) for r in old.select("year", "month").distinct().collect()]  # months of the range
+        kept = old.filter(~F.col(date_col).between(F.lit(a), F.lit(b)) | F.col(date_col).isNull())
+        rows = materialise(rows.unionByName(kept.select(rows.columns)))
+    left = {(r["year"], r["month"]) for r in rows.select("year", "month").distinct().collect()}
+    if left:
+        rows.repartitionByRange("year", "month", F.col(date_col), F.xxhash64(*df.columns)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    for year, month in set(before) - left:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/year={year}/month={month}"), True)
+    spark.createDataFrame([(start_date, end_date, count, dt.datetime.now(dt.timezone.utc).isoformat())],
+                          "start_date string, end_date string, written long, at string").coalesce(1).write.mode("append").json(f"{path}/_ranges")
+    return count
+
+
 def read_daily(
     spark: SparkSession, path: str, date_col: str, start_date: str, end_date: str
 ) -> DataFrame:
-    """Read a ``write_daily`` parquet table; the year filter prunes folders."""
+    """Read a ``write_daily`` or ``write_date_range`` table; the year filter prunes folders."""
     a, b = _as_date(start_date), _as_date(end_date)
     table = spark.read.parquet(path)
     pruned = table.filter(F.col("year").between(a.year, b.year))
-    return between_dates(pruned, date_col, start_date, end_date).drop("year")
+    return between_dates(pruned, date_col, start_date, end_date).drop("year", "month")

@@ -184,3 +184,33 @@ def test_query_equals_its_sql(spark, name):
     df = QUERIES[name](spark, sf_dir)
     assert len({c.lower() for c in df.columns}) == len(df.columns)
     assert compare(df.columns, df.collect(), columns, cur.fetchall()) is None
+
+
+def test_long_report_keeps_every_cell(spark):
+    a = spark.createDataFrame([("x", 1, 2.0, True, [1, 2]), (None, 2, None, False, None)], "name string, site int, v double, ok boolean, list array<int>")
+    b = spark.createDataFrame([(dt.date(2020, 1, 2), 3)], "day date, site int")
+    rows = {(r.table, r.key, r.metric): (r.value, r.label) for r in reports.long_report({"a": a, "b": b}, ["site"]).collect()}
+    assert rows == {
+        ("a", "x|1", "v"): (2.0, None), ("a", "x|1", "ok"): (1.0, None), ("a", "x|1", "list"): (None, '{"list":[1,2]}'),
+        ("a", "|2", "v"): (None, None), ("a", "|2", "ok"): (0.0, None), ("a", "|2", "list"): (None, "{}"),
+        ("b", "2020-01-02|3", "row"): (1.0, None)}
+
+
+def test_date_ranges_replace_only_their_rows(spark):
+    folder = scratch() + "/ranges"
+    days = [dt.date(2019, 11, 20) + dt.timedelta(days=i) for i in range(100)]
+
+    def rows(v):
+        return spark.createDataFrame([(d, v) for d in days], "day date, v double")
+
+    def stored():
+        return {r.day: r.v for r in weather.read_daily(spark, folder, "day", "20190101", "20211231").collect()}
+
+    weather.write_date_range(rows(1.0), folder, "day", "20191120", "20200115")
+    assert set(stored().values()) == {1.0} and len(stored()) == 57
+    for _ in range(2):  # a repeated range changes nothing
+        weather.write_date_range(rows(2.0), folder, "day", "20200110", "20200227")
+        assert stored() == {d: 2.0 if d >= dt.date(2020, 1, 10) else 1.0 for d in days}
+    weather.write_date_range(rows(3.0).limit(0), folder, "day", "20191201", "20191231")
+    assert min(d for d in stored() if d > dt.date(2019, 11, 30)) == dt.date(2020, 1, 1)
+    assert spark.read.json(folder + "/_ranges").count() == 4
