@@ -11,14 +11,17 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pluvia import constants as C
-from pluvia.functions.ordering import Series, longest_series, over_frames, ranks_from_counts
+from pluvia.functions.ordering import Series, cumulative_sums, over_frames, ranks_from_counts
 from pluvia.functions.stats import both, safe_corr
+from pluvia.functions.storage import materialise
 from pluvia.operators.features import rolling_correlation, season_of
 from pluvia.operators.profile import join_groups
 
@@ -55,8 +58,8 @@ def pair_correlations(
 ) -> DataFrame:
     """(keys, feature_a, feature_b, n, r) of the listed column pairs, pairwise complete.
 
-    Few pairs: one aggregate row with one expression per pair.  Many: the
-    pairs of a row become rows and combine map-side per pair.
+    Few pairs: one aggregate row with one expression per pair.  Many: matrix
+    products of Arrow blocks, added up by pair.
     """
     pairs = pairs if pairs is not None else list(combinations(columns, 2))
     if len(pairs) <= PAIRS_IN_ONE_AGGREGATE:
@@ -68,16 +71,66 @@ def pair_correlations(
             ) for a, b in pairs
         ])
         return df.groupBy(*keys).agg(entries.alias("_e")).select(*keys, F.inline("_e"))
-    cells = F.array(*[
-        F.struct(
-            F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-            F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"),
-        ) for a, b in pairs
-    ])
-    return df.select(*keys, F.inline(cells)).groupBy(*keys, "feature_a", "feature_b").agg(
-        F.count_if(both(F.col("x"), F.col("y"))).alias("n"),
-        safe_corr(F.col("x"), F.col("y")).alias("r"),
-    )
+    return _wide_correlations(df, keys, pairs)
+
+
+#: Numbers that a task keeps of the matrices of its keys before it hands them on.
+OPEN_NUMBERS = 1 << 22
+
+
+def _wide_correlations(df: DataFrame, keys: Sequence[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Many pairs: each task multiplies its Arrow blocks with their masks (X'X, X'M, (X^2)'M, M'M), so a row costs one row
+    of a matrix product; Spark adds up the six sums of each pair.  Values are shifted by the column's overall mean, which
+    keeps the sums of squares exact enough; NaN makes the pairs it is complete in NaN."""
+    keys = list(keys)
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = {c: i for i, c in enumerate(columns)}
+    left, right = (np.array([at[p[side]] for p in pairs]) for side in (0, 1))
+    middle = df.agg(*[F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    shift = np.array([0.0 if v is None else float(v) for v in middle])
+    kind = T.StructType([df.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("_a", "_b")]
+                        + [T.StructField(c, T.DoubleType()) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "bad")])
+
+    def add(batches):
+        held: dict[tuple, list] = {}
+
+        def flush():
+            for key, (xx, xm, qm, mm, bad) in held.items():
+                sums = {"_a": left.astype(np.int32), "_b": right.astype(np.int32), "n": mm[left, right], "sx": xm[left, right], "sy": xm[right, left],
+                        "sxx": qm[left, right], "syy": qm[right, left], "sxy": xx[left, right], "bad": bad[left, right] + bad[right, left]}
+                out = pd.DataFrame(sums)
+                for name, value in zip(keys, key, strict=True):
+                    out[name] = value
+                yield out[kind.names]
+            held.clear()
+
+        for pdf in batches:
+            parts = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            for key, part in parts:
+                there = part["_there"]
+                m = np.array(there.tolist(), bool).reshape(len(part), len(columns)).astype(float)
+                x = part[[f"_v{i}" for i in range(len(columns))]].to_numpy(float)
+                nan = np.isnan(x) & (m > 0)
+                x = np.where(np.isnan(x), 0.0, x - shift) * m
+                key = tuple(None if v is not None and v != v else v for v in (key if isinstance(key, tuple) else (key,)))
+                made = [x.T @ x, x.T @ m, (x * x).T @ m, m.T @ m, nan.astype(float).T @ m]
+                held[key] = [a + b for a, b in zip(held[key], made, strict=True)] if key in held else made
+                if len(held) * 5 * len(columns) ** 2 >= OPEN_NUMBERS:
+                    yield from flush()
+        yield from flush()
+
+    values = [F.col(c).cast("double") for c in columns]
+    rows = df.select(*keys, F.array(*[v.isNotNull() for v in values]).alias("_there"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+    sums = rows.mapInPandas(add, kind).groupBy(*keys, "_a", "_b").agg(*[F.sum(c).alias(c) for c in kind.names[len(keys) + 2:]])
+    n = F.col("n")
+
+    def centred(both_: str, a: str, b: str) -> Column:
+        return F.try_divide(F.col(both_) - F.try_divide(F.col(a) * F.col(b), n), n)
+
+    r = F.try_divide(centred("sxy", "sx", "sy"), F.sqrt(F.greatest(centred("sxx", "sx", "sx"), F.lit(0.0))) * F.sqrt(F.greatest(centred("syy", "sy", "sy"), F.lit(0.0))))
+    names = F.array(*map(F.lit, columns))
+    return sums.select(*keys, F.get(names, F.col("_a")).alias("feature_a"), F.get(names, F.col("_b")).alias("feature_b"), n.cast("long").alias("n"),
+                       F.when(F.col("bad") > 0, F.lit(float("nan"))).otherwise(r).alias("r"))
 
 
 def pearson_matrix(df: DataFrame, columns: list[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -90,42 +143,72 @@ def spearman_matrix(
 ) -> DataFrame:
     """Pearson correlation of average ranks, ranks taken inside each pair's complete rows.
 
-    Columns without gaps are ranked once each.  Otherwise the rows of one pair
-    collapse to distinct (x, y) counts; the ranks of x and y come from their
-    own distinct values and join back on the value.
+    Columns without gaps are ranked once each; with gaps once for each pattern
+    of gaps (``_ranks_by_pattern``).
     """
     if not keys:
         sizes = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
         if all(sizes[f"c{i}"] == sizes["n"] for i in range(len(columns))):
             return pearson_matrix(_ranked_columns(df, columns, sizes["n"]), columns)
-    cells = F.array(*[
-        F.struct(
-            F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-            F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"),
-        ) for a, b in combinations(columns, 2)
-    ])
-    groups = [*keys, "feature_a", "feature_b"]
-    rows = df.select(*keys, F.inline(cells)).filter("x IS NOT NULL AND y IS NOT NULL")
-    if rows_bound is not None and keys:
-        per = Window.partitionBy(*groups)
-
-        def mean_rank(c: str) -> Column:
-            ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, c))
-            return F.rank().over(per.orderBy(c)) + (ties - 1) / F.lit(2.0)
-
-        ranked = rows.withColumns({"rx": mean_rank("x"), "ry": mean_rank("y")})
-        return ranked.groupBy(*groups).agg(
-            F.count(F.lit(1)).alias("n"), safe_corr(F.col("rx"), F.col("ry")).alias("r")
-        )
-    counted = rows.groupBy(*groups, "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    bound = longest_series(counted, groups)
-
-    def ranked(c: str, name: str) -> DataFrame:
-        sums = counted.groupBy(*groups, c).agg(F.sum("w").alias("cnt"))
-        return ranks_from_counts(sums, groups, c, bound).select(*groups, c, F.col("rank").alias(name))
-
-    joined = counted.join(ranked("x", "rx"), [*groups, "x"]).join(ranked("y", "ry"), [*groups, "y"])
-    return weighted_correlation(joined, groups, "rx", "ry", "w")
+    return _ranks_by_pattern(df, columns, list(keys), rows_bound)
+
+
+#: Pairs whose ranks are correlated in one aggregate.
+PAIRS_AT_ONCE = 60
+
+
+def _ranks_by_pattern(df: DataFrame, columns: list[str], keys: list[str], rows_bound: int | None) -> DataFrame:
+    """Spearman with gaps.  Rows fall into patterns of present columns.  The rank of a value among the rows of a pair is a
+    sum over the patterns that have both columns: of the rows below it and half of those equal to it.  So each column is
+    ordered once, with one running count for each pattern, and no row becomes a row for each pair."""
+    values = [F.col(c).cast("double") for c in columns]
+    mask = F.lit("")
+    for v in values:
+        mask = F.concat(mask, v.isNotNull().cast("int").cast("string"))
+    rows = materialise(df.select(*keys, mask.alias("_mask"), *[v.alias(f"_v{i}") for i, v in enumerate(values)]))
+    patterns = sorted(r["_mask"] for r in rows.select("_mask").distinct().collect())  # 2 ^ columns at most, few in practice
+    ranked = rows
+    for i in range(len(columns)):
+        own = [p for p, m in enumerate(patterns) if m[i] == "1"]
+        x = f"_v{i}"
+        inside = {p: (F.col("_mask") == patterns[p]).cast("long") for p in own}
+        if keys and rows_bound is not None:
+            order = Window.partitionBy(*keys).orderBy(x)
+            upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            ties = order.rangeBetween(Window.currentRow, Window.currentRow)
+            share = [F.sum(inside[p]).over(upto) - F.sum(inside[p]).over(ties) / 2 for p in own]
+            ranked = ranked.withColumn(f"_r{i}", F.when(F.col(x).isNotNull(), F.array(*share) if own else F.array().cast("array<double>")))
+            continue
+        counts = rows.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(*[F.sum(inside[p]).alias(f"_c{p}") for p in own])
+        if not own:
+            ranked = ranked.withColumn(f"_r{i}", F.lit(None).cast("array<double>"))
+            continue
+        sums = cumulative_sums(counts, keys, x, [f"_c{p}" for p in own])
+        share = F.array(*[F.col(f"below__c{p}") + F.col(f"_c{p}") / 2 for p in own]).alias(f"_r{i}")
+        named = sums.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col(x).alias("_x"), share)
+        same = F.col(x) == F.col("_x")
+        for n, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+        ranked = ranked.join(named, same, "left").drop("_x", *[f"_k{n}" for n in range(len(keys))])
+    pairs = list(combinations(range(len(columns)), 2))
+    if len(pairs) > PAIRS_AT_ONCE:
+        ranked = materialise(ranked)
+
+    def rank(i: int, other: int) -> Column:
+        own = [p for p, m in enumerate(patterns) if m[i] == "1"]
+        parts = [F.get(f"_r{i}", n) for n, p in enumerate(own) if patterns[p][other] == "1"]
+        return sum(parts, F.lit(0.5))
+
+    out = None
+    for start in range(0, len(pairs), PAIRS_AT_ONCE):
+        entries = F.array(*[F.struct(
+            F.lit(columns[a]).alias("feature_a"), F.lit(columns[b]).alias("feature_b"),
+            F.count_if(both(F.col(f"_v{a}"), F.col(f"_v{b}"))).alias("n"),
+            safe_corr(F.when(F.col(f"_v{b}").isNotNull(), rank(a, b)), F.when(F.col(f"_v{a}").isNotNull(), rank(b, a))).alias("r"),
+        ) for a, b in pairs[start: start + PAIRS_AT_ONCE]])
+        part = ranked.groupBy(*keys).agg(entries.alias("_e")).select(*keys, F.inline("_e"))
+        out = part if out is None else out.unionByName(part)
+    return out.filter("n > 0")
 
 
 def _ranked_columns(df: DataFrame, columns: list[str], rows: int) -> DataFrame:

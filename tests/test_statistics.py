@@ -261,3 +261,81 @@ def test_kpss_over_blocks(spark, size, regression):
         assert got[k].kpss_stat == pytest.approx(stat, rel=1e-9) and got[k].kpss_lags == m
     alone = sy.kpss_test(df.filter("site = 'walk'").drop("site"), "x", regression, by=series((), "day"), size=size).first()
     assert alone.kpss_stat == pytest.approx(got["walk"].kpss_stat)
+
+
+def gaps(n=500, k=6, seed=12):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(1000, 3, (n, k)) + rng.normal(0, 3, (n, 1)), 0)
+    x[rng.random((n, k)) < 0.15] = np.nan
+    return pd.DataFrame(x, columns=[f"c{i}" for i in range(k)])
+
+
+def as_rows(spark, pdf, key=None):
+    rows = [tuple(None if v != v else float(v) for v in r) for r in pdf.to_numpy()]
+    schema = ", ".join(f"{c} double" for c in pdf.columns)
+    if key is not None:
+        rows, schema = [(key(i), *r) for i, r in enumerate(rows)], "site string, " + schema
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def test_wide_pearson_equals_pairwise(spark):
+    """300 columns with gaps and large means: matrix products against pairwise complete correlations."""
+    pdf = gaps(200, 300)
+    df = as_rows(spark, pdf)
+    got = co.pearson_matrix(df, list(pdf.columns)).toPandas()
+    want, present = pdf.corr().to_numpy(), pdf.notna().to_numpy().astype(int)
+    assert len(got) == 300 * 299 // 2
+    a, b = got["feature_a"].str[1:].astype(int), got["feature_b"].str[1:].astype(int)
+    np.testing.assert_allclose(got["r"], want[a, b], atol=1e-10)
+    np.testing.assert_array_equal(got["n"], (present.T @ present)[a, b])
+
+
+def test_wide_pearson_by_key_with_nan_and_constants(spark):
+    pdf = gaps(300, 8).assign(c3=7.0)
+    df = as_rows(spark, pdf, lambda i: [None, "a", "b"][i % 3])
+    df = df.withColumn("c5", F.when(F.col("c5") == df.agg(F.max("c5")).first()[0], float("nan")).otherwise(F.col("c5")))
+    columns = list(pdf.columns)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    wide = {(r.site, r.feature_a, r.feature_b): r for r in co._wide_correlations(df, ["site"], pairs).collect()}
+    narrow = co.pair_correlations(df, columns, ["site"], pairs).collect()
+    assert len(wide) == len(narrow) == 3 * len(pairs)
+    for r in narrow:
+        other = wide[r.site, r.feature_a, r.feature_b]
+        assert other.n == r.n
+        if r.r is None or other.r is None:
+            assert "c3" in (r.feature_a, r.feature_b)
+        elif math.isnan(r.r):
+            assert math.isnan(other.r) and "c5" in (r.feature_a, r.feature_b)
+        elif "c3" not in (r.feature_a, r.feature_b):
+            assert other.r == pytest.approx(r.r, abs=1e-9)
+
+
+@pytest.mark.parametrize("key,bound", [(None, None), (lambda i: "ab"[i % 2], None), (lambda i: "ab"[i % 2], 1000)])
+def test_spearman_with_gaps_equals_pairwise(spark, key, bound):
+    pdf = gaps()
+    df = as_rows(spark, pdf, key)
+    keys = ["site"] if key else []
+    got = co.spearman_matrix(df, list(pdf.columns), keys, bound).collect()
+    parts = {None: pdf} if not key else {s: pdf[[key(i) == s for i in range(len(pdf))]] for s in "ab"}
+    assert len(got) == 15 * len(parts)
+    for r in got:
+        own = parts[r.site if key else None][[r.feature_a, r.feature_b]].dropna()
+        assert r.n == len(own) and r.r == pytest.approx(own.rank().corr().iloc[0, 1], abs=1e-10)
+
+
+def test_density_by_cells_equals_the_sum_of_kernels(spark):
+    rng = np.random.default_rng(1)
+    x = {"gamma": rng.gamma(0.5, 30, 700), "far": np.append(rng.normal(0, 1, 300), 1e4), "flat": np.full(5, 2.0), "one": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, values in x.items() for v in values], "site string, x double")
+    got = pf.density_grid(df, "x", 101, ["site"]).toPandas()
+    for site, rows in got.groupby("site"):
+        values, rows = x[site], rows.sort_values("point")
+        np.testing.assert_allclose(rows["at"], np.linspace(values.min(), values.max(), 101))
+        if site in ("flat", "one"):
+            assert rows["density"].isna().all()
+            continue
+        h = values.std(ddof=1) * len(values) ** -0.2
+        z = (rows["at"].to_numpy()[:, None] - values[None, :]) / h
+        want = np.exp(-z * z / 2).sum(1) / (len(values) * h * math.sqrt(2 * math.pi))
+        np.testing.assert_allclose(rows["density"], want, atol=1e-11 / h, rtol=1e-9)
+    assert len(got) == 4 * 101
