@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 
 MEMORY_ITEMS = 1 << 22
+#: Type of common-prefix values; longer prefixes are cut to the length that is asked for.
+COMMON = np.uint16
 
 
 class BucketQueue:
@@ -29,7 +31,7 @@ class BucketQueue:
 
     def __init__(self, memory_items: int, position_type=np.int32):
         self.limit, self.held, self.file = memory_items, 0, None
-        self.kind = np.dtype([("at", position_type), ("lcp", np.uint8)])
+        self.kind = np.dtype([("at", position_type), ("lcp", COMMON)])
         self.buckets: dict[int, list] = {}
         self.spilled = 0
 
@@ -58,7 +60,7 @@ class BucketQueue:
 
     def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
         """All tuples of the symbol in order of arrival; the first one's value is zero."""
-        at, lcp = [np.zeros(0, self.kind["at"])], [np.zeros(0, np.uint8)]
+        at, lcp = [np.zeros(0, self.kind["at"])], [np.zeros(0, COMMON)]
         for part in self.buckets.pop(symbol, ()):
             if isinstance(part[0], np.ndarray):
                 self.held -= len(part[0])
@@ -99,7 +101,7 @@ def least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
 
 
 def plus_one(values: np.ndarray, cap: int) -> np.ndarray:
-    return np.minimum(values.astype(np.int16) + 1, cap).astype(np.uint8)
+    return np.minimum(values.astype(np.int32) + 1, cap).astype(COMMON)
 
 
 def run_ends(text: np.ndarray) -> np.ndarray:
@@ -174,7 +176,7 @@ def doubled(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
         same = (np.maximum(x, y) < n) & (r[np.minimum(x, n - 1)] == r[np.minimum(y, n - 1)])
         common += np.where(same, h, 0)
     lcp[1:] = np.minimum(common, cap)
-    return order, lcp.astype(np.uint8)
+    return order, lcp.astype(COMMON)
 
 
 def name_substrings(text: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
@@ -221,7 +223,7 @@ def lms_order(text: np.ndarray, lms: np.ndarray, cap: int, memory_items: int) ->
     known = lms[x] - lms[a]
     left = np.maximum(cap - known, 0)
     chars = np.minimum(known, cap) + same_until(text, lms[x], lms[y], left)
-    return lms[order], np.concatenate(([0], np.minimum(chars, cap))).astype(np.uint8)
+    return lms[order], np.concatenate(([0], np.minimum(chars, cap))).astype(COMMON)
 
 
 def _chain(text: np.ndarray, symbol: int, at: np.ndarray, lcp: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +233,7 @@ def _chain(text: np.ndarray, symbol: int, at: np.ndarray, lcp: np.ndarray, cap:
         own = np.flatnonzero((at > 0) & (text[at - 1] == symbol))
         if not len(own):
             break
-        new = np.empty(len(own), np.uint8)
+        new = np.empty(len(own), COMMON)
         new[0] = min(length, cap)
         new[1:] = plus_one(least_between(lcp, own[:-1] + 1, own[1:]), cap)
         at, lcp, length = at[own] - 1, new, length + 1
@@ -251,7 +253,7 @@ def _induce(queue: BucketQueue, text: np.ndarray, at: np.ndarray, lcp: np.ndarra
     starts = np.flatnonzero(np.concatenate(([True], symbol[1:] != symbol[:-1])))
     follows = np.ones(len(own), bool)
     follows[starts] = False
-    value = np.ones(len(own), np.uint8)  # sources in different buckets have nothing in common
+    value = np.ones(len(own), COMMON)  # sources in different buckets have nothing in common
     f = np.flatnonzero(follows)
     value[f] = plus_one(least_between(lcp, own[f - 1] + 1, own[f]), cap)
     place = (at[own] - 1).astype(queue.kind["at"])
@@ -264,7 +266,7 @@ def induced(text: np.ndarray, cap: int, memory_items: int = MEMORY_ITEMS) -> Ite
     inside a bucket upwards.  The text ends with a symbol that is smaller than all others."""
     n = len(text)
     if n == 1:
-        yield np.zeros(1, np.int64), np.zeros(1, np.uint8)
+        yield np.zeros(1, np.int64), np.zeros(1, COMMON)
         return
     text = scratch(text, memory_items)
     ends = run_ends(text)
@@ -273,7 +275,7 @@ def induced(text: np.ndarray, cap: int, memory_items: int = MEMORY_ITEMS) -> Ite
     is_s[inner] = text[ends[inner]] < text[ends[inner] + 1]
     is_s[n - 1] = True
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    run = scratch(np.minimum(ends - np.arange(n) + 1, cap).astype(np.uint8), memory_items)
+    run = scratch(np.minimum(ends - np.arange(n) + 1, cap).astype(COMMON), memory_items)
     del ends, inner, is_s
     order, same = lms_order(text, lms, cap, memory_items)
     first = text[order]
@@ -298,12 +300,12 @@ def induced(text: np.ndarray, cap: int, memory_items: int = MEMORY_ITEMS) -> Ite
     for c in symbols[::-1].tolist():
         at, lcp = _chain(text, c, *downward.pop(c), cap)
         if c == symbols[0]:
-            at, lcp = np.array([n - 1], kind), np.zeros(1, np.uint8)
+            at, lcp = np.array([n - 1], kind), np.zeros(1, COMMON)
         low, low_lcp = typed_l.pop(c)
         seam = min(run[at[-1]], run[low[-1]]) if len(at) and len(low) else 0
         down = np.concatenate((at, low[::-1]))
-        down_lcp = np.concatenate((lcp, [seam][: len(low)], low_lcp[:0:-1])).astype(np.uint8)
-        yield down[::-1], np.concatenate(([0], down_lcp[:0:-1])).astype(np.uint8)
+        down_lcp = np.concatenate((lcp, [seam][: len(low)], low_lcp[:0:-1])).astype(COMMON)
+        yield down[::-1], np.concatenate(([0], down_lcp[:0:-1])).astype(COMMON)
         _induce(downward, text, down, down_lcp, (down > 0) & (text[down - 1] < c), cap)
     downward.close()
     typed_l.close()

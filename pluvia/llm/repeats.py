@@ -213,8 +213,11 @@ def remove_repeats(
 ) -> DataFrame:
     """(doc_id, row, n_bytes, n_removed, n_spans, kept): the remaining bytes of every document, concatenated.
 
-    ``row``: a struct of the columns named in ``others``, passed on as they are.
+    ``row``: a struct of the columns named in ``others``, passed on as they are.  ``length``: up to 65,534, what 16 bits of
+    common prefix tell apart.
     """
+    if not 0 < length < 65_535:
+        raise ValueError(f"a length of {length} bytes is not between 1 and 65,534")
     rows = identified(docs, id_col, text_col, others)
     ranges = repeated_ranges(rows, length, anchor, hot_pieces, memory_items)
     spans = materialise(ranges.groupBy("who", "key").agg(F.collect_list(F.struct("from", "to")).alias("spans")))

@@ -89,6 +89,14 @@ def test_simhash_of_awkward_rows(awkward, nothing):
     assert ids.count(None) == 2 and len(set(ids) - {None}) == len(ids) - 2
 
 
+def test_one_of_each_keeps_documents_that_share_an_id(spark):
+    a, b = "one two three four five six " * 20, "seven eight nine ten eleven twelve " * 20
+    rows = [(5, a, "x"), (5, b, "y"), (6, a, "z"), (5, a, "w"), (7, "quite another text than these two here", "v"), (None, a, "u")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(5, a), (5, b), (7, rows[4][1])]
+    assert [r.source for r in kept if r.doc_id is None] == ["u"]
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)]
@@ -223,6 +231,29 @@ def test_repeats_against_brute_force(spark, hot, memory):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("length", [200, 255, 256, 300])
+def test_repeats_of_other_lengths(spark, length):
+    """Common prefixes beyond eight bits."""
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(700))
+    texts = []
+    for i in range(24):
+        a = rng.randrange(0, 300)
+        own = "".join(rng.choice("abcdefgh") for _ in range(80))
+        texts.append(own + passage[a: a + length + rng.randrange(-30, 60)] + own[::-1])
+    texts += ["ab" * length, "a" * (length + 1), "a" * length]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeats.remove_repeats(df, length=length).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == dict(enumerate(brute_repeats(texts, length)))
+
+
+def test_lengths_that_common_prefixes_cannot_tell(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for length in (0, 65_535):
+        with pytest.raises(ValueError):
+            repeats.remove_repeats(df, length=length)
+
+
 def test_repeats_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     want = {i: (a, b, c, hashlib.sha256(k).hexdigest()) for (i, _), (a, b, c, k) in zip(docs, brute_repeats([t for _, t in docs], 200), strict=True)}
