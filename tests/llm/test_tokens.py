@@ -178,3 +178,23 @@ def test_token_queries(spark):
     want = {d.doc_id: (len(x), len(x) > 512) for d, x in zip(docs, library(BYTE, [d.text for d in docs]), strict=True)}
     assert {r.doc_id: (r.n_tokens, r.over_limit) for r in QUERIES["op4_token_counts"](spark, DATA).collect()} == want
     assert QUERIES["op6_speculative_bpe"](spark, DATA).count() == len(docs)
+
+
+def test_frequent_groups_are_those_of_all_texts(spark):
+    from collections import Counter
+
+    texts = [f"rare{i} common often" for i in range(3000)] + [None, "", "often " * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    want = Counter()
+    for _, _, data, offsets in slices(pa.array([t or "" for t in texts])):
+        start, length, _, _ = pretokens.groups(data, offsets)
+        want.update(bytes(data[s: s + n]) for s, n in zip(start, length, strict=True))
+
+    def name(low, high):
+        n = high >> 56
+        return ((low % 2**64).to_bytes(8, "little") + (high % 2**64).to_bytes(8, "little"))[:n]
+
+    got = {name(r.low, r.high): r.n for r in token_counts.group_counts(df, held=100).collect()}
+    assert got == {k: n for k, n in want.items() if len(k) <= pretokens.INLINE}
+    few = token_counts.frequent_groups(df, entries=10)
+    assert {name(int(a), int(b)) for a, b in few} == {k for k, n in want.items() if n > 2}
