@@ -190,22 +190,25 @@ def near_duplicates(docs: DataFrame, radius: int = 2, field: int = 3, id_col: st
 
 
 def one_of_each(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with the smallest id of their component, with all their columns; of rows that share that id, the one
-    with the least text.  Rows without an id stay."""
-    known = docs.filter(F.col(id_col).isNotNull())
-    groups = near_duplicates(known, radius, id_col=id_col, text_col=text_col)
-    first, place = fresh_name(docs.columns, "_first"), fresh_name(docs.columns, "_place")
+    """Of each component the row with the smallest id, with all its columns; of rows that share this id, one with the
+    least hash of the text.  Rows of one id with texts of different components are different documents and stay.  Rows
+    without an id stay."""
+    name, place, first = (fresh_name(docs.columns, c) for c in ("_name", "_place", "_first"))
+    known = docs.filter(F.col(id_col).isNotNull()).withColumn(name, F.struct(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(radius), F.col(text_col)).alias("b")))
+    groups = near_duplicates(known, radius, id_col=name, text_col=text_col)
     ids = groups.groupBy(F.col("doc_id").alias(first)).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("keep"))
-    ids = materialise(ids.filter("n > 1 OR NOT keep"))
-    # Only texts whose id may be among these take part in a shuffle.
-    near = in_slots(known, F.col(id_col), ids, F.col(first))
-    kept = in_slots(known, F.col(id_col), ids, F.col(first), "left_anti").unionByName(
-        near.join(ids.select(first), F.col(id_col) == F.col(first), "left_anti"))
-    several = ids.filter("keep").select(first)
+        F.count(F.lit(1)).alias("_n"), F.max(F.col("doc_id") == F.col("component_id")).alias("_keep"))
+    ids = materialise(ids.filter("_n > 1 OR NOT _keep"))
+    # Only texts whose name may be among these take part in a shuffle.
+    key, own = F.xxhash64(name), F.xxhash64(first)
+    near = in_slots(known, key, ids, own)
+    kept = in_slots(known, key, ids, own, "left_anti").unionByName(
+        near.join(ids.select(first), F.col(name) == F.col(first), "left_anti"))
+    several = ids.filter("_keep").select(first)
     if not several.isEmpty():
-        # Only rows whose id is not unique need an order among themselves.
-        order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-        rows = near.join(several, F.col(id_col) == F.col(first), "left_semi").withColumn(place, F.row_number().over(order))
+        # Only rows that share their id and text need an order among themselves.
+        order = Window.partitionBy(name).orderBy(F.xxhash64(*docs.columns))
+        rows = near.join(several, F.col(name) == F.col(first), "left_semi").withColumn(place, F.row_number().over(order))
         kept = kept.unionByName(rows.filter(F.col(place) == 1).drop(place))
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    return kept.drop(name).unionByName(docs.filter(F.col(id_col).isNull()))
