@@ -12,7 +12,8 @@ Spark.  The scorer carries the ``vocabulary`` most frequent words (half by toxic
 ``kept_bigrams`` most frequent bigrams and a bit table of fixed size that tells which others may be in the table; those
 are looked up there by a join, so the sizes of what is carried decide the speed and not the scores.
 
-Defined cases: null and empty texts, and texts without a word, have the score of the prior; rows without a label or
+Defined cases: null and empty texts have the score of the prior; other texts without a word have what the logistic
+function gives for features of zero; rows without a label or
 with a null text teach nothing; with training texts of one class only every score is that class's share.  Ids pass as
 they are; other columns play no part.
 """
