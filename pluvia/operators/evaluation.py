@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia import constants as C
-from pluvia.functions.ordering import Series, average_ranks, with_positions
+from pluvia.functions.ordering import TASK_ROWS, Series, average_ranks, cumulative_sums, with_positions
 from pluvia.functions.storage import materialise
 from pluvia.operators.profile import join_groups
 
@@ -87,9 +87,20 @@ def evaluate_single_stage(df: DataFrame, y: str, pred: str, groups: Sequence[str
 # --- time-ordered splits ------------------------------------------------------
 
 def numbered_rows(df: DataFrame, order: str, ties: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
-    """Adds ``_pos``, the 0-based place in time of every row of the whole table."""
-    options = {"block_rows": block_rows} if block_rows else {}
-    return with_positions(df, Series((), order, tuple(ties), **options))
+    """Adds ``_pos``, the 0-based place in time of every row of the whole table.
+
+    Rows are counted by day (or whatever ``order`` holds), the counts are added up, and rows are numbered only inside their
+    day, so no sort runs over the table.  Where a single day has more rows than a task should order, the table is numbered
+    in pieces instead."""
+    limit = block_rows or TASK_ROWS
+    counts = materialise(df.groupBy(F.col(order).alias("_day")).agg(F.count(F.lit(1)).alias("cnt")))
+    facts = counts.agg(F.max("cnt"), F.count(F.lit(1))).first()
+    if (facts[0] or 0) > limit:
+        return with_positions(df, Series((), order, tuple(ties), block_rows=limit))
+    before = cumulative_sums(counts, [], "_day", ["cnt"], facts[1], limit).select("_day", "below_cnt")
+    inside = Window.partitionBy(order).orderBy(*(ties or [F.lit(0)]))
+    joined = df.withColumn("_inner", F.row_number().over(inside) - 1).join(before, F.col(order).eqNullSafe(F.col("_day")))
+    return joined.withColumn("_pos", (F.col("below_cnt") + F.col("_inner")).cast("long")).drop("_inner", "_day", "below_cnt")
 
 
 def prepare_data(

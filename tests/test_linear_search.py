@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pluvia.operators import evaluation as ev
 from pluvia.operators import linear_search as ls
 from pluvia.operators import rain_models as rm
 from pluvia.operators import training as tr
@@ -104,3 +105,14 @@ def test_a_fold_of_one_class_has_no_score(spark, data):
     dry = spark.createDataFrame(data.assign(y=np.where(data["_pos"] < 250, 0.0, data["y"])))
     found = ls.classification_trials(dry, ["a"], "y", 0.1, [{"C": 1.0}], SPLITS)
     assert len(found[0]) < SPLITS
+
+
+def test_rows_are_numbered_by_day(spark):
+    """Null days first, ties inside a day, and the route in pieces for a day that is too large."""
+    rng = np.random.default_rng(1)
+    rows = [(None if d == 0 else int(d), i) for i, d in enumerate(rng.integers(0, 9, 200))]
+    df = spark.createDataFrame(rows, "day int, id int").repartition(5)
+    want = {i: p for p, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    for block_rows in (None, 100, 5):
+        assert {r.id: r["_pos"] for r in ev.numbered_rows(df, "day", ["id"], block_rows).collect()} == want
+    assert ev.numbered_rows(df.limit(0), "day", ["id"]).count() == 0
