@@ -105,13 +105,10 @@ SELECT event_type, ts, event_id, LAST_VALUE(value IGNORE NULLS) OVER (
   PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM e
 """)
 def event_fill_forward(spark, sf_dir):
-    """Few, very large keys: the fill runs in blocks of positions."""
+    """Few, large keys; beyond what a task should order the fill runs in blocks of positions."""
     value = F.when(F.col("value") >= 20, F.col("value"))
     rows = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", value.alias("value"))
-    return clean.fill_forward(rows, series("event_type", "ts", ties="event_id", block_rows=EVENT_BLOCK), ["value"])
-
-
-EVENT_BLOCK = 500
+    return clean.fill_forward(rows, series("event_type", "ts", ties="event_id"), ["value"])
 
 
 @query(PANEL + f"""
@@ -153,7 +150,7 @@ FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
 def event_lags(spark, sf_dir):
     """Few, very large keys: positions are cut into blocks with a halo of 24 rows."""
     rows = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
-    by = series("event_type", "ts", ties="event_id", block_rows=EVENT_BLOCK)
+    by = series("event_type", "ts", ties="event_id")
     return fx.create_lag_features(rows, "value", [1, 24], by=by)
 
 
@@ -184,7 +181,7 @@ FROM events WINDOW f AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETW
 """)
 def event_rolling(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
-    by = series("event_type", "ts", ties="event_id", block_rows=EVENT_BLOCK)
+    by = series("event_type", "ts", ties="event_id")
     made = fx.create_rolling_features(rows, "value", [50], ["mean", "max"], by=by)
     return rounded(made, 5, "value_mean_50d").drop("value")
 

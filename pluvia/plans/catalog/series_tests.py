@@ -200,14 +200,22 @@ def ljung_box_summary(spark, sf_dir):
     return ac.ljung_box_summary(ac.ljung_box(panel(spark, sf_dir), "rain", 10, by=SITE), ["site"]).drop("min_pvalue")
 
 
+# The chi-square tail is a finite sum at even degrees of freedom; at odd ones another finite sum follows the error function,
+# whose series of positive terms is added up (beyond six standard deviations its complement is below 1e-16).
 @query(ACF.format(lags=20) + """
-, q AS (SELECT site, lag, CAST(n AS DOUBLE) * (n + 2) * SUM(CASE WHEN lag > 0 THEN r * r / (n - lag) ELSE 0 END) OVER (PARTITION BY site ORDER BY lag) AS lb FROM r),
-t AS (SELECT site, lag, lb, UNNEST(GENERATE_SERIES(0, lag // 2 - 1)) AS i FROM q WHERE lag > 0 AND lag % 2 = 0)
+, q AS MATERIALIZED (SELECT site, lag, CAST(n AS DOUBLE) * (n + 2) * SUM(CASE WHEN lag > 0 THEN r * r / (n - lag) ELSE 0 END) OVER (PARTITION BY site ORDER BY lag) AS lb FROM r),
+t AS (SELECT site, lag, lb, UNNEST(GENERATE_SERIES(0, lag // 2 - 1)) AS i FROM q WHERE lag > 0 AND lag % 2 = 0),
+z AS (SELECT site, lag, lb, SQRT(lb / 2) AS z FROM q WHERE lag % 2 = 1),
+e AS (SELECT site, lag, z, UNNEST(GENERATE_SERIES(0, 150)) AS i FROM z WHERE z < 6),
+f AS (SELECT site, lag, SUM(EXP((2 * i + 1) * LN(z) - z * z - LGAMMA(i + 1.5))) AS erf FROM e GROUP BY site, lag),
+o AS (SELECT site, lag, lb, UNNEST(GENERATE_SERIES(1, lag // 2)) AS i FROM z WHERE lag > 1),
+g AS (SELECT site, lag, SUM(EXP((i - 0.5) * LN(lb) - lb / 2 - i * LN(2) - LGAMMA(i + 0.5) + 0.5 * LN(2))) AS rest FROM o GROUP BY site, lag)
 SELECT site, lag, ROUND(EXP(-lb / 2) * SUM(POW(lb / 2, i) / GAMMA(i + 1)), 9) AS p_value FROM t GROUP BY site, lag, lb
+UNION ALL SELECT z.site, z.lag, ROUND(1 - COALESCE(erf, 1) + COALESCE(rest, 0), 9) FROM z LEFT JOIN f ON f.site = z.site AND f.lag = z.lag
+  LEFT JOIN g ON g.site = z.site AND g.lag = z.lag
 """)
 def ljung_box_p_values(spark, sf_dir):
-    """P values of the even lags, where the chi-square tail is a finite sum."""
-    out = ac.ljung_box(panel(spark, sf_dir), "rain", 20, by=SITE).filter("lag % 2 = 0")
+    out = ac.ljung_box(panel(spark, sf_dir), "rain", 20, by=SITE)
     return out.select("site", "lag", F.round("lb_pvalue", 9).alias("p_value"))
 
 

@@ -153,3 +153,24 @@ def test_seeded_sample_equals_one_sort(spark):
     w = Window.partitionBy("Feature").orderBy(F.xxhash64("id", F.lit(42)), "id")
     want = {r["id"] for r in long.withColumn("n", F.row_number().over(w)).filter("n <= 50").collect()}
     assert got == want
+
+
+def test_event_features_in_forced_blocks(spark):
+    """Lags, rolling frames and fills of few large keys: blocks of 500 rows against one window for each key."""
+    from pluvia.functions.ordering import series
+    from pluvia.sources.panel import table
+
+    rows = table(spark, "/root/testdata/sf0.001", "events").select("event_type", "ts", "event_id", "value")
+    gaps = rows.withColumn("value", F.when(F.col("value") >= 20, F.col("value")))
+    split = series("event_type", "ts", ties="event_id", block_rows=50)
+    whole = series("event_type", "ts", ties="event_id")
+
+    def same(make):
+        a, b = (make(by).collect() for by in (split, whole))
+        columns = [c for c in make(whole).columns if c.startswith("value")]
+        made = [{r.event_id: [None if r[c] is None else round(r[c], 9) for c in columns] for r in x} for x in (a, b)]
+        assert made[0] == made[1] and len(made[0]) == len(a) == len(b)
+
+    same(lambda by: fx.create_lag_features(rows, "value", [1, 3], by=by))
+    same(lambda by: fx.create_rolling_features(rows, "value", [20], ["mean", "max"], by=by))
+    same(lambda by: clean.fill_forward(gaps, by, ["value"]))
