@@ -239,6 +239,7 @@ def box_cox_lambda(
     The likelihood is concave in lambda: the variance is a sum of squares of integrals of exp(lambda t), each of which is
     log-convex.  So each pass evaluates ``per_pass`` grid points between the current bounds of every key, in one partial
     aggregate, and the bounds close in on the neighbours of the best one, until all points between them are evaluated.
+    The points of a pass are worked out once for each key and not for each row.
     """
     keys = list(keys)
     lo, hi, points = grid
@@ -246,37 +247,41 @@ def box_cox_lambda(
     positive = F.when(x == 0, F.lit(1e-8)).when(x > 0, x)
     step = (hi - lo) / (points - 1)
     rows = materialise(df.select(*keys, F.log(positive).alias("_l")).filter(F.col("_l").isNotNull()))
-    bounds, width = None, points - 1
+    spots = [F.col("_lo") + F.floor(F.lit(j) * (F.col("_hi") - F.col("_lo")) / (per_pass - 1)) for j in range(per_pass)]
+    spread = [F.round(F.lit(lo) + i * step, 10).alias(f"_lam{j}") for j, i in enumerate(spots)]
+    lams = [F.col(f"_lam{j}") for j in range(per_pass)]
+    shaped = [F.when(F.abs(lam) < 1e-12, F.col("_l")).otherwise(
+        (F.exp(lam * F.col("_l")) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam)) for lam in lams]
+    everything = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("_lo"), F.lit(points - 1).cast("long").alias("_hi"))
+    bounds, width = everything.select("_lo", "_hi", *spread), points - 1
+    bound_keys = []
     while True:
         last = width + 1 <= per_pass
-        bounded = _with_bounds(rows, keys, bounds, points)
-        spots = [F.col("_lo") + F.floor(F.lit(j) * (F.col("_hi") - F.col("_lo")) / (per_pass - 1)) for j in range(per_pass)]
-        lams = [F.round(F.lit(lo) + i * step, 10) for i in spots]
-        shaped = [F.when(F.abs(lam) < 1e-12, F.col("_l")).otherwise(
-            (F.exp(lam * F.col("_l")) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam)) for lam in lams]
-        fit = bounded.groupBy(*keys, "_lo", "_hi").agg(
+        fit = _with_bounds(rows, bound_keys, bounds).groupBy(*keys).agg(
             F.sum("_l").alias("sl"), F.count(F.lit(1)).alias("n"), *[F.var_pop(y).alias(f"v{j}") for j, y in enumerate(shaped)])
         tried = F.array(*[
             F.when(F.col(f"v{j}") > 0, F.struct(((lam - 1) * F.col("sl") - F.col("n") / 2 * F.log(f"v{j}")).alias("ll"),
                                                 (-F.abs(lam)).alias("near"), lam.alias("lam"), i.alias("i")))
             for j, (lam, i) in enumerate(zip(lams, spots, strict=True))])
-        best = fit.select(*keys, "_lo", "_hi", F.array(*spots).alias("_spots"), F.array_max(F.array_compact(tried)).alias("_b")).filter("_b IS NOT NULL")
+        best = _with_bounds(fit, bound_keys, bounds).select(
+            *keys, "_lo", "_hi", F.array(*spots).alias("_spots"), F.array_max(F.array_compact(tried)).alias("_b")).filter("_b IS NOT NULL")
         if last:
             return best.select(*keys, F.col("_b.lam").alias("lam"))
         below = F.array_max(F.filter("_spots", lambda i: i < F.col("_b.i")))
         above = F.array_min(F.filter("_spots", lambda i: i > F.col("_b.i")))
-        bounds = materialise(best.select(*keys, F.coalesce(below, F.col("_lo")).alias("_lo"), F.coalesce(above, F.col("_hi")).alias("_hi")))
+        closer = best.select(*keys, F.coalesce(below, F.col("_lo")).alias("_lo"), F.coalesce(above, F.col("_hi")).alias("_hi"))
+        bounds, bound_keys = materialise(closer.select(*keys, "_lo", "_hi", *spread)), keys
         width = 2 * -(-width // (per_pass - 1))
 
 
-def _with_bounds(rows: DataFrame, keys: list[str], bounds: DataFrame | None, points: int) -> DataFrame:
-    if bounds is None:
-        return rows.withColumns({"_lo": F.lit(0).cast("long"), "_hi": F.lit(points - 1).cast("long")})
+def _with_bounds(rows: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
+    """Bounds and points to try, per key (for no keys: from one row) added to the rows; keys without bounds go."""
+    facts = [c for c in bounds.columns if c not in keys]
     if not keys:
         one = bounds.first()
-        return rows.withColumns({"_lo": F.lit(one["_lo"] if one else 0).cast("long"), "_hi": F.lit(one["_hi"] if one else 0).cast("long")})
+        return rows.withColumns({c: F.lit(one[c] if one else 0).cast(bounds.schema[c].dataType) for c in facts})
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    named = bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi")
+    named = bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *facts)
     return rows.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])

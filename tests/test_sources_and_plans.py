@@ -108,6 +108,33 @@ def test_box_cox_lambda_is_the_best_of_the_grid(spark):
     assert abs(fx.box_cox_lambda(df, "x").first()["lam"]) < 0.1
 
 
+def test_box_cox_points_are_worked_out_once_for_each_key(spark, monkeypatch):
+    """Rounding a point of the grid costs more than the power of a row: rows meet points that are ready."""
+    from pluvia.operators import features
+
+    x = np.random.default_rng(1).lognormal(size=400)
+    df = spark.createDataFrame([(i % 2, float(v) ** (1 + 2 * (i % 2)) * 50) for i, v in enumerate(x)], "k int, x double")
+    plans, keep = [], features._with_bounds
+
+    def with_bounds(rows, keys, bounds):
+        made = keep(rows, keys, bounds)
+        if "_l" in rows.columns:
+            plans.append(made._jdf.queryExecution().optimizedPlan().toString())
+        return made
+
+    monkeypatch.setattr(features, "_with_bounds", with_bounds)
+    got = {r.k: r.lam for r in fx.box_cox_lambda(df, "x", ["k"]).collect()}
+    assert plans and not any("round(" in p.lower() for p in plans)
+    for k in (0, 1):
+        log = np.log(x[k::2] ** (1 + 2 * k) * 50)
+
+        def likelihood(lam, log=log):
+            y = log if abs(lam) < 1e-12 else np.expm1(lam * log) / lam
+            return (lam - 1) * log.sum() - len(log) / 2 * np.log(y.var())
+
+        assert got[k] == max((round(-2 + i * 0.01, 10) for i in range(401)), key=likelihood)
+
+
 def test_recipe_skips_unknown_steps(panel_rows):
     by = series("site", "day", rows_bound=1000)
     steps = [{"function": "nope"}, {"function": "create_lag_features", "params": {"columns_to_lag": "x", "lags": [1]}}]
