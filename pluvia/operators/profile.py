@@ -25,6 +25,7 @@ from pluvia.functions.ordering import (
     with_positions,
 )
 from pluvia.functions.stats import aggregate, kurt_adjusted, label_ladder, skew_adjusted
+from pluvia.functions.storage import materialise
 from pluvia.functions.tails import normal_quantile
 from pluvia.operators.clean import to_long
 from pluvia.operators.features import rain_band
@@ -62,14 +63,17 @@ def with_group_facts(df: DataFrame, groups: Sequence[str], facts: dict[str, Colu
 
 
 def attach_facts(df: DataFrame, found: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Joins a table of one row per group to every row of the groups."""
+    """Joins a table of one row per group to every row of the groups.
+
+    The table is written first, so that the planner knows its size: it takes an aggregate to be as large as its input,
+    and a shuffle by few groups would send all rows to few tasks."""
     groups = list(groups)
     if not groups:
         row = found.first()
         return df.withColumns({
             n: F.lit(row[n] if row else None).cast(found.schema[n].dataType) for n in found.columns
         })
-    return df.join(found, groups)
+    return df.join(materialise(found), groups)
 
 
 def with_series_facts(df: DataFrame, s: Series, facts: dict[str, Column]) -> DataFrame:
