@@ -38,8 +38,9 @@ def seeded_sample(long: DataFrame, rows: int, id_col: str, seed: int = 42) -> Da
     """The ``rows`` rows of every feature with the smallest seeded hash of their id.
 
     Hashes are spread evenly, so a bound on the hash that lets through twelve standard deviations more than ``rows``
-    leaves a set of that size to order, whatever the size of the feature."""
-    sizes = long.groupBy(*GROUPS).agg(F.count(F.lit(1)).alias("_n"))
+    leaves a set of that size to order, whatever the size of the feature.  The sizes (one row per feature) are
+    broadcast, so that no rows travel before that bound."""
+    sizes = F.broadcast(long.groupBy(*GROUPS).agg(F.count(F.lit(1)).alias("_n")))
     share = F.least(F.lit(1.0), F.lit(rows + 12 * math.sqrt(rows) + 50) / F.col("_n"))
     hashed = F.xxhash64(F.col(id_col), F.lit(seed))
     few = long.join(sizes, GROUPS).withColumn("_h", hashed).filter(F.col("_h") <= (share * 2 - 1) * float(2 ** 63))
@@ -207,7 +208,7 @@ def normality_battery(
     ids = [id_col] if sample_rows else []
     long = to_long(df, ids, columns, "Feature", "v").filter("v IS NOT NULL")
     if sample_rows:
-        long = seeded_sample(long, sample_rows, id_col, seed).drop(id_col)
+        long = materialise(seeded_sample(long, sample_rows, id_col, seed).drop(id_col))
     found = moment_facts(long)
     known = found.collect()  # one row per feature
     facts = df.sparkSession.createDataFrame(known, found.schema)

@@ -155,6 +155,20 @@ def test_seeded_sample_equals_one_sort(spark):
     assert got == want
 
 
+def test_rows_of_few_groups_stay_in_their_tasks(spark):
+    """Facts of a few groups come to the rows: a shuffle by them would send a group's rows to one task."""
+    from pluvia.operators.profile import with_group_facts
+    from pluvia.operators.stat_tests import seeded_sample
+
+    long = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("Feature"), F.rand(1).alias("v"))
+    long = spark.createDataFrame(long.collect(), long.schema)
+    for df in (seeded_sample(long, 50, "id"), with_group_facts(long, ["Feature"], {"hi": F.max("v")})):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    found = with_group_facts(long, ["Feature"], {"hi": F.max("v")}).select("Feature", "hi").distinct().collect()
+    assert {(r.Feature, r.hi) for r in found} == {(r[0], r[1]) for r in long.groupBy("Feature").agg(F.max("v")).collect()}
+
+
 def test_event_features_in_forced_blocks(spark):
     """Lags, rolling frames and fills of few large keys: blocks of 500 rows against one window for each key."""
     from pluvia.functions.ordering import series
