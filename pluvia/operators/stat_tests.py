@@ -14,6 +14,7 @@ from pluvia.functions.ordering import (
     cumulative_sums,
     ranks_from_counts,
     series,
+    value_counts,
     with_positions,
 )
 from pluvia.functions.storage import materialise
@@ -109,14 +110,15 @@ def moment_tests(
 
 def anderson_darling(
     long: DataFrame, groups: Sequence[str] = GROUPS, rows_bound: int | None = None,
-    facts: DataFrame | None = None,
+    facts: DataFrame | None = None, ranked: DataFrame | None = None,
 ) -> DataFrame:
     """A2 against the fitted normal and its 5 % critical value.
 
-    Equal values share their term, so the sum runs over distinct values only.
+    Equal values share their term, so the sum runs over distinct values only
+    (``ranked``: their ``average_ranks``, if they are known).
     """
     groups = list(groups)
-    counts = average_ranks(long, groups, "v", rows_bound=rows_bound)
+    counts = ranked if ranked is not None else average_ranks(long, groups, "v", rows_bound=rows_bound)
     facts = facts if facts is not None else moment_facts(long, groups)
     rows = attach_facts(counts, facts.select(*groups, "_mean", "_sd"), groups)
     z = F.try_divide(F.col("v") - F.col("_mean"), F.col("_sd"))
@@ -152,17 +154,38 @@ def _poly(coefficients: list[float], x: Column) -> Column:
     return out
 
 
+#: Positions of equal values that are listed together.
+TIE_STRETCH = 4096
+
+
+def tie_positions(ranked: DataFrame, stretch: int = TIE_STRETCH) -> DataFrame:
+    """One row per row that ``average_ranks`` counted, with its 0-based ``_pos``.
+
+    Only the values were ordered; runs of equal values are listed in stretches that are spread over tasks first, so that
+    neither a value that is most of a column nor few files of many runs fill one task."""
+    spread = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start, end = F.col("_start"), F.col("below") + F.col("cnt")
+    runs = ranked.withColumn("_start", F.explode(F.sequence(F.col("below"), end - 1, F.lit(stretch).cast("long"))))
+    listed = F.sequence(start, F.least(start + stretch, end) - 1)
+    return runs.repartition(spread, "_start").withColumn("_pos", F.explode(listed)).drop("_start")
+
+
 def shapiro_wilk(
     long: DataFrame, groups: Sequence[str] = GROUPS, rows_bound: int | None = None,
-    facts: DataFrame | None = None,
+    facts: DataFrame | None = None, ranked: DataFrame | None = None,
 ) -> DataFrame:
-    """W and its p value (Royston's approximation, 6 rows or more)."""
+    """W and its p value (Royston's approximation, 6 rows or more).
+
+    With ``ranked`` (``average_ranks`` of the values) nothing is ordered again: equal values stand in a row."""
     groups = list(groups)
     facts = facts if facts is not None else moment_facts(long, groups)
-    rows = attach_facts(
-        long.select(*groups, "v"), facts.select(*groups, F.col("Sample_Size").cast("double").alias("_n"), "_mean"), groups
-    ).filter("_n >= 6")
-    placed = with_positions(rows, series(groups, "v", rows_bound=rows_bound)).withColumn(
+    known = facts.select(*groups, F.col("Sample_Size").cast("double").alias("_n"), "_mean")
+    if ranked is not None:
+        placed = tie_positions(attach_facts(ranked, known, groups).filter("_n >= 6"))
+    else:
+        rows = attach_facts(long.select(*groups, "v"), known, groups).filter("_n >= 6")
+        placed = with_positions(rows, series(groups, "v", rows_bound=rows_bound))
+    placed = placed.withColumn(
         "_q", normal_quantile((F.col("_pos") + 1 - 0.375) / (F.col("_n") + 0.25))
     ).withColumn("_d", F.col("v") - F.col("_mean"))
     last, first = F.col("_pos") == F.col("_n") - 1, F.col("_pos") == 0
@@ -204,7 +227,8 @@ def normality_battery(
     seed: int = 42,
 ) -> DataFrame:
     """All six tests per feature.  The whole column is tested; ``sample_rows``
-    with a row id tests a seeded sample instead."""
+    with a row id tests a seeded sample instead.  Values are counted and ordered
+    once, for both tests that need their order."""
     ids = [id_col] if sample_rows else []
     long = to_long(df, ids, columns, "Feature", "v").filter("v IS NOT NULL")
     if sample_rows:
@@ -212,9 +236,10 @@ def normality_battery(
     found = moment_facts(long)
     known = found.collect()  # one row per feature
     facts = df.sparkSession.createDataFrame(known, found.schema)
-    bound = max((r["Sample_Size"] for r in known), default=0)
-    out = moment_tests(long, facts=facts).join(shapiro_wilk(long, GROUPS, bound, facts), GROUPS).join(
-        anderson_darling(long, GROUPS, bound, facts), GROUPS
+    counts = materialise(value_counts(long, GROUPS, "v"))
+    ranked = materialise(ranks_from_counts(counts, GROUPS, "v").select(*GROUPS, "v", "cnt", "below", "total"))
+    out = moment_tests(long, facts=facts).join(shapiro_wilk(long, GROUPS, facts=facts, ranked=ranked), GROUPS).join(
+        anderson_darling(long, GROUPS, facts=facts, ranked=ranked), GROUPS
     )
     for test in ("Shapiro", "DAgostino", "JB", "Skew", "Kurt"):
         out = out.withColumn(f"{test}_Normal", yes_no(F.col(f"{test}_P") > LEVEL))

@@ -109,6 +109,29 @@ def test_shapiro_and_anderson(spark):
     assert st.anderson_darling(long).first()["AD_Stat"] == pytest.approx(want)
 
 
+def test_battery_orders_values_and_not_rows(spark, monkeypatch):
+    """Shapiro-Wilk from counted values equals the one over ordered rows, and the battery orders no rows."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"a": rng.choice([0.0, 0.0, 0.0, 1.0, 2.5], 700), "b": rng.normal(size=700), "c": np.full(700, 4.0)})
+    df = spark.createDataFrame(rows)
+    long = st.to_long(df, [], ["a", "b", "c"], "Feature", "v")
+    want = {r.Feature: r for r in st.shapiro_wilk(long).collect()}
+    ranked = st.average_ranks(long, ["Feature"], "v")
+    for stretch in (1, 7, 4096):
+        placed = st.tie_positions(ranked, stretch).groupBy("Feature").agg(F.sort_array(F.collect_list("_pos")).alias("p"))
+        assert all(r.p == list(range(700)) for r in placed.collect())
+
+    def fail(*_):
+        raise AssertionError("rows were ordered")
+
+    monkeypatch.setattr(st, "with_positions", fail)
+    got = {r.Feature: r for r in st.normality_battery(df, ["a", "b", "c"]).collect()}
+    assert set(got) == {"a", "b", "c"} == set(want)
+    for name, r in want.items():
+        assert got[name].Shapiro_Stat == pytest.approx(r.Shapiro_Stat, rel=1e-10)
+        assert got[name].Shapiro_P == pytest.approx(r.Shapiro_P, rel=1e-6)
+
+
 def test_rank_tests_against_brute_force(spark):
     rng = np.random.default_rng(9)
     rain = rng.choice([0.0, 1.0, 5.0, 20.0], 200)
