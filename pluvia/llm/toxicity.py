@@ -24,11 +24,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.functions.storage import materialise
-from pluvia.llm.bytesops import prefix_hash, release, slices, span_hash, words
+from pluvia.llm.bytesops import BASE, mix, prefix_hash, release, slices, span_hash, words
 from pluvia.llm.common import fresh_name, in_slots
 
 DISCOUNT = 0.75
@@ -42,7 +43,19 @@ BEGIN = np.uint64(0x5851F42D4C957F2D)
 BEGIN_KEY = int(BEGIN)
 #: Bits of the table that tells which words and bigrams need a look into Spark's table.
 FILTER_BITS = 1 << 27
-FILTER_PARTS = 256
+#: Places into which ids are hashed to tell which documents have a label.
+LABEL_SLOTS = 1 << 22
+#: The table in Spark has a part for about so many counted words, and so many parts at least.
+PART_WORDS = 1 << 21
+LEAST_PARTS = 12
+#: Items that a task collects before it hands them on.
+HELD = 1 << 20
+#: Kinds of items, each with a name of two numbers: bigrams of two carried words (both places), words that are not
+#: carried (key, 0), bigrams whose second or first word is not carried (its key, place of the other), bigrams of two such
+#: words (key of the second, of the first), and these once more beside their first word.
+BOTH, WORD, SECOND, FIRST, NEITHER, NEITHER_FIRST = range(6)
+#: Types of kind, name and counts of a task's items.
+ITEM = (np.uint8, np.uint64, np.uint64, np.uint32, np.uint32)
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -57,15 +70,22 @@ def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class KeyIndex:
-    """Sorted 64-bit keys found through a table of their first bits; absent keys get the number of keys."""
+    """Places (unless given, the order) of sorted 64-bit keys, found through a table of their first bits; absent keys get
+    the number of keys.  Only the steps between the keys are pickled, and their places."""
 
-    def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+    def __init__(self, keys: np.ndarray, place: np.ndarray | None = None):
+        self.keys, self.place = keys, place
         bits = max(4, int(np.ceil(np.log2(len(keys) + 1))) + 1)
         self.shift, self.slots = np.uint64(64 - bits), np.zeros(1 << bits, np.int32)
         self.slots[:] = np.searchsorted(self.keys >> self.shift, np.arange(1 << bits, dtype=np.uint64))
 
+    def __getstate__(self):
+        return pack([np.diff(self.keys, prepend=np.uint64(0)), *([] if self.place is None else [self.place])])
+
+    def __setstate__(self, state):
+        steps, *place = unpack(state)
+        self.__init__(np.cumsum(steps, dtype=np.uint64), *(p.astype(np.int64) for p in place))
+
     def find(self, wanted: np.ndarray) -> np.ndarray:
         n = len(self.keys)
         out = np.full(len(wanted), n, np.int64)
@@ -74,7 +94,7 @@ class KeyIndex:
         while len(left):
             there, want = self.keys[at[left]], wanted[left]
             hit = there == want
-            out[left[hit]] = self.order[at[left[hit]]]
+            out[left[hit]] = at[left[hit]] if self.place is None else self.place[at[left[hit]]]
             left = left[~hit & (there < want)]
             at[left] += 1
             left = left[at[left] < n]
@@ -84,34 +104,196 @@ class KeyIndex:
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(_id, _text, toxic) of the documents with a label, one row for each pair of a document and its label.
 
-    Unlabelled texts stay out of the join's shuffle; the join sorts both sides at every size, so that plans do not
-    change with the number of labels."""
+    Ids are joined with labels; texts learn their label from a broadcast table of ``LABEL_SLOTS`` hash slots at most.
+    Only texts in slots whose ids differ in their labels, or have several, take part in a join."""
     known = labels.select(F.col(id_col).alias("_key"), F.col(label_col).cast("int").alias("toxic")).filter("toxic IN (0, 1)")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    rows = in_slots(rows, F.col("_id"), known, F.col("_key"))
-    return rows.join(known.hint("merge"), F.col("_id") == F.col("_key")).select("_id", "_text", "toxic")
+    slot = F.pmod(F.xxhash64("_id"), F.lit(LABEL_SLOTS))
+    one = known.groupBy("_key").agg(F.when(F.count(F.lit(1)) == 1, F.max("toxic")).otherwise(2).alias("_what"))
+    ids = docs.select(F.col(id_col).alias("_id")).filter(F.col("_id").isNotNull()).distinct()
+    found = ids.join(one.hint("merge"), F.col("_id") == F.col("_key"), "left").groupBy(slot.alias("_slot")).agg(
+        F.min(F.coalesce("_what", F.lit(-1))).alias("_low"), F.max(F.coalesce("_what", F.lit(-1))).alias("_high"))
+    slots = materialise(found.filter("_high >= 0").select(
+        "_slot", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(2).alias("_what")))
+    rows = rows.join(F.broadcast(slots), slot == F.col("_slot"))
+    mixed = rows.filter("_what = 2").join(known.hint("merge"), F.col("_id") == F.col("_key"))
+    return rows.filter("_what < 2").select("_id", "_text", F.col("_what").alias("toxic")).union(mixed.select("_id", "_text", "toxic"))
 
 
-def count_bigrams(rows: DataFrame) -> DataFrame:
-    """(h, w, toxic, ordinary): counts by class of each word ``w`` after ``h``; a text begins after ``BEGIN``.  Tasks add
-    up slice by slice, Spark the rest."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """(key, toxic, ordinary): counts by class of each word.  Tasks add up what they hold, Spark the rest."""
 
     def count(batches):
+        held, size = [], 0
+
+        def summed():
+            key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            toxic = np.bincount(back, weights=np.concatenate([t for _, t in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(toxic), pa.array(np.bincount(back) - toxic)],
+                                              names=["key", "toxic", "ordinary"])
+
         for batch in batches:
             label = np.array(batch.column(1).to_pylist(), np.int64)
             for a, b, data, offsets in slices(batch.column(0)):
                 key, text = word_keys(data, offsets)
-                if len(key):
-                    before = histories(key, text)
-                    _, first, back = np.unique(pair_keys(before, key), return_index=True, return_inverse=True)
-                    toxic = np.bincount(back, weights=label[a:b][text]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(before[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(toxic),
-                         pa.array(np.bincount(back) - toxic)], names=["h", "w", "toxic", "ordinary"])
+                held.append((key, label[a:b][text]))
+                size += len(key)
+                if size > 2 * HELD:
+                    yield summed()
+                    held, size = [], 0
+        if size:
+            yield summed()
         release()
 
-    found = rows.select("_text", "toxic").mapInArrow(count, "h long, w long, toxic long, ordinary long")
-    return found.groupBy("h", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = rows.select("_text", "toxic").mapInArrow(count, "key long, toxic long, ordinary long")
+    return found.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of unsigned numbers, all of a length, as compressed bytes."""
+    n, planes, body = len(columns[0]), [], []
+    for c in columns:
+        used = (int(c.max()).bit_length() + 7) // 8 if n else 0
+        planes.append(used)
+        body.append(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(n, 8)[:, :used].T).tobytes())
+    body = b"".join(body)
+    return np.array([n, len(columns), *planes], "<u4").tobytes() + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    n, width = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    planes = [int(x) for x in np.frombuffer(data, "<u4", width, 8)]
+    body = np.frombuffer(pa.Codec("zstd").decompress(data[8 + 4 * width:], n * sum(planes), asbytes=True), np.uint8)
+    out, at = [], 0
+    for used in planes:
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :used] = body[at: at + n * used].reshape(used, n).T
+        out.append(c.view("<u8").ravel())
+        at += n * used
+    return out
+
+
+def pack_items(kind: np.ndarray, first: np.ndarray, second: np.ndarray, *more: np.ndarray) -> bytes:
+    """Items in the order of their names, those of a word side by side; of the first parts of names the steps are kept."""
+    order = np.lexsort((second, kind, first))
+    first = first[order]
+    return pack([kind[order], np.diff(first, prepend=np.uint64(0)), second[order], *(c[order] for c in more)])
+
+
+def unpack_items(data: bytes) -> list[np.ndarray]:
+    kind, first, *more = unpack(data)
+    return [kind.astype(np.uint8), np.cumsum(first, dtype=np.uint64), *more]
+
+
+def item_parts(first: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(first) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def item_slots(kind: np.ndarray, first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+    """Places of items among the ``size`` bits of their part."""
+    with np.errstate(over="ignore"):
+        return (mix(mix(first) + mix(second + kind.astype(np.uint64) * np.uint64(BASE))) >> np.uint64(16)) % np.uint64(size)
+
+
+def filter_size(parts: int) -> int:
+    return max(FILTER_BITS // parts // 32 * 32, 32)
+
+
+def named_items(place, before, key, history, unknown: int):
+    """(kind, first, second) of bigrams, from the places and the keys of both words."""
+    second_in, first_in = place != unknown, before != unknown
+    kind = np.where(second_in, np.where(first_in, BOTH, FIRST), np.where(first_in, SECOND, NEITHER)).astype(np.uint8)
+    at, ahead = place.astype(np.uint64), before.astype(np.uint64)
+    first = np.select([kind == BOTH, kind == FIRST], [ahead * np.uint64(unknown + 2) + at, history], key)
+    second = np.select([kind == BOTH, kind == FIRST, kind == SECOND], [np.uint64(0), at, ahead], history)
+    return kind, first, second
+
+
+def summed_items(kind, first, second, *counts):
+    """Equal items as one, with the sums of their counts."""
+    order = np.lexsort((second, first, kind))
+    kind, first, second = kind[order], first[order], second[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    start = np.flatnonzero(new)
+    return kind[start], first[start], second[start], *(np.add.reduceat(c[order], start, dtype=np.uint64) if len(start) else c[:0] for c in counts)
+
+
+def by_part(part: np.ndarray):
+    """(part, places of its items) for each part that has some."""
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for i, end in zip(cut, np.append(cut[1:], len(order)), strict=False):
+        yield int(part[order[i]]), order[i:end]
+
+
+def places(index: KeyIndex, key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words and of those before them; the two places after the carried ones are those of other words
+    and of the place before a text."""
+    place = index.find(key)
+    before = np.concatenate((place[:1], place[:-1]))
+    before[np.concatenate(([True], text[1:] != text[:-1]))] = len(index.keys) + 1
+    return place, before
+
+
+def count_bigrams(rows: DataFrame, index: KeyIndex, parts: int) -> DataFrame:
+    """(part, data, bits): the items of each part with their counts by class, and a bit for each place of one.
+
+    Tasks add up what they hold and send the items of a part as one packed value; parts are by hash, so a frequent word
+    is in all of them."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+    size = filter_size(parts)
+
+    def count(batches):
+        held, n = [], 0
+
+        def packed():
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            found = summed_items(*columns)
+            part = item_parts(found[1], parts)
+            cut = [(p, pack_items(*(c[at] for c in found))) for p, at in by_part(part)]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int32()), pa.array([d for _, d in cut], pa.binary())], names=["part", "data"])
+
+        for batch in batches:
+            label = np.array(batch.column(1).to_pylist(), np.int64)
+            for a, b, data, offsets in slices(batch.column(0)):
+                key, text = word_keys(data, offsets)
+                if not len(key):
+                    continue
+                found = named_items(*places(shared.value, key, text), key, histories(key, text), len(shared.value.keys))
+                toxic = label[a:b][text]
+                found = summed_items(*found, toxic, 1 - toxic)
+                twice = found[0] == NEITHER
+                kind = np.full(int(twice.sum()), NEITHER_FIRST, np.uint8)
+                again = (kind, found[2][twice], found[1][twice], found[3][twice], found[4][twice])
+                held.append([np.concatenate(x).astype(t, copy=False) for x, t in zip(zip(found, again, strict=True), ITEM, strict=True)])
+                n += len(held[-1][0])
+                if n > 2 * HELD:
+                    yield packed()
+                    n = 0
+        if held:
+            yield packed()
+        release()
+
+    def merge(table):
+        blobs = [[c.astype(t, copy=False) for c, t in zip(unpack_items(d.as_py()), ITEM, strict=True)] for d in table.column("data")]
+        found = summed_items(*(np.concatenate(c) for c in zip(*blobs, strict=True)))
+        del blobs
+        kind, first, second = found[:3]
+        named = np.flatnonzero(kind != NEITHER_FIRST)
+        words = np.unique(first[(kind == SECOND) | (kind == NEITHER)])
+        bits = np.zeros(size, bool)
+        bits[item_slots(kind[named], first[named], second[named], size).astype(np.int64)] = True
+        bits[item_slots(np.full(len(words), WORD, np.uint8), words, np.zeros(len(words), np.uint64), size).astype(np.int64)] = True
+        bits = pa.Codec("zstd").compress(np.packbits(bits, bitorder="little").tobytes(), asbytes=True)
+        out = pa.table({"part": pa.array(table.column("part").to_pylist()[:1], pa.int32()),
+                        "data": pa.array([pack_items(*found)], pa.binary()), "bits": pa.array([bits], pa.binary())})
+        release()
+        return out
+
+    found = rows.select("_text", "toxic").mapInArrow(count, "part int, data binary")
+    return found.groupBy("part").applyInArrow(merge, "part int, data binary, bits binary")
 
 
 def histories(key: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -125,31 +307,112 @@ def pair_keys(before: np.ndarray, key: np.ndarray) -> np.ndarray:
     return before ^ (key << np.uint64(21) | key >> np.uint64(43))
 
 
-def pair_column(before: str, key: str) -> Column:
-    turned = F.shiftleft(key, 21).bitwiseOR(F.shiftrightunsigned(key, 43))
-    return F.col(before).bitwiseXOR(turned)
-
-
-def filter_slots(key: np.ndarray) -> np.ndarray:
-    return (key ^ key >> np.uint64(29)) & np.uint64(FILTER_BITS - 1)
+@dataclass
+class Totals:
+    """What the ratios of any word need besides its own counts."""
+    types: tuple[int, int]    # different bigrams with a toxic and with an ordinary count
+    seen: tuple[int, int]     # words with such a count
+    whole: float              # sum of the shared backoff counts
 
+    def into(self, types: np.ndarray) -> np.ndarray:
+        """Continuation probabilities by class, from how many bigrams by class end with a word."""
+        shared = ((types > 0).sum(0) + 0.5) / self.whole
+        return np.array([np.maximum(t - DISCOUNT, 0.0) / max(n, 1) + (DISCOUNT * seen / n if n else 1.0) * shared
+                         for t, n, seen in zip(types, self.types, self.seen, strict=True)])
 
-def filter_table(keys: DataFrame) -> np.ndarray:
-    """One bit for each slot that one of the ``key`` values has: ``FILTER_BITS`` bits for tables of any size."""
-    slot = F.col("key").bitwiseXOR(F.shiftrightunsigned("key", 29)).bitwiseAND(F.lit(FILTER_BITS - 1))
-    found = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 5).cast("int").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(s & 31 AS INT))")).alias("bits"))
-    part = FILTER_BITS // 32 // FILTER_PARTS
+    @staticmethod
+    def after(types: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backoff weights by class and what counts are divided by, from the bigrams that begin with a word."""
+        return np.where(sums > 0, DISCOUNT * types / np.maximum(sums, 1), 1.0), np.maximum(sums, 1)
 
-    def lay_out(key, rows):
-        out = np.zeros(part, "<u4")
-        out[rows["at"].to_numpy(np.int64) % part] = rows["bits"].to_numpy(np.int64)
-        return rows.iloc[:1, :0].assign(part=key[0], bits=out.tobytes())
 
-    out = np.zeros((FILTER_PARTS, part), np.uint32)
-    for r in found.groupBy(F.expr(f"at div {part}").cast("int").alias("part")).applyInPandas(lay_out, "part int, bits binary").collect():
-        out[r.part] = np.frombuffer(r.bits, "<u4")
-    return out.ravel()
+@dataclass
+class Carried:
+    """Statistics by class of the carried words, of the unknown place and of the place before a text."""
+    q: np.ndarray
+    w: np.ndarray
+    n: np.ndarray
+    totals: Totals
+
+
+def excess(counts, w, n, q) -> np.ndarray:
+    """By how much the ratio of bigrams is above that of their two words."""
+    t, o = (np.log(np.maximum(c - DISCOUNT, 0.0) / n[i] / (w[i] * q[i]) + 1) for i, c in enumerate(counts))
+    return t - o
+
+
+class Part:
+    """A part of the table: its words with their statistics, its bigrams with their excess."""
+
+    def __init__(self, data: bytes, carried: Carried):
+        columns = unpack_items(data)
+        order = np.argsort(columns[0], kind="stable")
+        self.kind, self.first, self.second = (c[order] for c in columns[:3])
+        self.counts = np.array([c[order] for c in columns[3:]], np.int64)
+        del columns, order
+        kind, counts = self.kind, self.counts
+        ending, beginning = (kind == SECOND) | (kind == NEITHER), (kind == FIRST) | (kind == NEITHER_FIRST)
+        self.words = np.unique(self.first[ending])
+        at = np.minimum(np.searchsorted(self.words, self.first), max(len(self.words) - 1, 0))
+
+        def by_word(rows, weights):
+            return np.array([np.bincount(at[rows], weights=x[rows], minlength=len(self.words)) for x in weights])
+
+        self.q = carried.totals.into(by_word(ending, counts > 0))
+        self.w, self.n = Totals.after(by_word(beginning, counts > 0), by_word(beginning, counts))
+        self.value = np.zeros(len(kind))
+        r = kind == BOTH
+        h, x = np.divmod(self.first[r].astype(np.int64), carried.q.shape[1])
+        self.value[r] = excess(counts[:, r], carried.w[:, h], carried.n[:, h], carried.q[:, x])
+        r = kind == SECOND
+        h = self.second[r].astype(np.int64)
+        self.value[r] = excess(counts[:, r], carried.w[:, h], carried.n[:, h], self.q[:, at[r]])
+        r = kind == FIRST
+        x = self.second[r].astype(np.int64)
+        self.value[r] = excess(counts[:, r], self.w[:, at[r]], self.n[:, at[r]], carried.q[:, x])
+        self.at = at
+
+    def beside_second(self, parts: int):
+        """(part, data): statistics of the first words of bigrams of two words that are not carried, for the parts of
+        the second ones."""
+        r = np.flatnonzero(self.kind == NEITHER_FIRST)
+        back = [x[i, self.at[r]].astype(float).view(np.uint64) for x in (self.w, self.n) for i in (0, 1)]
+        for part, at in by_part(item_parts(self.second[r], parts)):
+            yield part, pack_items(self.kind[r][at], self.second[r][at], self.first[r][at], *(c[at] for c in back))
+
+    def add_neither(self, blobs: list[bytes]) -> None:
+        """Excess of bigrams of two words that are not carried, from what ``beside_second`` says of their first words."""
+        r = np.flatnonzero(self.kind == NEITHER)
+        if not len(r):
+            return
+        c = [np.concatenate(x) for x in zip(*(unpack_items(b) for b in blobs), strict=True)]
+        order = np.lexsort((c[2], c[1]))
+        # Both sides list the same bigrams in the same order.
+        w, n = (np.array([c[i][order].view(float), c[i + 1][order].view(float)]) for i in (3, 5))
+        self.value[r] = excess(self.counts[:, r], w, n, self.q[:, self.at[r]])
+
+    def find(self, kind: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of items, or -1."""
+        out = np.full(len(kind), -1)
+        for k in np.unique(kind):
+            r, own = np.flatnonzero(kind == k), slice(*np.searchsorted(self.kind, [k, k + 1]))
+            have, want = self.first[own], first[r]
+            if not len(have):
+                continue
+            lo = np.searchsorted(have, want)
+            if k != BOTH:  # second parts are ordered within equal first ones
+                hi, end = np.searchsorted(have, want, side="right"), lo
+                seconds, sought = self.second[own], second[r]
+                while (left := np.flatnonzero(end < hi)).size:
+                    middle = (end[left] + hi[left]) // 2
+                    less = seconds[middle] < sought[left]
+                    end[left] = np.where(less, middle + 1, end[left])
+                    hi[left] = np.where(less, hi[left], middle)
+                lo = end
+            at = np.minimum(lo, len(have) - 1)
+            hit = (have[at] == want) & (self.second[own][at] == second[r])
+            out[r[hit]] = at[hit] + own.start
+        return out
 
 
 @dataclass
@@ -159,32 +422,35 @@ class ToxicityModel:
     word: np.ndarray          # log of the toxic over the ordinary continuation probability of each word
     pairs: KeyIndex           # the carried bigrams
     excess: np.ndarray        # by how much their ratio is above that of their two words
-    maybe: np.ndarray         # bits of ``filter_table`` over what is not carried
+    maybe: np.ndarray         # bits of all parts of the table, that tell which items may be there
+    parts: int
+    carried: Carried
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
     prior: float = 0.0
-    rest: DataFrame | None = None  # (key, is_word, value, after): words and bigrams that are not carried
+    rest: DataFrame | None = None  # (part, data, beside): the table, if it has what is not carried
+    shared: Broadcast | None = None  # this model without its weights, which tasks do not need: sent once
 
     def __getstate__(self):
-        return self.__dict__ | {"rest": None}
+        bits = pa.Codec("zstd").compress(self.maybe.tobytes(), asbytes=True)
+        return self.__dict__ | {"rest": None, "shared": None, "maybe": (len(self.maybe), bits)}
+
+    def __setstate__(self, state):
+        size, bits = state["maybe"]
+        self.__dict__ = state | {"maybe": np.frombuffer(pa.Codec("zstd").decompress(bits, size, asbytes=True), np.uint8)}
 
-    def possible(self, key: np.ndarray) -> np.ndarray:
-        slot = filter_slots(key)
-        return (self.maybe[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+    def possible(self, kind: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        size = filter_size(self.parts)
+        slot = item_parts(first, self.parts) * size + item_slots(kind, first, second, size).astype(np.int64)
+        return (self.maybe[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
     def look_up(self, key: np.ndarray, text: np.ndarray):
-        """Places of the words and of those before them, whether the words may be in the table in Spark, the bigrams'
-        names and places, and whether those may be in that table."""
-        begins = np.concatenate(([True], text[1:] != text[:-1]))
-        place = self.index.find(key)
-        before = np.concatenate((place[:1], place[:-1]))
-        before[begins] = len(self.word) - 1
+        """Places of the words and of those before them, whether the words may be in the table in Spark, and the places
+        of the bigrams."""
+        place, before = places(self.index, key, text)
         later = place == len(self.index.keys)
-        later[later] = self.possible(key[later])
-        pair = pair_keys(histories(key, text), key)
-        at = self.pairs.find(pair)
-        pair_later = at == len(self.excess)
-        pair_later[pair_later] = self.possible(pair[pair_later])
-        return place, before, later, pair, at, pair_later
+        there = key[later]
+        later[later] = self.possible(np.full(len(there), WORD, np.uint8), there, np.zeros(len(there), np.uint64))
+        return place, before, later, self.pairs.find(pair_keys(histories(key, text), key))
 
     def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per text: the sum of its log-likelihood ratios, that of its most toxic word, how many words are above each
@@ -194,7 +460,7 @@ class ToxicityModel:
         out = np.zeros((n, FEATURES))
         if not len(key):
             return out
-        place, before, later, _, at, _ = self.look_up(key, text)
+        place, before, later, at = self.look_up(key, text)
         alone = np.where(later, 0.0, self.word[place])
         # The history of a word that is asked for comes with the answer; that of an unknown word is 0.
         ratio = alone + self.history[before] + np.append(self.excess, 0)[at]
@@ -206,25 +472,52 @@ class ToxicityModel:
         out[:, -1] = np.bincount(text, minlength=n)
         return out
 
-    def requests(self, data: np.ndarray, offsets: np.ndarray):
-        """(text, key, is_word, n, n_before): what a text needs from the table in Spark, how often, and how often a
-        word stands before another one."""
+    def requests(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
+        """(part, items) with what the texts need from the table in Spark: kind, two parts of the name, text, how
+        often, and how often a word stands before another one."""
         key, text = word_keys(data, offsets)
         if not len(key):
-            return None
-        _, _, later, pair, _, pair_later = self.look_up(key, text)
-        before = np.append(text[1:] == text[:-1], False) & later
-        owner, name = np.concatenate((text[later], text[pair_later])), np.concatenate((key[later], pair[pair_later]))
-        kind = np.repeat([True, False], [later.sum(), pair_later.sum()])
-        ahead = np.concatenate((before[later], np.zeros(int(pair_later.sum()), bool)))
-        order = np.lexsort((name, owner, kind))
-        owner, name, kind, ahead = owner[order], name[order], kind[order], ahead[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (owner[1:] != owner[:-1]) | (name[1:] != name[:-1]) | (kind[1:] != kind[:-1])
-        start = np.flatnonzero(first)
+            return []
+        place, before, later, at = self.look_up(key, text)
+        ahead = np.append(text[1:] == text[:-1], False) & later
+        pair = np.flatnonzero(at == len(self.excess))
+        kind, first, second = named_items(place[pair], before[pair], key[pair], histories(key, text)[pair], len(self.index.keys))
+        some = self.possible(kind, first, second)
+        word = np.flatnonzero(later)
+        kind = np.concatenate((np.full(len(word), WORD, np.uint8), kind[some]))
+        first, second = np.concatenate((key[word], first[some])), np.concatenate((np.zeros(len(word), np.uint64), second[some]))
+        text, ahead = np.concatenate((text[word], text[pair[some]])), np.concatenate((ahead[word], np.zeros(int(some.sum()), bool))).astype(np.int64)
+        order = np.lexsort((text, second, first, kind))
+        kind, first, second, text, ahead = (c[order] for c in (kind, first, second, text, ahead))
+        new = np.ones(len(order), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (text[1:] != text[:-1])
+        start = np.flatnonzero(new)
         if not len(start):
-            return None
-        return owner[start], name[start], kind[start], np.diff(np.append(start, len(order))), np.add.reduceat(ahead.astype(np.int64), start)
+            return []
+        found = (kind[start], first[start], second[start], text[start], np.diff(np.append(start, len(order))), np.add.reduceat(ahead, start))
+        return [(p, pack_items(*(c[at] for c in found))) for p, at in by_part(item_parts(found[1], self.parts))]
+
+    def answers(self, part: Part, data: bytes) -> bytes:
+        """(text, its share of the sums that ``sums`` leaves out) of the texts of some items."""
+        kind, first, second, text, n, ahead = unpack_items(data)
+        value, after = np.zeros(len(kind)), np.zeros(len(kind))
+        word = kind == WORD
+        # Bigrams that are not in the table add nothing; words that are not are unknown.
+        value[word] = self.word[-2]
+        at = np.minimum(np.searchsorted(part.words, first), max(len(part.words) - 1, 0))
+        if len(part.words):
+            own = np.flatnonzero(word & (part.words[at] == first))
+            value[own] = np.log(part.q[0, at[own]]) - np.log(part.q[1, at[own]])
+            after[own] = np.log(part.w[0, at[own]]) - np.log(part.w[1, at[own]])
+        pair = np.flatnonzero(~word)
+        at = part.find(kind[pair], first[pair], second[pair])
+        value[pair[at >= 0]] = part.value[at[at >= 0]]
+        owner, back = np.unique(text, return_inverse=True)
+        most = np.full(len(owner), -np.inf)
+        np.maximum.at(most, back[word], value[word])
+        above = [np.bincount(back[r], weights=n[r], minlength=len(owner)) for r in (word & (value > level) for level in LEVELS)]
+        whole = np.bincount(back, weights=n * value + ahead * after, minlength=len(owner))
+        return pack([owner, whole.view(np.uint64), most.view(np.uint64), *above])
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per text: the log-likelihood ratio per word, that of its most toxic word, how many words are above each of
@@ -247,11 +540,11 @@ def train(
 ) -> ToxicityModel:
     """Counts over the labelled texts but for about ``CALIBRATION_ROWS``, or a quarter if that is less; the logistic
     function is fitted on these, chosen by hashes of the id, and only their features reach the driver."""
-    rows = materialise(labelled(docs, labels, id_col, text_col, label_col))
+    rows = labelled(docs, labels, id_col, text_col, label_col)
     quarter = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(4)) == 3
     share = min(1.0, CALIBRATION_ROWS / max(rows.filter(quarter).count(), 1))
     taken = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000)
-    model = kneser_ney(materialise(count_bigrams(rows.filter(~(quarter & taken)))), vocabulary, kept_bigrams)
+    model = kneser_ney(rows.filter(~(quarter & taken)), vocabulary, kept_bigrams)
 
     x, y = feature_rows(rows.filter(quarter & taken), model)
     model.prior = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
@@ -283,126 +576,174 @@ def frequent(rows: DataFrame, count: Column, keep: int, key: str) -> Column:
     return F.lit(True)
 
 
-def kneser_ney(pairs: DataFrame, vocabulary: int, kept: int) -> ToxicityModel:
-    """Ratios of all words and bigrams; the most frequent ones come back, as many as ``vocabulary`` and ``kept``."""
-    toxic, ordinary = F.col("toxic") > 0, F.col("ordinary") > 0
+def carried_counts(table: DataFrame, size: int) -> np.ndarray:
+    """By place: bigrams by class that end with a word, that begin with it, and the sums of the latter's counts."""
+    width = np.uint64(size)
+
+    def add_up(batches):
+        total = np.zeros((6, size), np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                kind, first, second, *counts = unpack_items(data)
+                into = np.select([kind == BOTH, kind == FIRST], [first % width, second], np.uint64(size - 2)).astype(np.int64)
+                after = np.select([kind == BOTH, kind == SECOND], [first // width, second], np.uint64(size - 2)).astype(np.int64)
+                real = kind != NEITHER_FIRST
+                for i, c in enumerate(counts):
+                    c = c.astype(np.int64)
+                    total[i] += np.bincount(into[real & (c > 0)], minlength=size)
+                    total[2 + i] += np.bincount(after[real & (c > 0)], minlength=size)
+                    total[4 + i] += np.bincount(after[real], weights=c[real], minlength=size).astype(np.int64)
+        some = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in total)], names=["place", *names])
+        release()
+
+    names = [f"n{i}" for i in range(6)]
+    rows = table.select("data").mapInArrow(add_up, "place int, " + ", ".join(f"{c} long" for c in names))
+    found = rows.groupBy("place").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    out = np.zeros((6, size), np.int64)
+    out[:, found["place"].to_numpy()] = found[names].to_numpy(np.int64).T
+    return out
 
-    def by(column, name):
-        return pairs.groupBy(F.col(column).alias("key")).agg(
-            F.count_if(toxic).alias(f"{name}_tt"), F.count_if(ordinary).alias(f"{name}_ot"),
-            F.sum("toxic").alias(f"{name}_t"), F.sum("ordinary").alias(f"{name}_o"))
 
-    d = DISCOUNT
-    sums = materialise(by("w", "into").join(by("h", "after"), "key", "full").na.fill(0))
-    # Shared backoff counts: in how many of the two classes a word follows anything.
-    classes = F.count_if(F.expr("into_tt > 0")) + F.count_if(F.expr("into_ot > 0"))
-    n = sums.agg(F.sum("into_tt").alias("tt"), F.sum("into_ot").alias("ot"), F.count_if(F.expr("into_tt > 0")).alias("t"),
-                 F.count_if(F.expr("into_ot > 0")).alias("o"), classes.alias("classes"), F.count_if(F.expr("into_tt + into_ot > 0")).alias("words")).first()
+def kneser_ney(rows: DataFrame, vocabulary: int, kept: int) -> ToxicityModel:
+    """Ratios of all words and bigrams; the model carries the most frequent ones, as many as ``vocabulary`` and ``kept``."""
+    spark = rows.sparkSession
+    known = materialise(count_words(rows)).withColumn("n", F.col("toxic") + F.col("ordinary"))
+    known = known.filter(F.col("key") != BEGIN_KEY)
+    chosen = most_frequent(known.filter("toxic > 0"), F.col("toxic"), vocabulary // 2, "key").union(
+        most_frequent(known, F.col("n"), vocabulary // 2, "key")).select("key", "n").distinct().toPandas()
+    # Frequent words have the first places, which makes the names of bigrams small.
+    by_count = chosen.sort_values(["n", "key"], ascending=[False, True])["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(by_count)
+    index = KeyIndex(by_count[order], order)
+    n = known.agg(F.count_if(F.expr("toxic > 0")).alias("t"), F.count_if(F.expr("ordinary > 0")).alias("o"),
+                  F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    parts = max(LEAST_PARTS, -(-n.n // PART_WORDS))
+    table = materialise(count_bigrams(rows, index, parts))
+
+    d, size = DISCOUNT, len(index.keys) + 2
+    counts = carried_counts(table, size)
+    types = tuple(int(x) for x in counts[:2].sum(1))
     # Unknown words and the place before a text have a share of the backoff like words of no class.
-    whole = (n.classes or 0) + 0.5 * (n.words + 2)
+    totals = Totals(types, (n.t, n.o), n.t + n.o + 0.5 * (n.words + 2))
+    carried = Carried(totals.into(counts[:2]), *Totals.after(counts[2:4], counts[4:]), totals)
+    shared = spark.sparkContext.broadcast((carried, np.append(by_count, [np.uint64(0), BEGIN])))
 
-    def q(types: str, total, seen) -> Column:
-        shared = (F.expr("CAST(into_tt > 0 AS INT) + CAST(into_ot > 0 AS INT)") + 0.5) / whole
-        return F.greatest(F.col(types) - d, F.lit(0.0)) / max(total or 0, 1) + (d * seen / total if total else 1.0) * shared
+    def score_pairs(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                carried, keys = shared.value
+                part = Part(data, carried)
+                r = np.flatnonzero(part.kind <= FIRST)
+                kind, first, second = part.kind[r], part.first[r], part.second[r]
+                at, both = second.astype(np.int64), kind == BOTH
+                h, w = first.copy(), first.copy()
+                h[both], w[both] = (keys[x] for x in np.divmod(first[both].astype(np.int64), len(keys)))
+                h[kind == SECOND], w[kind == FIRST] = keys[at[kind == SECOND]], keys[at[kind == FIRST]]
+                yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w).view(np.int64)), pa.array(part.value[r]),
+                                                  pa.array(part.counts[:, r].sum(0))], names=["key", "value", "n"])
+        release()
 
-    def weight(types: str, seen: str) -> Column:
-        return F.when(F.col(seen) > 0, d * F.col(types) / F.col(seen)).otherwise(1.0)
+    def beside(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                found = [*Part(data, shared.value[0]).beside_second(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())],
+                                                 names=["part", "beside"])
+        release()
 
-    stats = materialise(sums.select(
-        "key", q("into_tt", n.tt, n.t).alias("q_t"), q("into_ot", n.ot, n.o).alias("q_o"),
-        weight("after_tt", "after_t").alias("w_t"), weight("after_ot", "after_o").alias("w_o"),
-        F.greatest("after_t", F.lit(1)).alias("n_t"), F.greatest("after_o", F.lit(1)).alias("n_o"),
-        F.col("into_t").alias("toxic"), (F.col("into_t") + F.col("into_o")).alias("n")))
-    known = stats.filter((F.col("n") > 0) & (F.col("key") != BEGIN_KEY))
-    chosen = most_frequent(known.filter("toxic > 0"), F.col("toxic"), vocabulary // 2, "key").union(
-        most_frequent(known, F.col("n"), vocabulary // 2, "key")).distinct()
-    chosen = chosen.union(stats.filter(F.col("key") == BEGIN_KEY)).drop("toxic", "n")
-    chosen = materialise(chosen)
-    carried = chosen.toArrow().to_pandas()
-
-    # Bigrams of carried words find these by a broadcast of fixed size; the others' words are joined.
-    def named(rows, key, columns):
-        return rows.select(F.col("key").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in columns])
-
-    after, into = ("w_t", "w_o", "n_t", "n_o"), ("q_t", "q_o")
-    both = pairs.join(F.broadcast(named(chosen, "h", after)), "h", "left").join(F.broadcast(named(chosen, "w", into)), "w", "left")
-    there = F.col("h_w_t").isNotNull() & F.col("w_q_t").isNotNull()
-    others = both.filter(~there).select(*pairs.columns).join(named(stats, "h", after), "h").join(named(stats, "w", into), "w")
-
-    def p(c: str, name: str) -> Column:
-        back = F.col(f"h_w_{c}") * F.col(f"w_q_{c}")
-        return F.log(F.greatest(F.col(name) - d, F.lit(0.0)) / F.col(f"h_n_{c}") / back + 1)
-
-    excess = (p("t", "toxic") - p("o", "ordinary")).alias("value")
-    scored = materialise(both.filter(there).unionByName(others).select(
-        pair_column("h", "w").alias("key"), excess, (F.col("toxic") + F.col("ordinary")).alias("n")))
-    best = frequent(scored, F.col("n"), kept, "key")
-    carried_pairs = scored.filter(best).select("key", "value").toArrow().to_pandas()
-
-    word, history = F.log("q_t") - F.log("q_o"), F.log("w_t") - F.log("w_o")
-    rest_words = known.join(F.broadcast(chosen.select("key")), "key", "left_anti").select(
-        "key", F.lit(True).alias("is_word"), word.alias("value"), history.alias("after"))
-    rest_pairs = scored.filter(~best).select(
-        "key", F.lit(False).alias("is_word"), "value", F.lit(0.0).alias("after"))
-    rest = rest_words.union(rest_pairs)
-
-    begin = carried["key"].to_numpy(np.int64) == BEGIN_KEY
-    first, own = carried[begin], carried[~begin].sort_values("key")
-    ratio = np.log(own["q_t"].to_numpy(float)) - np.log(own["q_o"].to_numpy(float))
-    behind = np.log(own["w_t"].to_numpy(float)) - np.log(own["w_o"].to_numpy(float))
-    unknown = np.log(d * n.t / n.tt if n.tt else 1.0) - np.log(d * n.o / n.ot if n.ot else 1.0)
-    start = float(np.log(first["w_t"].iloc[0]) - np.log(first["w_o"].iloc[0])) if len(first) else 0.0
+    # Bigrams of two words that are not carried are not carried either.
+    scored = table.select("data").mapInArrow(score_pairs, "key long, value double, n long")
+    best = scored.filter(frequent(scored, F.col("n"), kept, "key")).select("key", "value").toArrow()
+    best_keys = best.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(best_keys)
+    maybe = np.zeros(parts * filter_size(parts) // 8, np.uint8)
+    for r in table.select("part", "bits").toLocalIterator():
+        bits = pa.Codec("zstd").decompress(r.bits, filter_size(parts) // 8, asbytes=True)
+        maybe[r.part * len(bits): (r.part + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
+
+    into, after = np.log(carried.q), np.log(carried.w)
+    ratio, behind = (into[0] - into[1])[:-2], (after[0] - after[1])[:-2]
+    unknown = np.log(d * n.t / types[0] if types[0] else 1.0) - np.log(d * n.o / types[1] if types[1] else 1.0)
     model = ToxicityModel(
-        KeyIndex(own["key"].to_numpy(np.int64).view(np.uint64)), np.r_[behind, 0.0, start], np.r_[ratio, unknown, unknown],
-        KeyIndex(carried_pairs["key"].to_numpy(np.int64).view(np.uint64)), carried_pairs["value"].to_numpy(float), filter_table(rest))
-    model.rest = None if rest.isEmpty() else rest
+        index, np.r_[behind, 0.0, after[0, -1] - after[1, -1]], np.r_[ratio, unknown, unknown],
+        KeyIndex(best_keys[order]), best.column("value").to_numpy()[order], maybe, parts, carried)
+    if n.words > len(index.keys) or scored.count() > len(order):
+        model.rest = table.select("part", "data", F.lit(None).cast("binary").alias("beside")).union(
+            table.select("data").mapInArrow(beside, "part int, beside binary").select("part", F.lit(None).cast("binary"), "beside"))
     return model
 
 
 def described(texts: DataFrame, model: ToxicityModel) -> DataFrame:
     """(t1, t2, copies, x0, ...): the features of each distinct text of ``_text``, named by two 64-bit hashes.
 
-    What the model does not carry is asked for by one row for each text and word or bigram; the most frequent ones are
-    carried, so no name is a large group in that join."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    What the model does not carry is asked for: a run of texts sends one packed value to each part of the table, with
+    its items in the order of their names, and gets one value back with sums by text; a part is read once."""
+    shared = model.shared or texts.sparkSession.sparkContext.broadcast(model)
+    model.shared = shared
     names = [f"s{i}" for i in range(FEATURES)]
+    schema = "t1 long, t2 long, empty boolean, " + ", ".join(f"{c} double" for c in names)
+
+    def columns(t1, t2, empty, x):
+        return {"t1": pa.array(t1), "t2": pa.array(t2), "empty": pa.array(empty)} | {c: pa.array(x[:, i]) for i, c in enumerate(names)}
 
     def sums(batches):
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(2)):
-                x = shared.value.sums(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *(pa.array(x[:, i]) for i in range(FEATURES)),
-                                                  pa.array(np.diff(offsets) == 0)], names=["t1", "t2", *names, "empty"])
+                own = (batch.column(i).slice(a, b - a).to_numpy() for i in (0, 1))
+                yield pa.RecordBatch.from_pydict(columns(*own, np.diff(offsets) == 0, shared.value.sums(data, offsets)))
         release()
 
     def ask(batches):
+        model, run = shared.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(2)):
-                found = shared.value.requests(data, offsets)
-                if found is not None:
-                    owner, name, kind, n, ahead = found
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(i).slice(a, b - a).take(pa.array(owner)) for i in (0, 1)), pa.array(name.view(np.int64)), pa.array(kind),
-                         pa.array(n.astype(np.int32)), pa.array(ahead.astype(np.int32))], names=["t1", "t2", "key", "is_word", "n", "ahead"])
+                t1, t2 = (batch.column(i).slice(a, b - a).to_numpy().view(np.uint64) for i in (0, 1))
+                x = np.ascontiguousarray(model.sums(data, offsets).T).view(np.uint64)
+                asked = model.requests(data, offsets)
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([run % model.parts, *(p for p, _ in asked)], pa.int32()), "run": pa.array([run] * (1 + len(asked))),
+                    "texts": pa.array([pack([t1, t2, np.diff(offsets) == 0, *x]), *([None] * len(asked))], pa.binary()),
+                    "items": pa.array([None, *(d for _, d in asked)], pa.binary())})
+                run += 1
         release()
 
+    def answer(asked, there):
+        model, part, out = shared.value, None, []
+        data, beside = ([d for d in there.column(c).to_pylist() if d is not None] for c in ("data", "beside"))
+        for items in asked.column("items"):
+            if items.is_valid:
+                if part is None:
+                    part = Part(data[0], model.carried)
+                    part.add_neither(beside)
+                out.append(model.answers(part, items.as_py()))
+            else:
+                out.append(None)
+        found = pa.table({"run": asked.column("run"), "texts": asked.column("texts"), "sums": pa.array(out, pa.binary())})
+        release()
+        return found
+
+    def finish(table):
+        t1, t2, empty, *x = unpack(next(d for d in table.column("texts").to_pylist() if d is not None))
+        x = np.array(x).view(float).T
+        for data in table.column("sums").to_pylist():
+            if data is not None:
+                text, whole, most, *above = unpack(data)
+                text = text.astype(np.int64)
+                x[text, 0] += whole.view(float)
+                x[text, 1] = np.maximum(x[text, 1], most.view(float))
+                for i, more in enumerate(above, 2):
+                    x[text, i] += more
+        return pa.table(columns(t1.view(np.int64), t2.view(np.int64), empty > 0, x))
+
     rows = texts.select(*text_names(F.col("_text")), "_text")
-    plain = rows.mapInArrow(sums, "t1 long, t2 long, " + ", ".join(f"{c} double" for c in names) + ", empty boolean").groupBy("t1", "t2").agg(
-        F.count(F.lit(1)).alias("copies"), F.max("empty").alias("empty"), *[F.max(c).alias(c) for c in names])
-    if model.rest is not None:
-        asked = rows.mapInArrow(ask, "t1 long, t2 long, key long, is_word boolean, n int, ahead int")
-        there = model.rest.withColumnRenamed("key", "_key").withColumnRenamed("is_word", "_kind")
-        # Bigrams that are not in the table add nothing; words that are not are unknown.
-        found = asked.join(there, (F.col("key") == F.col("_key")) & (F.col("is_word") == F.col("_kind")), "left").filter("is_word OR _key IS NOT NULL")
-        value = F.coalesce("value", F.lit(float(model.word[-2])))
-        more = found.groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(
-            F.sum(F.col("n") * value + F.col("ahead") * F.coalesce("after", F.lit(0.0))).alias("m0"),
-            F.max(F.when(F.col("is_word"), value)).alias("m1"),
-            *[F.sum(F.when(F.col("is_word") & (value > level), F.col("n")).otherwise(0)).alias(f"m{i}") for i, level in enumerate(LEVELS, 2)])
-        plain = plain.join(more, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left")
-        for i in range(FEATURES - 1):
-            own = F.greatest(f"s{i}", "m1") if i == 1 else F.col(f"s{i}") + F.coalesce(F.col(f"m{i}") / F.col("copies"), F.lit(0.0))
-            plain = plain.withColumn(f"s{i}", own)
+    if model.rest is None:
+        found = rows.mapInArrow(sums, schema)
+    else:
+        asked = rows.mapInArrow(ask, "part int, run long, texts binary, items binary")
+        found = asked.groupBy("part").cogroup(model.rest.groupBy("part")).applyInArrow(answer, "run long, texts binary, sums binary")
+        found = found.groupBy("run").applyInArrow(finish, schema)
+    plain = found.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.max("empty").alias("empty"), *[F.max(c).alias(c) for c in names])
     last = F.col(names[-1])
     return plain.select(
         "t1", "t2", "copies", "empty", (F.col("s0") / F.greatest(last, F.lit(1.0))).alias("x0"), F.col("s1").alias("x1"),

@@ -2,6 +2,8 @@
 
 import collections
 import math
+import pathlib
+import pickle
 import random
 import re
 import zlib
@@ -10,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pluvia.functions.storage import shared_folder
 from pluvia.llm import langid, quality_rules, toxicity
 from pluvia.llm.bytesops import slices
 from pluvia.llm.common import held_out
@@ -111,6 +114,44 @@ def test_only_a_bounded_number_of_texts_is_kept_from_the_counts(spark, monkeypat
     assert 0 < missing <= 45
 
 
+def test_labelled_texts_by_slots_equal_a_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50 if i else None, f"text {i}") for i in range(70)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i // 2 * 3, i % 2 if i < 9 else 1) for i in range(30)] + [(None, 1), (4, 7), (5, 0)], "doc_id long, toxic int")
+    want = docs.filter("text IS NOT NULL").join(labels.filter("toxic IN (0, 1)"), "doc_id").select("doc_id", "text", "toxic")
+    for slots in (3, 1 << 22):
+        monkeypatch.setattr(toxicity, "LABEL_SLOTS", slots, raising=False)
+        got = toxicity.labelled(docs, labels, "doc_id", "text", "toxic")
+        assert collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, want.collect()))
+
+
+def test_toxicity_writes_few_bytes_for_each_bigram(spark):
+    """What training writes to the shared folder, where labelled texts, counts and ratios of all bigrams were tables."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(300))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4, "doc_id")
+    labels = spark.createDataFrame([(i, i % 3 // 2) for i in range(400)], "doc_id long, toxic int")
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+
+    def size():
+        return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+    before = size()
+    toxicity.train(docs, labels, vocabulary=1000, kept_bigrams=1000)
+    bigrams = len({pair for _, text in texts for w in [text.split()] for pair in zip(["^", *w], w, strict=False)})
+    assert size() - before < 12 * bigrams + 200_000
+
+
+def test_packed_items_and_indexes_come_back():
+    rng = np.random.default_rng(0)
+    first, second = (rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    kind, n = rng.integers(0, 6, 500).astype(np.uint8), rng.integers(0, 300, 500).astype(np.uint64)
+    got = toxicity.unpack_items(toxicity.pack_items(kind, first, second, n))
+    assert sorted(zip(*got, strict=True)) == sorted(zip(kind, first, second, n, strict=True))
+    assert [len(c) for c in toxicity.unpack(toxicity.pack([n[:0], kind[:0]]))] == [0, 0]
+    index = pickle.loads(pickle.dumps(toxicity.KeyIndex(np.sort(first), np.arange(500)[::-1])))
+    assert (index.find(np.sort(first)) == np.arange(500)[::-1]).all() and (index.find(first - np.uint64(1)) == 500).all()
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     docs, labels, _ = labelled_corpus(spark)
     model = toxicity.train(docs, labels)
