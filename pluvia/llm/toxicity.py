@@ -46,8 +46,10 @@ FILTER_BITS = 1 << 27
 #: Places into which ids are hashed to tell which documents have a label.
 LABEL_SLOTS = 1 << 22
 #: The table in Spark has a part for about so many counted words, and so many parts at least.
-PART_WORDS = 1 << 21
+PART_WORDS = 1 << 22
 LEAST_PARTS = 12
+#: Labelled texts whose words make a part while they are counted.
+PART_TEXTS = 20_000
 #: Items that a task collects before it hands them on.
 HELD = 1 << 20
 #: Kinds of items, each with a name of two numbers: bigrams of two carried words (both places), words that are not
@@ -120,33 +122,42 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return rows.filter("_what < 2").select("_id", "_text", F.col("_what").alias("toxic")).union(mixed.select("_id", "_text", "toxic"))
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """(key, toxic, ordinary): counts by class of each word.  Tasks add up what they hold, Spark the rest."""
+def count_words(rows: DataFrame, parts: int) -> DataFrame:
+    """(key, toxic, ordinary): counts by class of each word.  Tasks add up what they hold and send the words of a part,
+    by hash, as one packed value."""
 
     def count(batches):
-        held, size = [], 0
+        held, n = [], 0
 
-        def summed():
+        def packed():
             key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            toxic = np.bincount(back, weights=np.concatenate([t for _, t in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(toxic), pa.array(np.bincount(back) - toxic)],
-                                              names=["key", "toxic", "ordinary"])
+            toxic = np.bincount(back, weights=np.concatenate([t for _, t in held])).astype(np.uint64)
+            both = toxic, np.bincount(back).astype(np.uint64) - toxic
+            held.clear()
+            cut = [(p, pack([np.diff(key[at], prepend=np.uint64(0)), *(c[at] for c in both)])) for p, at in by_part(item_parts(key, parts))]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int32()), pa.array([d for _, d in cut], pa.binary())], names=["part", "data"])
 
         for batch in batches:
             label = np.array(batch.column(1).to_pylist(), np.int64)
             for a, b, data, offsets in slices(batch.column(0)):
                 key, text = word_keys(data, offsets)
                 held.append((key, label[a:b][text]))
-                size += len(key)
-                if size > 2 * HELD:
-                    yield summed()
-                    held, size = [], 0
-        if size:
-            yield summed()
+                n += len(key)
+                if n > 4 * HELD:
+                    yield packed()
+                    n = 0
+        if n:
+            yield packed()
         release()
 
-    found = rows.select("_text", "toxic").mapInArrow(count, "key long, toxic long, ordinary long")
-    return found.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    def merge(table):
+        step, *counts = zip(*(unpack(d.as_py()) for d in table.column("data")), strict=True)
+        key, back = np.unique(np.concatenate([np.cumsum(s, dtype=np.uint64) for s in step]), return_inverse=True)
+        toxic, ordinary = (np.bincount(back, weights=np.concatenate(c)).astype(np.int64) for c in counts)
+        return pa.table({"key": key.view(np.int64), "toxic": toxic, "ordinary": ordinary})
+
+    found = rows.select("_text", "toxic").mapInArrow(count, "part int, data binary")
+    return found.groupBy("part").applyInArrow(merge, "key long, toxic long, ordinary long")
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -359,7 +370,8 @@ class Part:
             return np.array([np.bincount(at[rows], weights=x[rows], minlength=len(self.words)) for x in weights])
 
         self.q = carried.totals.into(by_word(ending, counts > 0))
-        self.w, self.n = Totals.after(by_word(beginning, counts > 0), by_word(beginning, counts))
+        self.after = by_word(beginning, counts > 0), by_word(beginning, counts)
+        self.w, self.n = Totals.after(*self.after)
         self.value = np.zeros(len(kind))
         r = kind == BOTH
         h, x = np.divmod(self.first[r].astype(np.int64), carried.q.shape[1])
@@ -373,10 +385,10 @@ class Part:
         self.at = at
 
     def beside_second(self, parts: int):
-        """(part, data): statistics of the first words of bigrams of two words that are not carried, for the parts of
-        the second ones."""
+        """(part, data): counts of the first words of bigrams of two words that are not carried, for the parts of the
+        second ones."""
         r = np.flatnonzero(self.kind == NEITHER_FIRST)
-        back = [x[i, self.at[r]].astype(float).view(np.uint64) for x in (self.w, self.n) for i in (0, 1)]
+        back = [x[i, self.at[r]].astype(np.uint64) for x in self.after for i in (0, 1)]
         for part, at in by_part(item_parts(self.second[r], parts)):
             yield part, pack_items(self.kind[r][at], self.second[r][at], self.first[r][at], *(c[at] for c in back))
 
@@ -388,7 +400,7 @@ class Part:
         c = [np.concatenate(x) for x in zip(*(unpack_items(b) for b in blobs), strict=True)]
         order = np.lexsort((c[2], c[1]))
         # Both sides list the same bigrams in the same order.
-        w, n = (np.array([c[i][order].view(float), c[i + 1][order].view(float)]) for i in (3, 5))
+        w, n = Totals.after(*(np.array([c[i][order], c[i + 1][order]], float) for i in (3, 5)))
         self.value[r] = excess(self.counts[:, r], w, n, self.q[:, self.at[r]])
 
     def find(self, kind: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -542,9 +554,10 @@ def train(
     function is fitted on these, chosen by hashes of the id, and only their features reach the driver."""
     rows = labelled(docs, labels, id_col, text_col, label_col)
     quarter = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(4)) == 3
-    share = min(1.0, CALIBRATION_ROWS / max(rows.filter(quarter).count(), 1))
+    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(quarter).alias("quarter")).first()
+    share = min(1.0, CALIBRATION_ROWS / max(n.quarter, 1))
     taken = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000)
-    model = kneser_ney(rows.filter(~(quarter & taken)), vocabulary, kept_bigrams)
+    model = kneser_ney(rows.filter(~(quarter & taken)), n.all, vocabulary, kept_bigrams)
 
     x, y = feature_rows(rows.filter(quarter & taken), model)
     model.prior = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
@@ -605,10 +618,10 @@ def carried_counts(table: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def kneser_ney(rows: DataFrame, vocabulary: int, kept: int) -> ToxicityModel:
+def kneser_ney(rows: DataFrame, n_texts: int, vocabulary: int, kept: int) -> ToxicityModel:
     """Ratios of all words and bigrams; the model carries the most frequent ones, as many as ``vocabulary`` and ``kept``."""
     spark = rows.sparkSession
-    known = materialise(count_words(rows)).withColumn("n", F.col("toxic") + F.col("ordinary"))
+    known = materialise(count_words(rows, max(LEAST_PARTS, -(-n_texts // PART_TEXTS)))).withColumn("n", F.col("toxic") + F.col("ordinary"))
     known = known.filter(F.col("key") != BEGIN_KEY)
     chosen = most_frequent(known.filter("toxic > 0"), F.col("toxic"), vocabulary // 2, "key").union(
         most_frequent(known, F.col("n"), vocabulary // 2, "key")).select("key", "n").distinct().toPandas()
