@@ -451,7 +451,7 @@ class ToxicityModel:
         self.__dict__ = state | {"maybe": np.frombuffer(pa.Codec("zstd").decompress(bits, size, asbytes=True), np.uint8)}
 
     def possible(self, kind: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        size = filter_size(self.parts)
+        size = 8 * len(self.maybe) // self.parts
         slot = item_parts(first, self.parts) * size + item_slots(kind, first, second, size).astype(np.int64)
         return (self.maybe[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
@@ -684,6 +684,8 @@ def kneser_ney(rows: DataFrame, n_texts: int, vocabulary: int, kept: int) -> Tox
     if n.words > len(index.keys) or scored.count() > len(order):
         model.rest = table.select("part", "data", F.lit(None).cast("binary").alias("beside")).union(
             table.select("data").mapInArrow(beside, "part int, beside binary").select("part", F.lit(None).cast("binary"), "beside"))
+    else:
+        maybe[:] = 0  # nothing is left to ask for
     return model
 
 

@@ -141,6 +141,17 @@ def test_toxicity_writes_few_bytes_for_each_bigram(spark):
     assert size() - before < 12 * bigrams + 200_000
 
 
+def test_toxicity_scores_do_not_depend_on_the_size_of_the_bit_table(spark, monkeypatch):
+    docs, labels, _ = labelled_corpus(spark, 200)
+    texts = docs.union(spark.createDataFrame([(-i, f"w1 vile unseen{i} w2 w3 unseen{i} unseen w1") for i in range(1, 40)], docs.schema))
+    for sizes in ({}, {"vocabulary": 20, "kept_bigrams": 50}):
+        want = {r.doc_id: r.score for r in toxicity.score(texts, toxicity.train(docs, labels, **sizes)).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "FILTER_BITS", 1 << 9)
+            got = {r.doc_id: r.score for r in toxicity.score(texts, toxicity.train(docs, labels, **sizes)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_packed_items_and_indexes_come_back():
     rng = np.random.default_rng(0)
     first, second = (rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
