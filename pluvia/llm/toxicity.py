@@ -7,10 +7,11 @@ says little about a class and one that is frequent in one class only says much.
 length-normalised difference of its two log-likelihoods, over the whole text and for its most toxic words; a logistic
 function fitted on training texts that the counts have not seen turns these into a probability.
 
-All words and bigrams count, bigrams seen once as well, and are named by 64-bit hashes.  Their log-ratios are a table in
-Spark.  The scorer carries the ``vocabulary`` most frequent words (half by toxic, half by all texts), the
-``kept_bigrams`` most frequent bigrams and a bit table of fixed size that tells which others may be in the table; those
-are looked up there by a join, so the sizes of what is carried decide the speed and not the scores.
+All words and bigrams count, bigrams seen once as well, and are named by 64-bit hashes of words, carried words by their
+places.  Their counts are a table in Spark, in parts by hash.  The scorer carries the ``vocabulary`` most frequent words
+(half by toxic, half by all texts), the ``kept_bigrams`` most frequent bigrams and a bit table of fixed size that tells
+which others may be in the table; a part answers requests for those, so the sizes of what is carried decide the speed and
+not the scores.
 
 Defined cases: null and empty texts have the score of the prior; other texts without a word have what the logistic
 function gives for features of zero; rows without a label or
