@@ -82,6 +82,11 @@ class KeyIndex:
         self.shift, self.slots = np.uint64(64 - bits), np.zeros(1 << bits, np.int32)
         self.slots[:] = np.searchsorted(self.keys >> self.shift, np.arange(1 << bits, dtype=np.uint64))
 
+    @property
+    def order(self) -> np.ndarray:
+        """The place of each of the sorted keys."""
+        return np.arange(len(self.keys)) if self.place is None else self.place
+
     def __getstate__(self):
         return pack([np.diff(self.keys, prepend=np.uint64(0)), *([] if self.place is None else [self.place])])
 
