@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.bytesops import release, slices
+from pluvia.llm.bytesops import caches, release, slices
 from pluvia.llm.pretokens import GroupEncoder
 
 #: White space of the word pattern, spelled out, as libraries differ on control characters.
@@ -215,7 +215,7 @@ class SpeculativeEncoder(GroupEncoder):
         return ids_text, decoded
 
 
-_encoders: dict[str, SpeculativeEncoder] = {}
+_encoders: dict[str, SpeculativeEncoder] = caches.setdefault("bpe", {})
 
 
 def speculative(path: str) -> SpeculativeEncoder:
@@ -245,7 +245,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                     b_hex.append(hashlib.sha256(b" ".join([decoded[e] for e in own])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens), pa.array(a_hex, pa.string()), pa.array(b_hex, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        release()
+        release("bpe")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -20,6 +20,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 _tables: dict[str, np.ndarray] = {}
+#: What a worker keeps from task to task (encoders), by the name of what keeps it.
+caches: dict[str, dict] = {}
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,8 +105,13 @@ def sums_by(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(group, weights=values, minlength=n)
 
 
-def release() -> None:
-    """Gives freed memory back to the system; a worker outlives its task, and its allocator would keep it."""
+def release(used: str = "") -> None:
+    """Empties the tables and the caches but the one that this task uses, and gives freed memory back to the system: a worker outlives
+    its task and its operator, and would keep both."""
+    for name, cache in caches.items():
+        if name != used:
+            cache.clear()
+    _tables.clear()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

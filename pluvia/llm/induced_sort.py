@@ -24,6 +24,13 @@ import numpy as np
 MEMORY_ITEMS = 1 << 22
 #: Type of common-prefix values; longer prefixes are cut to the length that is asked for.
 COMMON = np.uint16
+#: Pairs of suffixes compared at once.
+PAIRS = 1 << 14
+
+
+def place_type(n: int) -> type:
+    """Type of places in a string of n symbols and of some caps beyond: half as wide where that is enough."""
+    return np.int32 if n < (1 << 31) - (1 << 20) else np.int64
 
 
 class BucketQueue:
@@ -110,12 +117,15 @@ def run_ends(text: np.ndarray) -> np.ndarray:
     change = np.append(text[1:] != text[:-1], True)
     ends = np.flatnonzero(change)
     sizes = np.diff(np.concatenate(([-1], ends)))
-    return np.repeat(ends.astype(np.int32 if n < 1 << 31 else np.int64), sizes)
+    return np.repeat(ends.astype(place_type(n)), sizes)
 
 
 def same_until(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: np.ndarray) -> np.ndarray:
     """Common prefix of the suffixes at a and at b, at most ``cap`` (one limit for each pair)."""
-    out = np.zeros(len(a), np.int64)
+    if len(a) > PAIRS:
+        cuts = range(0, len(a), PAIRS)
+        return np.concatenate([same_until(text, a[i: i + PAIRS], b[i: i + PAIRS], cap[i: i + PAIRS]) for i in cuts])
+    out = np.zeros(len(a), place_type(len(text)))
     live, n = np.arange(len(a)), len(text)
     step = np.arange(8)
     while len(live):
@@ -143,16 +153,21 @@ def refine(order: np.ndarray, rank: np.ndarray, key: np.ndarray, subset: np.ndar
 
 def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank) of the values; the rank of equal values is the place of the first."""
-    order = np.argsort(values, kind="stable").astype(np.int64)
-    v = values[order]
-    new = np.concatenate(([True], v[1:] != v[:-1]))
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+    kind = place_type(len(values))
+    order = np.argsort(values, kind="stable").astype(kind)
+    new = np.ones(len(values), bool)
+    new[1:] = values[order[1:]] != values[order[:-1]]
+    place = np.arange(len(values), dtype=kind)
+    place[~new] = 0
+    rank = np.empty(len(values), kind)
+    rank[order] = np.maximum.accumulate(place)
     return order, rank
 
 
-def group_sizes(rank: np.ndarray) -> np.ndarray:
-    return np.bincount(rank, minlength=len(rank))[rank]
+def shared(rank: np.ndarray, subset: np.ndarray | None = None) -> np.ndarray:
+    """Those of the subset (or of all) whose rank others have, too."""
+    several = np.bincount(rank, minlength=len(rank)) > 1
+    return np.flatnonzero(several[rank]).astype(rank.dtype) if subset is None else subset[several[rank[subset]]]
 
 
 def doubled(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,23 +175,27 @@ def doubled(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(names)
     order, rank = ranked(names)
     levels, h = [(1, rank.copy())], 1
-    subset = np.flatnonzero(group_sizes(rank) > 1)
+    subset = shared(rank)
     while h < cap and len(subset):
         ahead = subset + h
         key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         refine(order, rank, key, subset)
         h *= 2
-        subset = subset[group_sizes(rank)[subset] > 1]
+        subset = shared(rank, subset)
         levels.append((h, rank.copy()))
-    lcp = np.zeros(n, np.int64)
+    lcp = np.zeros(n, COMMON)
     a, b = order[:-1], order[1:]
-    common = np.zeros(max(n - 1, 0), np.int64)
-    for h, r in reversed(levels):
+    common = np.zeros(max(n - 1, 0), order.dtype)
+    while levels:
+        h, r = levels.pop()
         x, y = a + common, b + common
-        same = (np.maximum(x, y) < n) & (r[np.minimum(x, n - 1)] == r[np.minimum(y, n - 1)])
-        common += np.where(same, h, 0)
+        same = np.maximum(x, y) < n
+        np.minimum(x, n - 1, out=x)
+        np.minimum(y, n - 1, out=y)
+        same &= r[x] == r[y]
+        common[same] += h
     lcp[1:] = np.minimum(common, cap)
-    return order, lcp.astype(COMMON)
+    return order, lcp
 
 
 def name_substrings(text: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
@@ -200,7 +219,7 @@ def name_substrings(text: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
     while word * per < cap:
         longer = np.zeros(m, bool)
         longer[rank[size > word * per]] = True
-        subset = np.flatnonzero(longer[rank] & (group_sizes(rank) > 1))
+        subset = shared(rank, np.flatnonzero(longer[rank]))
         if not len(subset):
             break
         refine(order, rank, key(subset, word), subset)
@@ -218,7 +237,7 @@ def lms_order(text: np.ndarray, lms: np.ndarray, cap: int, memory_items: int) ->
         parts = list(induced(np.unique(names, return_inverse=True)[1], deep, memory_items))[::-1]
         order, same = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     a, b = order[:-1], order[1:]
-    k = same[1:].astype(np.int64)
+    k = same[1:].astype(lms.dtype)
     x, y = np.minimum(a + k, len(lms) - 1), np.minimum(b + k, len(lms) - 1)
     known = lms[x] - lms[a]
     left = np.maximum(cap - known, 0)
@@ -274,14 +293,15 @@ def induced(text: np.ndarray, cap: int, memory_items: int = MEMORY_ITEMS) -> Ite
     inner = ends < n - 1
     is_s[inner] = text[ends[inner]] < text[ends[inner] + 1]
     is_s[n - 1] = True
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    run = scratch(np.minimum(ends - np.arange(n) + 1, cap).astype(COMMON), memory_items)
+    kind = place_type(n)
+    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(kind) + kind(1)
+    ends -= np.arange(-1, n - 1, dtype=kind)
+    run = scratch(np.minimum(ends, cap).astype(COMMON), memory_items)
     del ends, inner, is_s
     order, same = lms_order(text, lms, cap, memory_items)
     first = text[order]
     symbols = np.unique(text)
     bounds = np.searchsorted(first, np.append(symbols, symbols[-1] + 1))
-    kind = np.int32 if n < 1 << 31 else np.int64
 
     upward, typed_l = BucketQueue(memory_items, kind), BucketQueue(memory_items, kind)
     for i, c in enumerate(symbols.tolist()):

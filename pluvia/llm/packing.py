@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from pluvia.llm.bytesops import release, slices
 from pluvia.llm.pretokens import encoder
 
+#: Bytes of texts encoded at once, and pieces that a task collects before it hands them on.
+SLICE = 250_000
+HELD_ROWS = 500
 PIECES = "doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, n_loss long, ids binary"
 
 
@@ -137,7 +140,7 @@ def pack_documents(
     def pack(batches):
         from pyspark import TaskContext
 
-        base, enc, plain = TaskContext.get().partitionId() << 36, encoder(tokenizer, end_id), encoder(tokenizer)
+        base, enc = TaskContext.get().partitionId() << 36, encoder(tokenizer, end_id)
         rows: list = []
 
         def out(sequence, offset, key, ids, start, n, n_loss):
@@ -155,22 +158,24 @@ def pack_documents(
             keys = batch.column(0).to_pylist()
             prompts = {}
             if prompt_col:
-                for a, b, data, offsets in slices(batch.column(2)):
+                plain = encoder(tokenizer)
+                for a, b, data, offsets in slices(batch.column(2), SLICE):
                     flat, bounds = plain.ids(data, offsets)
                     prompts |= {a + i: flat[bounds[i]: bounds[i + 1]].copy() for i in range(b - a)}
-            for a, b, data, offsets in slices(batch.column(1)):
+            for a, b, data, offsets in slices(batch.column(1), SLICE):
                 flat, bounds = enc.ids(data, offsets)
                 for i in range(b - a):
                     ids = flat[bounds[i]: bounds[i + 1]]
                     before = prompts.get(a + i)
                     packer.add(keys[a + i], ids.copy() if before is None else np.concatenate((before, ids)),
                                0 if before is None else len(before))
-                if len(rows) >= 2000:
+                if len(rows) >= HELD_ROWS:
                     yield flush()
+            release("pretokens")
         packer.finish()
         if rows:
             yield flush()
-        release()
+        release("pretokens")
 
     rows_in = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"),
                           *([F.col(prompt_col).alias("_prompt")] if prompt_col else []))

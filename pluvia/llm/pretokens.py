@@ -13,12 +13,13 @@ special tokens) are encoded whole by the library.
 
 from __future__ import annotations
 
-import json
 import os
 
 import numpy as np
 import pyarrow as pa
 
+from pluvia.llm.bytesops import caches
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: ASCII white space and punctuation at which groups may end.
@@ -172,7 +173,7 @@ class GroupEncoder:
         self.tail = tail
         # If the tokenizer folds case and drops white space, groups that differ only in these are one.
         self.folds = len({tuple(self.library.encode(t, add_special_tokens=False).ids) for t in ("A b", " a  b")}) == 1
-        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix") or ""
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or ""
         size = self.library.get_vocab_size()
         #: Bytes that each token stands for (its visible characters stand for one byte each).
         self.width = np.array([len((self.library.id_to_token(i) or "").removesuffix(suffix)) for i in range(size)], np.int64)
@@ -184,7 +185,9 @@ class GroupEncoder:
         self.kept = (0, 0)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        # Some at a time: the library's results are many times as large as the ids.
+        runs = (texts[i: i + 1000] for i in range(0, len(texts), 1000))
+        return [e.ids for run in runs for e in self.library.encode_batch_fast(run, add_special_tokens=False)]
 
     def _learn(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
         """New entries with these numbers of ids."""
@@ -323,11 +326,11 @@ class GroupEncoder:
         return out, bounds
 
 
-_encoders: dict[tuple, GroupEncoder] = {}
+_encoders: dict[tuple, GroupEncoder] = caches.setdefault("pretokens", {})
 
 
 def encoder(path: str, tail: int | None = None) -> GroupEncoder:
-    """The worker's encoder, kept from batch to batch."""
+    """The worker's encoder, kept from batch to batch and from task to task of one operator."""
     key = (path, tail)
     if key not in _encoders:
         _encoders[key] = GroupEncoder(path, tail=tail)

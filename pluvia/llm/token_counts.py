@@ -52,7 +52,7 @@ def group_counts(docs: DataFrame, text_col: str = "text", held: int = 1 << 19) -
                         parts, size = [], 0
         if parts:
             yield handed(parts)
-        release()
+        release("pretokens")
 
     counts = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "low long, high long, n long")
     return counts.groupBy("low", "high").agg(F.sum("n").alias("n"))
@@ -116,7 +116,7 @@ def count_tokens(
                 n_bytes[a:b] = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens)],
                                              names=["doc_id", "n_bytes", "n_tokens"])
-        release()
+        release("pretokens")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -151,7 +151,7 @@ def write_token_files(
                         writer = FrameWriter(where.open_output_stream(f"{root}/{name}", compression=None), level)
                     writer.add(ids[a + i], flat[bounds[i]: bounds[i + 1]])
                 tokens += len(flat)
-        release()
+        release("pretokens")
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays(

@@ -21,6 +21,7 @@ they are; other columns play no part.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,6 +54,8 @@ LEAST_PARTS = 12
 PART_TEXTS = 20_000
 #: Items that a task collects before it hands them on.
 HELD = 1 << 20
+#: Items of a part that are worked on at a time.
+RUN_ITEMS = 1 << 17
 #: Kinds of items, each with a name of two numbers: bigrams of two carried words (both places), words that are not
 #: carried (key, 0), bigrams whose second or first word is not carried (its key, place of the other), bigrams of two such
 #: words (key of the second, of the first), and these once more beside their first word.
@@ -133,47 +136,55 @@ def count_words(rows: DataFrame, parts: int) -> DataFrame:
     by hash, as one packed value."""
 
     def count(batches):
-        held, n = [], 0
+        # Words are held by part, so only those of one part are sorted at a time.
+        held, n = defaultdict(list), 0
 
-        def packed():
-            key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            toxic = np.bincount(back, weights=np.concatenate([t for _, t in held])).astype(np.uint64)
-            both = toxic, np.bincount(back).astype(np.uint64) - toxic
-            held.clear()
-            cut = [(p, pack([np.diff(key[at], prepend=np.uint64(0)), *(c[at] for c in both)])) for p, at in by_part(item_parts(key, parts))]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int32()), pa.array([d for _, d in cut], pa.binary())], names=["part", "data"])
+        def summed(found):
+            key, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            toxic = np.bincount(back, weights=np.concatenate([t for _, t in found])).astype(np.uint64)
+            return pack([np.diff(key, prepend=np.uint64(0)), toxic, np.bincount(back).astype(np.uint64) - toxic])
 
         for batch in batches:
-            label = np.array(batch.column(1).to_pylist(), np.int64)
+            label = np.array(batch.column(1).to_pylist(), np.uint8)
             for a, b, data, offsets in slices(batch.column(0)):
                 key, text = word_keys(data, offsets)
-                held.append((key, label[a:b][text]))
+                toxic = label[a:b][text]
+                for p, at in by_part(item_parts(key, parts)):
+                    held[p].append((key[at], toxic[at]))
                 n += len(key)
                 if n > 4 * HELD:
-                    yield packed()
+                    yield handed(held, summed)
                     n = 0
         if n:
-            yield packed()
+            yield handed(held, summed)
         release()
 
     def merge(table):
         step, *counts = zip(*(unpack(d.as_py()) for d in table.column("data")), strict=True)
         key, back = np.unique(np.concatenate([np.cumsum(s, dtype=np.uint64) for s in step]), return_inverse=True)
         toxic, ordinary = (np.bincount(back, weights=np.concatenate(c)).astype(np.int64) for c in counts)
+        del step, counts, back
+        release()
         return pa.table({"key": key.view(np.int64), "toxic": toxic, "ordinary": ordinary})
 
     found = rows.select("_text", "toxic").mapInArrow(count, "part int, data binary")
     return found.groupBy("part").applyInArrow(merge, "key long, toxic long, ordinary long")
 
 
+def handed(held: dict[int, list], summed) -> pa.RecordBatch:
+    """One packed value for each part of what a task holds, which it lets go."""
+    cut = [(p, summed(held.pop(p))) for p in sorted(held)]
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int32()), pa.array([d for _, d in cut], pa.binary())], names=["part", "data"])
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of unsigned numbers, all of a length, as compressed bytes."""
-    n, planes, body = len(columns[0]), [], []
-    for c in columns:
-        used = (int(c.max()).bit_length() + 7) // 8 if n else 0
-        planes.append(used)
-        body.append(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(n, 8)[:, :used].T).tobytes())
-    body = b"".join(body)
+    n = len(columns[0])
+    planes = [(int(c.max()).bit_length() + 7) // 8 if n else 0 for c in columns]
+    body, at = np.empty(n * sum(planes), np.uint8), 0
+    for c, used in zip(columns, planes, strict=True):
+        body[at: at + n * used].reshape(used, n)[:] = np.ascontiguousarray(c, "<u8").view(np.uint8).reshape(n, 8)[:, :used].T
+        at += n * used
     return np.array([n, len(columns), *planes], "<u4").tobytes() + pa.Codec("zstd").compress(body, asbytes=True)
 
 
@@ -193,8 +204,12 @@ def unpack(data: bytes) -> list[np.ndarray]:
 def pack_items(kind: np.ndarray, first: np.ndarray, second: np.ndarray, *more: np.ndarray) -> bytes:
     """Items in the order of their names, those of a word side by side; of the first parts of names the steps are kept."""
     order = np.lexsort((second, kind, first))
-    first = first[order]
-    return pack([kind[order], np.diff(first, prepend=np.uint64(0)), second[order], *(c[order] for c in more)])
+    return pack_sorted(kind[order], first[order], second[order], *(c[order] for c in more))
+
+
+def pack_sorted(kind: np.ndarray, first: np.ndarray, second: np.ndarray, *more: np.ndarray) -> bytes:
+    """The same for items that are in this order."""
+    return pack([kind, np.diff(first, prepend=np.uint64(0)), second, *more])
 
 
 def unpack_items(data: bytes) -> list[np.ndarray]:
@@ -227,8 +242,8 @@ def named_items(place, before, key, history, unknown: int):
 
 
 def summed_items(kind, first, second, *counts):
-    """Equal items as one, with the sums of their counts."""
-    order = np.lexsort((second, first, kind))
+    """Equal items as one, with the sums of their counts, in the order in which items are packed."""
+    order = np.lexsort((second, kind, first))
     kind, first, second = kind[order], first[order], second[order]
     new = np.ones(len(order), bool)
     new[1:] = (kind[1:] != kind[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
@@ -236,9 +251,17 @@ def summed_items(kind, first, second, *counts):
     return kind[start], first[start], second[start], *(np.add.reduceat(c[order], start, dtype=np.uint64) if len(start) else c[:0] for c in counts)
 
 
+def first_cuts(firsts: list[np.ndarray], items: int = RUN_ITEMS) -> np.ndarray:
+    """Borders, by value and run, of runs of about ``items`` items of sorted values; equal first parts share a run."""
+    total = sum(map(len, firsts))
+    sample = np.sort(np.concatenate([f[:: max(1, items // 64)] for f in firsts]))
+    borders = np.unique(sample[np.linspace(0, len(sample), total // items + 2)[1:-1].astype(np.int64)]) if len(sample) else sample
+    return np.array([[0, *np.searchsorted(f, borders), len(f)] for f in firsts], np.int64)
+
+
 def by_part(part: np.ndarray):
     """(part, places of its items) for each part that has some."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
     cut = np.flatnonzero(np.diff(part[order], prepend=-1))
     for i, end in zip(cut, np.append(cut[1:], len(order)), strict=False):
         yield int(part[order[i]]), order[i:end]
@@ -262,15 +285,11 @@ def count_bigrams(rows: DataFrame, index: KeyIndex, parts: int) -> DataFrame:
     size = filter_size(parts)
 
     def count(batches):
-        held, n = [], 0
+        # Items are held by part, so only those of one part are sorted at a time.
+        held, n = defaultdict(list), 0
 
-        def packed():
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            held.clear()
-            found = summed_items(*columns)
-            part = item_parts(found[1], parts)
-            cut = [(p, pack_items(*(c[at] for c in found))) for p, at in by_part(part)]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int32()), pa.array([d for _, d in cut], pa.binary())], names=["part", "data"])
+        def summed(found):
+            return pack_sorted(*summed_items(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
         for batch in batches:
             label = np.array(batch.column(1).to_pylist(), np.int64)
@@ -284,28 +303,39 @@ def count_bigrams(rows: DataFrame, index: KeyIndex, parts: int) -> DataFrame:
                 twice = found[0] == NEITHER
                 kind = np.full(int(twice.sum()), NEITHER_FIRST, np.uint8)
                 again = (kind, found[2][twice], found[1][twice], found[3][twice], found[4][twice])
-                held.append([np.concatenate(x).astype(t, copy=False) for x, t in zip(zip(found, again, strict=True), ITEM, strict=True)])
-                n += len(held[-1][0])
+                items = [np.concatenate(x).astype(t, copy=False) for x, t in zip(zip(found, again, strict=True), ITEM, strict=True)]
+                for p, at in by_part(item_parts(items[1], parts)):
+                    held[p].append([c[at] for c in items])
+                n += len(items[0])
                 if n > 2 * HELD:
-                    yield packed()
+                    yield handed(held, summed)
                     n = 0
         if held:
-            yield packed()
+            yield handed(held, summed)
         release()
 
     def merge(table):
         blobs = [[c.astype(t, copy=False) for c, t in zip(unpack_items(d.as_py()), ITEM, strict=True)] for d in table.column("data")]
-        found = summed_items(*(np.concatenate(c) for c in zip(*blobs, strict=True)))
+        bits, runs = np.zeros(size, bool), []
+        # Run by run of first parts of names, in which all values are sorted.
+        cuts = first_cuts([b[1] for b in blobs])
+        for i in range(cuts.shape[1] - 1):
+            found = summed_items(*(np.concatenate([c[lo:hi] for c, lo, hi in zip(column, cuts[:, i], cuts[:, i + 1], strict=True)])
+                                   for column in zip(*blobs, strict=True)))
+            kind, first, second = found[:3]
+            named = np.flatnonzero(kind != NEITHER_FIRST)
+            words = np.unique(first[(kind == SECOND) | (kind == NEITHER)])
+            bits[item_slots(kind[named], first[named], second[named], size).astype(np.int64)] = True
+            bits[item_slots(np.full(len(words), WORD, np.uint8), words, np.zeros(len(words), np.uint64), size).astype(np.int64)] = True
+            runs.append([c.astype(np.uint32) if i > 2 and (not len(c) or c.max() < 1 << 32) else c for i, c in enumerate(found)])
         del blobs
-        kind, first, second = found[:3]
-        named = np.flatnonzero(kind != NEITHER_FIRST)
-        words = np.unique(first[(kind == SECOND) | (kind == NEITHER)])
-        bits = np.zeros(size, bool)
-        bits[item_slots(kind[named], first[named], second[named], size).astype(np.int64)] = True
-        bits[item_slots(np.full(len(words), WORD, np.uint8), words, np.zeros(len(words), np.uint64), size).astype(np.int64)] = True
         bits = pa.Codec("zstd").compress(np.packbits(bits, bitorder="little").tobytes(), asbytes=True)
+        columns = []
+        while runs[0]:  # column by column, from the last one: each lets its runs go
+            columns.insert(0, np.concatenate([r.pop() for r in runs]))
         out = pa.table({"part": pa.array(table.column("part").to_pylist()[:1], pa.int32()),
-                        "data": pa.array([pack_items(*found)], pa.binary()), "bits": pa.array([bits], pa.binary())})
+                        "data": pa.array([pack_sorted(*columns)], pa.binary()), "bits": pa.array([bits], pa.binary())})
+        del columns
         release()
         return out
 
@@ -358,6 +388,11 @@ def excess(counts, w, n, q) -> np.ndarray:
     return t - o
 
 
+def runs_of(start: int, end: int) -> list[slice]:
+    """Items start to end in runs of ``RUN_ITEMS``."""
+    return [slice(i, min(i + RUN_ITEMS, int(end))) for i in range(int(start), int(end), RUN_ITEMS)]
+
+
 class Part:
     """A part of the table: its words with their statistics, its bigrams with their excess."""
 
@@ -365,7 +400,9 @@ class Part:
         columns = unpack_items(data)
         order = np.argsort(columns[0], kind="stable")
         self.kind, self.first, self.second = (c[order] for c in columns[:3])
-        self.counts = np.array([c[order] for c in columns[3:]], np.int64)
+        self.counts = np.empty((2, len(order)), np.int64)
+        for own, c in zip(self.counts, columns[3:], strict=True):
+            own[:] = c[order]
         del columns, order
         kind, counts = self.kind, self.counts
         ending, beginning = (kind == SECOND) | (kind == NEITHER), (kind == FIRST) | (kind == NEITHER_FIRST)
@@ -378,17 +415,17 @@ class Part:
         self.q = carried.totals.into(by_word(ending, counts > 0))
         self.after = by_word(beginning, counts > 0), by_word(beginning, counts)
         self.w, self.n = Totals.after(*self.after)
-        self.value = np.zeros(len(kind))
-        r = kind == BOTH
-        h, x = np.divmod(self.first[r].astype(np.int64), carried.q.shape[1])
-        self.value[r] = excess(counts[:, r], carried.w[:, h], carried.n[:, h], carried.q[:, x])
-        r = kind == SECOND
-        h = self.second[r].astype(np.int64)
-        self.value[r] = excess(counts[:, r], carried.w[:, h], carried.n[:, h], self.q[:, at[r]])
-        r = kind == FIRST
-        x = self.second[r].astype(np.int64)
-        self.value[r] = excess(counts[:, r], self.w[:, at[r]], self.n[:, at[r]], carried.q[:, x])
-        self.at = at
+        self.value, self.at = np.zeros(len(kind)), at
+        # Kinds lie side by side; a run of items at a time, whose statistics are spread out.
+        for r in runs_of(np.searchsorted(kind, BOTH), np.searchsorted(kind, BOTH, side="right")):
+            h, x = np.divmod(self.first[r].astype(np.int64), carried.q.shape[1])
+            self.value[r] = excess(counts[:, r], carried.w[:, h], carried.n[:, h], carried.q[:, x])
+        for r in runs_of(np.searchsorted(kind, SECOND), np.searchsorted(kind, SECOND, side="right")):
+            h = self.second[r].astype(np.int64)
+            self.value[r] = excess(counts[:, r], carried.w[:, h], carried.n[:, h], self.q[:, at[r]])
+        for r in runs_of(np.searchsorted(kind, FIRST), np.searchsorted(kind, FIRST, side="right")):
+            x = self.second[r].astype(np.int64)
+            self.value[r] = excess(counts[:, r], self.w[:, at[r]], self.n[:, at[r]], carried.q[:, x])
 
     def beside_second(self, parts: int):
         """(part, data): counts of the first words of bigrams of two words that are not carried, for the parts of the
@@ -406,8 +443,10 @@ class Part:
         c = [np.concatenate(x) for x in zip(*(unpack_items(b) for b in blobs), strict=True)]
         order = np.lexsort((c[2], c[1]))
         # Both sides list the same bigrams in the same order.
-        w, n = Totals.after(*(np.array([c[i][order], c[i + 1][order]], float) for i in (3, 5)))
-        self.value[r] = excess(self.counts[:, r], w, n, self.q[:, self.at[r]])
+        for run in runs_of(0, len(r)):
+            own = order[run]
+            w, n = Totals.after(*(np.array([c[i][own], c[i + 1][own]], float) for i in (3, 5)))
+            self.value[r[run]] = excess(self.counts[:, r[run]], w, n, self.q[:, self.at[r[run]]])
 
     def find(self, kind: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Places of items, or -1."""
@@ -603,15 +642,17 @@ def carried_counts(table: DataFrame, size: int) -> np.ndarray:
         total = np.zeros((6, size), np.int64)
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                kind, first, second, *counts = unpack_items(data)
-                into = np.select([kind == BOTH, kind == FIRST], [first % width, second], np.uint64(size - 2)).astype(np.int64)
-                after = np.select([kind == BOTH, kind == SECOND], [first // width, second], np.uint64(size - 2)).astype(np.int64)
-                real = kind != NEITHER_FIRST
-                for i, c in enumerate(counts):
-                    c = c.astype(np.int64)
-                    total[i] += np.bincount(into[real & (c > 0)], minlength=size)
-                    total[2 + i] += np.bincount(after[real & (c > 0)], minlength=size)
-                    total[4 + i] += np.bincount(after[real], weights=c[real], minlength=size).astype(np.int64)
+                whole = unpack_items(data)
+                for r in runs_of(0, len(whole[0])):
+                    kind, first, second, *counts = (c[r] for c in whole)
+                    into = np.select([kind == BOTH, kind == FIRST], [first % width, second], np.uint64(size - 2)).astype(np.int64)
+                    after = np.select([kind == BOTH, kind == SECOND], [first // width, second], np.uint64(size - 2)).astype(np.int64)
+                    real = kind != NEITHER_FIRST
+                    for i, c in enumerate(counts):
+                        c = c.astype(np.int64)
+                        total[i] += np.bincount(into[real & (c > 0)], minlength=size)
+                        total[2 + i] += np.bincount(after[real & (c > 0)], minlength=size)
+                        total[4 + i] += np.bincount(after[real], weights=c[real], minlength=size).astype(np.int64)
         some = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in total)], names=["place", *names])
         release()
@@ -653,14 +694,14 @@ def kneser_ney(rows: DataFrame, n_texts: int, vocabulary: int, kept: int) -> Tox
             for data in batch.column(0).to_pylist():
                 carried, keys = shared.value
                 part = Part(data, carried)
-                r = np.flatnonzero(part.kind <= FIRST)
-                kind, first, second = part.kind[r], part.first[r], part.second[r]
-                at, both = second.astype(np.int64), kind == BOTH
-                h, w = first.copy(), first.copy()
-                h[both], w[both] = (keys[x] for x in np.divmod(first[both].astype(np.int64), len(keys)))
-                h[kind == SECOND], w[kind == FIRST] = keys[at[kind == SECOND]], keys[at[kind == FIRST]]
-                yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w).view(np.int64)), pa.array(part.value[r]),
-                                                  pa.array(part.counts[:, r].sum(0))], names=["key", "value", "n"])
+                for r in runs_of(0, np.searchsorted(part.kind, FIRST, side="right")):
+                    kind, first, second = part.kind[r], part.first[r], part.second[r]
+                    at, both = second.astype(np.int64), kind == BOTH
+                    h, w = first.copy(), first.copy()
+                    h[both], w[both] = (keys[x] for x in np.divmod(first[both].astype(np.int64), len(keys)))
+                    h[kind == SECOND], w[kind == FIRST] = keys[at[kind == SECOND]], keys[at[kind == FIRST]]
+                    yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w).view(np.int64)), pa.array(part.value[r]),
+                                                      pa.array(part.counts[:, r].sum(0))], names=["key", "value", "n"])
         release()
 
     def beside(batches):

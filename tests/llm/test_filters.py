@@ -342,3 +342,26 @@ def test_most_frequent_rows_stay_within_the_limit(spark):
         got = [r.w for r in toxicity.most_frequent(rows, F.col("n"), keep, "w").collect()]
         assert len(got) <= keep and (keep < 40 or set(range(40)) <= set(got))
     assert toxicity.most_frequent(rows, F.col("n"), 5000, "w").count() == 3000
+
+
+def test_memory_of_a_part_of_the_bigram_table():
+    import tracemalloc
+
+    rng, n, size = np.random.default_rng(3), 600_000, 1000
+    kind = rng.choice([toxicity.BOTH, toxicity.SECOND, toxicity.FIRST], n, p=[0.8, 0.1, 0.1]).astype(np.uint8)
+    both = kind == toxicity.BOTH
+    first = np.where(both, rng.integers(0, (size - 2) ** 2, n), rng.integers(0, 1 << 62, n)).astype(np.uint64)
+    second = np.where(both, 0, rng.integers(0, size - 2, n)).astype(np.uint64)
+    found = toxicity.summed_items(kind, first, second, rng.integers(0, 3, n), rng.integers(1, 9, n))
+    data = toxicity.pack_items(*found)
+    assert data == toxicity.pack_sorted(*found)
+    totals = toxicity.Totals((n, n), (size, size), float(size))
+    carried = toxicity.Carried(np.full((2, size), 1e-3), np.full((2, size), 0.5), np.full((2, size), 100.0), totals)
+    tracemalloc.start()
+    try:
+        part = toxicity.Part(data, carried)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(part.value) == len(found[0]) and np.isfinite(part.value).all()
+    assert peak < 150 * len(part.value)

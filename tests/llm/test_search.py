@@ -309,3 +309,18 @@ def test_pipeline_query_and_awkward_rows(spark, awkward, nothing, documents):
         rows = stage(spark, rows, DATA).cache()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, DATA).count() == 0
+
+
+def test_memory_of_induced_sorting():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = np.append(rng.integers(1, 30, 400_000), 0).astype(np.uint16)
+    text[200_000:300_000] = text[:100_000]
+    tracemalloc.start()
+    try:
+        assert sum(len(at) for at, _ in induced(text, 200)) == len(text)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 50 * len(text)

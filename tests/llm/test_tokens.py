@@ -198,3 +198,29 @@ def test_frequent_groups_are_those_of_all_texts(spark):
     assert got == {k: n for k, n in want.items() if len(k) <= pretokens.INLINE}
     few = token_counts.frequent_groups(df, entries=10)
     assert {name(int(a), int(b)) for a, b in few} == {k for k, n in want.items() if n > 2}
+
+
+def test_workers_let_caches_of_other_operators_go():
+    from pluvia.llm import bytesops
+
+    path = vocabulary("byte_bpe_50k.json")
+    kept = pretokens.encoder(path, 1)
+    bytesops.prefix_hash(np.zeros(100, np.uint8))
+    bytesops.release("pretokens")
+    assert pretokens.encoder(path, 1) is kept
+    bytesops.release()
+    assert not bytesops.caches["pretokens"] and not bytesops._tables
+
+
+def test_packing_without_prompts_has_one_encoder(spark, documents, monkeypatch):
+    made = []
+    monkeypatch.setattr(packing, "encoder", lambda path, tail=None: made.append(tail) or pretokens.GroupEncoder(path, tail=tail))
+    cut = {}
+    monkeypatch.setattr(type(documents), "mapInArrow", lambda self, f, schema: cut.setdefault("f", f) and self)
+    packing.pack_documents(documents, vocabulary("byte_bpe_50k.json"))
+    with pytest.MonkeyPatch.context() as m:
+        from pyspark import TaskContext
+
+        m.setattr(TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)})))
+        rows = list(cut["f"](iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", "c"])], names=["doc_id", "_text"])])))
+    assert sum(len(r) for r in rows) and made == [1]
