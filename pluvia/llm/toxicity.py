@@ -83,7 +83,9 @@ class KeyIndex:
         self.keys, self.place = keys, place
         bits = max(4, int(np.ceil(np.log2(len(keys) + 1))) + 1)
         self.shift, self.slots = np.uint64(64 - bits), np.zeros(1 << bits, np.int32)
-        self.slots[:] = np.searchsorted(self.keys >> self.shift, np.arange(1 << bits, dtype=np.uint64))
+        prefix = self.keys >> self.shift
+        for r in runs_of(0, 1 << bits):
+            self.slots[r] = np.searchsorted(prefix, np.arange(r.start, r.stop, dtype=np.uint64))
 
     @property
     def order(self) -> np.ndarray:
@@ -768,7 +770,7 @@ def described(texts: DataFrame, model: ToxicityModel) -> DataFrame:
                     "texts": pa.array([pack([t1, t2, np.diff(offsets) == 0, *x]), *([None] * len(asked))], pa.binary()),
                     "items": pa.array([None, *(d for _, d in asked)], pa.binary())})
                 run += 1
-        release()
+            release()
 
     def answer(asked, there):
         model, part, out = shared.value, None, []
